@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, packing, substrings
+from lodestar.llm import bpe, ngramjoin, packing, substrings
 from lodestar.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,5 +32,9 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe, op5_packing, op7_substrings,)}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe, op5_packing, op7_substrings, op8_ngram_join,)}
 ORACLE: dict[str, str] = {}
