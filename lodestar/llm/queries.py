@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, ngramjoin, packing, substrings
+from lodestar.llm import bpe, langid, ngramjoin, packing, substrings
 from lodestar.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,5 +36,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe, op5_packing, op7_substrings, op8_ngram_join,)}
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_bpe, op5_packing, op7_substrings, op8_ngram_join,)}
 ORACLE: dict[str, str] = {}
