@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, langid, ngramjoin, packing, substrings
+from lodestar.llm import bpe, langid, ngramjoin, packing, quality, substrings
 from lodestar.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,5 +42,9 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_bpe, op5_packing, op7_substrings, op8_ngram_join,)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_bpe, op5_packing, op7_substrings, op8_ngram_join, op9_quality,)}
 ORACLE: dict[str, str] = {}
