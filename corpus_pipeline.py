@@ -5,19 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import packing
+from lodestar.llm import langid, ngramjoin, packing, quality, substrings
 from lodestar.llm.queries import vocabulary_file
 from lodestar.llm.tables import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language that can be told (no letters, or no text) go."""
+    found = langid.predict(docs, langid.train(docs))
+    return found.where("lang_pred <> 'und'").select(docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    failed = quality.judge(docs).where("not kept").select("doc_id")
+    return docs.join(failed.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by 5-word n-grams at a Jaccard similarity of 0.8 the document of smallest id stays."""
+    found = ngramjoin.join(docs, k=5, num=4, den=5)
+    copies = found.where("component_id <> doc_id").select("doc_id")
+    return docs.join(copies.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand earlier go from the text; n_chars follows."""
+    cut = substrings.dedup(docs, window=50).where("n_removed > 0").select("doc_id", F.col("text").alias("left_text"))
+    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("left_text", "text"))
+    return joined.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
     return packing.pack(docs, vocabulary_file("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("language", identify), ("quality", rules), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", pack)]
+#: Tokenizing, learned decisions and connected components are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, langid, ngramjoin, packing, quality, substrings, urlfilter, warc
+from lodestar.llm import ann, bpe, langid, licenses, ngramjoin, packing, quality, substrings, urlfilter, warc
 from lodestar.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,16 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_bpe, op3_warc, op5_packing, op6_url_filter, op7_substrings, op8_ngram_join, op9_quality, op10_neighbours,)}
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: each source is a tree of directories of 1000 and 100 ids, in which an id that 50 divides is
+    a licence file."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), name)
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_bpe, op3_warc, op4_licenses, op5_packing, op6_url_filter, op7_substrings, op8_ngram_join, op9_quality, op10_neighbours,)}
 URL_SQL = """
 WITH cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
