@@ -56,8 +56,8 @@ def heaviest(weights: dict[str, float], least: float) -> list[str]:
 
 
 def directory(path: Column) -> Column:
-    """Up to the last slash, without it; empty at the root."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    """Up to the last slash, without it; empty at the root, null for a null path."""
+    return F.when(path.isNull(), F.lit(None).cast("string")).when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
 def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, path_col: str = "path", id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
