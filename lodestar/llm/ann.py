@@ -176,7 +176,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     few = written(own.join(counts.withColumnRenamed("query_id", "id"), "id", "left").where(F.coalesce("n", F.lit(0)) < k).select("id", "vec"))
     if rows > 1 and not few.isEmpty():
         cells = [r["cell"] for r in index.where("tab = 0").select("cell").distinct().collect()]  # cells of one table: bounded by BASE, HASHES and the unit length
-        everywhere = few.withColumn("tab", F.lit(0)).withColumn("cell", F.explode(F.array(*[F.lit(c) for c in cells]))).select("tab", "cell", "id", "vec")
+        known = F.array(*[F.lit(c) for c in cells])
+        everywhere = few.withColumn("tab", F.lit(0)).withColumn("cell", F.explode(F.filter(known, lambda c: F.floor(c / BASE**HASHES) == F.size("vec")))).select("tab", "cell", "id", "vec")
         found = found.unionByName(merged(parted.where("tab = 0"), ask(everywhere), k, bins)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
