@@ -106,21 +106,5 @@ def index_stats(symbols: DataFrame) -> DataFrame:
     return out
 
 
-#: What each language adds to a symbol's relevance: (condition as SQL, amount).
-LANGUAGE_BOOSTS = {
-    "rust": (("name = 'new'", 0.2), ("name like 'test_%'", -0.3), ("detail like 'pub %'", 0.3)),
-    "go": (("name rlike '^[A-Z]'", 0.3), ("name like 'Test%'", -0.3), ("name = 'main'", 0.2)),
-    "python": (("name like '\\_%'", -0.3), ("name = '__init__'", 0.2), ("name like 'test_%'", -0.3)),
-    "typescript": (("detail like 'export %'", 0.3), ("name like '%.test'", -0.3), ("kind = 'Interface'", 0.1)),
-}
-
-
-def language_relevance(language: str) -> Column:
-    out = F.lit(1.0)
-    for condition, amount in LANGUAGE_BOOSTS.get(language, ()):
-        out = out + F.when(F.expr(condition), amount).otherwise(0.0)
-    return F.round(out, 4)
-
-
 def typo_limit(size: int) -> int:
     return math.floor(0.3 * size)

@@ -140,20 +140,41 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: i
     return out.join(ends.select(F.col("id").alias("node")), "node", "left_semi").select("start", "node", "path")
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """component, node: strongly connected components of two nodes or more; component is the smallest id.
-
-    Nodes without an edge in or out are trimmed first, round by round; then two nodes belong together if each reaches
-    the other.
-    """
-    left = materialized(turned(edges, "forward").where("a <> b"))
+def trimmed(steps: DataFrame) -> DataFrame:
+    """Steps (a, b) between nodes that have steps in and out, round by round; no other can be on a cycle."""
+    left = materialized(steps)
     while True:
         kept = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
         kept = materialized(kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
         if kept.count() == left.count():
-            break
+            return kept
         left = kept
-    nodes = left.select(F.col("a").alias("id")).distinct()
-    pairs = materialized(reach(left.select(F.col("a").alias("src_id"), F.col("b").alias("dst_id")), nodes).select("start", "node"))
-    both = pairs.join(pairs.select(F.col("start").alias("node"), F.col("node").alias("start")), ["start", "node"])
-    return both.groupBy(F.col("start").alias("node")).agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x or m <> node").select(F.least("m", "node").alias("component"), "node")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """component, node: strongly connected components of two nodes or more; component is the smallest id.
+
+    By colours: every node takes the largest id that reaches it, until nothing changes; what reaches a colour's own node
+    within the colour is that node's component. Components found are taken out and the rest goes round again. Rounds
+    carry one row a node, so no pairs of nodes are made.
+    """
+    left = trimmed(turned(edges, "forward").where("a <> b"))
+    out = None
+    while not left.isEmpty():
+        colours = materialized(left.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")))
+        while True:
+            sent = left.join(colours.select(F.col("id").alias("a"), "c"), "a").select(F.col("b").alias("id"), "c")
+            grown = materialized(colours.select("id", "c", F.lit(1).alias("own")).unionByName(sent.withColumn("own", F.lit(0))).groupBy("id").agg(F.max("c").alias("c"), F.max(F.when(F.col("own") == 1, F.col("c"))).alias("old")))
+            done = grown.where("c <> old").isEmpty()
+            colours = grown.select("id", "c")
+            if done:
+                break
+        inside = left.join(colours.select(F.col("id").alias("a"), F.col("c").alias("x")), "a").join(colours.select(F.col("id").alias("b"), F.col("c").alias("y")), "b").where("x = y").select(F.col("a").alias("src_id"), F.col("b").alias("dst_id"))
+        found = materialized(closure(inside, colours.where("id = c").select("id"), "backward"))
+        own = materialized(colours.join(found, "id", "left_semi"))
+        sizes = own.groupBy("c").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = own.join(sizes, "c").select("component", F.col("id").alias("node"))
+        out = members if out is None else out.unionByName(members)
+        gone = own.select("id")
+        left = trimmed(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+    return out if out is not None else left.select(F.col("a").alias("component"), F.col("b").alias("node"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import names, source
+from lodestar.functions import languages, names, source
 from lodestar.operators import analytics, filters, match, navigate, search, traverse
 from lodestar.schema import Graph
 from lodestar.sources import formats
@@ -290,9 +290,16 @@ def ngram_stats(spark, sf):
     return search.index_stats(graph(spark, sf, "Import").symbols.where("kind = 'Function'"))
 
 
-@query("SELECT id, round(1.0 + CASE WHEN regexp_matches(name, '^[A-Z]') THEN 0.3 ELSE 0 END, 4)::DOUBLE AS relevance FROM symbols WHERE kind IN ('Function', 'Class')", cte=SYMBOLS_SQL)
+@query("SELECT id, round(1.0 + CASE WHEN name = 'smallRing' THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(name, '^[A-Z]') THEN 0.5 ELSE 0 END, 4)::DOUBLE AS go, round(1.5 + CASE WHEN name = 'smallRing' THEN 2.0 ELSE 0 END - CASE WHEN contains(file_path, 'test_') THEN 0.5 ELSE 0 END, 4)::DOUBLE AS python FROM symbols WHERE kind IN ('Function', 'Class')", cte=SYMBOLS_SQL)
 def language_relevance(spark, sf):
-    return graph(spark, sf, "Import").symbols.where("kind in ('Function', 'Class')").select("id", search.language_relevance("go").alias("relevance"))
+    s = graph(spark, sf, "Import").symbols.where("kind in ('Function', 'Class')")
+    return s.select("id", *[languages.relevance(x, "smallRing").alias(x) for x in ("go", "python")])
+
+
+@query("SELECT id, 'use cat::' || split_part(file_path, '/', 2) || '::' || name || ';' AS rust, 'from cat.' || split_part(file_path, '/', 2) || ' import ' || name AS python, 'import \"cat\"' AS go, 'import { ' || name || ' } from ' || chr(39) || '../' || file_path || chr(39) || ';' AS typescript, split_part(file_path, '/', 2) AS scope FROM symbols WHERE kind = 'Function'", cte=SYMBOLS_SQL)
+def import_statements(spark, sf):
+    s = graph(spark, sf, "Import").symbols.where("kind = 'Function'")
+    return s.select("id", *[languages.import_statement(x, "lib/a.ts").alias(x) for x in ("rust", "python", "go", "typescript")], languages.parent_scope("rust").alias("scope"))
 
 
 # Aggregates and rankings.

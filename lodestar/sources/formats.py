@@ -153,3 +153,26 @@ def tree_text(rows: list[tuple[str, str | None]], root: str) -> str:
 
     draw(root, "")
     return "\n".join(out)
+
+
+def matches_text(matches: DataFrame, symbols: DataFrame, most: int = 1000) -> str:
+    """The first `most` bindings (by id) as text; a caller that wants all of many reads the rows instead."""
+    names = matches.columns
+    rows = matches.orderBy(*names).limit(most)
+    shown = symbols.select("id", "name", "kind")
+    for c in names:
+        rows = rows.join(shown.select(F.col("id").alias(c), F.concat("name", F.lit(" ("), "kind", F.lit(")")).alias(f"__{c}")), c)
+    found = rows.orderBy(*names).collect()
+    out = [f"Found {len(found)} matches", ""]
+    for i, r in enumerate(found):
+        out += [f"Match {i + 1}:", "  Bindings:", *[f"    {c}: {r[f'__{c}']}" for c in names], ""]
+    return "\n".join(out)
+
+
+def relations_report(relations: DataFrame, symbols: DataFrame, most: int = 5) -> DataFrame:
+    """root_id, bucket, n, first: each bucket's size and its first names. relations: root_id, bucket, symbol_id."""
+    named = relations.join(symbols.select(F.col("id").alias("symbol_id"), "name"), "symbol_id")
+    rank = F.row_number().over(Window.partitionBy("root_id", "bucket").orderBy("name", "symbol_id"))
+    sizes = relations.groupBy("root_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    first = named.withColumn("r", rank).where(F.col("r") <= most).groupBy("root_id", "bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("first"))
+    return sizes.join(first, ["root_id", "bucket"], "left")

@@ -106,3 +106,28 @@ def test_stream_of_updates(spark, tmp_path):
     assert sorted(r["id"] for r in out.symbols.collect()) == ["a2", "b", "c"] and rows(out.edges) == [("b", "c", "Reference")]
     assert sorted(r["id"] for r in incremental.update_files(g, out.symbols.where("id = 'a2'")).symbols.collect()) == ["a2", "b", "c"]
     assert one(spark, "x").count() == 1
+
+
+def test_languages_rules(spark):
+    from lodestar.functions import languages as L
+
+    g = build(spark, {"a": ("Function", "test_it", "src/net/mod.rs", "impl Foo for Bar"), "b": ("Function", "Serve", "/go/src/github.com/x/y/z.go", "func (s *Server) Serve()"), "c": ("Class", "K", "pkg/sub/mod.py", "class Base: pass"), "d": ("Function", "load", "web/lib/load.ts", "export default function")}, [("a", "Reference", "b")])
+    one_of = lambda i, c: g.symbols.where(f"id = '{i}'").select(c.alias("x")).first()["x"]
+    assert one_of("a", L.is_test("rust")) and one_of("a", L.parent_scope("rust")) == "Foo" and one_of("a", L.import_statement("rust")) == "use net::mod::test_it;"
+    assert one_of("b", L.is_public("go")) and one_of("b", L.parent_scope("go")) == "Server" and one_of("b", L.import_statement("go")) == 'import "github.com/x/y"' and one_of("b", L.doc_url("go")) == "https://pkg.go.dev/github.com/x/y"
+    assert one_of("c", L.parent_scope("python")) == "Base" and one_of("c", L.import_statement("python")) == "from pkg.sub.mod import K" and one_of("c", L.relevance("python", "K")) == 3.5
+    assert one_of("d", L.import_statement("typescript", "web/app/main.ts")) == "import load from '../lib/load';" and one_of("d", L.import_statement("typescript", "web/lib/x.ts")) == "import load from './load';"
+    q = L.parse_query("rust", "pub fn net::serve")
+    assert (q.name, q.kind, q.modifiers, q.scope) == ("serve", "Function", ["pub"], "net")
+    kinds = spark.createDataFrame([(6, ["INDEX_NEW", "WT_DELETED"]), (99, [])], "k int, f array<string>").select(L.kind_of_server(F.col("k")).alias("k"), L.status_of(F.col("f")).alias("s"))
+    assert rows(kinds) == [("Method", "Deleted"), ("Variable", "Untracked")]
+    low, high = (g.symbols.where(f"id in ({x})") for x in ("'a', 'b'", "'a'"))
+    assert rows(L.first_successful([(1, low), (9, high.withColumn("name", F.lit("n")))]).select("id", "name")) == [("a", "n"), ("b", "Serve")]
+    tree = '{"name":"A","kind":5,"range":{"start":{"line":0,"character":0},"end":{"line":9,"character":0}},"children":[{"name":"m","kind":6,"range":{"start":{"line":1,"character":2},"end":{"line":2,"character":0}},"children":[]}]}'
+    symbols, edges = L.flattened(spark.createDataFrame([("p.rs", tree)], "path string, root string"), 3)
+    assert rows(symbols.select("id", "kind")) == [("p.rs#0:A", "Class"), ("p.rs#1:m", "Method")] and rows(edges) == [("p.rs#0:A", "p.rs#1:m", "Contains")]
+    uses = spark.createDataFrame([("f", "d1", 1, True), ("f", "d2", 5, True), ("f", "u", 7, False), ("g", "v", 8, False)], "name string, id string, place int, is_definition boolean")
+    assert rows(L.definitions_and_references(uses)) == [("u", "d2", "Reference")]
+    assert "Found 1 matches" in formats.matches_text(spark.createDataFrame([("a", "b")], "x string, y string"), g.symbols)
+    rel = spark.createDataFrame([("r", "users", i) for i in "abcd"], "root_id string, bucket string, symbol_id string")
+    assert rows(formats.relations_report(rel, g.symbols, 2)) == [("r", "users", 4, "K, Serve")]
