@@ -3,7 +3,8 @@
 A passage is a window of `window` consecutive words of one text. A window is removed if the same words also start
 earlier (in a text of smaller id, or before in the same text); every word of it goes.
 
-Texts are dealt into segments: ranges of ids, each small enough for one task. Fixed-block anchors find the windows
+Texts are dealt into segments: ranges of ids, each small enough for one task. The driver holds CUTS quantiles of the ids
+at most; between two of them the ranges are of equal width. Fixed-block anchors find the windows
 that can repeat at all. A repeat of `window` words holds a whole block of window // 2 words that stands at a multiple
 of that length in the other text, so these non-overlapping blocks are the index and every rolling window of their
 length probes it. A segment sends each of its distinct hashes once, with a bit that says whether it is of a block;
@@ -28,24 +29,33 @@ from lodestar.llm.tables import partitions
 from lodestar.llm.words import Words
 
 U = np.uint64
-HASH_BITS = 31
+HASH_BITS, CUTS = 31, 1000
 BLOBS = "seg int, bucket int, blob binary"
 
 
-def bounds(df: DataFrame, segment_bytes: int) -> tuple[list, int, int]:
-    """Ids that part the rows into segments of about that many bytes of text, the number of segments, and the bytes."""
+def bounds(df: DataFrame, segment_bytes: int | None) -> tuple[list[int], int, int, int]:
+    """At most CUTS ids that part the rows evenly, into how many segments each part is divided, the number of segments,
+    and the bytes of text."""
     total = df.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = max(2 * partitions(df.sparkSession), math.ceil(total / segment_bytes))
-    cuts = df.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if total else []
-    return sorted({int(c) for c in cuts}), n, total
+    # Segments and buckets both grow with the root of the input, so that what a segment sends to a bucket stays large.
+    size = segment_bytes or min(64_000_000, max(4_000_000, int(6.4 * math.sqrt(total))))
+    n = max(2 * partitions(df.sparkSession), math.ceil(total / size))
+    parts = min(n, CUTS)
+    cuts = df.approxQuantile("doc_id", [k / parts for k in range(parts)], 0.2 / parts) if total else []
+    return sorted({int(c) for c in cuts}), math.ceil(n / parts), n, total
 
 
-def segment_of(c: Column, cuts: list[int]) -> Column:
-    """How many cuts are at most the id, by halving; null ids come first."""
+def segment_of(c: Column, cuts: list[int], each: int) -> Column:
+    """The part that the id is in, by halving, and its place in the part by its share of the way to the next cut; null
+    ids and those below the first cut come first."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            first, last = (cuts[lo - 1], cuts[lo]) if 0 < lo < len(cuts) else (0, 0)
+            if each == 1 or last - first < 2:
+                return F.lit(lo * each)
+            width = math.ceil((last - first) / each)
+            return F.lit(lo * each) + F.floor((c - first) / width)
         mid = (lo + hi) // 2
         return F.when(c >= cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
@@ -145,18 +155,20 @@ def not_first(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 4_000_000, bucket_words: int = 1_000_000) -> DataFrame:
+def dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int | None = None, bucket_words: int | None = None) -> DataFrame:
     """One row per row: id_col, n_words, n_removed and text, the kept words joined by one space.
 
     A null or empty text has no words and an empty kept text. Ids should be unique; rows of equal id count as ordered
     by their text, null ids stand first, and each row keeps its own result. Other columns are left out. An empty table
-    gives no rows. segment_bytes bounds what one task holds of the texts; bucket_words aims at the hashes of a bucket.
+    gives no rows. segment_bytes is about what one task holds of the texts, bucket_words about the hashes of a bucket;
+    by default both grow with the root of the input, from 4 MB and a million to 64 MB and 32 millions.
     """
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cuts, n, total = bounds(source, segment_bytes)
-    bits = max(3, math.ceil(math.log2(max(1, total / 6 / bucket_words))))
+    cuts, each, n, total = bounds(source, segment_bytes)
+    words = bucket_words or min(32_000_000, max(1_000_000, int(3.2 * math.sqrt(total))))
+    bits = max(3, math.ceil(math.log2(max(1, total / 6 / words))))
     parts = max(partitions(df.sparkSession), min(n, 20_000))
-    dealt = source.withColumn("seg", segment_of(F.col("doc_id"), cuts).cast("int")).repartition(parts, "seg")
+    dealt = source.withColumn("seg", segment_of(F.col("doc_id"), cuts, each).cast("int")).repartition(parts, "seg")
 
     def send(t: pa.Table) -> pa.Table:
         return blobs(t.column("seg")[0].as_py(), *Segment(t, window, bits).anchors())

@@ -359,3 +359,11 @@ def test_neighbours(spark):
     few = df.where("vec_id < 4")
     assert Counter(r["query_id"] for r in ann.search(few, few).collect()) == {0: 3, 1: 3, 2: 3, 3: 3}
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_segments_are_in_the_order_of_ids(spark):
+    for each in (1, 4):
+        df = spark.createDataFrame([(i,) for i in [None, *range(-50, 400, 3), 10**12]], "doc_id long")
+        rows = df.select("doc_id", substrings.segment_of(F.col("doc_id"), [0, 1, 30, 200], each).alias("s")).orderBy(F.asc_nulls_first("doc_id")).collect()
+        segs = [r["s"] for r in rows]
+        assert segs == sorted(segs) and len(set(segs)) >= 5 * (1 if each == 1 else 2) - 1
