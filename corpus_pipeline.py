@@ -1,4 +1,7 @@
-"""A corpus pipeline over `documents`: STAGES are applied one after another, each to all that the last one kept."""
+"""A corpus pipeline over `documents`: STAGES are applied one after another, each to all that the last one kept.
+
+Decisions go by doc_id. Rows without one can't be told apart: after the language stage they stay as they are.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group linked by 5-word n-grams at a Jaccard similarity of 0.8 the document of smallest id stays."""
     found = ngramjoin.join(docs, k=5, num=4, den=5)
     copies = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(copies.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = docs.join(copies.distinct(), "doc_id", "left_anti").withColumn("__same", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "__same"]).select(docs.columns)  # rows that repeat a document go as well
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
