@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS, ORDERS = 13, (1, 2, 3)
-#: At most this many labelled rows of each language are fitted on, the ones of smallest id hash.
+#: At most this many labelled rows of each language are fitted on, ones of small id hash.
 ROWS_PER_LANGUAGE = 500
 #: Family by ISO 639-1 code; a language that isn't here is a family of its own.
 FAMILIES = {
@@ -139,7 +139,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """Fits on at most rows_per_language labelled rows of each language that aren't held out."""
     c = F.col(id_col)
     rows = df.where(F.col(label_col).isNotNull() & c.isNotNull() & F.col(text_col).isNotNull() & ~held_out(c)).select(F.xxhash64(c.cast("string")).alias("h"), c.cast("string").alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y"))
-    chosen = rows.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "i", F.xxhash64("t")))).where(F.col("k") <= rows_per_language)
+    # Only rows of small hash can be among the chosen ones: about four times as many as are wanted, however many there are.
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    if not counts:
+        return fit([])
+    share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, 4 * rows_per_language / n))])
+    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("y")] * (1 << 30))
+    order = ["h", "i", F.xxhash64("t")]
+    chosen = rows.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy(*order))).where(F.col("k") <= rows_per_language)
     return fit([(r["t"], r["y"]) for r in chosen.select("t", "y", "h", "i").orderBy("y", "h", "i").collect()])  # bounded by the parameter
 
 
