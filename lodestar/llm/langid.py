@@ -61,17 +61,23 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, np.sqrt(count[at] / count[at].sum())
 
 
-def fit_pair(x: np.ndarray, y: np.ndarray, c: float = 4.0, rounds: int = 30) -> np.ndarray:
-    """Weights (the last one is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    size = (x * x).sum(axis=1) + 0.5 / c
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def fit_pair(rows: list[Row], y: np.ndarray, c: float = 4.0, rounds: int = 30) -> np.ndarray:
+    """Weights (the last one is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent over rows
+    of places and values."""
+    w, alpha = np.zeros((1 << BITS) + 1), np.zeros(len(rows))
+    size = np.array([v @ v for _, v in rows]) + 1 + 0.5 / c
     order = np.random.default_rng(7)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            step = max(-alpha[i], (1 - y[i] * (x[i] @ w) - alpha[i] * 0.5 / c) / size[i])
-            alpha[i] += step
-            w += step * y[i] * x[i]
+        for i in order.permutation(len(rows)).tolist():
+            at, values = rows[i]
+            step = max(-alpha[i], (1 - y[i] * (w[at] @ values + w[-1]) - alpha[i] * 0.5 / c) / size[i])
+            if step:
+                alpha[i] += step
+                w[at] += step * y[i] * values
+                w[-1] += step * y[i]
     return w
 
 
@@ -83,10 +89,12 @@ class Choice:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, (1 << BITS) + 1)))
 
     @classmethod
-    def fit(cls, x: np.ndarray, names: np.ndarray) -> Choice:
-        own = sorted(set(names.tolist()))
-        rows = [fit_pair(x[(names == a) | (names == b)], np.where(names[(names == a) | (names == b)] == a, 1.0, -1.0)) for a, b in combinations(own, 2)]
-        return cls(own, np.array(rows)) if rows else cls(own)
+    def fit(cls, rows: list[Row], names: list[str]) -> Choice:
+        own, weights = sorted(set(names)), []
+        for a, b in combinations(own, 2):
+            some = [i for i, n in enumerate(names) if n in (a, b)]
+            weights.append(fit_pair([rows[i] for i in some], np.array([1.0 if names[i] == a else -1.0 for i in some])))
+        return cls(own, np.array(weights)) if weights else cls(own)
 
     def best(self, at: np.ndarray, values: np.ndarray) -> tuple[str, float]:
         """The name with most wins (then the largest sum of margins, then the first), and its least sure win, 0 to 1."""
@@ -119,16 +127,13 @@ class Model:
 
 def fit(sample: list[tuple[str | None, str]]) -> Model:
     """A model from (text, language) rows; without rows with letters it says `und` of everything."""
-    rows = [(features(t), y) for t, y in sample]
-    rows = [(f, y) for f, y in rows if len(f[0])]
+    found = [(features(t), y) for t, y in sample]
+    rows, labels = [f for f, _ in found if len(f[0])], [y for f, y in found if len(f[0])]
     if not rows:
         return Model(Choice([]), {})
-    x = np.zeros((len(rows), 1 << BITS))
-    for i, ((at, values), _) in enumerate(rows):
-        x[i, at] = values
-    y = np.array([y for _, y in rows], object)
-    families = np.array([FAMILY.get(v, v) for v in y], object)
-    return Model(Choice.fit(x, families), {f: Choice.fit(x[families == f], y[families == f]) for f in set(families.tolist())})
+    families = [FAMILY.get(y, y) for y in labels]
+    own = {f: [i for i, x in enumerate(families) if x == f] for f in sorted(set(families))}
+    return Model(Choice.fit(rows, families), {f: Choice.fit([rows[i] for i in at], [labels[i] for i in at]) for f, at in own.items()})
 
 
 def held_out(c: Column) -> Column:
