@@ -3,7 +3,8 @@
 Base rules count words, symbols, repeated lines and repeated 8-word windows. The method's verdict compares two
 histograms of a text with its language's reference, by Jensen-Shannon distance (base 2, 0 to 1): of character classes
 and of common words. References are sums over all texts of a language. A histogram of too few characters or words
-isn't judged.
+isn't judged. A text without a single common word has a distance that depends on its language's reference alone, so a
+text that lacks them is held against a share of that distance.
 """
 
 from __future__ import annotations
@@ -92,13 +93,17 @@ def judge(
     max_char_distance: float = 0.28,
     min_judged_words: int = 60,
     max_word_distance: float = 0.45,
+    max_lack_share: float = 0.7,
+    min_common_share: float = 0.4,
 ) -> DataFrame:
     """One row per row: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
     word_distance, kept.
 
     A null text counts as empty: all counts are 0 and the base rules fail. A row of null or unknown language is held
     against the reference of all such rows. Distances of texts below min_chars or min_judged_words are null and don't
-    count. Rows of one id are judged one by one. Other columns are left out. An empty table gives no rows.
+    count. A text fails by its words if their distance is above max_word_distance, or if it is above max_lack_share of the
+    distance of a text without common words while its share of common words is below min_common_share of the
+    reference's; the second condition keeps short texts, whose distance is large by chance. Rows of one id are judged one by one. Other columns are left out. An empty table gives no rows.
     """
     found = written(measures(df, id_col, text_col, lang_col))
     own = found.join(F.broadcast(references(found)), "lang", "left")  # one row for each key of COMMON_WORDS, and one
@@ -109,8 +114,11 @@ def judge(
     seen = F.aggregate("counts", F.lit(0.0), lambda s, c: s + term(share(c.n, n), F.coalesce(F.col("q_words")[c.word], F.lit(0.0))) - F.coalesce(F.col("q_words")[c.word], F.lit(0.0)) / 2)
     unseen = F.aggregate(F.map_values("q_words"), F.lit(0.0), lambda s, q: s + q) / 2
     words = seen + unseen + term(share(n - F.col("n_common"), n), F.col("q_other"))
+    none = unseen + term(F.lit(1.0), F.col("q_other"))
     distance = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
     out = own.withColumn("char_distance", F.when(total >= min_chars, distance(chars))).withColumn("word_distance", F.when(n >= min_judged_words, distance(words)))
     out = out.withColumn("base_failed", (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * n))
-    kept = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
+    word_distance = F.coalesce("word_distance", F.lit(0.0))
+    lacks = (word_distance > max_lack_share * distance(none)) & (share(F.col("n_common"), n) < min_common_share * (1 - F.col("q_other")))
+    kept = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (word_distance <= max_word_distance) & ~lacks
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", kept.alias("kept"))

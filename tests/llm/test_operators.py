@@ -337,6 +337,17 @@ def test_quality(spark, docs, none, texts):
     assert quality.judge(none).count() == 0
 
 
+def test_quality_of_texts_that_lack_common_words(spark):
+    rnd = random.Random(9)
+    prose = lambda n, share: " ".join(rnd.choice(quality.COMMON_WORDS["en"]) if rnd.random() < share else "".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    junk = {1000: prose(100, 0), 1001: prose(400, 0.04)}  # the same letters as the rest: characters say nothing
+    rows = [(i, prose(rnd.randint(60, 400), 0.22), "en") for i in range(100)] + [(i, t, "en") for i, t in junk.items()] + [(2000, prose(30, 0), "en")]
+    found = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert {i for i, r in found.items() if not r["kept"]} == set(junk)
+    for i in junk:
+        assert not found[i]["base_failed"] and found[i]["char_distance"] < 0.28 and found[i]["word_distance"] < 0.45
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 16)).astype(np.float32)
