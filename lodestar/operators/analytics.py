@@ -58,16 +58,16 @@ def cyclomatic(g: Graph, roots: DataFrame) -> DataFrame:
     return out.groupBy(F.col("start").alias("id")).agg((F.greatest(F.lit(0), F.sum(F.coalesce("k", F.lit(0))) - F.count(F.lit(1))) + 2).alias("cyclomatic"))
 
 
-def nesting(g: Graph, roots: DataFrame, most: int = 50) -> DataFrame:
+def nesting(g: Graph, roots: DataFrame) -> DataFrame:
     """id, depth: the longest simple path by Contains."""
-    found = traverse.paths(g.of_kind("Contains"), roots, most).groupBy(F.col("start").alias("id")).agg(F.max(F.size("path") - 1).cast("long").alias("depth"))
+    found = traverse.paths(g.of_kind("Contains"), roots).groupBy(F.col("start").alias("id")).agg(F.max(F.size("path") - 1).cast("long").alias("depth"))
     return roots.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
-def cognitive(g: Graph, roots: DataFrame, most: int = 50) -> DataFrame:
+def cognitive(g: Graph, roots: DataFrame) -> DataFrame:
     """id, cognitive: in the order of a walk down Contains by id, a node with b > 1 outgoing Reference or Definition
     edges adds (b - 1) * (1 + the functions and methods met before it)."""
-    walk = traverse.paths(g.of_kind("Contains").distinct(), roots, most).unionByName(roots.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")).distinct())
+    walk = traverse.paths(g.of_kind("Contains").distinct(), roots).unionByName(roots.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")).distinct())
     branches = g.of_kind("Reference", "Definition").groupBy(F.col("src_id").alias("node")).agg(F.count(F.lit(1)).alias("b"))
     kinds = g.symbols.select(F.col("id").alias("node"), F.col("kind").isin("Function", "Method").cast("int").alias("f"))
     rows = walk.join(branches, "node", "left").join(kinds, "node")

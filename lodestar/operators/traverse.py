@@ -65,12 +65,14 @@ def closure(edges: DataFrame, starts: DataFrame, direction: str = "forward") ->
         levels = [materialized(seen), frontier] if len(levels) > 12 else [*levels, frontier]
 
 
-def paths(edges: DataFrame, starts: DataFrame, most: int, ends: DataFrame | None = None) -> DataFrame:
-    """start, node, path: the simple paths of 1 to `most` edges; with `ends` (column id) those that stop at the first end."""
+def paths(edges: DataFrame, starts: DataFrame, most: int | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """start, node, path: the simple paths of 1 to `most` edges (None: of any length); with `ends` (column id) those that stop at the first end."""
     steps = materialized(edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")))
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"))
-    out = None
-    for _ in range(most):
+    out = [frontier.limit(0)]
+    depth = 0
+    while most is None or depth < most:
+        depth += 1
         grown = frontier.withColumnRenamed("node", "a").join(steps, "a").where(~F.expr("array_contains(path, b)"))
         frontier = materialized(grown.select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path")))
         if frontier.isEmpty():
@@ -80,8 +82,8 @@ def paths(edges: DataFrame, starts: DataFrame, most: int, ends: DataFrame | None
             stop = ends.select(F.col("id").alias("node")).distinct()
             level = frontier.join(stop, "node", "left_semi")
             frontier = frontier.join(stop, "node", "left_anti")
-        out = level if out is None else out.unionByName(level)
-    return out.select("start", "node", "path") if out is not None else frontier.limit(0).select("start", "node", "path")
+        out = shortened([*out, level])
+    return united(out).select("start", "node", "path")
 
 
 def successors(edges: DataFrame) -> DataFrame:
@@ -89,55 +91,70 @@ def successors(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src_id").alias("a")).agg(F.min("dst_id").alias("b"))
 
 
-def chains(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
-    """start, chain, has_cycle: along each node's first successor to the end, or up to a node met before."""
-    steps = materialized(successors(edges))
-    open_ = materialized(starts.select(F.col("id").alias("start"), F.array("id").alias("chain")))
-    done = None
-    for _ in range(most):
-        if open_.isEmpty():
-            break
+def united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def shortened(tables: list[DataFrame]) -> list[DataFrame]:
+    """The tables, merged into one where they are many, so that the plan stays small."""
+    return [materialized(united(tables))] if len(tables) > 12 else tables
+
+
+def chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, chain, has_cycle: along each node's first successor to the end, or up to a node met before.
+
+    By pointer doubling: as many rounds as the longest chain's length has bits. Starts that run into a cycle have no end
+    to double to and are walked node by node.
+    """
+    jump = materialized(successors(edges))
+    n = jump.count()
+    jumps = []
+    while not jump.isEmpty() and 1 << len(jumps) <= n:  # jumps[k] goes 2^k nodes on; beyond n nodes only cycles are left
+        jumps.append(jump)
+        jump = materialized(jump.withColumnRenamed("b", "m").join(jump.select(F.col("a").alias("m"), "b"), "m").select("a", "b"))
+    first = materialized(starts.select(F.col("id").alias("start")))
+    steps = jumps[0] if jumps else jump
+    endless = materialized(first.distinct().join(jump.select(F.col("a").alias("start")), "start", "left_semi"))
+    links = materialized(first.distinct().join(endless, "start", "left_anti").select("start", F.lit(0).cast("long").alias("i"), F.col("start").alias("node")))
+    for k in reversed(range(len(jumps))):
+        on = links.join(jumps[k].withColumnRenamed("a", "node"), "node").select("start", (F.col("i") + (1 << k)).alias("i"), F.col("b").alias("node"))
+        links = materialized(links.unionByName(on))
+    straight = links.groupBy("start").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "node"))), lambda x: x.node).alias("chain")).select("start", "chain", F.lit(False).alias("has_cycle"))
+    found = straight.unionByName(walked(steps, endless)).withColumnRenamed("start", "s")
+    return first.join(found, F.col("start").eqNullSafe(F.col("s"))).select("start", "chain", "has_cycle")
+
+
+def walked(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, chain, has_cycle: every walk by steps (a, b) from each start (column start), node by node, to its end or up to a node met before."""
+    open_ = materialized(starts.select("start", F.array("start").alias("chain")))
+    done = [open_.limit(0).withColumn("has_cycle", F.lit(False))]
+    while not open_.isEmpty():
         grown = materialized(open_.join(steps, F.element_at("chain", -1) == F.col("a"), "left").withColumn("loops", F.col("b").isNotNull() & F.expr("array_contains(chain, b)")))
-        ended = grown.where("b is null or loops").select("start", "chain", F.col("loops").alias("has_cycle"))
-        done = ended if done is None else done.unionByName(ended)
+        done = shortened([*done, grown.where("b is null or loops").select("start", "chain", F.col("loops").alias("has_cycle"))])
         open_ = grown.where("b is not null and not loops").select("start", F.concat("chain", F.array("b")).alias("chain"))
-    return done if done is not None else open_.limit(0).select("start", "chain", F.lit(False).alias("has_cycle"))
+    return united(done)
 
 
-def all_chains(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
+def all_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, chain, has_cycle: every maximal path; one that would come back to itself ends there."""
     steps = materialized(edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).distinct())
-    open_ = materialized(starts.select(F.col("id").alias("start"), F.array("id").alias("chain")))
-    done = None
-    for _ in range(most):
-        if open_.isEmpty():
-            break
-        grown = materialized(open_.join(steps, F.element_at("chain", -1) == F.col("a"), "left").withColumn("loops", F.col("b").isNotNull() & F.expr("array_contains(chain, b)")))
-        ended = grown.where("b is null or loops").select("start", "chain", F.col("loops").alias("has_cycle"))
-        done = ended if done is None else done.unionByName(ended)
-        open_ = grown.where("b is not null and not loops").select("start", F.concat("chain", F.array("b")).alias("chain"))
-    empty = starts.limit(0).select(F.col("id").alias("start"), F.array("id").alias("chain"), F.lit(False).alias("has_cycle"))
-    return (done if done is not None else empty).distinct()
+    return walked(steps, starts.select(F.col("id").alias("start"))).distinct()
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int = 100) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
     """start, node, path: one shortest path for each pair, of equal ones the lexicographically first; a pair of one node has the path of it alone."""
     steps = materialized(turned(edges, "forward"))
     frontier = materialized(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")).distinct())
     levels = [frontier]
-    for _ in range(most):
+    while not frontier.isEmpty():
         grown = frontier.withColumnRenamed("node", "a").join(steps, "a").select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        seen = levels[0].select("start", "node")
-        for x in levels[1:]:
-            seen = seen.unionByName(x.select("start", "node"))
+        seen = united([x.select("start", "node") for x in levels])
         frontier = materialized(grown.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.join(ends.select(F.col("id").alias("node")), "node", "left_semi").select("start", "node", "path")
+        levels = shortened([*levels, frontier])
+    return united(levels).join(ends.select(F.col("id").alias("node")), "node", "left_semi").select("start", "node", "path")
 
 
 def trimmed(steps: DataFrame) -> DataFrame:

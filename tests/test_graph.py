@@ -96,6 +96,23 @@ def test_chains(spark):
     assert rows(traverse.chains(loop.of_kind("Definition"), one(spark, "a"))) == [("a", ["a", "b", "c"], True)] == rows(traverse.all_chains(loop.of_kind("Definition"), one(spark, "a")))
 
 
+def test_long_chains_end(spark):
+    n = 1300
+    line = [(f"n{i:04}", f"n{i + 1:04}") for i in range(n)]
+    tail = [("t0", "t1"), ("t1", "c0"), ("c0", "c1"), ("c1", "c2"), ("c2", "c0")]
+    e = spark.createDataFrame(line + tail, "src_id string, dst_id string")
+    names = [a for a, _ in line] + [line[-1][1]]
+    found = {r["start"]: r for r in traverse.chains(e, one(spark, "n0000", "n0007", names[-1], "t0", "c1", "x")).collect()}
+    assert all(found[names[i]]["chain"] == names[i:] and not found[names[i]]["has_cycle"] for i in (0, 7, n))
+    assert (found["t0"]["chain"], found["c1"]["chain"], found["x"]["chain"]) == (["t0", "t1", "c0", "c1", "c2"], ["c1", "c2", "c0"], ["x"])
+    assert found["t0"]["has_cycle"] and found["c1"]["has_cycle"] and not found["x"]["has_cycle"] and len(found) == 6
+
+
+def test_deep_nesting(spark):
+    g = build(spark, {f"n{i:02}": "Function" for i in range(56)}, [(f"n{i:02}", "Contains", f"n{i + 1:02}") for i in range(55)])
+    assert rows(analytics.nesting(g, one(spark, "n00"))) == [("n00", 55)]
+
+
 def test_paths_and_cycles(spark, ring):
     e = ring.of_kind("Reference")
     assert rows(traverse.reach(e, one(spark, "a"))) == [("a", "a", 3), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3)]
