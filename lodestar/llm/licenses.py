@@ -5,14 +5,21 @@ templates by cosine of TF-IDF vectors. Only the templates' terms have an inverse
 files; other terms weigh 1. A unit can reach the least score only if it holds one of a template's heaviest terms (those
 without which the rest of the template is too short a vector), so only such units are split into terms.
 
+A licence file's whole text is compared with the licences' full texts as well, with document frequencies of these texts;
+a tag SPDX-License-Identifier with one known identifier names its licence outright. Both go before notices, as a full
+text may quote one ("All rights reserved.").
+
 A file without a notice of its own has the licence of the nearest directory above it that has a licence file: distinct
 directories are expanded into their ancestors and joined by path.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +30,8 @@ from lodestar.llm.tables import written
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -32,8 +41,15 @@ TEMPLATES = [
     ("LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("LicenseRef-Proprietary", "All rights reserved."),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public"),
 ]
+#: Full texts by SPDX identifier: one file each.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Identifiers that SPDX has replaced.
+FORMER = {"gpl-2.0": "GPL-2.0-only", "gpl-3.0": "GPL-3.0-only", "lgpl-3.0": "LGPL-3.0-only"}
+TAG = r"spdx-license-identifier:[ \t]*([a-z0-9.+-]+)[ \t]*(?:\*/|-->)?[ \t\r]*(?:\n|$)"
 #: Names, without extension and in lower case, of files whose whole text is a licence.
 LICENSE_FILES = ("licence", "license", "copying", "notice", "unlicense")
 TERM = "[a-z0-9]+"
@@ -55,6 +71,47 @@ def heaviest(weights: dict[str, float], least: float) -> list[str]:
     return out
 
 
+@cache
+def full_texts() -> tuple[list[str], str]:
+    """The identifiers, and as JSON each term's inverse document frequency and its weights in the texts' unit vectors."""
+    count = {p.stem: terms_of(p.read_text()) for p in sorted(TEXTS.glob("*.txt"))}
+    vocabulary = sorted({t for own in count.values() for t in own})
+    idf = {t: math.log((1 + len(count)) / (1 + sum(t in own for own in count.values()))) + 1 for t in vocabulary}
+    length = {name: math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items())) for name, own in count.items()}
+    return list(count), json.dumps([{"term": t, "idf": idf[t], "ws": [own.get(t, 0) * idf[t] / length[name] for name, own in count.items()]} for t in vocabulary])
+
+
+def of_texts(source: DataFrame, least: float, allowed: list[str]) -> DataFrame:
+    """id, path, whole, best: licence files (rows with whole) whose text is the full text of an allowed licence."""
+    names, weights = full_texts()
+    if not set(names) & set(allowed):
+        return source.limit(0).select("id", "path", "whole", ranked(1, F.lit(0.0), 0, F.lit("")).alias("best"))
+    table = source.sparkSession.range(1).select(F.inline(F.from_json(F.lit(weights), "array<struct<term string, idf double, ws array<double>>>")))
+    units = source.where("whole").select("id", "path", "whole", F.xxhash64("text").alias("u"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    single = units.groupBy("id", "path", "whole", "u", "term").agg(F.count(F.lit(1)).alias("tf"))
+    scored = single.join(F.broadcast(table), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+    dots = [F.sum(F.col("w") * F.coalesce(F.col("ws")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(names))]
+    # Repeated rows multiply every term alike, so their cosines stay.
+    cosines = scored.groupBy("id", "path", "whole", "u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), *dots)
+    rows = F.array(*[ranked(1, F.round(F.col(f"d{i}") / F.col("length"), 9), i, F.lit(name)) for i, name in enumerate(names) if name in allowed])
+    return cosines.select("id", "path", "whole", F.array_max(rows).alias("best")).where(F.col("best.score") >= least)
+
+
+def of_tags(source: DataFrame, names: list[str]) -> DataFrame:
+    """id, path, whole, best: files with an SPDX tag of one of the names."""
+    known = {name.lower(): name for name in names} | {k: v for k, v in FORMER.items() if v in names}
+    tags = F.regexp_extract_all(F.lower("text"), F.lit(TAG), F.lit(1))
+    found = source.where(F.lower("text").contains("spdx-license-identifier:")).select("id", "path", "whole", F.explode(tags).alias("tag"))
+    named = found.select("id", "path", "whole", F.create_map(*[F.lit(x) for k, v in sorted(known.items()) for x in (k, v)])[F.col("tag")].alias("name")).where("name is not null")
+    order = F.array_position(F.array(*[F.lit(x) for x in sorted(set(known.values()))]), F.col("name"))
+    return named.select("id", "path", "whole", ranked(1, F.lit(1.0), order, F.col("name")).alias("best"))
+
+
+def ranked(rank: int, score: Column, order: int | Column, name: Column) -> Column:
+    """Of two the larger counts: by rank, score, then the smaller order."""
+    return F.struct(F.lit(rank).alias("rank"), score.alias("score"), (-(F.lit(order) if isinstance(order, int) else order)).cast("int").alias("order"), name.alias("name"))
+
+
 def directory(path: Column) -> Column:
     """Up to the last slash, without it; empty at the root, null for a null path."""
     return F.when(path.isNull(), F.lit(None).cast("string")).when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
@@ -64,39 +121,44 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, path_col:
     """One row per row: id_col, path, own_license, own_score, license, inherited_from.
 
     own_license is the template of largest cosine (of equal ones the first identifier) over the file's units if that is
-    at least `least`, else null with a null score. license is own_license, or that of the nearest directory above (its
+    at least `least`, else null with a null score; a licence file's full text and SPDX tags (score 1) go before notices. license is own_license, or that of the nearest directory above (its
     own included) with a licence file that has one; of several licence files in a directory the smallest path counts,
     and inherited_from is its path. A null text has no units, a null path no directory. Rows of one id are one file
     each; those whose id and path are equal share their results. Other columns are left out. An empty table gives no
     rows.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    count = {name: terms_of(text) for name, text in templates}
-    vocabulary = sorted({t for own in count.values() for t in own})
+    names = [name for name, _ in templates]
+    allowed = sorted({*names, *(full_texts()[0] if templates is TEMPLATES else [])})
+    count = [terms_of(text) for _, text in templates]
+    vocabulary = sorted({t for own in count for t in own})
     words = F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), F.array(*[F.lit(t) for t in vocabulary]))
     # One row for each term of the templates, and one for the number of files.
     tally = source.select(F.explode(F.concat(F.array(F.lit("")), F.coalesce(words, F.array().cast("array<string>")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
     seen = {r["t"]: r["n"] for r in tally}
     idf = {t: math.log((1 + seen.get("", 0)) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
-    vectors = {}
-    for name, own in count.items():
+    vectors = []
+    for own in count:
         length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items()))
-        vectors[name] = {t: n * idf[t] / length for t, n in own.items()}
-    heavy = sorted({t for v in vectors.values() for t in heaviest(v, least)})
+        vectors.append({t: n * idf[t] / length for t, n in own.items()})
+    heavy = sorted({t for v in vectors for t in heaviest(v, least)})
     any_heavy = rf"(^|[^a-z0-9])({'|'.join(heavy)})($|[^a-z0-9])"
 
     base = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\..*$", "")
     # A file that holds no heavy term has no unit that could match.
-    held = source.withColumn("whole", F.coalesce(base.isin(*LICENSE_FILES), F.lit(False))).where(F.lower("text").rlike(any_heavy))
+    files = source.withColumn("whole", F.coalesce(base.isin(*LICENSE_FILES), F.lit(False)))
+    held = files.where(F.lower("text").rlike(any_heavy))
     pieces = F.filter(F.transform(F.split("text", "\n"), F.lower), lambda x: x.rlike(any_heavy))
     units = held.select("id", "path", "whole", F.explode(F.array_distinct(F.when(F.col("whole"), F.concat(F.array(F.lower("text")), pieces)).otherwise(pieces))).alias("unit")).select("id", "path", "whole", F.xxhash64("unit").alias("u"), F.regexp_extract_all("unit", F.lit(TERM), F.lit(0)).alias("terms"))
     single = units.select("id", "path", "whole", "u", F.explode("terms").alias("term")).groupBy("id", "path", "whole", "u", "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.coalesce(F.create_map(*[F.lit(x) for t in vocabulary for x in (t, idf[t])])[F.col("term")], F.lit(1.0)) * F.col("tf")
     scored = single.withColumn("w", weight)
-    dots = [F.sum(F.col("w") * F.coalesce(F.create_map(*[F.lit(x) for t, v in own.items() for x in (t, v)])[F.col("term")], F.lit(0.0))).alias(f"d{i}") for i, own in enumerate(vectors.values())]
+    dots = [F.sum(F.col("w") * F.coalesce(F.create_map(*[F.lit(x) for t, v in own.items() for x in (t, v)])[F.col("term")], F.lit(0.0))).alias(f"d{i}") for i, own in enumerate(vectors)]
     cosines = scored.groupBy("id", "path", "whole", "u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), *dots)
-    rows = F.array(*[F.struct(F.round(F.col(f"d{i}") / F.col("length"), 9).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, name in enumerate(vectors)])
-    best = cosines.select("id", "path", "whole", F.array_max(rows).alias("best")).groupBy("id", "path", "whole").agg(F.max("best").alias("best")).where(F.col("best.score") >= least)
+    rows = F.array(*[ranked(0, F.round(F.col(f"d{i}") / F.col("length"), 9), i, F.lit(name)) for i, name in enumerate(names)])
+    notices = cosines.select("id", "path", "whole", F.array_max(rows).alias("best")).where(F.col("best.score") >= least)
+    matches = notices.unionByName(of_texts(files, least, allowed)).unionByName(of_tags(files, allowed))
+    best = matches.groupBy("id", "path", "whole").agg(F.max("best").alias("best"))
     own = written(best.select("id", "path", "whole", F.col("best.name").alias("own_license"), F.col("best.score").alias("own_score")))
 
     given = own.where("whole and path is not null").groupBy(directory(F.col("path")).alias("above")).agg(F.min_by(F.struct("own_license", "path"), "path").alias("from"))

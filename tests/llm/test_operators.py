@@ -168,6 +168,18 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_by_full_text_and_tag(spark):
+    text = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    mit = "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + text["MIT"]
+    tags = {"// SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0-only", "/* SPDX-License-Identifier: MIT */\nx": "MIT", "# SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only", "# SPDX-License-Identifier: ISC": None, "# SPDX-License-Identifier: MIT OR Apache-2.0": None}
+    files = [(0, "m/LICENSE", mit), (1, "m/src/a/b.py", "code"), (2, "m/src/a/c.py", "Use of this source code is governed by a BSD-style license.")]
+    files += [(10 + i, f"t{i}/LICENSE", x) for i, x in enumerate(text.values())] + [(50 + i, f"s{i}/x.c", x) for i, x in enumerate(tags)]
+    found = by_id(licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")))
+    assert (found[0]["own_license"], found[1]["license"], found[1]["inherited_from"], found[2]["own_license"]) == ("MIT", "MIT", "m/LICENSE", "BSD-3-Clause")
+    assert [found[10 + i]["own_license"] for i in range(len(text))] == list(text)
+    assert [found[50 + i]["own_license"] for i in range(len(tags))] == list(tags.values())
+
+
 def test_packing(spark, docs, none, texts):
     path = queries.vocabulary_file("byte_bpe_50k.json")
     t = packing.vocabulary(path).tokenizer
