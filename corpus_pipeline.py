@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import langid, ngramjoin, packing, quality, substrings
 from lodestar.llm.queries import vocabulary_file
-from lodestar.llm.tables import table, written
+from lodestar.llm.tables import is_letterless, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that can be told (no letters, or no text) go."""
-    found = langid.predict(docs, langid.train(docs))
+    """Documents in no language that can be told (no letters, or no text) go; all others stay if none could be learned."""
+    model = langid.train(docs)
+    if not model.families.names:
+        return docs.where(~is_letterless(F.col("text"))).select(docs.columns)
+    found = langid.predict(docs, model)
     return found.where("lang_pred <> 'und'").select(docs.columns)
 
 

@@ -57,6 +57,11 @@ def test_stages(spark, tmp_path):
         assert sum(r["length"] for r in pieces[i]) == len(ids) and all(r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[r["start"] : r["start"] + r["length"]])) for r in pieces[i])
 
 
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a clean text", None), (2, "12 34 !!", None), (3, None, None), (4, "", None), (5, "日本", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.identify(spark, docs, "unused").collect()} == {1, 5}
+
+
 def test_registration():
     import __spark_entry__
 
