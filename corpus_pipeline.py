@@ -1,6 +1,7 @@
 """A corpus pipeline over `documents`: STAGES are applied one after another, each to all that the last one kept.
 
-Decisions go by doc_id. Rows without one can't be told apart: after the language stage they stay as they are.
+The first two stages decide row by row. The near-duplicate and passage stages go by doc_id: rows without one can't be told
+apart there and stay as they are, and different texts of one id share their result.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
-    failed = quality.judge(docs).where("not kept").select("doc_id")
-    return docs.join(failed.distinct(), "doc_id", "left_anti").select(docs.columns)
+    # A key of all that the verdict goes by: rows of one key have one verdict, whatever their ids.
+    keyed = docs.withColumn("__row", F.sha2(F.to_json(F.struct("lang", "text")), 256))
+    failed = quality.judge(keyed, id_col="__row").where("not kept").select("__row")
+    return keyed.join(failed.distinct(), "__row", "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from lodestar.llm import packing, queries
@@ -62,6 +62,13 @@ def test_language_stage_without_labels(spark):
     assert {r["doc_id"] for r in corpus_pipeline.identify(spark, docs, "unused").collect()} == {1, 5}
 
 
+def test_quality_stage_decides_row_by_row(spark):
+    rows, _ = corpus()
+    good, junk = rows[0][1], "too short"
+    docs = spark.createDataFrame([(1, good, "en"), (1, junk, "en"), (None, good, "en"), (None, junk, "en"), (2, junk, "en"), (2, junk, None)], "doc_id long, text string, lang string")
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.rules(spark, docs, "unused").collect()) == {(1, good): 1, (None, good): 1}
+
+
 def test_registration():
     import __spark_entry__
 
