@@ -2,13 +2,14 @@
 
 Each text is cut where a rolling hash of its last WINDOW characters has its low bits zero, so equal passages of
 different documents give equal chunks wherever they stand. A chunk is encoded on its own, once, and kept by its
-digest in a bounded cache of the worker. A cut may fall inside a pre-token, so each join is repaired: the last
+text in a bounded cache. A cut may fall inside a pre-token, so each join is repaired: the last
 k pre-tokens before it and the first k after it are encoded again as one window, and k grows until the window's
 outer pre-tokens agree exactly with those of the two chunks. From such a pre-token on, the scan of the whole
 text and that of the chunk are in the same state, so the result is that of encoding the whole text. Where a
 chunk has too few pre-tokens left for agreement, the whole text is encoded at once.
 
-The cache is one worker's: nothing is shuffled, the memory is bounded, and a lost executor costs its own tasks.
+The cache goes by the chunks themselves and is one task's: nothing is shuffled, the memory is bounded in bytes, and a lost
+executor costs its own tasks.
 """
 
 from __future__ import annotations
@@ -21,70 +22,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.pretoken import BREAK, CLASS, POWERS, SEPARATOR, Vocabulary, codes, hashes, prefix, split
+from lodestar.llm.memory import parts, tidy
+from lodestar.llm.pretoken import BREAK, CLASS, LONG, SEPARATOR, Vocabulary, codes, of_worker, pieces_of, split
 
-WINDOW, CUT_BITS, KEPT_CHUNKS = 16, 9, 30_000
+#: KEPT: bytes of chunks and of words that are kept, about; there are two generations of chunks.
+WINDOW, CUT_BITS, KEPT = 16, 9, 16_000_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+"
-U = np.uint64
+
+
+def rolled(cps: np.ndarray) -> np.ndarray:
+    """A rolling hash of the last WINDOW characters up to each place from WINDOW - 1 on; it only says where chunks end."""
+    h, size, factor = (cps ^ (cps >> np.uint32(7))) * np.uint32(0x9E3779B1), 1, 0x85EBCA6B
+    while size < WINDOW:
+        h = h[:-size] * np.uint32(factor) + h[size:]
+        size, factor = 2 * size, factor * factor % (1 << 32)
+    return h * np.uint32(0xC2B2AE35)
 
 
 class Chunk:
-    __slots__ = ("ends", "ids", "offsets", "shown", "starts")
+    __slots__ = ("bytes", "ends", "ids", "offsets", "shown", "starts")
 
     def __init__(self, starts, ends, ids, offsets, shown) -> None:
-        self.starts, self.ends, self.ids, self.offsets, self.shown = starts, ends, ids, offsets, shown
+        self.starts, self.ends, self.ids, self.offsets, self.shown = starts.astype(np.int32), ends.astype(np.int32), ids, offsets.astype(np.int32), shown
+        self.bytes = 700 + 20 * len(starts) + 4 * len(ids)
 
 
 class ChunkCoder:
     """Encodes batches of texts by way of chunks; for a vocabulary that drops white space."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, path: str) -> None:
         import regex
 
-        if vocabulary.spaced:
+        self.v = Vocabulary(path)
+        if self.v.spaced:
             raise ValueError("chunk reuse needs a vocabulary whose pre-tokens never hold white space")
-        self.v = vocabulary
         self.find = regex.compile(PATTERN).finditer
-        self.young: dict[int, Chunk] = {}
-        self.old: dict[int, Chunk] = {}
+        self.young: dict[str, Chunk] = {}
+        self.old: dict[str, Chunk] = {}
         self.words: dict[str, tuple[list[int], bytes]] = {}
+        self.kept = 0  # bytes of the young chunks
         self.reused = self.encoded = self.repaired = self.whole = 0
 
-    def cached(self, key: int) -> Chunk | None:
+    def cached(self, key: str) -> Chunk | None:
         found = self.young.get(key)
         if found is None and (found := self.old.get(key)) is not None:
             self.young[key] = found
+            self.kept += found.bytes + 2 * len(key)
         return found
 
     def word(self, word: str) -> tuple[list[int], bytes]:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > 200_000:
+            if 300 * len(self.words) > KEPT:
                 self.words.clear()
             ids = self.v.word(word)
             found = self.words[word] = ids, " ".join(map(self.v.names.__getitem__, ids)).encode()
         return found
 
-    def cuts(self, cps: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """Places where a chunk ends because of the WINDOW characters before it."""
-        n = len(cps)
-        if n <= WINDOW:
-            return np.zeros(0, np.int64)
-        _, down = POWERS.get(n + 1)
-        rolled = (sums[WINDOW:] - sums[:-WINDOW]) * down[: n + 1 - WINDOW] * U(0xBF58476D1CE4E5B9)
-        return np.flatnonzero(rolled >> U(64 - CUT_BITS) == 0) + WINDOW
-
     def batch(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Ids and the decoded text in UTF-8 of each of some safe texts."""
         cps = self.v.normal(codes(SEPARATOR.join(texts)))
-        sums = prefix(cps)
+        cuts = np.flatnonzero(rolled(cps) >> np.uint32(32 - CUT_BITS) == 0) + WINDOW if len(cps) > WINDOW else np.zeros(0, np.int64)
         breaks = np.flatnonzero(CLASS[cps] == BREAK)
-        starts = np.unique(np.concatenate([[0], self.cuts(cps, sums), breaks, breaks + 1]))
+        starts = np.unique(np.concatenate([[0], cuts, breaks, breaks + 1]))
         starts = starts[starts < len(cps)]
         ends = np.append(starts[1:], len(cps))
         real = CLASS[cps[starts]] != BREAK if len(starts) else np.zeros(0, bool)
         starts, ends = starts[real], ends[real]
-        keys = hashes(sums, starts, ends).tolist()
+        text = str(cps.tobytes(), "utf-32-le", "surrogatepass")
+        keys = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         fresh, seen = [], set()
         for i, k in enumerate(keys):
             if k not in seen and self.cached(k) is None:
@@ -93,16 +99,16 @@ class ChunkCoder:
         self.encoded += len(fresh)
         self.reused += len(keys) - len(fresh)
         batch = self.encode_chunks(cps, starts, ends, keys, fresh)
-        text = cps.tobytes()
         edges = np.concatenate([[0], breaks + 1, [len(cps) + 1]])
         first = np.searchsorted(starts, edges)
         for d in range(len(texts)):
             a, b = int(first[d]), int(first[d + 1])
             chunks = [batch.get(k) or self.cached(k) for k in keys[a:b]]
             yield self.joined(chunks, starts[a:b].tolist(), text) or self.all_at_once(texts[d])
-        if len(self.young) + len(batch) > KEPT_CHUNKS:
-            self.old, self.young = self.young, {}
+        self.kept += sum(c.bytes + 2 * len(k) for k, c in batch.items())
         self.young.update(batch)
+        if self.kept > KEPT:
+            self.old, self.young, self.kept = self.young, {}, 0
 
     def encode_chunks(self, cps, starts, ends, keys, fresh) -> dict[int, Chunk]:
         if not fresh:
@@ -123,7 +129,7 @@ class ChunkCoder:
             out[keys[i]] = Chunk(s[a:b] - o, e[a:b] - o, ids[offsets[a] : offsets[b]].copy(), offsets[a : b + 1] - offsets[a], shown[a:b])
         return out
 
-    def joined(self, chunks: list[Chunk], at: list[int], text: bytes) -> tuple[np.ndarray, bytes] | None:
+    def joined(self, chunks: list[Chunk], at: list[int], text: str) -> tuple[np.ndarray, bytes] | None:
         """One text's ids from its chunks, with the joins repaired; None where they don't come to agree."""
         lead = [0] * len(chunks)
         tail = [0] * len(chunks)
@@ -143,7 +149,7 @@ class ChunkCoder:
                         k = 0
                         break
                     s, e = int(a.starts[na - k]) + at[j], int(b.ends[k - 1]) + here
-                    window = str(text[4 * s : 4 * e], "utf-32-le")
+                    window = text[s:e]
                     found = [m.span() for m in self.find(window)]
                     if found[0] == (0, int(a.ends[na - k] - a.starts[na - k])) and found[-1] == (int(b.starts[k - 1]) + here - s, e - s) and len(found) > 1:
                         break
@@ -167,10 +173,10 @@ class ChunkCoder:
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), b" ".join(names)
 
     @staticmethod
-    def blank(a: Chunk, b: Chunk, at: list[int], j: int, text: bytes) -> bool:
+    def blank(a: Chunk, b: Chunk, at: list[int], j: int, text: str) -> bool:
         """Whether white space stands beside the cut, so that nothing goes across it."""
         here = at[j + 1]
-        return any(CLASS[int.from_bytes(text[4 * p : 4 * p + 4], "little")] == 0 for p in (here - 1, here) if 4 * p < len(text))
+        return any(CLASS[min(ord(c), 0xFFFE)] == 0 for c in text[here - 1 : here + 1])
 
     def all_at_once(self, text: str) -> tuple[np.ndarray, bytes]:
         self.whole += 1
@@ -190,27 +196,25 @@ class ChunkCoder:
 
         for i, t in enumerate(texts):
             if not self.v.safe(t):
-                ids = self.v.tokenizer.encode(t, add_special_tokens=False).ids
-                out[i] = np.asarray(ids, np.uint32), self.v.tokenizer.decode(ids, skip_special_tokens=False).encode()
-                continue
-            group.append(i)
-            size += len(t) + 1
-            if size > 1_000_000:
-                flush()
-                size = 0
+                ids = self.v.by_library(t)
+                out[i] = ids, self.v.tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode()
+            elif len(t) > LONG:
+                own = [next(self.batch([p])) for p in pieces_of(t)]
+                out[i] = np.concatenate([ids for ids, _ in own]), b" ".join(shown for _, shown in own if shown)
+            else:
+                group.append(i)
+                size += len(t) + 1
+                if size > LONG:
+                    flush()
+                    size = 0
         if group:
             flush()
         return out
 
 
-_CODERS: dict[str, ChunkCoder] = {}
-
-
 def coder(path: str) -> ChunkCoder:
-    """One of each vocabulary in a worker."""
-    if path not in _CODERS:
-        _CODERS[path] = ChunkCoder(Vocabulary(path))
-    return _CODERS[path]
+    """One of each vocabulary in a task."""
+    return of_worker(ChunkCoder, path)
 
 
 COLUMNS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -224,18 +228,15 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     left out, whatever their names. An empty table gives no rows.
     """
 
+    make = {"n_tokens": lambda ids, _: len(ids), "ids": lambda ids, _: ids.astype(np.int32), "decoded": lambda _, shown: shown.decode(), "ids_sha256": lambda ids, _: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), "decoded_sha256": lambda _, shown: hashlib.sha256(shown).hexdigest()}
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary)
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                made: dict[str, list] = {o: [] for o in outputs}
-                for ids, shown in c.encode(texts):
-                    for o, f in (("n_tokens", lambda: len(ids)), ("ids", lambda: ids.astype(np.int32)), ("decoded", lambda: shown.decode()), ("ids_sha256", lambda: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()), ("decoded_sha256", lambda: hashlib.sha256(shown).hexdigest())):  # noqa: B023
-                        if o in made:
-                            made[o].append(f())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[o], ARROW[o]) for o in outputs)], names=["id", *outputs])
+            for batch in parts(whole, 1):
+                found = c.encode([t or "" for t in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([make[o](*x) for x in found], ARROW[o]) for o in outputs)], names=["id", *outputs])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -244,11 +245,9 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds out_col: the text of the ids as the library's decode with special tokens kept; null for null ids."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def run(ids):
+    @F.arrow_udf("string")
+    def run(ids: pa.Array) -> pa.Array:
         t = coder(vocabulary).v.tokenizer
-        return ids.map(lambda x: None if x is None else t.decode([int(i) for i in x], skip_special_tokens=False))
+        return pa.array([None if x is None else t.decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.string())
 
     return df.withColumn(out_col, run(F.col(ids_col)))

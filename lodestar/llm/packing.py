@@ -3,8 +3,10 @@
 Texts become ids, then pieces of at most `capacity`. Only the histogram of the pieces' lengths (at most `capacity`
 rows) goes to the driver. There a configuration linear program (cover each length's count with as few filled
 sequences as possible) is solved by multiplicative weights: the price of a length falls exponentially with its
-share covered so far, a knapsack dynamic program finds the filling of largest price, and some of it is taken. The
-fractional amounts are rounded down and what is left goes to the fullest sequence that still has room.
+share covered so far, a knapsack dynamic program finds the filling of largest price, and some of it is taken. Each round's
+prices, divided by that largest price, are a solution of the dual program, so their worth is a bound from below on the
+number of sequences of any packing; rounds end when what is taken comes within GAP of the best bound. The fractional
+amounts are rounded down and what is left goes to the fullest sequence that still has room.
 
 The plan is a bounded table of fillings and how often each is used. A piece finds its place from its rank among the
 pieces of its length: the rank within its task, counted while tokenizing, plus the counts of the tasks before. So no
@@ -23,19 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.pretoken import Vocabulary
+from lodestar.llm.memory import parts, tidy
+from lodestar.llm.pretoken import Vocabulary, of_worker
 from lodestar.llm.tables import written
 
-STEP, DECAY, ROUNDS = 0.7, 2.0, 1200
+STEP, DECAY, ROUNDS, GAP, LEFT = 0.7, 2.0, 1200, 0.0005, 0.01
 Filling = tuple[tuple[int, int], ...]
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary(path)
-    return _VOCABULARIES[path]
+    return of_worker(Vocabulary, path)
 
 
 def best_filling(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
@@ -60,28 +58,38 @@ def best_filling(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> Coun
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int) -> dict[Filling, float]:
-    """Fractional amounts of fillings that cover (almost) every length's count."""
+def solve(histogram: dict[int, int], capacity: int) -> tuple[dict[Filling, float], float]:
+    """Fractional amounts of fillings that cover almost every length's count (what is left are LEFT of the tokens, or
+    pieces of which less than half a one is left), and the best dual bound that was met: no packing of the histogram has
+    fewer sequences."""
     out: dict[Filling, float] = {}
-    left = {n: float(k) for n, k in histogram.items() if 0 < n < capacity and k > 0}
+    every = {n: float(k) for n, k in histogram.items() if 0 < n < capacity and k > 0}
+    whole = histogram.get(capacity, 0)
+    left, taken_in_all = dict(every), 0.0
     total = sum(n * k for n, k in left.items())
+    bound = total / capacity  # the dual solution in which a length costs its share of the capacity
     for _ in range(ROUNDS):
         lengths = np.array(sorted(left), np.int64)
-        if not len(lengths) or sum(n * k for n, k in left.items()) < 0.01 * total:
+        rest = sum(n * k for n, k in left.items())
+        if not len(lengths) or rest < LEFT * total and taken_in_all + rest / capacity <= (1 + GAP) * bound:
             break
-        share = np.array([1 - left[n] / histogram[n] for n in lengths.tolist()])
-        found = best_filling(lengths / capacity * np.exp(-DECAY * share), lengths, capacity)
+        share = np.array([1 - left[n] / every[n] for n in lengths.tolist()])
+        prices = lengths / capacity * np.exp(-DECAY * share)
+        found = best_filling(prices, lengths, capacity)
+        price = dict(zip(lengths.tolist(), prices.tolist(), strict=True))
+        bound = max(bound, sum(price[n] * every[n] for n in price) / sum(price[n] * k for n, k in found.items()))
         taken = {n: min(k, max(1, int(left[n]))) for n, k in found.items()}
         amount = STEP * min(left[n] / k for n, k in taken.items())
         if amount < 1:
             amount = min(1.0, min(left[n] / k for n, k in taken.items()))
         filling = tuple(sorted(taken.items()))
         out[filling] = out.get(filling, 0.0) + amount
+        taken_in_all += amount
         for n, k in taken.items():
             left[n] -= amount * k
             if left[n] < 0.5:
                 del left[n]
-    return out
+    return out, bound + whole
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -90,7 +98,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     groups: list[tuple[Counter, int]] = []
     if left[capacity]:
         groups.append((Counter({capacity: 1}), left.pop(capacity)))
-    for filling, amount in sorted(solve(histogram, capacity).items(), key=lambda x: -x[1]):
+    for filling, amount in sorted(solve(histogram, capacity)[0].items(), key=lambda x: -x[1]):
         times = min([int(amount), *(left[n] // k for n, k in filling)])
         if times > 0:
             groups.append((Counter(dict(filling)), times))
@@ -135,11 +143,11 @@ def slots(fillings: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:
 def pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     """Tokenized pieces with the task and the rank among the task's pieces of the same length."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, ranks, part = vocabulary(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
+            for batch in parts(whole, 1):
                 rows: list[list] = [[] for _ in range(8)]
                 for row, ids in enumerate(v.encode([t or "" for t in batch.column(1).to_pylist()])):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -173,12 +181,11 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col
     made = written(pieces(df, path, capacity, end_id, id_col, text_col, with_ids))
     counts = made.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    places = df.sparkSession.sparkContext.broadcast(slots(plan(histogram, capacity)))  # bounded by the capacity and ROUNDS, whatever the input
+    table = slots(plan(histogram, capacity))  # bounded by the capacity and ROUNDS, whatever the input
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = made.join(before.select("part", "length", F.coalesce("before", F.lit(0)).alias("before")), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = places.value
         for batch in batches:
             length, rank = batch.column("length").to_numpy(zero_copy_only=False), batch.column("rank").to_numpy(zero_copy_only=False)
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)

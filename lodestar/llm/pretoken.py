@@ -11,18 +11,24 @@ Texts with characters outside SAFE, or with the text of a special token, go thro
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
+from lodestar.llm.hashing import same_slices, slice_hashes
+from lodestar.llm.memory import CACHES
+
 SPACE, LETTER, NUMBER, OTHER, BREAK = 0, 1, 2, 3, 4
 SEPARATOR = "￿"
 #: Code points whose class, lower case and normal form are the same in every Unicode version.
 SAFE_RANGES = ((0x00, 0x130), (0x131, 0x180), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0))
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0)
 SINGLE, DOUBLE = "stmd", (("r", "e"), ("v", "e"), ("l", "l"))
-_P = 0x9E3779B97F4A7C15 | 1
-U = np.uint64
+#: Letter, space, letter: no pre-token, normal form or special token goes across the space.
+BREAKS = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+LONG = 1_000_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -39,47 +45,24 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 CLASS, LOWER = _tables()
 
 
-class Powers:
-    """Powers of an odd constant and of its inverse modulo 2^64, for hashes of slices from prefix sums."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            inverse = pow(_P, -1, 1 << 64)
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, k, U)]), dtype=U) for k in (_P, inverse))
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads all bits."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def prefix(values: np.ndarray) -> np.ndarray:
-    up, _ = POWERS.get(len(values) + 1)
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values.astype(U) * up[: len(values)], dtype=U, out=out[1:])
-    return out
-
-
-def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the slices starts..ends of the values that the prefix sums were made of."""
-    _, down = POWERS.get(len(sums))
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0x9FB21C651E98DF25))
-
-
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def pieces_of(text: str) -> list[str]:
+    """A long text in parts whose ids, one after another, are those of the whole; cut where that is certain only."""
+    if len(text) <= LONG:
+        return [text]
+    out, at = [], 0
+    while len(text) - at > LONG:
+        found = BREAKS.search(text, at + LONG)
+        if found is None:
+            break
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
+
+
 def split(cps: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pre-tokens of safe code points in which BREAK stands between texts.
 
@@ -138,9 +121,9 @@ def byte_letters() -> dict[int, str]:
 
 
 class Vocabulary:
-    """A tokenizers file with a bounded cache of the ids of whole pre-tokens."""
+    """A tokenizers file with a cache of the ids of whole pre-tokens, bounded in bytes and emptied when a task ends."""
 
-    MOST = 500_000  # cached pre-tokens in a worker; beyond it the cache starts anew
+    MOST = 40_000_000  # bytes of cached pre-tokens in a worker, about; beyond it the cache starts anew
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -153,26 +136,26 @@ class Vocabulary:
         self.lower = spec["normalizer"] is not None
         self.spaced = not self.lower
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
-        self.names = {i: t for t, i in self.tokenizer.get_vocab().items()}
+        self.names = {i: t for t, i in self.tokenizer.get_vocab().items()} if self.lower else {}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.index: dict[str, int] = {}
+        self.flat = np.zeros(1 << 14, np.uint32)
+        self.begin = np.zeros(1 << 12, np.int64)
+        self.count = np.zeros(1 << 12, np.int64)
+        self.used = self.bytes = 0
         self.shown: list[bytes] = []
 
     def safe(self, text: str) -> bool:
         if any(s in text for s in self.specials):
             return False
-        return text.isascii() or bool((CLASS[np.minimum(codes(text), 0xFFFE)] != 255).all())
+        return text.isascii() or all((CLASS[np.minimum(codes(text[at : at + LONG]), 0xFFFE)] != 255).all() for at in range(0, len(text), LONG))
 
     def word(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
-    def add(self, key: int, word: str) -> int:
+    def add(self, word: str) -> int:
         ids = self.word(word)
         n = len(self.shown)
         if n == len(self.begin):
@@ -183,24 +166,26 @@ class Vocabulary:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         self.shown.append(" ".join(map(self.names.__getitem__, ids)).encode() if self.lower else b"")
-        self.index[key] = n
+        self.bytes += 250 + 4 * len(word) + 4 * len(ids)
+        self.index[word] = n
         return n
 
     def lookup(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Cache places of the pre-tokens; unseen ones are encoded."""
-        if len(self.index) > self.MOST:
+        """Cache places of the pre-tokens; unseen ones are encoded. Hashes group equal pre-tokens; that they are equal is
+        then compared, and the cache goes by the pre-tokens themselves."""
+        if self.bytes > self.MOST:
             self.clear()
-        keys = hashes(prefix(cps), starts, ends)
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        get = self.index.get
-        at = [get(k, -1) for k in unique.tolist()]
-        missing = [i for i, x in enumerate(at) if x < 0]
-        if missing:
-            whole = cps.tobytes()
-            for i in missing:
-                s, e = int(starts[first[i]]), int(ends[first[i]])
-                at[i] = self.add(int(unique[i]), str(whole[4 * s : 4 * e], "utf-32-le"))
-        return np.asarray(at, np.int64)[inverse]
+        data = np.concatenate([cps, np.zeros(2, np.uint32)]).view(np.uint8)
+        _, first, inverse = np.unique(slice_hashes(data, 4 * starts, 4 * ends, 255), return_index=True, return_inverse=True)
+        text = str(cps.tobytes(), "utf-32-le", "surrogatepass")
+        if not same_slices(data, 4 * starts, 4 * ends, first[inverse]).all():
+            first, inverse = np.arange(len(starts)), np.arange(len(starts))
+        at = np.empty(len(first), np.int64)
+        get, add = self.index.get, self.add
+        for i, (s, e) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
+            place = get(word := text[s:e])
+            at[i] = add(word) if place is None else place
+        return at[inverse]
 
     def expand(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the cached pre-tokens one after another, and where each one's ids begin (one more at the end)."""
@@ -216,29 +201,49 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text, as the library gives them without added special tokens."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        quick = []
-        for i, t in enumerate(texts):
-            if self.safe(t):
-                quick.append(i)
-            else:
-                out[i] = np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
         group: list[int] = []
         size = 0
-        for i in quick:
-            group.append(i)
-            size += len(texts[i]) + 1
-            if size > 1_500_000:
-                self._encode(texts, group, out)
-                group, size = [], 0
+
+        def flush() -> None:
+            for i, ids in zip(group, self._encode([texts[i] for i in group]), strict=True):
+                out[i] = ids
+            group.clear()
+
+        for i, t in enumerate(texts):
+            if not self.safe(t):
+                out[i] = self.by_library(t)
+            elif len(t) > LONG:
+                out[i] = np.concatenate([self._encode([p])[0] for p in pieces_of(t)])
+            else:
+                group.append(i)
+                size += len(t) + 1
+                if size > LONG:
+                    flush()
+                    size = 0
         if group:
-            self._encode(texts, group, out)
+            flush()
         return out  # type: ignore[return-value]
 
-    def _encode(self, texts: list[str], group: list[int], out: list) -> None:
-        cps = self.normal(codes(SEPARATOR.join(texts[i] for i in group)))
+    def by_library(self, text: str) -> np.ndarray:
+        return np.concatenate([np.asarray(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) for p in pieces_of(text)])
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        cps = self.normal(codes(SEPARATOR.join(texts)))
         starts, ends = split(cps, self.spaced)
         ids, offsets = self.expand(self.lookup(cps, starts, ends))
-        bounds = np.cumsum([len(texts[i]) + 1 for i in group])
+        bounds = np.cumsum([len(t) + 1 for t in texts])
         cut = offsets[np.concatenate([[0], np.searchsorted(starts, bounds)])]
-        for n, i in enumerate(group):
-            out[i] = ids[cut[n] : cut[n + 1]]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+_MADE: dict[tuple[Callable, str], object] = {}
+
+
+def of_worker(kind: Callable, path: str):
+    """One kind(path) in a worker, until its task ends."""
+    if (kind, path) not in _MADE:
+        _MADE[kind, path] = kind(path)
+    return _MADE[kind, path]
+
+
+CACHES.append(_MADE.clear)
