@@ -17,16 +17,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.memory import released
+
 BITS, ORDERS = 13, (1, 2, 3)
-#: At most this many labelled rows of each language are fitted on, ones of small id hash.
-ROWS_PER_LANGUAGE = 500
+#: At most this many labelled rows of each language are fitted on, those of smallest hash, and ROWS of all languages.
+ROWS_PER_LANGUAGE, ROWS = 500, 40_000
 #: Family by ISO 639-1 code; a language that isn't here is a family of its own.
 FAMILIES = {
+    "austronesian": ("ceb", "haw", "id", "jv", "mg", "mi", "ms", "su", "tl"),
+    "baltic": ("lt", "lv"),
+    "bantu": ("lg", "ny", "rw", "sn", "st", "sw", "xh", "zu"),
+    "celtic": ("br", "cy", "ga", "gd"),
+    "dravidian": ("kn", "ml", "ta", "te"),
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv", "yi"),
+    "indic": ("as", "bn", "gu", "hi", "mr", "ne", "or", "pa", "sa", "sd", "si", "ur"),
+    "iranian": ("fa", "ku", "ps", "tg"),
     "romance": ("ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"),
+    "semitic": ("am", "ar", "he", "mt", "ti"),
+    "sinitic": ("yue", "zh"),
     "slavic": ("be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
+    "tai": ("lo", "th"),
+    "turkic": ("az", "kk", "ky", "tk", "tr", "tt", "ug", "uz"),
     "uralic": ("et", "fi", "hu"),
-    "turkic": ("az", "kk", "tr", "uz"),
 }
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 U = np.uint64
@@ -40,23 +52,32 @@ def letters() -> np.ndarray:
     return _LETTERS
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values (of unit length) of a text's features; none if it has no letter."""
-    cps = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    real = letters()[cps]
-    if not real.any():
+def features(text: str | None, block: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values (of unit length) of a text's features; none if it has no letter. The text is read in blocks."""
+    count, any_real = np.zeros(1 << BITS, np.int64), False
+    last = np.full(1, 32, U)  # what the next n-grams may begin in
+    text = text or ""
+    for at in range(0, len(text) + 1, block):
+        cps = np.frombuffer(text[at : at + block].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        real = letters()[cps]
+        any_real = any_real or bool(real.any())
+        cps = np.concatenate([last, np.where(real, cps, np.uint32(32)).astype(U), np.full(int(at + block > len(text)), 32, U)])
+        keep = np.ones(len(cps), bool)
+        keep[1:] = (cps[1:] != 32) | (cps[:-1] != 32)
+        keep[: len(last)] = True
+        cps = cps[keep]
+        for n in ORDERS:
+            own = cps[max(0, len(last) - n + 1) :]  # n-grams that end in this block
+            if len(own) >= n:
+                h = np.full(len(own) - n + 1, n, U)
+                for k in range(n):
+                    h = (h ^ own[k : len(own) - n + 1 + k]) * U(0x9E3779B97F4A7C15)
+                    h ^= h >> U(29)
+                h >>= U(64 - BITS)
+                count += np.bincount((h if n > 1 else h[own != 32]).astype(np.int64), minlength=1 << BITS)
+        last = cps[-(max(ORDERS) - 1) :]
+    if not any_real:
         return np.zeros(0, np.int64), np.zeros(0)
-    cps = np.concatenate([[32], np.where(real, cps, 32), [32]]).astype(U)
-    cps = cps[np.concatenate([[True], (cps[1:] != 32) | (cps[:-1] != 32)])]
-    found = []
-    for n in ORDERS:
-        if len(cps) >= n:
-            h = np.full(len(cps) - n + 1, n, U)
-            for k in range(n):
-                h = (h ^ cps[k : len(cps) - n + 1 + k]) * U(0x9E3779B97F4A7C15)
-                h ^= h >> U(29)
-            found.append((h >> U(64 - BITS)) if n > 1 else (h >> U(64 - BITS))[cps != 32])
-    count = np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << BITS)
     at = np.flatnonzero(count)
     return at, np.sqrt(count[at] / count[at].sum())
 
@@ -94,7 +115,7 @@ class Choice:
         for a, b in combinations(own, 2):
             some = [i for i, n in enumerate(names) if n in (a, b)]
             weights.append(fit_pair([rows[i] for i in some], np.array([1.0 if names[i] == a else -1.0 for i in some])))
-        return cls(own, np.array(weights)) if weights else cls(own)
+        return cls(own, np.array(weights, np.float32)) if weights else cls(own)
 
     def best(self, at: np.ndarray, values: np.ndarray) -> tuple[str, float]:
         """The name with most wins (then the largest sum of margins, then the first), and its least sure win, 0 to 1."""
@@ -127,7 +148,11 @@ class Model:
 
 def fit(sample: list[tuple[str | None, str]]) -> Model:
     """A model from (text, language) rows; without rows with letters it says `und` of everything."""
-    found = [(features(t), y) for t, y in sample]
+    return fitted([(features(t), y) for t, y in sample])
+
+
+def fitted(found: list[tuple[Row, str]]) -> Model:
+    """A model from features and languages."""
     rows, labels = [f for f, _ in found if len(f[0])], [y for f, y in found if len(f[0])]
     if not rows:
         return Model(Choice([]), {})
@@ -140,19 +165,31 @@ def held_out(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fits on at most rows_per_language labelled rows of each language that aren't held out."""
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, rows: int = ROWS) -> Model:
+    """Fits on the labelled rows that aren't held out: of each language at most rows_per_language, and fewer if all of
+    them were more than `rows`; those of smallest hash of id and text. Rows with a null id, text or label take no part;
+    rows that repeat count one by one, so a language that is all under one id is learned like any other. Other columns
+    are not looked at. Without any labelled row the model says `und` of everything. Only features reach the driver.
+    """
     c = F.col(id_col)
-    rows = df.where(F.col(label_col).isNotNull() & c.isNotNull() & F.col(text_col).isNotNull() & ~held_out(c)).select(F.xxhash64(c.cast("string")).alias("h"), c.cast("string").alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y"))
-    # Only rows of small hash can be among the chosen ones: about four times as many as are wanted, however many there are.
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    if not counts:
-        return fit([])
-    share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, 4 * rows_per_language / n))])
-    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("y")] * (1 << 30))
-    order = ["h", "i", F.xxhash64("t")]
-    chosen = rows.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy(*order))).where(F.col("k") <= rows_per_language)
-    return fit([(r["t"], r["y"]) for r in chosen.select("t", "y", "h", "i").orderBy("y", "h", "i").collect()])  # bounded by the parameter
+    usable = df.where(F.col(label_col).isNotNull() & c.isNotNull() & F.col(text_col).isNotNull() & ~held_out(c))
+    known = usable.select(F.xxhash64(c.cast("string"), F.col(text_col)).alias("h"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y"))
+    languages = known.select("y").distinct().count()
+    most = max(1, min(rows_per_language, rows // max(languages, 1)))
+    first = lambda order: F.row_number().over(Window.partitionBy("y").orderBy(*order))
+    # The largest hash that is wanted of each language, from rows without texts; then only rows up to it are sorted.
+    bound = known.select("y", "h").withColumn("k", first(["h"])).where(F.col("k") <= most).groupBy("y").agg(F.max("h").alias("b"))
+    near = known.join(F.broadcast(bound), "y").where("h <= b").withColumn("k", first(["h", "t"])).where(F.col("k") <= most)  # bound: one row a language
+
+    @F.arrow_udf("binary")
+    def made(texts: pa.Array) -> pa.Array:
+        return pa.array([b"".join(x.tobytes() for x in (at.astype("<u2"), values.astype("<f4"))) for at, values in (features(t.as_py()) for t in texts)], pa.binary())
+
+    found = []
+    for r in sorted(near.select("y", "k", made("t").alias("f")).collect(), key=lambda r: (r["y"], r["k"])):  # at most `rows` rows, or one for each language
+        n = len(r["f"]) // 6
+        found.append(((np.frombuffer(r["f"], "<u2", n).astype(np.int64), np.frombuffer(r["f"], "<f4", n, 2 * n).astype(np.float64)), r["y"]))
+    return fitted(found)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -160,14 +197,15 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     The whole text counts. Equal texts get equal results. An existing column of these names is replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # (families^2 + languages^2) / 2 vectors of 2^BITS numbers
-
-    @F.pandas_udf("struct<lang_pred string, score double>")
-    def run(texts):
-        import pandas as pd
 
-        m = shared.value
-        return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
+    @F.arrow_udf("struct<lang_pred: string, score: double>")  # the model: (families^2 + languages^2) / 2 vectors of 2^BITS numbers
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                found = [model.predict(t.as_py()) for t in texts]
+                yield pa.StructArray.from_arrays([pa.array([y for y, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang_pred", "score"])
+        finally:
+            released()
 
     name = "__language"
     out = df.drop(*[c for c in df.columns if c.lower() in ("lang_pred", "score")]).withColumn(name, run(F.col(text_col)))
