@@ -4,17 +4,21 @@ A text's n-grams are hashed into GROUPS groups; the counts are its point. For tw
 smaller values is at least the size of what they share, and the sum of a point's coordinates and a box's maxima, the
 smaller of each, bounds it for all points in the box: that is the R-tree's test.
 
-1. Equal sets become classes; only a class's text of smallest id goes on.
+1. Equal sets become classes; only one row of each class goes on.
 2. A set that shares enough with another shares one of its `n - ceil(t n) + 1` first n-grams, in any order that all
-   texts keep to. The order is by estimated frequency (a count sketch of fixed size over all texts), rarest first,
-   so the lists of texts by such an n-gram are short. Each list is one tree's points.
-3. Each list's texts are first held against the list's smallest id; pairs whose points allow the similarity are
-   verified on the whole sets, and the links' components found.
-4. Lists in which two or more components remain get a tree: every text outside the list's largest component searches
-   it for texts of other components; what passes is verified, and the components are found anew. So a group of near
+   texts keep to. The order is by estimated frequency (a count sketch over all texts, sized by the input's partitions),
+   rarest first, so the lists of classes by such an n-gram are short. Of n-grams with the same list (as the n-grams of a
+   passage have) one counts. Each list is one tree's points.
+3. Each class is first held against one that leads its lists; pairs whose points, and then whose finer points (about four
+   n-grams a group), allow the similarity are verified on the whole sets, and the links' components found.
+4. Lists in which two or more components remain get a tree: every class outside the list's largest component searches
+   it for classes of other components; what passes is verified, and the components are found anew. So a group of near
    copies costs about its size, not its square, and no link between different components is left out.
 
-A list longer than TILE is dealt into tiles, and pairs of tiles meet in tasks of their own.
+links() searches every list's tree for all pairs instead, and so gives all links between classes.
+
+A list longer than TILE is dealt into tiles, and pairs of tiles meet in tasks of their own. n-grams are compared by hashes
+of 64 bits (of words of up to 8 bytes without any collision, see hashing), classes by 128 bits of the set.
 """
 
 from __future__ import annotations
@@ -27,70 +31,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
+from lodestar.llm.hashing import mixed
+from lodestar.llm.memory import parts, released, tidy
 from lodestar.llm.tables import partitions, written
 from lodestar.llm.words import Words
 
 U = np.uint64
-GROUPS, SKETCH_BITS, SLICES, LEAF, TILE = 64, 20, 64, 16, 2000
+GROUPS, SLICES, LEAF, TILE = 64, 64, 16, 1000
+#: A task's counters take about a 27th of the bytes it reads; so many bits at least and at most.
+SKETCH_BITS = (16, 23)
+BATCH = 1_500_000
 
 
 def sets_of(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted hashes of the distinct n-grams of k words of each text; of all its words if they are fewer."""
     w = Words(texts, lower=True)
-    at = np.flatnonzero(w.room() >= k)
-    grams = w.grams(at, k)
-    cut = np.searchsorted(at, w.first)
-    out = []
-    for d in range(len(texts)):
-        n = int(w.n[d])
+    grams = w.grams(k)
+    out: list[np.ndarray] = [np.zeros(0, U)] * len(texts)
+    for d, (n, at) in enumerate(zip(w.n.tolist(), w.first.tolist(), strict=False)):
         if n >= k:
-            out.append(np.unique(grams[cut[d] : cut[d + 1]]))
-        else:
-            out.append(w.grams(w.first[d : d + 1], n) if n else np.zeros(0, U))
+            out[d] = np.unique(grams[at : at + n - k + 1])
+    for n in range(1, k):
+        short = np.flatnonzero(w.n == n)
+        if len(short):
+            whole = mixed(w.grams(n)[w.first[short]] + U(n))  # not that of an n-gram of k words by chance of their words
+            for d, h in zip(short.tolist(), whole, strict=True):
+                out[d] = np.array([h], U)
     return out
 
 
-def parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for begin in range(0, batch.num_rows, rows):
-        yield batch.slice(begin, rows)
+def sketch_bits(source: DataFrame) -> int:
+    total = source.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    each = total / max(1, source.rdd.getNumPartitions())
+    return min(SKETCH_BITS[1], max(SKETCH_BITS[0], int(np.log2(max(1.0, each / 27)))))
 
 
 def sketch(source: DataFrame, k: int) -> np.ndarray:
-    """Counters of all texts' n-grams by the low bits of their hashes: 4 MB, whatever the input."""
-    size = 1 << SKETCH_BITS
+    """How often all texts' n-grams are met, by the low bits of their hashes: for each a byte, 16 steps for a factor of 4.
+    A task sends a share of what it reads; the driver gets at most 8 MB."""
+    size = 1 << sketch_bits(source)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for whole in batches:
-            for batch in parts(whole):
-                found = sets_of(batch.column(0).to_pylist(), k)
-                total += np.bincount((np.concatenate(found) & U(size - 1)).astype(np.int64), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.uint32).tobytes() for x in np.split(total, SLICES)], pa.binary())], names=["slice", "counts"])
+            for batch in parts(whole, 0, BATCH):
+                for x in sets_of(batch.column(0).to_pylist(), k):
+                    np.add.at(total, (x & U(size - 1)).astype(np.int64), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=["slice", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.uint32).astype(np.int64) for b in t.column("counts").to_pylist())
-        return pa.table({"slice": t.column("slice")[:1].cast(pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.uint32).tobytes()], pa.binary())})
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size // SLICES, np.float64)
+        for batch in batches:
+            for x in batch.column("counts"):
+                total += np.frombuffer(x.as_buffer(), np.uint32)
+        steps = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([steps.tobytes()], pa.binary())], names=["slice", "counts"])
 
     rows = source.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    whole = np.zeros(size, np.uint32)
+    whole = np.zeros(size, np.uint8)
     for r in rows:
-        whole[r["slice"] * (size // SLICES) : (r["slice"] + 1) * (size // SLICES)] = np.frombuffer(r["counts"], np.uint32)
+        whole[r["slice"] * (size // SLICES) : (r["slice"] + 1) * (size // SLICES)] = np.frombuffer(r["counts"], np.uint8)
     return whole
 
 
-POINTS = "doc_id long, n long, k1 long, k2 long, point binary, first array<long>"
+POINTS = "doc_id long, t long, carried string, n long, k1 long, k2 long, point binary, fine binary, first array<long>"
+
+
+def fine_point(grams: np.ndarray) -> bytes:
+    """Counts in groups by the upper bits of the hashes: a power of two of groups, GROUPS at least, 4 n-grams in each."""
+    bits = max(GROUPS.bit_length() - 1, int(np.ceil(np.log2(max(1, len(grams) / 4)))))
+    return np.bincount((grams >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16 if len(grams) < 1 << 16 else np.uint32).tobytes()
+
+
+def fine_overlap(a: bytes, n: int, b: bytes, m: int) -> int:
+    """What two sets of n and m n-grams can share at most by their fine points; the finer one is folded."""
+    x, y = (np.frombuffer(v, np.uint16 if size < 1 << 16 else np.uint32).astype(np.int64) for v, size in ((a, n), (b, m)))
+    few = min(len(x), len(y))
+    return int(np.minimum(x.reshape(few, -1).sum(axis=1), y.reshape(few, -1).sum(axis=1)).sum())
 
 
 def points(source: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Each text's number of n-grams, 128 bits of its set, its point and its first n-grams in the common order."""
-    from lodestar.llm.pretoken import mixed
-
-    shared = source.sparkSession.sparkContext.broadcast(sketch(source, k))
+    often = sketch(source, k)
 
+    @tidy
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
         for whole in batches:
-            for batch in parts(whole):
+            for batch in parts(whole, 1, BATCH):
                 found = sets_of(batch.column(1).to_pylist(), k)
                 n = [len(x) for x in found]
                 first = []
@@ -101,9 +129,10 @@ def points(source: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 k1 = [int(mixed(x).sum(dtype=U).view(np.int64)) for x in found]
                 k2 = [int(mixed(x ^ U(0xD1B54A32D192ED03)).sum(dtype=U).view(np.int64)) for x in found]
                 vec = [np.bincount((x >> U(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vec, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "point", "first"])
+                columns = [pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vec, pa.binary()), pa.array([fine_point(x) for x in found], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], names=["doc_id", "t", "carried", "n", "k1", "k2", "point", "fine", "first"])
 
-    return source.mapInArrow(make, POINTS)
+    return source.select("doc_id", "text", "t", "carried").mapInArrow(make, POINTS)
 
 
 def needed(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -145,12 +174,19 @@ def vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
 
 
-def verified(pairs: DataFrame, source: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """node, text of nodes (node, doc_id, t, members); where rows of a class may repeat each other, one of them counts."""
+    found = source.withColumnRenamed("doc_id", "i").join(nodes.withColumnRenamed("t", "u"), F.col("i").eqNullSafe(F.col("doc_id")) & F.col("t").eqNullSafe(F.col("u"))).select("node", "text", "members")
+    single = found.where("members = 1").select("node", "text")
+    return single.unionByName(found.where("members > 1").select("node", "text").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, 500):
+            for batch in parts(whole, 2, BATCH // 2, 500):
                 a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
                 texts = list(dict.fromkeys([*ta, *tb]))
                 found = dict(zip(texts, sets_of(texts, k), strict=True))
@@ -161,8 +197,10 @@ def verified(pairs: DataFrame, source: DataFrame, k: int, num: int, den: int) ->
                     keep.append(den * both >= num * (len(s) + len(t) - both))
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, y in zip(a, keep, strict=True) if y], pa.int64()), pa.array([v for v, y in zip(b, keep, strict=True) if y], pa.int64())], names=["a", "b"])
 
-    left = pairs.join(source.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return left.join(source.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = texts_of(nodes.join(wanted, "node", "left_semi"), source)
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    return left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(tidy(check), "a long, b long")
 
 
 def bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -175,21 +213,38 @@ def bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 fits = np.minimum(vectors(batch.column("p")), vectors(batch.column("q"))).sum(axis=1) >= needed(n, m, num, den)
                 yield batch.select(["a", "b"]).filter(pa.array(fits))
 
-    return pairs.where(f"n * {den} >= m * {num} and m * {den} >= n * {num}").select("a", "b", "n", "m", "p", "q").mapInArrow(check, "a long, b long")
+    return pairs.where(f"n * {den} >= m * {num} and m * {den} >= n * {num}").select("a", "b", "n", "m", "p", "q").mapInArrow(tidy(check), "a long, b long")
+
 
+def finely_bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) of nodes (node, n, fine) those that the fine points allow."""
 
-def tree_pairs(lists: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
-    """Pairs of different components found by the lists' trees. lists: token, doc_id, n, point, comp, total, major."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(whole, 4):
+                n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
+                least = needed(n, m, num, den).tolist()
+                fits = [fine_overlap(x, i, y, j) >= k for x, i, y, j, k in zip(batch.column("p").to_pylist(), n.tolist(), batch.column("q").to_pylist(), m.tolist(), least, strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    left = pairs.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fine").alias("q")), "b")
+    return left.join(nodes.select(F.col("node").alias("a"), "n", F.col("fine").alias("p")), "a").select("a", "b", "n", "m", "p", "q").mapInArrow(tidy(check), "a long, b long")
+
+
+def tree_pairs(lists: DataFrame, num: int, den: int, tasks: int, every: bool = False) -> DataFrame:
+    """Pairs of nodes of different components, or with `every` of any two, found by the lists' trees. lists: token, node,
+    n, point, comp, total, major."""
     tiles = F.ceil(F.col("total") / TILE).cast("int")
-    dealt = lists.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    asks = dealt.where("comp <> major").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).selectExpr("token", "tile as x", "other as y", "doc_id", "n", "point", "comp", "true as asks")
-    told = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).selectExpr("token", "other as x", "tile as y", "doc_id", "n", "point", "comp", "false as asks")
+    dealt = lists.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    asking = dealt if every else dealt.where("comp <> major")
+    asks = asking.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).selectExpr("token", "tile as x", "other as y", "node", "n", "point", "comp", "true as asks")
+    told = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).selectExpr("token", "other as x", "tile as y", "node", "n", "point", "comp", "false as asks")
     # Short lists share a task's group; each pair of tiles of a long one has its own.
     rows = asks.unionByName(told).withColumn("bin", F.pmod(F.xxhash64("token", "x", "y"), F.lit(16 * tasks)))
 
     def search(t: pa.Table) -> pa.Table:
         t = t.sort_by([("token", "ascending"), ("x", "ascending"), ("y", "ascending")])
-        token, x, y, doc, n, comp = (t.column(c).to_numpy() for c in ("token", "x", "y", "doc_id", "n", "comp"))
+        token, x, y, node, n, comp = (t.column(c).to_numpy() for c in ("token", "x", "y", "node", "n", "comp"))
         ask, vec = t.column("asks").to_numpy(), vectors(t.column("point"))
         edge = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(token)]])
         found: set[tuple[int, int]] = set()
@@ -200,42 +255,116 @@ def tree_pairs(lists: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
                 tree = CountTree(n[told], vec[told])
                 for q in asking.tolist():
                     hit = told[tree.search(int(n[q]), vec[q], num, den)]
-                    hit = hit[comp[hit] != comp[q]]
-                    d = int(doc[q])
-                    found.update((min(d, o), max(d, o)) for o in doc[hit].tolist())
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+                    hit = hit[(node[hit] != node[q]) if every else (comp[hit] != comp[q])]
+                    d = int(node[q])
+                    found.update((min(d, o), max(d, o)) for o in node[hit].tolist())
+        out = pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+        if len(node) > 10_000:
+            released(False)
+        return out
 
     return rows.groupBy("bin").applyInArrow(search, "a long, b long").distinct()
 
 
+class Classes:
+    """Rows and classes of a table, as tables in the shared folder.
+
+    every: doc_id, t (a hash of the text), carried, n, k1, k2 and more, a row for each row; nodes: node, k1, k2, doc_id and
+    t of one of its rows, members, least (its smallest id), n, point; shared: token, node, leader, total and grams of the lists."""
+
+    def __init__(self, df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, carry: str | None = None) -> None:
+        self.k, self.num, self.den, self.tasks = k, num, den, partitions(df.sparkSession)
+        carried = F.col(carry).cast("string") if carry else F.lit(None).cast("string")
+        source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
+        self.source = source.withColumn("t", F.xxhash64("text"))
+        self.every = written(points(self.source, k, num, den))
+        one = self.every.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("doc_id", "t", "n", "point", "fine", "first")).alias("x"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"))
+        self.nodes = written(one.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "x.*", "members", "least"))
+        entries = self.nodes.select("node", "least", F.explode("first").alias("token"))
+        # The class with the smallest id leads a list: copies mostly come after what they are made from.
+        leader = F.min(F.struct(F.col("least").isNull(), "least", "node")).node
+        signature = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(2)]
+        lists = entries.groupBy("token").agg(leader.alias("leader"), F.count(F.lit(1)).alias("total"), *signature).where("total > 1")
+        distinct = written(lists.groupBy("s0", "s1", "total").agg(F.min("token").alias("token"), F.first("leader").alias("leader"), F.count(F.lit(1)).alias("grams")).select("token", "leader", "total", "grams"))
+        self.shared = written(entries.drop("least").join(distinct, "token"))
+
+    def slim(self, node: str, n: str, point: str) -> DataFrame:
+        return self.nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("point").alias(point))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        likely = written(finely_bounded(pairs, self.nodes, self.num, self.den))
+        return verified(likely, self.nodes.select("node", "doc_id", "t", "members"), self.source, self.k, self.num, self.den)
+
+    def components(self) -> DataFrame:
+        """node, component (a node) of every node that has a link."""
+        # Of the classes that lead a class's lists the one of most n-grams is tried first; what that leaves apart is found below.
+        tried = self.shared.where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.sum("grams").alias("grams"))
+        starts = tried.groupBy("b").agg(F.max_by("a", F.struct("grams", "a")).alias("a")).select("a", "b")
+        full = starts.join(self.slim("a", "n", "p"), "a").join(self.slim("b", "m", "q"), "b")
+        links = written(self.verified(written(bounded(full, self.num, self.den))))
+        found = written(components(links))
+        # Lists of which two or more components are left.
+        placed = written(self.shared.select("token", "node", "total").join(found, "node", "left").select("token", "node", "total", F.coalesce("component", "node").alias("comp")))
+        open_lists = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "major")
+        rows = placed.join(written(open_lists), "token").join(self.slim("node", "n", "point"), "node")
+        more = self.verified(written(tree_pairs(rows, self.num, self.den, self.tasks)))
+        return written(components(links.unionByName(more)))
+
+    def links(self) -> DataFrame:
+        """a, b (a < b): every two nodes that are similar enough."""
+        rows = self.shared.select("token", "node", "total", F.col("node").alias("comp"), F.lit(-1).cast("long").alias("major")).join(self.slim("node", "n", "point"), "node")
+        return self.verified(written(tree_pairs(rows, self.num, self.den, self.tasks, True)))
+
+    def of_one_id(self) -> DataFrame:
+        """a, b: nodes that rows of one id have."""
+        rows = self.every.where("n > 0 and doc_id is not null").select("doc_id", F.struct("k1", "k2").alias("k"))
+        several = rows.groupBy("doc_id").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y").select("doc_id", "x")
+        pairs = written(rows.join(several, "doc_id").where("k <> x").select("x", "k").distinct())
+        name = lambda c, x: self.nodes.select(F.struct("k1", "k2").alias(c), F.col("node").alias(x))
+        return pairs.join(name("x", "a"), "x").join(name("k", "b"), "k").select("a", "b")
+
+
 def join(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id_col, n_shingles, component_id. Two texts link if den * shared >= num * (size of the union)
     of their sets of k-word n-grams, lower-cased in A to Z; component_id is the smallest id reachable by links.
 
-    A text without words, an empty or a null one has an empty set, links with nothing and is its own component. One
-    with fewer than k words has its whole sequence as the only n-gram. Rows of one id are one node; a row whose id is
-    null takes its class's component. Ids are longs. Other columns are left out. An empty table gives no rows.
+    A text without words, an empty or a null one has an empty set, links with nothing and is its own component, even if
+    other rows have its id. One with fewer than k words has its whole sequence as the only n-gram. Rows of one id that
+    have words are one node, whatever their texts; a row whose id is null takes its class's component (null if no row
+    that it reaches has an id). Ids are longs. Other columns are left out. An empty table gives no rows.
+    """
+    c = Classes(df, k, num, den, id_col, text_col)
+    found, same = c.components(), written(c.of_one_id())
+    if not same.isEmpty():
+        found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same)))
+    placed = c.nodes.select("node", "k1", "k2", "least").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    small = written(placed.groupBy("comp").agg(F.min("least").alias("component_id")))
+    labels = placed.join(small, "comp").select("k1", "k2", "component_id")
+    rows = c.every.select("doc_id", "n", "k1", "k2").join(written(labels), ["k1", "k2"], "left")  # sets without members have k1 = k2 = 0
+    return rows.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def groups(df: DataFrame, key_col: str, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: id_col, key (key_col as a string), group: a long that rows share if links join their texts, null
+    for texts without words. Ids say nothing here: rows of one id are told apart. Other columns are left out."""
+    c = Classes(df, k, num, den, id_col, text_col, key_col)
+    placed = c.nodes.select("node", "k1", "k2").join(c.components(), "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("group"))
+    rows = c.every.select("doc_id", "carried", "n", "k1", "k2").join(written(placed), ["k1", "k2"], "left")
+    return rows.select(F.col("doc_id").alias(id_col), F.col("carried").alias("key"), F.when(F.col("n") > 0, F.col("group")).alias("group"))
+
+
+def links(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: the pairs (a, b) of linked classes, a < b, and one row per row with id_col, class (null for a text
+    without words) and n_links, the number of other rows that its text is linked with, copies included.
+
+    Pairs grow with the square of a group of different near copies: each of them is a link. Null and empty texts, and
+    rows that repeat, as in join().
     """
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tasks = partitions(df.sparkSession)
-    every = written(points(source, k, num, den))
-    classes = written(every.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")))
-    chosen = every.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    entries = chosen.select("doc_id", F.explode("first").alias("token"))
-    lists = written(entries.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("total")).where("total > 1"))
-    shared = written(entries.join(lists, "token"))
-    slim = every.select("doc_id", "n", "point").dropDuplicates(["doc_id"])
-    starts = shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    full = starts.join(slim.select(F.col("doc_id").alias("a"), "n", F.col("point").alias("p")), "a").join(slim.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")), "b")
-    links = written(verified(bounded(full, num, den), source, k, num, den))
-    found = written(components(links))
-    # Lists of which two or more components are left.
-    placed = shared.select("token", "doc_id", "total").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("token", "doc_id", "total", F.coalesce("component", "doc_id").alias("comp"))
-    placed = written(placed)
-    open_lists = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "major")
-    open_rows = placed.join(written(open_lists), "token").join(slim, "doc_id")
-    more = verified(written(tree_pairs(open_rows, num, den, tasks)), source, k, num, den)
-    found = written(components(links.unionByName(more)))
-    classed = every.select("doc_id", "n", "k1", "k2").join(classes.where("members > 1").select("k1", "k2", "rep"), ["k1", "k2"], "left")
-    node = F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
-    return classed.withColumn("node", node).join(found, "node", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    c = Classes(df, k, num, den, id_col, text_col)
+    pairs = written(c.links())
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    far = ends.join(c.nodes.select(F.col("node").alias("other"), F.col("members").alias("m")), "other").groupBy("node").agg(F.sum("m").alias("far"))
+    counted = c.nodes.select("node", "k1", "k2", "members").join(far, "node", "left").select("k1", "k2", "node", (F.col("members") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    rows = c.every.select("doc_id", "n", "k1", "k2").join(written(counted), ["k1", "k2"], "left")
+    some = F.col("n") > 0
+    return pairs, rows.select(F.col("doc_id").alias(id_col), F.when(some, F.col("node")).alias("class"), F.when(some, F.col("n_links")).otherwise(F.lit(0).cast("long")).alias("n_links"))
