@@ -1,183 +1,307 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing (operator 10).
 
 Vectors are scaled to length 1, so the largest cosine is the smallest distance. Each of TABLES tables hashes a vector by
-HASHES projections on normal (2-stable) directions, each cut into cells of WIDTH. A query visits, in each table, its own
+some projections on normal (2-stable) directions, each cut into cells of one width. A query visits, in each table, its own
 cell and the perturbed ones (a cell up or down in some projections) in the order of their estimated success: the sum of
-the squared distances to the cell walls that are crossed. In a cell the exact cosines of all its vectors are computed and
-the best kept; the tables' results merge into the answer. A query that finds too few visits all cells of one table.
+the squared distances to the cell walls that are crossed. In a cell the cosines of all its vectors are computed, the best
+ones again exactly, and the tables' results merge into the answer. A query that finds too few is held against all rows.
 
-Index rows and probes meet by cell. A cell with many vectors is dealt out by vector id and its probes go to each part.
+Settings are fitted on a bounded sample: QUERIES of the queries are held against all rows, and ROWS rows tell what share of
+the table a query visits. The number of projections is tried from the logarithm of the number of rows downward, each with
+the least number of probes that finds RECALL of the sample's neighbours; the setting that visits least counts. All rows
+are indexed and all queries asked. As rows grow, cells get smaller and the share visited falls.
+
+Index rows and probes meet by cell. A cell with many vectors is dealt out by vector id and its probes go to each part; a
+query's vector goes to a task once, with the list of the cells that it visits there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from dataclasses import dataclass
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.hashing import mixed
+from lodestar.llm.memory import released, tidy
 from lodestar.llm.tables import partitions, written
 
-TABLES, HASHES, WIDTH, PROBES, SEED = 4, 6, 2.0, 60, 20
-PART, BASE = 4000, 64
-BROADCAST_ROWS = 20_000
-PERTURBED = np.array(sorted(product((-1, 0, 1), repeat=HASHES), key=lambda p: sum(map(abs, p))))
-CELLS = "tab int, cell long, id long, vec array<double>"
+TABLES, SEED, PART = 8, 20, 4000
+QUERIES, ROWS, RECALL, MOST_PROBES = 100, 2000, 0.95, 1500
+U = np.uint64
+CELLS = "cell long, id long, size int"
+
+
+@dataclass(frozen=True)
+class Settings:
+    """hashes: projections of a table; recall and share: of the sample."""
 
+    hashes: int = 6
+    width: float = 2.0
+    probes: int = 60
+    recall: float = 0.0
+    share: float = 1.0
 
-def directions(table: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+
+def directions(table: int, size: int, hashes: int, width: float) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, table, size])
-    return rng.normal(size=(size, HASHES)), rng.uniform(0, WIDTH, HASHES)
+    return rng.normal(size=(hashes, size)).T, rng.uniform(0, 1, hashes) * width
+
 
+def perturbed(hashes: int) -> np.ndarray:
+    """Steps in at most 4 projections (3 if there are more than 10), none first."""
+    out = [np.zeros((1, hashes), np.int8)]
+    for k in range(1, min(hashes, 4 if hashes <= 10 else 3) + 1):
+        at, signs = np.array(list(combinations(range(hashes), k))), np.array(list(product((-1, 1), repeat=k)), np.int8)
+        block = np.zeros((len(at), len(signs), hashes), np.int8)
+        np.put_along_axis(block, np.broadcast_to(at[:, None, :], (len(at), len(signs), k)), np.broadcast_to(signs, (len(at), len(signs), k)), 2)
+        out.append(block.reshape(-1, hashes))
+    return np.concatenate(out)
 
-def key(cells: np.ndarray, size: int) -> np.ndarray:
-    """One long for the cell's coordinates and the vectors' length."""
-    out = np.full(cells.shape[:-1], size, np.int64)
-    for i in range(HASHES):
-        out = out * BASE + np.clip(cells[..., i] + BASE // 2, 0, BASE - 1)
-    return out
+
+def key(cells: np.ndarray, table: int, size: int) -> np.ndarray:
+    """One long for the table, the vectors' size and the cell's coordinates."""
+    h = np.full(cells.shape[:-1], size << 16 | table, U)
+    for i in range(cells.shape[-1]):
+        h = mixed(h ^ cells[..., i].astype(np.int64).view(U))
+    return h.view(np.int64)
 
 
 def by_size(vectors: list) -> Iterator[tuple[int, list[int], np.ndarray]]:
-    """Usable vectors by their number of components: places and the matrix."""
+    """Usable vectors by their number of components: places and the matrix, each row divided by a power of two so that its
+    largest component is between 1/2 and 1 (no square overflows, and cosines stay what they are)."""
     groups: dict[int, list[int]] = {}
     for i, v in enumerate(vectors):
         if v is not None and len(v) and all(x is not None for x in v):
             groups.setdefault(len(v), []).append(i)
     for size, at in groups.items():
         x = np.array([vectors[i] for i in at], np.float64)
-        with np.errstate(over="ignore"):
-            good = np.isfinite(x).all(axis=1) & ((x * x).sum(axis=1) > 0) & np.isfinite((x * x).sum(axis=1))
+        good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
         if good.any():
-            yield size, [i for i, g in zip(at, good, strict=True) if g], x[good]
+            x = x[good]
+            _, power = np.frexp(np.abs(x).max(axis=1))
+            half = power // 2  # in two steps, as 2^-power itself may not be finite
+            yield size, [i for i, g in zip(at, good, strict=True) if g], np.ldexp(np.ldexp(x, -half[:, None]), (half - power)[:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
 
+def places(x: np.ndarray, table: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of unit vectors, and how far above its cell's lower wall each projection is."""
+    a, b = directions(table, x.shape[1], s.hashes, s.width)
+    f = (x @ a + b) / s.width
+    cell = np.floor(f)
+    return cell.astype(np.int64), (f - cell) * s.width
 
-def hashed(df: DataFrame, probes: int) -> DataFrame:
-    """A row for each table and each visited cell of every usable vector; probes = 0: its own cell only."""
 
+def probed(x: np.ndarray, table: int, s: Settings, steps: np.ndarray) -> np.ndarray:
+    """Keys of the visited cells of unit vectors, the likeliest first: a row for each vector."""
+    out = []
+    for at in range(0, len(x), 200):
+        cell, low = places(x[at : at + 200], table, s)
+        cost = np.stack([low**2, np.zeros_like(low), (s.width - low) ** 2], axis=-1)
+        score = sum(cost[:, i, steps[:, i] + 1] for i in range(s.hashes))
+        order = np.argsort(score, axis=1, kind="stable")[:, : s.probes]
+        out.append(key(cell[:, None, :] + steps[order], table, x.shape[1]))
+    return np.concatenate(out)
+
+
+def hashed(df: DataFrame, s: Settings, kind: str, asking: bool) -> DataFrame:
+    """Of every usable vector a row for its cell in each table with the vector (as bytes of kind), or, asking, a row for
+    each visited cell without it."""
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = perturbed(s.hashes)
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
                 batch = whole.slice(begin, 1000)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for size, at, x in by_size(batch.column(1).to_pylist()):
-                    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    rows = pa.array(list(x), pa.list_(pa.float64()))
+                    u, rows = unit(x), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
                     for t in range(TABLES):
-                        a, b = directions(t, size)
-                        f = (unit @ a + b) / WIDTH
-                        cell = np.floor(f).astype(np.int64)
-                        if not probes:
-                            visited, n = key(cell, size), 1
+                        visited = probed(u, t, s, steps) if asking else key(places(u, t, s)[0], t, size)[:, None]
+                        own = np.repeat(np.arange(len(at)), visited.shape[1])
+                        columns = [pa.array(visited.ravel(), pa.int64()), pa.array(ids[at][own], pa.int64()), pa.array(np.full(len(own), size), pa.int32())]
+                        if asking:
+                            yield pa.RecordBatch.from_arrays(columns, names=["cell", "id", "size"])
                         else:
-                            low = (f - cell) * WIDTH
-                            cost = np.stack([low**2, np.zeros_like(low), (WIDTH - low) ** 2], axis=-1)
-                            score = sum(cost[:, i, PERTURBED[:, i] + 1] for i in range(HASHES))
-                            order = np.argsort(score, axis=1, kind="stable")[:, :probes]
-                            visited, n = key(cell[:, None, :] + PERTURBED[order], size).ravel(), order.shape[1]
-                        own = np.repeat(np.arange(len(at)), n)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t), pa.int32()), pa.array(visited, pa.int64()), pa.array(ids[at][own], pa.int64()), rows.take(pa.array(own))], names=["tab", "cell", "id", "vec"])
+                            yield pa.RecordBatch.from_arrays([*columns, rows, pa.array(np.full(len(own), t), pa.int32())], names=["cell", "id", "size", "vec", "tab"])
 
-    return df.mapInArrow(run, CELLS)
+    return df.mapInArrow(run, CELLS if asking else f"{CELLS}, vec binary, tab int")
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy().reshape(len(flat), -1)
+def usable(df: DataFrame, kind: str) -> DataFrame:
+    """id, size, vec (bytes of kind) of the usable vectors."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1000):
+                batch = whole.slice(begin, 1000)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for size, at, x in by_size(batch.column(1).to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array([size] * len(at), pa.int32()), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())], names=["id", "size", "vec"])
+
+    return df.mapInArrow(run, "id long, size int, vec binary")
+
+
+def matrix(column: pa.ChunkedArray | pa.Array | list, kind: str, size: int) -> np.ndarray:
+    values = column if isinstance(column, list) else column.to_pylist()
+    return np.frombuffer(b"".join(values), kind).reshape(-1, size).astype(np.float64)
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """All cosines, each summed in the same order whatever the block, so that equal vectors get equal scores."""
-    dot = np.zeros((len(q), len(x)))
-    for d in range(q.shape[1]):
-        dot += q[:, d, None] * x[None, :, d]
-    length = [np.zeros(len(m)) for m in (q, x)]
-    for n, m in zip(length, (q, x), strict=True):
-        for d in range(m.shape[1]):
-            n += m[:, d] * m[:, d]
-    return np.clip(dot / (np.sqrt(length[0])[:, None] * np.sqrt(length[1])[None, :]), -1.0, 1.0)
-
-
-def merged(index: DataFrame, asked: DataFrame, k: int, bins: int) -> DataFrame:
-    """query, vec_id, score: the k best of each query in each bin of cells."""
-
-    def meet(found: pa.Table, probes: pa.Table) -> pa.Table:
-        best: dict[int, dict[int, float]] = {}
-        if found.num_rows and probes.num_rows:
-            a, b = (t.sort_by([("tab", "ascending"), ("cell", "ascending"), ("part", "ascending"), ("id", "ascending")]) for t in (found, probes))
-            keys = [list(zip(t.column("tab").to_pylist(), t.column("cell").to_pylist(), t.column("part").to_pylist(), strict=True)) for t in (a, b)]
-            places: list[dict] = []
-            for own in keys:
-                at: dict = {}
-                for i, cell in enumerate(own):
-                    lo, _ = at.get(cell, (i, i))
-                    at[cell] = lo, i + 1
-                places.append(at)
-            ids, asking = a.column("id").to_numpy(), b.column("id").to_numpy()
-            for cell, (lo, hi) in places[1].items():
-                if cell not in places[0]:
-                    continue
-                s, e = places[0][cell]
-                x, vec_ids = matrix(a.column("vec").slice(s, e - s)), ids[s:e]
-                fresh = np.concatenate([[True], (vec_ids[1:] != vec_ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)])
-                x, vec_ids = x[fresh], vec_ids[fresh]
-                for begin in range(lo, hi, 500):
-                    end = min(begin + 500, hi)
-                    score = cosines(matrix(b.column("vec").slice(begin, end - begin)), x)
-                    for row, q in zip(score, asking[begin:end].tolist(), strict=True):
-                        mine = best.setdefault(q, {})
-                        many = k + 1
-                        if len(row) > many:
-                            least = np.partition(row, len(row) - many)[len(row) - many]
-                            chosen = np.flatnonzero(row >= least)
-                        else:
-                            chosen = np.arange(len(row))
-                        chosen = chosen[vec_ids[chosen] != q]
-                        chosen = chosen[np.lexsort((vec_ids[chosen], -row[chosen]))][:k]
-                        for i in chosen.tolist():
-                            v = int(vec_ids[i])
-                            mine[v] = max(mine.get(v, -2.0), float(row[i]))
-                        if len(mine) > 8 * k:
-                            best[q] = dict(sorted(mine.items(), key=lambda y: (-y[1], y[0]))[:k])
-        rows = [(q, v, s) for q, own in best.items() for v, s in sorted(own.items(), key=lambda y: (-y[1], y[0]))[:k]]
-        return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
-
-    binned = [t.withColumn("bin", F.pmod(F.xxhash64("tab", "cell", "part"), F.lit(bins))).groupBy("bin") for t in (index, asked)]
-    return binned[0].cogroup(binned[1]).applyInArrow(meet, "query_id long, vec_id long, score double")
-
-
-def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES) -> DataFrame:
+    """The cosine of a row with each of x, all summed in the same order, so that equal vectors get equal scores."""
+    dot, a, b = np.zeros(len(x)), np.float64(0), np.zeros(len(x))
+    for d in range(len(q)):
+        dot += q[d] * x[:, d]
+        a += q[d] * q[d]
+        b += x[:, d] * x[:, d]
+    return np.clip(dot / (np.sqrt(a) * np.sqrt(b)), -1.0, 1.0)
+
+
+def best_of(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, near: np.ndarray, k: int) -> list[tuple[int, float]]:
+    """The k largest exact cosines among the rows of x that have other ids, ties to the smaller id. near: the rows' cosines
+    but for rounding; a row may come up once for each table."""
+    many = (TABLES + 1) * (k + 1)
+    at = np.flatnonzero(near >= np.partition(near, len(near) - many)[len(near) - many] - 1e-9) if len(near) > many else np.arange(len(near))
+    at = at[ids[rows[at]] != own]
+    if len(at) < len(near) and len(np.unique(ids[rows[at]])) < k:  # rows of one id crowd out others
+        at = np.flatnonzero(ids[rows] != own)
+    at = rows[at]
+    _, first = np.unique(ids[at], return_index=True)
+    alone = at[first] if len(first) < len(at) and (x[at] == x[at[first]][np.searchsorted(ids[at[first]], ids[at])]).all() else at
+    score = cosines(q, x[alone])
+    out: dict[int, float] = {}
+    for i in np.lexsort((ids[alone], -score)).tolist():
+        out.setdefault(int(ids[alone[i]]), float(score[i]))
+        if len(out) == k:
+            break
+    return list(out.items())
+
+
+def meeting(index: DataFrame, asked: DataFrame, queries: DataFrame, k: int, bins: int, kind: str) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query in each bin of slots. index: slot, id, size, vec; asked: slot, id,
+    size; queries: id, size, vec."""
+    bin_of = F.pmod(F.xxhash64("slot"), F.lit(bins))
+    lists = asked.groupBy(bin_of.alias("bin"), "id", "size").agg(F.collect_list("slot").alias("slots"))  # at most what one query visits
+    sent = lists.join(queries, ["id", "size"]).select("bin", "id", "size", "slots", "vec")
+
+    def meet(found: pa.Table, asking: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        sizes, asked_sizes = (t.column("size").to_numpy() for t in (found, asking))
+        for size in np.intersect1d(sizes, asked_sizes).tolist():
+            own, some = (t.filter(pa.array(n == size)) for t, n in ((found, sizes), (asking, asked_sizes)))
+            order = np.argsort(own.column("slot").to_numpy(), kind="stable")
+            slot, ids = own.column("slot").to_numpy()[order], own.column("id").to_numpy()[order]
+            x = matrix(own.column("vec").take(pa.array(order, pa.int64())), kind, size)
+            u, q = unit(x), matrix(some.column("vec"), kind, size)
+            first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            slots, last = slot[first], np.append(first[1:], len(slot))
+            for asker, v, uv, wanted in zip(some.column("id").to_pylist(), q, unit(q), some.column("slots").to_pylist(), strict=True):
+                wanted = np.unique(np.array(wanted, np.int64))
+                at = np.minimum(np.searchsorted(slots, wanted), len(slots) - 1)
+                at = at[slots[at] == wanted]
+                n = last[at] - first[at]
+                rows = np.arange(n.sum()) + np.repeat(first[at] - np.cumsum(n) + n, n)  # all rows of the cells
+                if len(rows):
+                    out += [(asker, i, score) for i, score in best_of(v, asker, x, ids, rows, u[rows] @ uv, k)]
+        if found.num_rows > 20_000:
+            released(False)
+        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())})
+
+    return index.withColumn("bin", bin_of).groupBy("bin").cogroup(sent.groupBy("bin")).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+
+def fitted(rows: DataFrame, queries: DataFrame, k: int, kind: str) -> tuple[Settings, int]:
+    """Settings from a bounded sample, and the number of usable rows."""
+    by_hash = lambda t, n: t.orderBy(F.xxhash64("id", "vec"), "id").limit(n).collect()
+    asked, some, n = by_hash(queries, QUERIES), by_hash(rows, ROWS), rows.count()
+    if not asked or n < 2:
+        return Settings(), n
+    size = max({r["size"] for r in asked}, key=lambda s: sum(r["size"] == s for r in asked))  # the commonest
+    asked, some = [r for r in asked if r["size"] == size], [r for r in some if r["size"] == size]
+    ids, q = [r["id"] for r in asked], matrix([r["vec"] for r in asked], kind, size)
+    uq = unit(q)
+
+    @tidy
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, vec = batch.column("id").to_numpy(), batch.column("vec")
+                score = uq @ unit(matrix(vec, kind, size)).T
+                score[np.array(ids)[:, None] == own[None, :]] = -2
+                at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                qi = np.repeat(np.arange(len(ids)), at.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(qi, pa.int32()), pa.array(np.take_along_axis(score, at, 1).ravel()), vec.take(pa.array(at.ravel(), pa.int64()))], names=["q", "s", "vec"])
+
+    found = rows.where(F.col("size") == size).mapInArrow(nearest, "q int, s double, vec binary").where("s > -2")
+    top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec"))).where(F.col("r") <= k).select("q", "vec").collect()  # at most k for each of QUERIES
+    if not top:
+        return Settings(), n
+    of, near = np.array([r["q"] for r in top]), unit(matrix([r["vec"] for r in top], kind, size))
+    sample = unit(matrix([r["vec"] for r in some], kind, size)) if some else near
+    apart = np.sqrt(np.maximum(0, 2 - 2 * uq @ sample.T))
+    width = 1.4 * float(np.median(apart)) or 1.0
+    best = None
+    most = int(min(16, max(3, round(np.log2(n)) - 6)))
+    for hashes in range(most, max(2, most - 4), -1):
+        s, steps = Settings(hashes, width, MOST_PROBES), perturbed(hashes)
+        rank = np.full(len(of), len(steps) + MOST_PROBES)
+        cells = []
+        for t in range(TABLES):
+            visited, goal = probed(uq, t, s, steps), key(places(near, t, s)[0], t, size)
+            hit = visited[of] == goal[:, None]
+            rank = np.minimum(rank, np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, rank))
+            cells.append((visited, key(places(sample, t, s)[0], t, size)))
+        probes = int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(RECALL * len(rank))) - 1)])
+        probes = min(probes, MOST_PROBES)
+        met = np.zeros((len(uq), len(sample)), bool)
+        for visited, own in cells:
+            for i in range(len(uq)):
+                met[i] |= np.isin(own, visited[i, :probes])
+        s = Settings(hashes, width, probes, float((rank <= probes).mean()), float(met.mean()))
+        if best is None or (s.recall >= RECALL, -s.share if s.recall >= RECALL else s.recall) > (best.recall >= RECALL, -best.share if best.recall >= RECALL else best.recall):
+            best = s
+    return best, n
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest rows found, by cosine, ties to the smaller id.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows with a null
-    id; only vectors with as many components meet. A query never finds rows of its own id. Rows of one id count as one,
-    with its best score. If fewer than k others can be found, all are returned. Other columns are left out.
+    id; finite ones do, however large or small; only vectors with as many components meet. A query never finds rows of
+    its own id. Rows of one id count as one, with its best score. If fewer than k others can be found, all are returned.
+    Other columns are left out.
     """
-    take = lambda t: t.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
-    index = written(hashed(take(df), 0))
+    kind = "<f4" if df.schema[vector_col].dataType.simpleString() == "array<float>" == queries.schema[vector_col].dataType.simpleString() else "<f8"
+    element = "float" if kind == "<f4" else "double"
+    take = lambda t: t.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("v"))
+    vectors, asking = written(usable(take(df), kind)), written(usable(take(queries), kind))
+    s, n = fitted(vectors, asking, k, kind)
+    s = settings or s
+    index = written(hashed(take(df), s, kind, False))
+    parts = F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")
+    large = written(index.groupBy("cell").agg(parts).where("parts > 1"))
     tasks = partitions(df.sparkSession)
-    large = written(index.groupBy("tab", "cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).where("parts > 1"))
-    if large.count() <= BROADCAST_ROWS:
-        large = F.broadcast(large)
-    parted = index.join(large, ["tab", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    rows = index.where("tab = 0").count()
-    bins = max(2 * tasks, rows * TABLES // 50_000)
-
-    def ask(cells: DataFrame) -> DataFrame:
-        return cells.join(large, ["tab", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-
-    asked = hashed(take(queries), probes)
-    found = written(merged(parted, ask(asked), k, bins).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    bins = max(2 * tasks, n * TABLES // 50_000)
+    slot = lambda part: F.when(F.col("parts").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", part))
+    rows = index.join(large, "cell", "left").withColumn("slot", slot(F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))).select("slot", "id", "size", "vec")
+    probes = hashed(take(queries), s, kind, True).join(large, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).select(slot(F.col("part")).alias("slot"), "id", "size")
+    found = written(meeting(rows, probes, asking, k, bins, kind).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    own = hashed(take(queries), 0).where("tab = 0").select("id", "vec")
-    few = written(own.join(counts.withColumnRenamed("query_id", "id"), "id", "left").where(F.coalesce("n", F.lit(0)) < k).select("id", "vec"))
-    if rows > 1 and not few.isEmpty():
-        cells = [r["cell"] for r in index.where("tab = 0").select("cell").distinct().collect()]  # cells of one table: bounded by BASE, HASHES and the unit length
-        known = F.array(*[F.lit(c) for c in cells])
-        everywhere = few.withColumn("tab", F.lit(0)).withColumn("cell", F.explode(F.filter(known, lambda c: F.floor(c / BASE**HASHES) == F.size("vec")))).select("tab", "cell", "id", "vec")
-        found = found.unionByName(merged(parted.where("tab = 0"), ask(everywhere), k, bins)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    few = written(asking.join(counts.withColumnRenamed("query_id", "id"), "id", "left").where(F.coalesce("n", F.lit(0)) < k).select("id", "size", "vec"))
+    if n > 1 and not few.isEmpty():  # these few against all rows, in blocks
+        blocks = max(1, n // PART)
+        dealt = vectors.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).select("slot", "id", "size", "vec")
+        everywhere = few.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("slot"), "id", "size")
+        found = found.unionByName(meeting(dealt, everywhere, few, k, blocks, kind)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
