@@ -2,46 +2,59 @@
 
 Base rules count words, symbols, repeated lines and repeated 8-word windows. The method's verdict compares two
 histograms of a text with its language's reference, by Jensen-Shannon distance (base 2, 0 to 1): of character classes
-and of common words. References are sums over all texts of a language. A histogram of too few characters or words
-isn't judged. A text without a single common word has a distance that depends on its language's reference alone, so a
-text that lacks them is held against a share of that distance.
+and of common words. A language's common words are the COMMON most frequent words of letters in all its texts, and its
+references are sums over all of them. A histogram of too few characters or words isn't judged. A text without a single
+common word has a distance that depends on its language's reference alone, so a text that lacks them is held against a
+share of that distance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.tables import written
 
-#: Common words by language; the histogram has one more class for all other words.
-COMMON_WORDS = {
-    "de": ("auf", "das", "dem", "den", "der", "des", "die", "ein", "eine", "für", "ich", "in", "ist", "mit", "nicht", "sich", "sie", "und", "von", "zu"),
-    "en": ("a", "and", "as", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"),
-    "es": ("a", "al", "con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "no", "para", "por", "que", "se", "su", "un", "una", "y"),
-    "fr": ("au", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "la", "le", "les", "ne", "pas", "pour", "que", "qui", "un", "une"),
-}
-WORDS = tuple(sorted({w for own in COMMON_WORDS.values() for w in own}))
-REST = "-"  # never a common word
+COMMON = 40
+#: So many languages' references are broadcast at most, a few KB each; of more Spark chooses the join.
+BROADCAST_LANGUAGES = 2000
 CLASSES = ("upper", "digit", "symbol", "mark", "space", "rest")
 SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A table of a row for each language, to be broadcast if there are few of them."""
+    return F.broadcast(df) if df.count() <= BROADCAST_LANGUAGES else df
+
+
 def pairs_of(values: Column, by: int) -> Column:
     """Hashes of each value with the one `by` places on."""
     n = F.greatest(F.size(values) - by, F.lit(0))
     return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(1 + by), n), lambda a, b: F.xxhash64(a, b))
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def common_words(source: DataFrame, most: int = COMMON) -> DataFrame:
+    """lang, own: each language's most frequent words that are made of letters, ties to the smaller word."""
+    words = source.select("lang", F.explode(words_of(F.lower("text"))).alias("word"))
+    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("word").rlike(r"^\p{L}+$"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return counts.withColumn("r", rank).where(F.col("r") <= most).groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("own"))
+
+
 def measures(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
-    """id, lang, the base counts, the character classes' counts and those of the common words there are."""
+    """id, lang, the base counts, the character classes' counts and those of the language's common words that there are."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    source = df.select(F.col(id_col).alias("id"), F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit("")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    raw = df.select(F.col(id_col).alias("id"), F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = raw.join(small(written(common_words(raw))), "lang", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     # Java's \s class is exactly these six characters.
-    a = source.select("id", "lang", F.char_length("text").alias("n_chars"), (F.char_length("text") - F.char_length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).alias("n_symbols"), lines.alias("lines"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
-    b = a.select("id", "lang", "n_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.array_join("words", "").alias("joined"), F.transform("words", lambda w: F.xxhash64(w)).alias("h1"), F.filter(F.transform("words", F.lower), lambda w: w.isin(*WORDS)).alias("common"))
+    a = source.select("id", "lang", "own", F.char_length("text").alias("n_chars"), (F.char_length("text") - F.char_length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).alias("n_symbols"), lines.alias("lines"), words_of(F.col("text")).alias("words"))
+    b = a.select("id", "lang", "n_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.array_join("words", "").alias("joined"), F.transform("words", lambda w: F.xxhash64(w)).alias("h1"), F.filter(F.transform("words", F.lower), lambda w: F.array_contains("own", w)).alias("common"))
     count = lambda pattern: (F.char_length("joined") - F.char_length(F.regexp_replace("joined", pattern, ""))).cast("long")
     c = b.select("id", "lang", "n_words", "n_dup_lines", F.col("n_symbols").cast("long").alias("n_symbols"), F.char_length("joined").cast("long").alias("word_chars"), (F.col("n_chars") - F.char_length("joined")).cast("long").alias("space"), count(r"\p{Lu}+").alias("upper"), count(r"\p{Nd}+").alias("digit"), count(r"[\p{P}\p{S}]+").alias("mark"), "common", F.array_distinct("common").alias("kinds"), pairs_of(F.col("h1"), 1).alias("h2"))
     d = c.select("*", pairs_of(F.col("h2"), 2).alias("h4")).drop("h2")
@@ -77,7 +90,7 @@ def references(found: DataFrame) -> DataFrame:
     whole = sum((F.sum(c) for c in CLASSES[1:]), F.sum(CLASSES[0]))
     chars = found.groupBy("lang").agg(*[share(F.sum(c), whole).alias(f"q_{c}") for c in CLASSES], F.sum("n_words").alias("all_words"), F.sum("n_common").alias("all_common"))
     words = found.select("lang", F.explode("counts").alias("c")).groupBy("lang", "c.word").agg(F.sum("c.n").alias("n"))
-    per = words.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("ns"))  # at most one entry for each of WORDS
+    per = words.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("ns"))  # at most COMMON entries
     joined = chars.join(per, "lang", "left").withColumn("ns", F.coalesce("ns", F.create_map().cast("map<string,bigint>")))
     return joined.select("lang", *[f"q_{c}" for c in CLASSES], F.transform_values("ns", lambda _, n: share(n, F.col("all_words"))).alias("q_words"), share(F.col("all_words") - F.col("all_common"), F.col("all_words")).alias("q_other"))
 
@@ -91,22 +104,22 @@ def judge(
     max_repeat_percent: int = 30,
     min_chars: int = 200,
     max_char_distance: float = 0.28,
-    min_judged_words: int = 60,
+    min_judged_words: int = 40,
     max_word_distance: float = 0.45,
-    max_lack_share: float = 0.7,
-    min_common_share: float = 0.4,
+    max_lack_share: float = 0.6,
+    min_common_share: float = 0.3,
 ) -> DataFrame:
     """One row per row: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
     word_distance, kept.
 
-    A null text counts as empty: all counts are 0 and the base rules fail. A row of null or unknown language is held
-    against the reference of all such rows. Distances of texts below min_chars or min_judged_words are null and don't
+    A null text counts as empty: all counts are 0 and the base rules fail. A row of null language is held against
+    the reference of all such rows, any other against that of its language. Distances of texts below min_chars or min_judged_words are null and don't
     count. A text fails by its words if their distance is above max_word_distance, or if it is above max_lack_share of the
     distance of a text without common words while its share of common words is below min_common_share of the
     reference's; the second condition keeps short texts, whose distance is large by chance. Rows of one id are judged one by one. Other columns are left out. An empty table gives no rows.
     """
     found = written(measures(df, id_col, text_col, lang_col))
-    own = found.join(F.broadcast(references(found)), "lang", "left")  # one row for each key of COMMON_WORDS, and one
+    own = found.join(small(written(references(found))), "lang", "left")
     total = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
     chars = sum((term(share(F.col(c), total), F.col(f"q_{c}")) for c in CLASSES[1:]), term(share(F.col(CLASSES[0]), total), F.col(f"q_{CLASSES[0]}")))
     n = F.col("n_words")
