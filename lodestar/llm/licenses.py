@@ -1,9 +1,11 @@
 """License scans (operator 4), in DataFrame functions only.
 
-Every line of a file is a possible header notice; a licence file's whole text is one more. Units are compared with the
+Every line of a file is a possible notice; a licence file's whole text is one more. So are runs of 2 to HEADER_LINES lines,
+which are held against the licences' headers, whose words break over lines as they like. Units are compared with the
 templates by cosine of TF-IDF vectors. Only the templates' terms have an inverse document frequency, counted over all
 files; other terms weigh 1. A unit can reach the least score only if it holds one of a template's heaviest terms (those
-without which the rest of the template is too short a vector), so only such units are split into terms.
+without which the rest of the template is too short a vector), and a run of lines only if it holds as many of a header's
+terms as its heaviest ones need, so only such units are split into terms.
 
 A licence file's whole text is compared with the licences' full texts as well, with document frequencies of these texts;
 a tag SPDX-License-Identifier with one known identifier names its licence outright. Both go before notices, as a full
@@ -45,6 +47,19 @@ TEMPLATES = [
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public"),
 ]
+#: Headers of several lines by SPDX identifier.
+HEADERS = [
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+]
+HEADER_LINES = 5
 #: Full texts by SPDX identifier: one file each.
 TEXTS = Path(__file__).parent / "license_texts"
 #: Identifiers that SPDX has replaced.
@@ -120,7 +135,7 @@ def directory(path: Column) -> Column:
 def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, path_col: str = "path", id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """One row per row: id_col, path, own_license, own_score, license, inherited_from.
 
-    own_license is the template of largest cosine (of equal ones the first identifier) over the file's units if that is
+    own_license is the template of largest cosine (of equal ones the first in the lists) over the file's units if that is
     at least `least`, else null with a null score; a licence file's full text and SPDX tags (score 1) go before notices. license is own_license, or that of the nearest directory above (its
     own included) with a licence file that has one; of several licence files in a directory the smallest path counts,
     and inherited_from is its path. A null text has no units, a null path no directory. Rows of one id are one file
@@ -128,9 +143,10 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, path_col:
     rows.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    names = [name for name, _ in templates]
+    headers = HEADERS if templates is TEMPLATES else []
+    names = [name for name, _ in [*templates, *headers]]
     allowed = sorted({*names, *(full_texts()[0] if templates is TEMPLATES else [])})
-    count = [terms_of(text) for _, text in templates]
+    count = [terms_of(text) for _, text in [*templates, *headers]]
     vocabulary = sorted({t for own in count for t in own})
     words = F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), F.array(*[F.lit(t) for t in vocabulary]))
     # One row for each term of the templates, and one for the number of files.
@@ -141,21 +157,40 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, path_col:
     for own in count:
         length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items()))
         vectors.append({t: n * idf[t] / length for t, n in own.items()})
-    heavy = sorted({t for v in vectors for t in heaviest(v, least)})
-    any_heavy = rf"(^|[^a-z0-9])({'|'.join(heavy)})($|[^a-z0-9])"
+    pattern = lambda own: rf"(^|[^a-z0-9])({'|'.join(sorted({t for v in own for t in heaviest(v, least)})) or '(?!)'})($|[^a-z0-9])"
+    any_heavy, header_heavy = pattern(vectors), pattern(vectors[len(templates) :])
 
     base = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\..*$", "")
     # A file that holds no heavy term has no unit that could match.
     files = source.withColumn("whole", F.coalesce(base.isin(*LICENSE_FILES), F.lit(False)))
     held = files.where(F.lower("text").rlike(any_heavy))
-    pieces = F.filter(F.transform(F.split("text", "\n"), F.lower), lambda x: x.rlike(any_heavy))
-    units = held.select("id", "path", "whole", F.explode(F.array_distinct(F.when(F.col("whole"), F.concat(F.array(F.lower("text")), pieces)).otherwise(pieces))).alias("unit")).select("id", "path", "whole", F.xxhash64("unit").alias("u"), F.regexp_extract_all("unit", F.lit(TERM), F.lit(0)).alias("terms"))
-    single = units.select("id", "path", "whole", "u", F.explode("terms").alias("term")).groupBy("id", "path", "whole", "u", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.coalesce(F.create_map(*[F.lit(x) for t in vocabulary for x in (t, idf[t])])[F.col("term")], F.lit(1.0)) * F.col("tf")
-    scored = single.withColumn("w", weight)
-    dots = [F.sum(F.col("w") * F.coalesce(F.create_map(*[F.lit(x) for t, v in own.items() for x in (t, v)])[F.col("term")], F.lit(0.0))).alias(f"d{i}") for i, own in enumerate(vectors)]
-    cosines = scored.groupBy("id", "path", "whole", "u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), *dots)
-    rows = F.array(*[ranked(0, F.round(F.col(f"d{i}") / F.col("length"), 9), i, F.lit(name)) for i, name in enumerate(names)])
+    lines = F.transform(F.split("text", "\n"), F.lower)
+    pieces = F.filter(lines, lambda x: x.rlike(any_heavy))
+    explode = lambda units: held.select("id", "path", "whole", F.explode(F.array_distinct(units)).alias("unit"))
+    terms = F.regexp_extract_all("unit", F.lit(TERM), F.lit(0))
+    units = explode(F.when(F.col("whole"), F.concat(F.array(F.lower("text")), pieces)).otherwise(pieces)).withColumn("first", F.lit(0)).withColumn("terms", terms)
+    if headers:
+        runs = [F.transform(F.sequence(F.lit(0), F.greatest(F.size("ls") - n, F.lit(-1))), lambda i, n=n: F.array_join(F.slice("ls", F.greatest(i, F.lit(0)) + 1, n), "\n")) for n in range(2, HEADER_LINES + 1)]
+        run = held.where(F.lower("text").rlike(header_heavy)).select("id", "path", "whole", lines.alias("ls")).where("size(ls) > 1").select("id", "path", "whole", F.explode(F.array_distinct(F.filter(F.flatten(F.array(*runs)), lambda x: x.rlike(header_heavy)))).alias("unit")).withColumn("terms", terms)
+        # The fewest of a header's terms, heaviest first, that are as long as a similar unit's share of it must be.
+        enough = F.lit(False)
+        for v in vectors[len(templates) :]:
+            need, total = 0, 0.0
+            for w in sorted(v.values(), reverse=True):
+                if total >= least * least:
+                    break
+                need, total = need + 1, total + w * w
+            enough = enough | (F.size(F.array_intersect("terms", F.array(*[F.lit(t) for t in sorted(v)]))) >= need)
+        units = units.unionByName(run.where(enough).withColumn("first", F.lit(len(templates))))
+    units = units.select("id", "path", "whole", "first", F.xxhash64("unit", "first").alias("u"), "terms")
+    single = units.select("id", "path", "whole", "first", "u", F.explode("terms").alias("term")).groupBy("id", "path", "whole", "first", "u", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weights = json.dumps([{"term": t, "idf": idf[t], "ws": [v.get(t, 0.0) for v in vectors]} for t in vocabulary])
+    table = source.sparkSession.range(1).select(F.inline(F.from_json(F.lit(weights), "array<struct<term string, idf double, ws array<double>>>")))
+    scored = single.join(F.broadcast(table), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))  # a row for each term of the templates
+    dots = [F.sum(F.col("w") * F.coalesce(F.col("ws")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(vectors))]
+    cosines = scored.groupBy("id", "path", "whole", "first", "u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), *dots)
+    # Runs of lines count for headers only.
+    rows = F.array(*[F.when(F.col("first") <= i, ranked(0, F.round(F.col(f"d{i}") / F.col("length"), 9), i, F.lit(name))) for i, name in enumerate(names)])
     notices = cosines.select("id", "path", "whole", F.array_max(rows).alias("best")).where(F.col("best.score") >= least)
     matches = notices.unionByName(of_texts(files, least, allowed)).unionByName(of_tags(files, allowed))
     best = matches.groupBy("id", "path", "whole").agg(F.max("best").alias("best"))
@@ -167,6 +202,6 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, path_col:
     above = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
     reached = directories.select("dir", F.explode(above).alias("above")).join(given, "above").groupBy("dir").agg(F.max_by("from", F.char_length("above")).alias("from"))
     every = source.select("id", "path", directory(F.col("path")).alias("dir"))
-    found = every.join(own.select(F.col("id").alias("i"), F.col("path").alias("p"), "own_license", "own_score"), F.col("id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("i", "p")
-    joined = found.join(written(reached), "dir", "left")
+    found = every.join(own.select(F.col("id").alias("i"), F.col("path").alias("p"), "own_license", "own_score").hint("merge"), F.col("id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("i", "p")
+    joined = found.join(written(reached).hint("merge"), "dir", "left")  # both grow with the input: never broadcast
     return joined.select(F.col("id").alias(id_col), "path", "own_license", "own_score", F.coalesce("own_license", "from.own_license").alias("license"), F.when(F.col("own_license").isNull(), F.col("from.path")).alias("inherited_from"))
