@@ -43,7 +43,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 #: The rules of the query.
@@ -91,4 +91,58 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < keeper THEN '
 FROM paid LEFT JOIN kept USING (payload_digest)
 """
 
-ORACLE: dict[str, str] = {"op3_warc": WARC_SQL, "op6_url_filter": URL_SQL}
+WORD_RE = r"[^\x20\x09-\x0D]+"
+SUBSTRING_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_RE}') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS k FROM w, unnest(range(1, len(ws) - 18)) AS t(i) WHERE len(ws) >= 20),
+gone AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+places AS (SELECT doc_id, list(p) AS ps FROM (SELECT DISTINCT doc_id, i + j AS p FROM gone, unnest(range(0, 20)) AS t(j)) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN places USING (doc_id)
+"""
+
+JOIN_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD_RE}') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS s FROM w, unnest(range(1, len(ws) - 1)) AS t(i) WHERE len(ws) >= 3
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 2),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+steps AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+walk(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT d, y FROM walk JOIN steps ON x = r)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id FROM documents JOIN walk ON d = doc_id LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
+def _term(p: str, q: str) -> str:
+    mean = f"((({p}) + ({q})) / 2)"
+    return f"((CASE WHEN {p} > 0 THEN ({p}) * log2(({p}) / {mean}) ELSE 0 END + CASE WHEN {q} > 0 THEN ({q}) * log2(({q}) / {mean}) ELSE 0 END) / 2)"
+
+
+CHAR_CLASSES = ("upper_n", "digit_n", "n_symbols", "mark_n", "space_n", "rest_n")
+QUALITY_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD_RE}') AS ws, array_to_string(regexp_extract_all(coalesce(text, ''), '{WORD_RE}'), '') AS joined,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD_RE}')) AS ls FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS k FROM w, unnest(range(1, len(ws) - 6)) AS t(i) WHERE len(ws) >= 8),
+repeated AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM windows), unnest(range(0, 8)) AS t(j) WHERE c > 1 GROUP BY 1),
+base AS (SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(joined)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(r.n, 0)::BIGINT AS n_repeat_words, length(text) - length(joined) AS space_n, length(joined) - length(regexp_replace(joined, '\p{{Lu}}', '', 'g')) AS upper_n, length(joined) - length(regexp_replace(joined, '\p{{Nd}}', '', 'g')) AS digit_n,
+  length(joined) - length(regexp_replace(joined, '[\p{{P}}\p{{S}}]', '', 'g')) AS marks FROM w LEFT JOIN repeated r USING (doc_id)),
+chars AS (SELECT *, marks - n_symbols AS mark_n, word_chars - upper_n - digit_n - marks AS rest_n, word_chars + space_n AS total FROM base),
+refs AS (SELECT lang, {", ".join(f"sum({c}) / greatest(sum(total), 1) AS q_{c}" for c in CHAR_CLASSES)}, sum(n_words) AS all_words FROM chars GROUP BY 1),
+words AS (SELECT doc_id, lang, lower(x) AS word, count(*) AS n FROM w, unnest(ws) AS t(x) GROUP BY ALL),
+common AS (SELECT lang, word, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM (SELECT lang, word, sum(n) AS n FROM words WHERE regexp_full_match(word, '\p{{L}}+') GROUP BY ALL)) WHERE r <= 40),
+shares AS (SELECT c.lang, word, c.n / all_words AS q FROM common c JOIN refs USING (lang)),
+others AS (SELECT lang, greatest(1 - coalesce(sum(q), 0), 0) AS q FROM refs LEFT JOIN shares USING (lang) GROUP BY 1),
+own AS (SELECT ch.doc_id, sum({_term("coalesce(x.n, 0) / ch.n_words", "s.q")}) AS js, sum(coalesce(x.n, 0)) AS n_common, sum(s.q) / 2 AS none FROM chars ch JOIN shares s USING (lang) LEFT JOIN words x ON x.doc_id = ch.doc_id AND x.word = s.word WHERE ch.n_words > 0 GROUP BY 1),
+judged AS (SELECT ch.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  CASE WHEN total >= 200 THEN sqrt(greatest({" + ".join(_term(f"ch.{c} / ch.total", f"r.q_{c}") for c in CHAR_CLASSES)}, 0)) ELSE 0 END AS char_distance,
+  CASE WHEN n_words >= 40 THEN sqrt(greatest(js + {_term("(1 - n_common / n_words)", "o.q")}, 0)) ELSE 0 END AS word_distance, sqrt(none + {_term("1.0", "o.q")}) AS none_distance, n_common / n_words AS common_share, 1 - o.q AS common_ref
+  FROM chars ch JOIN refs r USING (lang) JOIN others o USING (lang) LEFT JOIN own USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND char_distance <= 0.28 AND word_distance <= 0.45 AND NOT (word_distance > 0.6 * coalesce(none_distance, 9) AND coalesce(common_share, 0) < 0.3 * common_ref) AS kept
+FROM judged
+"""
+
+ORACLE: dict[str, str] = {"op3_warc": WARC_SQL, "op6_url_filter": URL_SQL, "op7_substrings": SUBSTRING_SQL, "op8_ngram_join": JOIN_SQL, "op9_quality": QUALITY_SQL}

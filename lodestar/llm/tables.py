@@ -1,4 +1,4 @@
-"""Shared helpers of the corpus operators: input columns, the shared folder, small size checks."""
+"""Shared helpers of the corpus operators: input columns, the shared folder, row keys."""
 
 from __future__ import annotations
 
@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, as a URI that every executor can reach.
 
-    The setting is read from the session. Where it is unset (local tests), a folder of this machine is set;
+    The setting is read from the session. Where it is unset, a folder of this machine is set if the master is local (tests);
     a cluster must name its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        kept = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        base = kept or f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -41,3 +42,10 @@ def partitions(spark: SparkSession) -> int:
 
 def is_letterless(c: Column) -> Column:
     return ~F.coalesce(c, F.lit("")).rlike(r"\p{L}")
+
+
+def row_key(*columns: str) -> Column:
+    """32 hex digits of all the columns' values: two hashes of different seeds, which also tell nulls apart."""
+    own = [F.col(f"`{c}`") for c in columns]
+    nulls = F.concat(*[c.isNull().cast("string") for c in own])
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), nulls, *own)), 16, "0") for seed in ("a", "b")])

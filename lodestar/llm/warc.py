@@ -33,7 +33,7 @@ def kinds(df: DataFrame, id_col: str, url_col: str, payload_col: str, least_byte
     source = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     marked = source.withColumn("digest", F.sha1("payload"))
     groups = marked.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = marked.join(written(groups.select("digest", "keeper")), "digest", "left")
+    joined = marked.join(written(groups.select("digest", "keeper")).hint("merge"), "digest", "left")  # groups grow with the input: never broadcast
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))).drop("keeper")
 
 

@@ -4,6 +4,7 @@ rows, empty tables and columns of clashing names."""
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -71,7 +72,7 @@ def test_pretokens_are_the_library_s(texts):
 @pytest.mark.parametrize("bits", [9, 4, 2])
 def test_chunked_encoding_is_exact(texts, bits, monkeypatch):
     monkeypatch.setattr(bpe, "CUT_BITS", bits)
-    c = bpe.ChunkCoder(pretoken.Vocabulary(queries.vocabulary_file("word_bpe_49k.json")))
+    c = bpe.ChunkCoder(queries.vocabulary_file("word_bpe_49k.json"))
     own = [t or "" for t in texts]
     for t, (ids, shown) in zip(own, c.encode(own), strict=True):
         want = c.v.tokenizer.encode(t, add_special_tokens=False).ids
@@ -129,7 +130,7 @@ def test_warc(spark):
 
 def license_brute(files, least=0.8):
     """files: (id, path, text) rows; gives (id, path) -> (own, license, inherited_from)."""
-    vectors = [(n, licenses.terms_of(t)) for n, t in licenses.TEMPLATES]
+    vectors = [(n, licenses.terms_of(t)) for n, t in [*licenses.TEMPLATES, *licenses.HEADERS]]
     vocabulary = {t for _, v in vectors for t in v}
     df = Counter(t for _, _, text in files for t in set(re.findall(licenses.TERM, (text or "").lower())) & vocabulary)
     idf = defaultdict(lambda: 1.0, {t: np.log((1 + len(files)) / (1 + df[t])) + 1 for t in vocabulary})
@@ -137,10 +138,12 @@ def license_brute(files, least=0.8):
     own = {}
     for i, path, text in files:
         is_file = path is not None and path.split("/")[-1].split(".")[0].lower() in licenses.LICENSE_FILES
-        best = None
-        for unit in [*(text or "").split("\n"), *([text or ""] if is_file else [])]:
+        best, lines = None, (text or "").split("\n")
+        units = [(x, 0) for x in [*lines, *([text or ""] if is_file else [])]]
+        units += [("\n".join(lines[k : k + n]), len(licenses.TEMPLATES)) for n in range(2, licenses.HEADER_LINES + 1) for k in range(len(lines) - n + 1)]
+        for unit, first in units:
             v = licenses.terms_of(unit)
-            for k, (name, t) in enumerate(vectors):
+            for k, (name, t) in enumerate(vectors[first:], first):
                 if v:
                     score = round(sum(v[x] * t[x] * idf[x] ** 2 for x in v if x in t) / norm(v) / norm(t), 9)
                     if score >= least and (best is None or (score, -k) > best[:2]):
@@ -161,10 +164,13 @@ def license_brute(files, least=0.8):
 def test_licenses(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     files = [(1, "LICENSE", mit), (2, "a/x.py", "code\n" + gpl + "\nmore"), (3, "a/b/COPYING.txt", "licensed under cc by nc 4 0"), (4, "a/b/c/y.py", "nothing"), (5, "a/z.py", None), (6, None, "All rights reserved."), (7, None, "x"), (8, "a/b/LICENSE", ""), (9, "q/r.py", "license license mit"), (10, "root.py", "words only"), (11, "a/b/c/d/e.py", "Released under the MIT Licence"), (12, "s/LICENSE.md", some_words(50)), (13, "s/t.py", some_words(4000))]
+    gpl3 = " * This program is free software: you can redistribute it and/or\n * modify it under the terms of the GNU General Public License as\n * published by the Free Software Foundation, either version 3 of\n * the License, or (at your option) any later version.\n"
+    files += [(14, "h/a.c", "/*\n * Copyright 2020 X\n *\n" + gpl3 + " */\nint x;"), (15, "h/b.py", "#!/usr/bin/python\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n"), (16, "h/c.py", "licensed under\nthe\nlicense")]
     df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("id", F.lit(1)).withColumn("term", F.lit("x"))
     found = {(r["doc_id"], r["path"]): (r["own_license"], r["license"], r["inherited_from"]) for r in licenses.scan(df).collect()}
     assert found == license_brute(files)
     assert found[4, "a/b/c/y.py"] == (None, "CC-BY-NC-4.0", "a/b/COPYING.txt") and found[10, "root.py"][1] == "MIT"
+    assert (found[14, "h/a.c"][0], found[15, "h/b.py"][0], found[16, "h/c.py"][0]) == ("GPL-3.0-or-later", "Apache-2.0", None)
     assert licenses.scan(df.limit(0)).count() == 0
 
 
@@ -210,6 +216,10 @@ def test_packing_plan_is_near_the_bound():
     assert all(sum(n * k for n, k in f) <= 1024 for f, _ in plan)
     assert sum((Counter({n: k * times for n, k in f}) for f, times in plan), Counter()) == Counter(h)
     assert sum(times for _, times in plan) <= 1.02 * sum(n * k for n, k in h.items()) / 1024 + 1
+    # Lengths of more than half and more than a third of a sequence: the tokens alone say far too little, the dual bound doesn't.
+    for h, least in (({600: 100, 500: 50}, 100), ({400: 100}, 50), ({1024: 5, 700: 10, 350: 3}, 15)):
+        bound = packing.solve(h, 1024)[1]
+        assert least * 0.99 <= bound <= sum(times for _, times in packing.plan(h, 1024)) + 1e-9
     assert packing.plan({}, 1024) == [] and packing.plan({1024: 3}, 1024) == [(((1024, 1),), 3)]
 
 
@@ -339,19 +349,28 @@ def test_quality(spark, docs, none, texts):
         assert tuple(found[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == base[i]
     # The word distance of one text, from the definition.
     lang = lambda i: ("en", "fr", "")[i % 3]
-    hist = lambda i: Counter(x if x in quality.WORDS else quality.REST for x in (y.lower() for y in words_of(texts[i])))
-    for i in (11, 30):
-        whole = sum((hist(k) for k in range(len(texts)) if lang(k) == lang(i)), Counter())
+    low = {k: [y.lower() for y in words_of(texts[k])] for k in range(len(texts))}
+    tally = {y: Counter(w for k in low if lang(k) == y for w in low[k] if w.isalpha()) for y in ("en", "fr", "")}
+    common = {y: {w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]} for y, c in tally.items()}
+    hist = lambda i: Counter(x if x in common[lang(i)] else "-" for x in low[i])
+    for i in (11, 12, 30):
+        whole = sum((hist(k) for k in low if lang(k) == lang(i)), Counter())
         p, q = ({k: v / sum(c.values()) for k, v in c.items()} for c in (hist(i), whole))
         js = sum(x * np.log2(x / ((p.get(k, 0) + q.get(k, 0)) / 2)) / 2 for d in (p, q) for k, x in d.items())
         assert found[i]["word_distance"] == pytest.approx(np.sqrt(max(js, 0)), abs=1e-6)
+    kinds = lambda i: Counter("upper" if unicodedata.category(c) == "Lu" else "digit" if unicodedata.category(c) == "Nd" else "symbol" if c in "#*$%&|<>" else "mark" if unicodedata.category(c)[0] in "PS" else "space" if c in quality.SPACES else "rest" for c in texts[i] or "")
+    for i in (11, 12, 30):
+        whole = sum((kinds(k) for k in low if lang(k) == lang(i)), Counter())
+        p, q = ({k: v / sum(c.values()) for k, v in c.items()} for c in (kinds(i), whole))
+        js = sum(x * np.log2(x / ((p.get(k, 0) + q.get(k, 0)) / 2)) / 2 for d in (p, q) for k, x in d.items())
+        assert found[i]["char_distance"] == pytest.approx(np.sqrt(max(js, 0)), abs=1e-6)
     assert found[0]["char_distance"] is None and not found[0]["kept"]
     assert quality.judge(none).count() == 0
 
 
 def test_quality_of_texts_that_lack_common_words(spark):
     rnd = random.Random(9)
-    prose = lambda n, share: " ".join(rnd.choice(quality.COMMON_WORDS["en"]) if rnd.random() < share else "".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    prose = lambda n, share: " ".join(rnd.choice(("the", "of", "and", "to", "in", "is", "that", "for", "it", "was")) if rnd.random() < share else "".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
     junk = {1000: prose(100, 0), 1001: prose(400, 0.04)}  # the same letters as the rest: characters say nothing
     rows = [(i, prose(rnd.randint(60, 400), 0.22), "en") for i in range(100)] + [(i, t, "en") for i, t in junk.items()] + [(2000, prose(30, 0), "en")]
     found = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
@@ -384,9 +403,18 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_segments_are_in_the_order_of_ids(spark):
-    for each in (1, 4):
-        df = spark.createDataFrame([(i,) for i in [None, *range(-50, 400, 3), 10**12]], "doc_id long")
-        rows = df.select("doc_id", substrings.segment_of(F.col("doc_id"), [0, 1, 30, 200], each).alias("s")).orderBy(F.asc_nulls_first("doc_id")).collect()
-        segs = [r["s"] for r in rows]
-        assert segs == sorted(segs) and len(set(segs)) >= 5 * (1 if each == 1 else 2) - 1
+@pytest.mark.parametrize("tree", [256, 3])
+def test_segments_are_in_the_order_of_ids(spark, tree, monkeypatch):
+    monkeypatch.setattr(substrings, "TREE", tree)
+    rows = [(i, h, m, b) for m, (i, h, b) in enumerate([(None, 1, 5)] * 30 + [(7, h % 4, 5) for h in range(60)] + [(k, 0, 10) for k in range(-50, 200, 3)] + [(10**12, 0, 900)])]
+    df = spark.createDataFrame(rows, "doc_id long, h long, m long, b long").repartition(4)
+    cuts, total = substrings.bounds(df, 50)
+    assert total == sum(r[3] for r in rows)
+    found = substrings.segmented(df, cuts).orderBy(F.asc_nulls_first("doc_id"), "h", "m").collect()
+    segs = [r["seg"] for r in found]
+    assert segs == sorted(segs) and set(segs) <= set(range(len(cuts) + 1))
+    size = Counter()
+    for r in found:
+        size[r["seg"]] += r["b"]
+    # Neither the null id nor the repeated one is in one segment.
+    assert max(v for k, v in size.items() if k != segs[-1]) <= 60 and len({r["seg"] for r in found if r["doc_id"] is None}) > 1 < len({r["seg"] for r in found if r["doc_id"] == 7})
