@@ -1,7 +1,9 @@
 """A corpus pipeline over `documents`: STAGES are applied one after another, each to all that the last one kept.
 
-The first two stages decide row by row. The near-duplicate and passage stages go by doc_id: rows without one can't be told
-apart there and stay as they are, and different texts of one id share their result.
+Every stage decides row by row: rows are told apart by a key of all their columns, so rows that share an id, or have none,
+each get a decision of their own. Rows that are equal in all columns get one decision (and of copies one stays). Null and
+empty texts go in the first stage, as they have no letters. An empty table gives no rows. All but the last stage return
+the columns of their input, whatever their names, with the values that they had (passages changes text and n_chars).
 """
 
 from __future__ import annotations
@@ -13,45 +15,57 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import langid, ngramjoin, packing, quality, substrings
 from lodestar.llm.queries import vocabulary_file
-from lodestar.llm.tables import is_letterless, table, written
+from lodestar.llm.tables import is_letterless, row_key, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: A document of a lower score fits no learned language: neither its family nor its language is told apart (each by 1/2 is 1/4).
+LEAST_SCORE = 0.3
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that can be told (no letters, or no text) go; all others stay if none could be learned."""
+    """Documents in no language that can be told go: those without a letter (null and empty ones too), and those whose
+    score is below LEAST_SCORE. If no language could be learned, all texts with letters stay."""
     model = langid.train(docs)
     if not model.families.names:
         return docs.where(~is_letterless(F.col("text"))).select(docs.columns)
-    found = langid.predict(docs, model)
-    return found.where("lang_pred <> 'und'").select(docs.columns)
+    found = langid.predict(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model)
+    return found.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select("__row.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
-    # A key of all that the verdict goes by: rows of one key have one verdict, whatever their ids.
-    keyed = docs.withColumn("__row", F.sha2(F.to_json(F.struct("lang", "text")), 256))
-    failed = quality.judge(keyed, id_col="__row").where("not kept").select("__row")
+    """Documents that fail the quality rules go. Rows of one language and text have one verdict, whatever their ids."""
+    keyed = docs.withColumn("__row", row_key("lang", "text"))
+    failed = quality.judge(keyed.select("__row", "lang", "text"), id_col="__row").where("not kept").select("__row")
     return keyed.join(failed.distinct(), "__row", "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 5-word n-grams at a Jaccard similarity of 0.8 the document of smallest id stays."""
-    found = ngramjoin.join(docs, k=5, num=4, den=5)
-    copies = found.where("component_id <> doc_id").select("doc_id")
-    kept = docs.join(copies.distinct(), "doc_id", "left_anti").withColumn("__same", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__same"]).select(docs.columns)  # rows that repeat a document go as well
+    """Of each group linked by 5-word n-grams at a Jaccard similarity of 0.8 the document of smallest id stays (rows
+    without one come last; of rows of one id the one of the smallest key). Texts without words link with nothing."""
+    keyed = docs.withColumn("__row", row_key(*docs.columns))
+    found = written(ngramjoin.groups(keyed.select("doc_id", "text", "__row"), "__row", k=5, num=4, den=5).where("group is not null"))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("x"))
+    gone = written(found.join(first, "group").where("key <> x.key").select(F.col("key").alias("__row")).distinct())
+    kept = keyed.join(gone, "__row", "left_anti")
+    repeated = written(found.groupBy(F.col("key").alias("__row")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__row"))
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "__row", "left_anti").unionByName(kept.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
+    return kept.select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that stand earlier go from the text; n_chars follows."""
-    cut = substrings.dedup(docs, window=50).where("n_removed > 0").select("doc_id", F.col("text").alias("left_text"))
-    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("left_text", "text"))
-    return joined.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """Passages of 50 words or more that stand earlier go from the text; n_chars follows. Texts without one stay as they
+    are, and a document whose text goes wholly stays with an empty one."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = substrings.dedup(docs.select("doc_id", "text", F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__rest")), window=50, carry=("__rest",), unchanged=True)
+    own = out.select("doc_id", "text", *[F.col(f"__rest.c{i}").alias(c) for i, c in enumerate(rest)])
+    if "n_chars" in rest:
+        own = own.withColumn("n_chars", F.char_length("text").cast("long"))
+    return own.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Sequences of at most 1024 tokens: a row for each piece, as the operator gives them."""
     return packing.pack(docs, vocabulary_file("byte_bpe_50k.json"))
 
 
