@@ -7,18 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.plans.tables import materialized
+
 #: Kinds by the number that language servers send; a method counts as one, an unknown number as a variable.
 SERVER_KINDS = ("File", "Module", "Namespace", "Package", "Class", "Method", "Property", "Field", "Constructor", "Enum", "Interface", "Function", "Variable", "Constant", "String", "Number", "Boolean", "Array", "Object", "Key", "Null", "EnumMember", "Struct", "Event", "Operator", "TypeParameter")
 #: Status of a changed file by git's flags, the first that is set counts.
 GIT_STATUS = {"WT_NEW": "Added", "WT_MODIFIED": "Modified", "WT_DELETED": "Deleted", "WT_RENAMED": "Modified", "INDEX_NEW": "Added", "INDEX_MODIFIED": "Modified", "INDEX_DELETED": "Deleted"}
-#: Comment marks by language.
-COMMENTS = {"rust": ("//",), "typescript": ("//",), "go": ("//",), "python": ("#",), "sql": ("--",)}
-
-
 def kind_of_server(number: Column) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(k) for k in SERVER_KINDS]), number - 1), F.lit("Variable"))
 
@@ -185,20 +184,24 @@ def first_successful(results: list[tuple[int, DataFrame]], key: str = "file_path
     return out.withColumn("__m", F.max("__p").over(Window.partitionBy(key))).where("__p = __m").drop("__p", "__m")
 
 
-def flattened(trees: DataFrame, levels: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Symbols and Contains edges of nested document symbols. trees: path, and root as JSON text with name, kind, range
-    and children."""
+def flattened(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols and Contains edges of nested document symbols, however deep. trees: path, and root as JSON text with name,
+    kind, range and children. Each level is a table; children of symbols without a name are left out."""
     node = "struct<name:string,kind:int,detail:string,range:struct<start:struct<line:int,character:int>,end:struct<line:int,character:int>>,children:array<string>>"
     level = trees.select("path", F.from_json("root", node).alias("n"), F.lit(None).cast("string").alias("parent"))
-    symbols, edges = None, None
-    for _ in range(levels):
+    levels: list[DataFrame] = []
+    while True:
         ident = F.concat("path", F.lit("#"), F.col("n.range.start.line"), F.lit(":"), F.col("n.name"))
-        own = level.where("n.name is not null").withColumn("id", ident)
-        s = own.select("id", kind_of_server(F.col("n.kind")).alias("kind"), F.col("n.name").alias("name"), F.col("path").alias("file_path"), F.col("n.range.start.line").alias("start_line"), F.col("n.range.start.character").alias("start_char"), F.col("n.range.end.line").alias("end_line"), F.col("n.range.end.character").alias("end_char"), F.lit(None).cast("string").alias("documentation"), F.col("n.detail").alias("detail"))
-        e = own.where("parent is not null").select(F.col("parent").alias("src_id"), F.col("id").alias("dst_id"), F.lit("Contains").alias("kind"))
-        symbols, edges = (s, e) if symbols is None else (symbols.unionByName(s), edges.unionByName(e))
+        own = materialized(level.where("n.name is not null").withColumn("id", ident))
+        if levels and own.isEmpty():
+            break
+        levels.append(own.select("path", "n", "parent", "id"))
+        if len(levels) > 12:  # merge, so that the plan stays small
+            levels = [materialized(reduce(DataFrame.unionByName, levels))]
         level = own.select("path", F.explode("n.children").alias("c"), F.col("id").alias("parent")).select("path", F.from_json("c", node).alias("n"), "parent")
-    return symbols, edges
+    every = reduce(DataFrame.unionByName, levels)
+    symbols = every.select("id", kind_of_server(F.col("n.kind")).alias("kind"), F.col("n.name").alias("name"), F.col("path").alias("file_path"), F.col("n.range.start.line").alias("start_line"), F.col("n.range.start.character").alias("start_char"), F.col("n.range.end.line").alias("end_line"), F.col("n.range.end.character").alias("end_char"), F.lit(None).cast("string").alias("documentation"), F.col("n.detail").alias("detail"))
+    return symbols, every.where("parent is not null").select(F.col("parent").alias("src_id"), F.col("id").alias("dst_id"), F.lit("Contains").alias("kind"))
 
 
 def definitions_and_references(names: DataFrame) -> DataFrame:

@@ -30,6 +30,12 @@ def grams(c: Column, n: int) -> Column:
     return F.when(F.octet_length(c) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
+def plain_grams(c: Column, n: int) -> Column:
+    """All n-grams of characters in their order, without padding; none of a text of fewer than n bytes."""
+    every = F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
+    return F.when(F.char_length(c) >= n, every).otherwise(F.array().cast("array<string>"))
+
+
 def query_grams(q: str, n: int) -> list[str]:
     padded = " " * (n - 1) + q + " " * (n - 1)
     return sorted({padded[i : i + n] for i in range(len(padded) - n + 1)}) if len(q.encode()) >= n else []

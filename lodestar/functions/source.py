@@ -22,24 +22,47 @@ class LinePattern:
 #: Patterns by language, the first that fits a line counts.
 PATTERNS: dict[str, list[LinePattern]] = {
     "rust": [
-        LinePattern("Function", r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+([A-Za-z0-9_]+)"),
-        LinePattern("Struct", r"^\s*(?:pub\s+)?struct\s+([A-Za-z0-9_]+)"),
-        LinePattern("Enum", r"^\s*(?:pub\s+)?enum\s+([A-Za-z0-9_]+)"),
-        LinePattern("Class", r"^\s*impl\s+([A-Za-z0-9_]+)", "impl "),
-        LinePattern("Interface", r"^\s*(?:pub\s+)?trait\s+([A-Za-z0-9_]+)"),
+        LinePattern("Function", r"(?U)^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)"),
+        LinePattern("Struct", r"(?U)^\s*(?:pub\s+)?struct\s+(\w+)"),
+        LinePattern("Enum", r"(?U)^\s*(?:pub\s+)?enum\s+(\w+)"),
+        LinePattern("Class", r"(?U)^\s*impl(?:\s+<[^>]+>)?\s+(\w+)", "impl "),
+        LinePattern("Interface", r"(?U)^\s*(?:pub\s+)?trait\s+(\w+)"),
     ],
     "typescript": [
-        LinePattern("Function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z0-9_]+)"),
-        LinePattern("Class", r"^\s*(?:export\s+)?class\s+([A-Za-z0-9_]+)"),
-        LinePattern("Interface", r"^\s*(?:export\s+)?interface\s+([A-Za-z0-9_]+)"),
-        LinePattern("Function", r"^\s*(?:export\s+)?const\s+([A-Za-z0-9_]+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"),
-        LinePattern("Variable", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z0-9_]+)"),
+        LinePattern("Function", r"(?U)^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)"),
+        LinePattern("Class", r"(?U)^\s*(?:export\s+)?class\s+(\w+)"),
+        LinePattern("Interface", r"(?U)^\s*(?:export\s+)?interface\s+(\w+)"),
+        LinePattern("Function", r"(?U)^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s+)?[(\[]"),
+        LinePattern("Variable", r"(?U)^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)"),
     ],
-    "python": [LinePattern("Class", r"^\s*class\s+([A-Za-z0-9_]+)"), LinePattern("Function", r"^\s*(?:async\s+)?def\s+([A-Za-z0-9_]+)", "", True)],
-    "go": [LinePattern("Function", r"^func\s+(?:\([^)]*\)\s+)?([A-Za-z0-9_]+)"), LinePattern("Struct", r"^type\s+([A-Za-z0-9_]+)\s+struct"), LinePattern("Interface", r"^type\s+([A-Za-z0-9_]+)\s+interface")],
+    "python": [LinePattern("Class", r"(?U)^\s*class\s+(\w+)"), LinePattern("Function", r"(?U)^\s*(?:async\s+)?def\s+(\w+)", "", True)],
+    "go": [
+        LinePattern("Function", r"(?U)^\s*func\s+(?:\(\s*\w+\s+[^)]+\)\s+)?(\w+)"),
+        LinePattern("Struct", r"(?U)^\s*type\s+(\w+)\s+struct"),
+        LinePattern("Interface", r"(?U)^\s*type\s+(\w+)\s+interface"),
+    ],
+}
+#: Stricter patterns by language and kind, each asked for by itself; add_catalogued() adds one.
+CATALOGUE: dict[tuple[str, str], str] = {
+    ("rust", "Function"): r'^\s*(?:pub\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+"[^"]+"\s+)?fn\s+([a-zA-Z_][a-zA-Z0-9_]*)',
+    ("rust", "Struct"): r"^\s*(?:pub\s+)?struct\s+([A-Z][a-zA-Z0-9_]*)",
+    ("rust", "Enum"): r"^\s*(?:pub\s+)?enum\s+([A-Z][a-zA-Z0-9_]*)",
+    ("rust", "Impl"): r"^\s*impl(?:\s+<[^>]+>)?\s+([A-Z][a-zA-Z0-9_]*)",
+    ("rust", "Constant"): r"^\s*(?:pub\s+)?const\s+([A-Z_][A-Z0-9_]*)",
+    ("typescript", "Function"): r"^\s*(?:export\s+)?(?:async\s+)?function\s+([a-zA-Z_$][a-zA-Z0-9_$]*)",
+    ("typescript", "Class"): r"^\s*(?:export\s+)?class\s+([A-Z][a-zA-Z0-9_]*)",
+    ("typescript", "Interface"): r"^\s*(?:export\s+)?interface\s+([A-Z][a-zA-Z0-9_]*)",
+    ("typescript", "TypeAlias"): r"^\s*(?:export\s+)?type\s+([A-Z][a-zA-Z0-9_]*)",
+    ("python", "Function"): r"^\s*(?:async\s+)?def\s+([a-z_][a-z0-9_]*)",
+    ("python", "Class"): r"^\s*class\s+([A-Z][a-zA-Z0-9_]*)",
+    ("go", "Function"): r"^\s*func\s+(?:\([^)]+\)\s+)?([A-Z][a-zA-Z0-9_]*)",
+    ("go", "Struct"): r"^\s*type\s+([A-Z][a-zA-Z0-9_]*)\s+struct",
+    ("go", "Interface"): r"^\s*type\s+([A-Z][a-zA-Z0-9_]*)\s+interface",
 }
 EXTENSIONS = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "py": "python", "go": "go", "java": "java"}
 MARKERS = {"Cargo.toml": "rust", "package.json": "typescript", "pyproject.toml": "python", "setup.py": "python", "go.mod": "go", "pom.xml": "java"}
+#: Candidates for where a crawl begins, in this order.
+ENTRY_FILES = ("src/main.rs", "src/lib.rs", "main.rs", "lib.rs", "src/index.ts", "src/index.js", "index.ts", "index.js", "main.py", "__main__.py", "src/main.go", "main.go")
 EXCLUDED = (".git", "target", "node_modules", ".idea", ".vscode", "tmp")
 
 
@@ -49,6 +72,22 @@ def add_pattern(language: str, pattern: LinePattern) -> None:
     PATTERNS.setdefault(language, []).append(pattern)
 
 
+def add_catalogued(language: str, kind: str, pattern: str) -> None:
+    """Sets the pattern of a language and kind in the catalogue."""
+    re.compile(pattern)
+    CATALOGUE[language, kind] = pattern
+
+
+def catalogued(files: DataFrame, kind: str, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """path, line, name: lines that the catalogue's pattern for the file's language and this kind fits."""
+    source = lines(files, path_col, text_col).withColumn("language", language_of(F.col("path")))
+    name = F.lit("")
+    for (language, own), pattern in CATALOGUE.items():
+        if own == kind:
+            name = F.when(F.col("language") == language, F.regexp_extract("text", pattern, 1)).otherwise(name)
+    return source.select("path", "line", name.alias("name")).where("name <> ''")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
@@ -72,6 +111,25 @@ def scanned(path: Column, extensions: tuple[str, ...] = ("rs", "ts", "tsx", "js"
     return extension(path).isin(*extensions) & ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in excluded]))
 
 
+#: Other scans' extensions and excluded folders (a leading dot: every folder of a name that begins so).
+SCANS = {"all": (("rs", "ts", "tsx", "js", "jsx"), EXCLUDED), "references": (("rs", "ts", "tsx", "js", "jsx"), ("target", ".git", "node_modules", ".vscode")), "rust": (("rs",), (".", "target"))}
+
+
+def scan(files: DataFrame, kind: str = "all") -> DataFrame:
+    """The files (path and more columns) that one of the SCANS takes."""
+    extensions, excluded = SCANS[kind]
+    kept = files.where(scanned(F.col("path"), extensions, tuple(x for x in excluded if x != ".")))
+    return kept.where(~F.exists(F.split("path", "/"), lambda x: x.startswith("."))) if "." in excluded else kept
+
+
+def crawl_entries(files: DataFrame, most: int = 3, most_binaries: int = 5) -> DataFrame:
+    """id: the first `most` of ENTRY_FILES that there are, and the first `most_binaries` Rust files in src/bin by path."""
+    order = F.array_position(F.array(*[F.lit(x) for x in ENTRY_FILES]), F.col("path"))
+    first = files.select("path", order.alias("o")).where("o > 0").distinct().orderBy("o").limit(most).select("path")
+    binaries = files.where(F.col("path").rlike(r"^src/bin/[^/]+\.rs$")).select("path").distinct().orderBy("path").limit(most_binaries)
+    return first.unionByName(binaries).select(F.col("path").alias("id"))
+
+
 def lines(files: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
     """path, line (from 0), text: the last empty line doesn't count, nor does a carriage return at the end."""
     parts = F.split(F.regexp_replace(F.col(text_col), r"\r?\n$", ""), r"\r?\n")
@@ -105,29 +163,3 @@ def visibility(language: str, name: Column, detail: Column) -> Column:
     if language == "go":
         return F.when(name.rlike(r"^\p{Lu}"), "Public").otherwise("Private")
     return F.lit("Public")
-
-
-#: Words before a name that make it a definition.
-DEFINING = ("fn", "struct", "enum", "trait", "impl", "type", "const", "static", "let", "mod", "function", "class", "interface", "var", "def", "func")
-
-
-def find_references(files: DataFrame, name: str, path_col: str = "path", text_col: str = "content") -> DataFrame:
-    """path, line, char, is_definition of each whole-word occurrence outside line comments and quoted strings."""
-    word = re.escape(name)
-    # Comments and strings become spaces of equal length, so that places stay.
-    quoted = re.compile(r"//.*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'")
-    wanted = re.compile(rf"\b{word}\b")
-    before = re.compile(rf"(?:{'|'.join(DEFINING)})\s+(?:mut\s+)?$")
-
-    def scan(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for path, line, text in zip(pdf["path"], pdf["line"], pdf["text"], strict=True):
-                bare = quoted.sub(lambda m: " " * len(m[0]), text)
-                rows += [(path, line, m.start(), bool(before.search(bare[: m.start()]))) for m in wanted.finditer(bare)]
-            yield pd.DataFrame(rows, columns=["path", "line", "char", "is_definition"])
-
-    held = lines(files.where(F.col(text_col).contains(name)), path_col, text_col).where(F.col("text").contains(name))
-    return held.mapInPandas(scan, "path string, line int, char int, is_definition boolean")

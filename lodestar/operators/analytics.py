@@ -19,7 +19,7 @@ def calls(g: Graph, roots: DataFrame, direction: str = "outgoing", most: int = 5
     """root, node, parent, depth: who calls (or is called), at the least depth, by the smallest parent of the depth before."""
     way = DIRECTIONS[direction]
     if way == "full":
-        return calls(g, roots, "incoming", most).unionByName(calls(g, roots, "outgoing", most))
+        return full_calls(g, roots, most).drop("direction")
     e = g.of_kind("Reference")
     turn = "forward" if way == "outgoing" else "backward"
     found = traverse.reach(e, roots, most, turn)
@@ -29,6 +29,21 @@ def calls(g: Graph, roots: DataFrame, direction: str = "outgoing", most: int = 5
     return found.join(steps, found["node"] == steps["b"]).join(above, ["start", "a", "depth"]).groupBy(F.col("start").alias("root"), "node", "depth").agg(F.min("a").alias("parent")).select("root", "node", "parent", "depth")
 
 
+def full_calls(g: Graph, roots: DataFrame, most: int = 5) -> DataFrame:
+    """root, node, parent, depth, direction (incoming or outgoing): callers and callees of each root."""
+    rows = [calls(g, roots, x, most).withColumn("direction", F.lit(x)) for x in ("incoming", "outgoing")]
+    return rows[0].unionByName(rows[1])
+
+
+def call_paths(g: Graph, pairs: DataFrame, most: int = 5) -> DataFrame:
+    """src, dst, path: the simple paths of Reference edges, at most `most` long, that end where they first meet dst; a
+    pair of one id has the path of it alone. pairs: src, dst."""
+    same = pairs.where("src = dst").select("src", "dst", F.array("src").alias("path")).distinct()
+    far = pairs.where("src <> dst").distinct()
+    found = traverse.paths(g.of_kind("Reference").distinct(), far.select(F.col("src").alias("id")).distinct(), most)
+    return found.select(F.col("start").alias("src"), F.col("node").alias("dst"), "path").join(far, ["src", "dst"]).unionByName(same)
+
+
 def dead(g: Graph, entries: DataFrame | None = None) -> DataFrame:
     """id: symbols that no entry point reaches by Reference or Definition."""
     start = g.symbols.where(is_entry()).select("id") if entries is None else entries
@@ -115,11 +130,16 @@ def type_references(g: Graph, roots: DataFrame, most: int) -> DataFrame:
 
 def type_relations(g: Graph, roots: DataFrame, most: int = 1) -> DataFrame:
     """root_id, bucket, n: what points at each root or at what reached it within `most` edges, by kind."""
+    return related_symbols(g, roots, most).groupBy("root_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def related_symbols(g: Graph, roots: DataFrame, most: int = 1) -> DataFrame:
+    """root_id, bucket, symbol_id: a row for each edge that points at a root or at what reached it within `most` edges."""
     types = g.symbols.where(F.col("kind").isin(*TYPE_KINDS)).select("id")
     seen = traverse.reach(g.edges.select("src_id", "dst_id"), roots.join(types, "id", "left_semi"), max(most - 1, 0), "backward", with_start=True)
     users = seen.select("start", F.col("node").alias("dst_id")).join(g.edges, "dst_id").join(g.symbols.select(F.col("id").alias("src_id"), F.col("kind").alias("k")), "src_id")
     bucket = F.when(F.col("k").isin("Variable", "Parameter"), "users").when(F.col("k").isin("Class", "Interface"), F.when(F.col("kind") == "Definition", "extensions").otherwise("implementations")).when(F.col("k") == "Method", "methods").when(F.col("k").isin("Property", "Field"), "members")
-    return users.withColumn("bucket", bucket).where("bucket is not null").groupBy(F.col("start").alias("root_id"), "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return users.withColumn("bucket", bucket).where("bucket is not null").select(F.col("start").alias("root_id"), "bucket", F.col("src_id").alias("symbol_id"))
 
 
 def relation_groups(g: Graph) -> DataFrame:
@@ -138,13 +158,20 @@ def importance(visibility: Column, exported: Column, refs: Column) -> Column:
 
 
 def public_api(g: Graph, visibility: Column) -> DataFrame:
-    """id, name, visibility, is_exported, reference_count, importance_score of what is public or exported."""
+    """id, name, visibility, is_exported, reference_count, importance_score of what is public or exported; ranked_api()
+    puts them in order."""
     refs = g.of_kind("Reference").groupBy(F.col("dst_id").alias("id")).agg(F.count(F.lit(1)).alias("r"))
     exports = g.of_kind("Export").select(F.col("src_id").alias("id")).distinct().withColumn("x", F.lit(True))
     rows = g.symbols.join(refs, "id", "left").join(exports, "id", "left").withColumn("visibility", visibility).withColumn("is_exported", F.coalesce("x", F.lit(False))).withColumn("reference_count", F.coalesce("r", F.lit(0)))
     return rows.where((F.col("visibility") == "Public") | F.col("is_exported")).select("id", "name", "visibility", "is_exported", "reference_count", F.round(importance(F.col("visibility"), F.col("is_exported"), F.col("reference_count")), 4).alias("importance_score"))
 
 
+def ranked_api(api: DataFrame, most: int | None = None) -> DataFrame:
+    """The most important first, then by id."""
+    out = api.orderBy(F.desc("importance_score"), "id")
+    return out if most is None else out.limit(most)
+
+
 def entry_points(g: Graph) -> DataFrame:
     """id: by name, or exported functions that nothing refers to."""
     named = g.symbols.where(F.col("name").isin(*ENTRY_NAMES)).select("id")
@@ -166,5 +193,3 @@ def crawl(file_edges: DataFrame, starts: DataFrame, most_depth: int = 3, most_fi
     """file, depth: files reached from the starts (column id) by dependencies, nearest first, the first `most_files` by path."""
     found = traverse.reach(file_edges.select(F.col("src_file").alias("src_id"), F.col("dst_file").alias("dst_id")), starts, most_depth, with_start=True)
     return found.groupBy(F.col("node").alias("file")).agg(F.min("depth").alias("depth")).orderBy("depth", "file").limit(most_files)
-
-

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.traverse import reach, turned
+from lodestar.operators.traverse import one_way, reach
 from lodestar.plans.pattern import NodePattern, Pattern, StepPattern, parse
 from lodestar.schema import Graph
 
@@ -42,16 +42,17 @@ def match(g: Graph, pattern: str | Pattern, labels: tuple[str, ...] | None = LAB
     out = ids[0].select(F.col("id").alias(names[0]))
     for i, step in enumerate(p.steps):
         last, name = names[i], names[i + 1]
+        ends = ids[i + 1].select(F.col("id").alias("__b"))
         if (step.least, step.most) == (1, 1):
-            hop = turned(step_edges(g, step), step.direction).select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+            # The ends are filtered before equal edges are made one, so only what can match is moved.
+            hop = one_way(step_edges(g, step), step.direction).select(F.col("a").alias("__a"), F.col("b").alias("__b")).join(ends, "__b", "left_semi")
+            hop = (hop if i else hop.join(out.select(F.col(last).alias("__a")), "__a", "left_semi")).select("__a", "__b").distinct()
         else:
             found = reach(step_edges(g, step), out.select(F.col(last).alias("id")), step.most, step.direction, with_start=True)
-            hop = found.where(F.col("depth") >= max(step.least, 1)).select(F.col("start").alias("__a"), F.col("node").alias("__b"))
-            if step.least == 0:
-                hop = found.select(F.col("start").alias("__a"), F.col("node").alias("__b")).distinct()
-        ends = ids[i + 1].select(F.col("id").alias("__b"))
-        joined = out.join(hop.join(ends, "__b", "left_semi"), F.col(last) == F.col("__a")).drop("__a")
-        out = joined.where(F.col(name) == F.col("__b")).drop("__b") if name in out.columns else joined.withColumnRenamed("__b", name)
+            hop = found.where(F.col("depth") >= step.least).select(F.col("start").alias("__a"), F.col("node").alias("__b")).join(ends, "__b", "left_semi")
+        # The first step's edges start at nodes that fit already.
+        joined = out.join(hop, F.col(last) == F.col("__a")).drop("__a") if i or (step.least, step.most) != (1, 1) else hop.withColumnRenamed("__a", last)
+        out = joined.where(F.col(name) == F.col("__b")).drop("__b") if name in joined.columns else joined.withColumnRenamed("__b", name)
     return out
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.names import bytes_of, camel_words, capitals, edit_score, grams, has_subsequence, plain_camel_words, query_grams
+from lodestar.operators.filters import kind_named
 
 
 def cascade(df: DataFrame, steps: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -59,6 +58,11 @@ def engine_search(symbols: DataFrame, query: str, most: int | None = 50) -> Data
     return best(cascade(symbols, [("Exact", F.lower("name") == q, F.lit(100.0)), ("Prefix", F.lower("name").startswith(q) & F.lit(len(q.encode()) <= 5), F.lit(80.0)), ("CamelCase", F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), words)) == 0, F.lit(70.0))]), most)
 
 
+def search_by_kind(symbols: DataFrame, query: str, kind: str, most: int | None = 50) -> DataFrame:
+    """engine_search() without a limit, of the symbols of a kind (an alias of filters.ALIASES), the best `most`."""
+    return engine_search(symbols.where(kind_named(kind)), query, most)
+
+
 def _plain_words(text: str) -> list[str]:
     import re
 
@@ -106,5 +110,12 @@ def index_stats(symbols: DataFrame) -> DataFrame:
     return out
 
 
-def typo_limit(size: int) -> int:
-    return math.floor(0.3 * size)
+def index_averages(symbols: DataFrame) -> DataFrame:
+    """One row: how many symbols a distinct name, n-gram, prefix or word has in the mean."""
+    low = symbols.select("id", F.lower("name").alias("n"), "name")
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.char_length("n"), F.lit(5))), lambda i: F.substring(F.col("n"), F.lit(1), i))
+    out = None
+    for name, c in (("names", F.array("n")), ("bigrams", grams(F.col("n"), 2)), ("trigrams", grams(F.col("n"), 3)), ("prefixes", prefixes), ("words", F.array_distinct(F.transform(camel_words(F.col("name")), F.lower)))):
+        one = low.select(F.explode(c).alias("x")).agg(F.round(F.count(F.lit(1)) / F.greatest(F.count_distinct("x"), F.lit(1)), 4).alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out

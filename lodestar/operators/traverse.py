@@ -9,11 +9,16 @@ from lodestar.plans.pattern import UNBOUNDED
 from lodestar.plans.tables import materialized
 
 
-def turned(edges: DataFrame, direction: str) -> DataFrame:
-    """Distinct (a, b) steps in the direction of travel."""
+def one_way(edges: DataFrame, direction: str) -> DataFrame:
+    """(a, b) steps in the direction of travel, as often as there are edges."""
     there = edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
     back = edges.select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"))
-    return (there if direction == "forward" else back if direction == "backward" else there.unionByName(back)).distinct()
+    return there if direction == "forward" else back if direction == "backward" else there.unionByName(back)
+
+
+def turned(edges: DataFrame, direction: str) -> DataFrame:
+    """Distinct (a, b) steps in the direction of travel."""
+    return one_way(edges, direction).distinct()
 
 
 def reach(edges: DataFrame, starts: DataFrame, most: int = UNBOUNDED, direction: str = "forward", with_start: bool = False) -> DataFrame:
@@ -49,17 +54,23 @@ def reach(edges: DataFrame, starts: DataFrame, most: int = UNBOUNDED, direction:
     return out
 
 
+#: Steps that one round of closure() takes at most; each round is a table and a look at whether it is empty.
+HOPS = 4
+
+
 def closure(edges: DataFrame, starts: DataFrame, direction: str = "forward") -> DataFrame:
-    """id: every node reached from any of the starts, these included."""
+    """id: every node reached from any of the starts, these included. Rounds take 1, 2, 3, then HOPS steps."""
     steps = materialized(turned(edges, direction))
     levels = [materialized(starts.select("id").distinct())]
-    frontier = levels[0]
+    frontier, hops = levels[0], 1
     while True:
-        found = frontier.select(F.col("id").alias("a")).join(steps, "a").select(F.col("b").alias("id")).distinct()
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.unionByName(x)
-        frontier = materialized(found.join(seen, "id", "left_anti"))
+        at, found = frontier, []
+        for _ in range(hops):
+            at = at.select(F.col("id").alias("a")).join(steps, "a").select(F.col("b").alias("id")).distinct()
+            found.append(at)
+        seen = united(levels)
+        fresh = found[0] if len(found) == 1 else united(found).distinct()
+        frontier, hops = materialized(fresh.join(seen, "id", "left_anti")), min(hops + 1, HOPS)
         if frontier.isEmpty():
             return seen
         levels = [materialized(seen), frontier] if len(levels) > 12 else [*levels, frontier]
@@ -157,6 +168,13 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> Data
     return united(levels).join(ends.select(F.col("id").alias("node")), "node", "left_semi").select("start", "node", "path")
 
 
+def has_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """src, dst, found: whether each pair (src, dst) is joined by a path; a pair of one id always is, known or not."""
+    asked = pairs.select("src", "dst").distinct()
+    reached = reach(edges, asked.where("src <> dst").select(F.col("src").alias("id")).distinct()).select(F.col("start").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("__f"))
+    return asked.join(reached, ["src", "dst"], "left").select("src", "dst", F.coalesce("__f", F.col("src") == F.col("dst")).alias("found"))
+
+
 def trimmed(steps: DataFrame) -> DataFrame:
     """Steps (a, b) between nodes that have steps in and out, round by round; no other can be on a cycle."""
     left = materialized(steps)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import languages, names, source
+from lodestar.functions import languages, names, source, textrefs
 from lodestar.operators import analytics, filters, match, navigate, search, traverse
-from lodestar.schema import Graph
+from lodestar.schema import EDGE_KINDS, Graph
 from lodestar.sources import formats
-from lodestar.sources.graphview import GRAPH_SQL, SYMBOLS_SQL, Tables, graph
+from lodestar.sources.graphview import GRAPH_SQL, LATTICE_SQL, SYMBOLS_SQL, Tables, graph, lattice
 from lodestar.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,12 +117,14 @@ def find_implementations(spark, sf):
 
 @query("SELECT src_id AS id, kind, count(*) AS n FROM edges GROUP BY ALL")
 def outgoing_edges(spark, sf):
-    return graph(spark, sf).edges.groupBy(F.col("src_id").alias("id"), "kind").agg(rows_as("n"))
+    g = graph(spark, sf)
+    return reduce(DataFrame.unionByName, [navigate.neighbours(g, k, False).groupBy("id").agg(rows_as("n")).withColumn("kind", F.lit(k)) for k in EDGE_KINDS])
 
 
 @query("SELECT dst_id AS id, kind, count(*) AS n FROM edges GROUP BY ALL")
 def incoming_edges(spark, sf):
-    return graph(spark, sf).edges.groupBy(F.col("dst_id").alias("id"), "kind").agg(rows_as("n"))
+    g = graph(spark, sf)
+    return reduce(DataFrame.unionByName, [navigate.neighbours(g, k, True).groupBy("id").agg(rows_as("n")).withColumn("kind", F.lit(k)) for k in EDGE_KINDS])
 
 
 @query("SELECT src_id, count(*) AS n FROM edges WHERE kind = 'Reference' AND starts_with(src_id, 'order:') AND starts_with(dst_id, 'customer:') GROUP BY 1")
@@ -151,10 +154,16 @@ def definition_at_position(spark, sf):
     return navigate.definition_at(g, spots(g))
 
 
-@query("SELECT file_path AS path, (line + 1)::INTEGER AS line, 4 AS char, arg_min(id, (start_line, id)) AS id FROM spots JOIN symbols USING (file_path) WHERE line BETWEEN start_line AND start_line + 5 GROUP BY 1, 2", recursive=SPOTS)
+LOCATIONS = f"""{SPOTS}, asked AS (SELECT DISTINCT CASE line % 3 WHEN 0 THEN file_path WHEN 1 THEN 'root/' || file_path ELSE substr(file_path, 2) END AS path, line FROM spots),
+fits AS (SELECT p.path, f.file_path FROM (SELECT DISTINCT path FROM asked) p JOIN (SELECT DISTINCT file_path FROM symbols) f ON ends_with(p.path, f.file_path) OR ends_with(f.file_path, p.path))"""
+
+
+@query("SELECT path, (line + 1)::INTEGER AS line, 4 AS char, arg_min(id, (file_path, start_line, id)) AS id FROM asked JOIN fits USING (path) JOIN symbols USING (file_path) WHERE line BETWEEN start_line AND start_line + 5 GROUP BY 1, 2", recursive=LOCATIONS)
 def symbol_at_location(spark, sf):
+    """Paths as they are, with a folder before them, and without their first character."""
     g = graph(spark, sf, "Import")
-    return navigate.at_location(g.symbols, spots(g).select(F.col("file_path").alias("path"), (F.col("line") + 1).alias("line"), (F.col("char") + 1).alias("char")))
+    path = F.when(F.col("line") % 3 == 0, F.col("file_path")).when(F.col("line") % 3 == 1, F.concat(F.lit("root/"), "file_path")).otherwise(F.substring("file_path", 2, 1000))
+    return navigate.at_location(g.symbols, spots(g).select(path.alias("path"), (F.col("line") + 1).alias("line"), (F.col("char") + 1).alias("char")))
 
 
 @query("SELECT src_id, dst_id, 'Reference' AS kind FROM (SELECT e.id AS dst_id, arg_min(s.id, (s.start_line, s.id)) AS src_id FROM symbols e JOIN symbols s ON s.file_path = e.file_path AND e.start_line BETWEEN s.start_line AND s.start_line + 5 WHERE e.kind = 'Method' GROUP BY 1) WHERE src_id <> dst_id")
@@ -405,26 +414,32 @@ def dead_symbols(spark, sf):
     return analytics.dead(g, g.symbols.where("kind = 'Variable' and name = '1-URGENT'").select("id"))
 
 
-@query("SELECT id, 2::BIGINT AS cyclomatic FROM symbols WHERE kind IN ('Module', 'Namespace')")
+@query("SELECT id, cyclomatic::BIGINT AS cyclomatic FROM cyc", cte=LATTICE_SQL)
 def cyclomatic(spark, sf):
-    g = graph(spark, sf, "Contains")
-    return analytics.cyclomatic(g, g.symbols.where("kind in ('Module', 'Namespace')").select("id"))
+    g = lattice(spark, sf)
+    return analytics.cyclomatic(g, g.symbols.where("kind in ('Function', 'Method')").select("id"))
+
 
+@query("SELECT id, (coalesce(CASE WHEN o.b > 1 THEN o.b - 1 END, 0) + coalesce(inner_weight, 0))::BIGINT AS cognitive FROM cyc LEFT JOIN outs o ON o.src_id = id", cte=LATTICE_SQL)
+def cognitive(spark, sf):
+    g = lattice(spark, sf)
+    return analytics.cognitive(g, g.symbols.where("kind in ('Function', 'Method')").select("id"))
 
-@query("SELECT id, max(depth)::BIGINT AS depth FROM (SELECT id, CASE WHEN x.src_id IS NULL THEN 0 WHEN y.src_id IS NULL THEN 1 ELSE 2 END AS depth FROM symbols LEFT JOIN edges x ON x.src_id = id AND x.kind = 'Contains' LEFT JOIN edges y ON y.src_id = x.dst_id AND y.kind = 'Contains' WHERE symbols.kind IN ('Module', 'Namespace')) GROUP BY 1")
+
+@query("SELECT id, depth::BIGINT AS depth FROM cyc UNION ALL SELECT id, 1 FROM symbols WHERE kind = 'Namespace'", cte=LATTICE_SQL)
 def nesting_depth(spark, sf):
-    g = graph(spark, sf, "Contains")
-    return analytics.nesting(g, g.symbols.where("kind in ('Module', 'Namespace')").select("id"))
+    g = lattice(spark, sf)
+    return analytics.nesting(g, g.symbols.where("kind in ('Function', 'Method', 'Namespace')").select("id"))
 
 
-@query("SELECT id, 2::BIGINT AS cyclomatic, 0::BIGINT AS cognitive, 0::BIGINT AS depth, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out, 0.0::DOUBLE AS coupling FROM symbols LEFT JOIN (SELECT dst_id, count(*) AS i FROM edges WHERE kind = 'Reference' GROUP BY 1) ON dst_id = id LEFT JOIN (SELECT src_id, count(*) AS o FROM edges WHERE kind = 'Reference' GROUP BY 1) ON src_id = id WHERE kind IN ('Function', 'Method')")
+@query("SELECT id, cyclomatic::BIGINT AS cyclomatic, (coalesce(CASE WHEN o.b > 1 THEN o.b - 1 END, 0) + coalesce(inner_weight, 0))::BIGINT AS cognitive, depth::BIGINT AS depth, coalesce(i.b, 0) AS fan_in, coalesce(o.b, 0) AS fan_out, round(coalesce(d, 0) / (coalesce(d, 0) + 1), 6) AS coupling FROM cyc LEFT JOIN outs o ON o.src_id = id LEFT JOIN ins i ON i.dst_id = id LEFT JOIN far ON far.src_id = id", cte=LATTICE_SQL)
 def complexity_metrics(spark, sf):
-    return analytics.metrics(graph(spark, sf, "Contains", "Reference", "Definition", "Import"))
+    return analytics.metrics(lattice(spark, sf)).withColumn("coupling", F.round("coupling", 6))
 
 
-@query("SELECT id, 2::BIGINT AS cyclomatic FROM symbols WHERE kind IN ('Function', 'Method') ORDER BY id LIMIT 25")
+@query("SELECT id, cyclomatic::BIGINT AS cyclomatic FROM cyc ORDER BY cyclomatic DESC, id LIMIT 25", cte=LATTICE_SQL)
 def complexity_rank(spark, sf):
-    return analytics.rank_by_complexity(graph(spark, sf, "Contains"), 25)
+    return analytics.rank_by_complexity(lattice(spark, sf), 25)
 
 
 @query("SELECT s AS root_id, 'parent' AS bucket, n AS symbol_id FROM reached UNION ALL SELECT n, 'child', s FROM reached UNION ALL SELECT DISTINCT a.s, 'sibling', b.s FROM reached a JOIN reached b ON b.n = a.n WHERE a.s <> b.s", recursive=REACH)
@@ -463,13 +478,13 @@ texts AS (SELECT k, n, path, l, CASE l WHEN 0 THEN 'pub fn ' || n || '(x: ' || p
 rows AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY k) - 1 AS line FROM texts)"""
 
 
-def files(spark: SparkSession, sf: str) -> DataFrame:
-    """path, content: a source file for each brand and language, a line for each part."""
+def files(spark: SparkSession, sf: str, part: DataFrame | None = None) -> DataFrame:
+    """path, content: a source file for each brand and language, a line for each part (of those given)."""
     n = F.concat(F.substring_index("p_name", " ", 1), F.lit("_"), F.substring_index("p_name", " ", -1))
     key = F.col("p_partkey") % 4
     ends = F.when(key == 0, ".rs").when(key == 1, ".ts").when(key == 2, ".py").otherwise(".go")
     text = F.when(key == 0, F.concat(F.lit("pub fn "), n, F.lit("(x: "), "p_type", F.lit(") {"))).when(key == 1, F.concat(F.lit("export const "), n, F.lit(" = (x) => x; // "), n)).when(key == 2, F.concat(F.lit("    def "), n, F.lit("(self):"))).otherwise(F.concat(F.lit("func (s *Set) "), n, F.lit("() {")))
-    rows = Tables(spark, sf)["part"].select(F.concat(F.lit("b"), F.regexp_replace("p_brand", "[^0-9]", ""), ends).alias("path"), F.struct("p_partkey", text.alias("t")).alias("row"))
+    rows = (Tables(spark, sf)["part"] if part is None else part).select(F.concat(F.lit("b"), F.regexp_replace("p_brand", "[^0-9]", ""), ends).alias("path"), F.struct("p_partkey", text.alias("t")).alias("row"))
     return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r.t), "\n").alias("content"))
 
 
@@ -485,13 +500,24 @@ def language_detect(spark, sf):
 
 @query("SELECT path, line::INTEGER AS line, (strpos(text, n) - 1)::INTEGER AS char, l <> 3 AS is_definition FROM rows WHERE n = 'small_ring'", cte=SOURCES)
 def textual_references(spark, sf):
-    return source.find_references(files(spark, sf), "small_ring")
+    return textrefs.find_references(files(spark, sf), "small_ring")
+
+
+VARIED = """varied AS (SELECT id, file_path, start_line, list_extract(['__init__', '__x', '_y', 'Zed', 'test_z', 'élan', 'main'], 1 + start_line % 7) AS name,
+  list_extract(['pub fn f', 'pub(crate) fn f', 'export class C', 'private x', 'protected y', NULL, 'class Base: #[test]', 'impl Thing {', 'func (s *Set) f', 'export default React'], 1 + start_line % 10) AS detail FROM symbols WHERE kind IN ('Function', 'Class', 'Interface'))"""
+
+
+def varied(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols with names and details of many shapes."""
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (1 + F.col("start_line") % n).cast("int"))
+    s = graph(spark, sf, "Import").symbols.where("kind in ('Function', 'Class', 'Interface')")
+    return s.withColumn("name", pick(("__init__", "__x", "_y", "Zed", "test_z", "élan", "main"), 7)).withColumn("detail", pick(("pub fn f", "pub(crate) fn f", "export class C", "private x", "protected y", None, "class Base: #[test]", "impl Thing {", "func (s *Set) f", "export default React"), 10))
 
 
-@query("SELECT id, 'Private' AS rust, CASE WHEN regexp_matches(name, '^[A-Z]') THEN 'Public' ELSE 'Private' END AS go, 'Public' AS python, 'Internal' AS typescript FROM symbols WHERE kind IN ('Function', 'Class', 'Interface')", cte=SYMBOLS_SQL)
+@query("SELECT id, CASE WHEN contains(detail, 'pub(crate)') THEN 'Internal' WHEN contains(detail, 'pub') THEN 'Public' ELSE 'Private' END AS rust, CASE WHEN name = 'Zed' THEN 'Public' ELSE 'Private' END AS go, CASE name WHEN '__init__' THEN 'Public' WHEN '__x' THEN 'Private' WHEN '_y' THEN 'Protected' ELSE 'Public' END AS python, CASE WHEN contains(detail, 'private') THEN 'Private' WHEN contains(detail, 'protected') THEN 'Protected' WHEN contains(detail, 'export') THEN 'Public' ELSE 'Internal' END AS typescript FROM varied", cte=SYMBOLS_SQL, recursive=VARIED)
 def visibility(spark, sf):
     n, d = F.col("name"), F.col("detail")
-    return graph(spark, sf, "Import").symbols.where("kind in ('Function', 'Class', 'Interface')").select("id", *[source.visibility(x, n, d).alias(x) for x in ("rust", "go", "python", "typescript")])
+    return varied(spark, sf).select("id", *[source.visibility(x, n, d).alias(x) for x in ("rust", "go", "python", "typescript")])
 
 
 @query("SELECT path, line::INTEGER AS line, text FROM rows", cte=SOURCES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.schema import EDGES, SYMBOL_COLUMNS, SYMBOLS, Graph
+from lodestar.schema import CANONICAL, EDGES, SYMBOL_COLUMNS, SYMBOLS, Graph
 
 
 def load(spark: SparkSession, folder: str) -> Graph:
@@ -137,35 +137,49 @@ def chain_text(chains: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.select("start", F.concat(F.array_join(F.transform("ts", lambda x: x.t), " → "), F.when(F.col("has_cycle"), " [CYCLE DETECTED]").otherwise("")).alias("text"))
 
 
+def listed(symbols: DataFrame, style: str) -> DataFrame:
+    """value, in the canonical order: a line for each symbol, or with json one text of all, a list."""
+    if style != "json":
+        return symbols.orderBy(*CANONICAL).select(formatted(style).alias("value"))
+    rows = F.array_sort(F.collect_list(F.struct(*CANONICAL, formatted("json").alias("v"))))
+    return symbols.agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda x: x.v), ","), F.lit("]")).alias("value"))
+
+
 def tree_text(rows: list[tuple[str, str | None]], root: str) -> str:
-    """A call tree of (node, parent) rows of one root, drawn with lines."""
+    """A call tree of (node, parent) rows of one root, drawn with lines; a node above itself isn't drawn again."""
     below: dict[str | None, list[str]] = {}
     for node, parent in sorted(rows, key=lambda r: r[0]):
         below.setdefault(parent, []).append(node)
     out = [root]
-
-    def draw(at: str, indent: str) -> None:
-        kids = below.get(at, [])
-        for i, k in enumerate(kids):
-            end = i + 1 == len(kids)
-            out.append(f"{indent}{'└── ' if end else '├── '}{k}")
-            draw(k, indent + ("    " if end else "│   "))
-
-    draw(root, "")
+    kids = below.get(root, [])
+    todo = [(k, "", i + 1 == len(kids), (root,)) for i, k in reversed(list(enumerate(kids)))]
+    while todo:
+        node, indent, end, above = todo.pop()
+        out.append(f"{indent}{'└── ' if end else '├── '}{node}")
+        if node not in above:
+            kids = below.get(node, [])
+            todo += [(k, indent + ("    " if end else "│   "), i + 1 == len(kids), (*above, node)) for i, k in reversed(list(enumerate(kids)))]
     return "\n".join(out)
 
 
-def matches_text(matches: DataFrame, symbols: DataFrame, most: int = 1000) -> str:
-    """The first `most` bindings (by id) as text; a caller that wants all of many reads the rows instead."""
-    names = matches.columns
-    rows = matches.orderBy(*names).limit(most)
+def match_lines(matches: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One row per binding, text: its variables in the order of their columns, each as name (kind)."""
+    names, rows = matches.columns, matches
     shown = symbols.select("id", "name", "kind")
     for c in names:
         rows = rows.join(shown.select(F.col("id").alias(c), F.concat("name", F.lit(" ("), "kind", F.lit(")")).alias(f"__{c}")), c)
-    found = rows.orderBy(*names).collect()
-    out = [f"Found {len(found)} matches", ""]
+    return rows.select(*names, F.concat_ws("\n", F.lit("  Bindings:"), *[F.concat(F.lit(f"    {c}: "), F.col(f"__{c}")) for c in names]).alias("text"))
+
+
+def matches_text(matches: DataFrame, symbols: DataFrame, most: int | None = None) -> str:
+    """How many bindings there are and all of them, or the first `most` by id, as one text on the driver; match_lines()
+    has them as rows."""
+    rows = match_lines(matches, symbols).orderBy(*matches.columns)
+    found = (rows if most is None else rows.limit(most)).select("text").collect()
+    total = len(found) if most is None else matches.count()
+    out = [f"Found {total} matches", ""]
     for i, r in enumerate(found):
-        out += [f"Match {i + 1}:", "  Bindings:", *[f"    {c}: {r[f'__{c}']}" for c in names], ""]
+        out += [f"Match {i + 1}:", r["text"], ""]
     return "\n".join(out)
 
 

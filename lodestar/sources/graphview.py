@@ -117,11 +117,32 @@ def edge_sets(t: Tables) -> dict[str, list[Callable[[], DataFrame]]]:
             lambda: edge(before(o, "o_orderkey", "o_custkey", "o_orderdate", "o_orderkey"), under("order:", "o_orderkey"), under("order:", "prev"), "Definition"),
             lambda: edge(k.where("turn > 0"), turn("turn"), turn(F.col("turn") - 1), "Definition"),
         ],
+        "Override": [lambda: edge(before(e.select("event_id", "ts", F.struct("user_id", "event_type").alias("group")), "event_id", "group", "ts", "event_id"), under("event:", "event_id"), under("event:", "prev"), "Override")],
         "Import": [lambda: imports(t)],
         "Export": [lambda: edge(o.where("o_orderstatus = 'F'"), under("order:", "o_orderkey"), under("order:", "o_orderkey"), "Export")],
     }
 
 
+def lattice(spark: SparkSession, folder: str) -> Graph:
+    """The same symbols with Contains edges that meet again (a part holds its suppliers, these their nation, this its
+    region) and References between parts and suppliers, so that complexities differ."""
+    t = Tables(spark, folder)
+    li = t["lineitem"]
+    held = li.select("l_partkey", "l_suppkey").distinct()
+    some = li.select("l_partkey", "l_suppkey", "l_tax")
+    parts = [
+        edge(held, under("part:", "l_partkey"), under("supplier:", "l_suppkey"), "Contains"),
+        edge(t["supplier"], under("supplier:", "s_suppkey"), under("nation:", "s_nationkey"), "Contains"),
+        edge(t["nation"], under("nation:", "n_nationkey"), under("region:", "n_regionkey"), "Contains"),
+        edge(some.where("l_tax = 0.08"), under("part:", "l_partkey"), under("supplier:", "l_suppkey"), "Reference"),
+        edge(some.where("l_tax = 0.01"), under("supplier:", "l_suppkey"), under("part:", "l_partkey"), "Reference"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return Graph(symbols(t), out)
+
+
 def graph(spark: SparkSession, folder: str, *kinds: str) -> Graph:
     """The graph with the edges of these kinds, or of all."""
     t = Tables(spark, folder)
@@ -159,6 +180,20 @@ edges AS (
   UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'Implementation' FROM lineitem
   UNION ALL SELECT 'order:' || o_orderkey, 'order:' || p, 'Definition' FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) WHERE p IS NOT NULL
   UNION ALL SELECT 'turn:' || conv_id || ':' || turn, 'turn:' || conv_id || ':' || (turn - 1), 'Definition' FROM conversations WHERE turn > 0
+  UNION ALL SELECT 'event:' || event_id, 'event:' || p, 'Override' FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) WHERE p IS NOT NULL
   UNION ALL SELECT 'nation:' || s, 'nation:' || c, 'Import' FROM imports
   UNION ALL SELECT 'order:' || o_orderkey, 'order:' || o_orderkey, 'Export' FROM orders WHERE o_orderstatus = 'F')"""
 GRAPH_SQL = f"{SYMBOLS_SQL},\n{EDGES_SQL}"
+LATTICE_SQL = f"""{SYMBOLS_SQL},
+edges AS (
+  SELECT DISTINCT 'part:' || l_partkey AS src_id, 'supplier:' || l_suppkey AS dst_id, 'Contains' AS kind FROM lineitem
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'Contains' FROM supplier
+  UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'Contains' FROM nation
+  UNION ALL SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'Reference' FROM lineitem WHERE l_tax = 0.08
+  UNION ALL SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'Reference' FROM lineitem WHERE l_tax = 0.01),
+held AS (SELECT DISTINCT 'part:' || l_partkey AS p, 'supplier:' || l_suppkey AS s, n_regionkey AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+outs AS (SELECT src_id, count(*) AS b FROM edges WHERE kind = 'Reference' GROUP BY 1),
+ins AS (SELECT dst_id, count(*) AS b FROM edges WHERE kind = 'Reference' GROUP BY 1),
+cyc AS (SELECT id, greatest(0, count(h.s) - count(DISTINCT h.r) - 1) + 2 AS cyclomatic, CASE WHEN count(h.s) > 0 THEN 3 ELSE 0 END AS depth, sum(CASE WHEN o.b > 1 THEN 2 * (o.b - 1) ELSE 0 END) AS inner_weight
+  FROM symbols LEFT JOIN held h ON h.p = id LEFT JOIN outs o ON o.src_id = h.s WHERE kind IN ('Function', 'Method') GROUP BY 1),
+far AS (SELECT e.src_id, count(DISTINCT e.dst_id) AS d FROM edges e JOIN symbols a ON a.id = e.src_id JOIN symbols b ON b.id = e.dst_id WHERE e.kind = 'Reference' AND a.file_path <> b.file_path GROUP BY 1)"""

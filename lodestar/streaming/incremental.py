@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.analytics import dead
 from lodestar.schema import Graph
 
 
@@ -82,10 +81,6 @@ def batch_totals(old: DataFrame, updates: DataFrame) -> DataFrame:
     return rows.withColumn("p", prev).agg(F.count_distinct("path").alias("files"), size(F.array_except("now", "p")).alias("added"), size(F.array_except("p", "now")).alias("removed"), size(F.array_intersect("now", "p")).alias("updated"))
 
 
-def dead_after(g: Graph) -> DataFrame:
-    return dead(g)
-
-
 def apply_updates(g: Graph, updates: DataFrame) -> Graph:
     """The graph after a batch of updates (seq, op, path, symbols array of structs); the last of each path counts."""
     last = last_of_each(updates)

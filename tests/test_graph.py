@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import analytics, filters, match, navigate, traverse
+from lodestar.operators import analytics, filters, lookup, match, navigate, traverse
 from lodestar.plans.pattern import PatternError, PropertyFilter, parse
 from lodestar.schema import EDGES, SYMBOLS, Graph
 
@@ -71,13 +71,34 @@ def test_navigation(spark, logger):
     spots = spark.createDataFrame([("src/a.rs", 0, 0), ("src/a.rs", 45, 20), ("src/a.rs", 45, 21), ("src/a.rs", 8, 0), ("x", 0, 0)], "file_path string, line int, char int")
     assert rows(navigate.at_positions(logger.symbols, spots)) == [("src/a.rs", 0, 0, "ILogger"), ("src/a.rs", 45, 20, "logger")]
     assert rows(navigate.definition_at(logger, spots)) == [("src/a.rs", 0, 0, "ILogger"), ("src/a.rs", 45, 20, "Console")]
-    places = spark.createDataFrame([("/home/src/a.rs", 43, 2), ("a.rs", 1, 1), ("b.rs", 1, 1), ("xa.rs", 1, 1)], "path string, line int, char int")
-    assert rows(navigate.at_location(logger.symbols, places)) == [("/home/src/a.rs", 43, 2, "logger"), ("a.rs", 1, 1, "ILogger")]
+    places = spark.createDataFrame([("/home/src/a.rs", 43, 2), ("a.rs", 1, 1), ("b.rs", 1, 1), ("xa.rs", 1, 1), ("xsrc/a.rs", 1, 1)], "path string, line int, char int")
+    assert rows(navigate.at_location(logger.symbols, places)) == [("/home/src/a.rs", 43, 2, "logger"), ("a.rs", 1, 1, "ILogger"), ("xsrc/a.rs", 1, 1, "ILogger")]
     assert navigate.parse_location("a/b.rs:3:9") == ("a/b.rs", 3, 9) and navigate.parse_location("a.rs") == ("a.rs", 1, 1)
     refs = spark.createDataFrame([("src/a.rs", 31, "Console"), ("src/a.rs", 41, "logger"), ("src/a.rs", 999, "x")], "file_path string, line int, target string")
     assert rows(navigate.reference_edges(logger.symbols, refs)) == [("log", "Console", "Reference")]
 
 
+def test_lookups(spark, logger):
+    far = Graph(logger.symbols.withColumn("file_path", F.when(F.col("id") == "config", "src/b.rs").otherwise(F.col("file_path"))), logger.edges.unionByName(spark.createDataFrame([("File", "Console", "Override"), ("log", "File", "Reference")], EDGES)))
+    assert rows(lookup.symbol(far.symbols, "File").select("id")) == [("File",)] and [r["id"] for r in lookup.in_file(far.symbols, "src/a.rs").collect()] == ["ILogger", "Console", "File", "log", "logger"]
+    assert rows(lookup.references_with(far, one(spark, "File", "Console"), "a.rs")) == [("Console", "logger", "src/a.rs"), ("File", "log", "src/a.rs")]
+    assert rows(lookup.references_with(far, one(spark, "File"), limit=1)) == [("File", "log", "src/a.rs")]
+    assert rows(lookup.references_by_file(far)) == [("File", "src/b.rs", 1)] and rows(navigate.overrides(far)) == [("Console", "File")]
+    places = spark.createDataFrame([("log", "src/b.rs", 52), ("log", "src/a.rs", 2), ("config", "src/a.rs", 2)], "id string, file_path string, line int")
+    assert rows(lookup.cross_file_references(far.symbols, places)) == [("log", "config", "Reference")]
+    at = spark.createDataFrame([("a.rs", 1, 1)], "path string, line int, char int")
+    assert [r["definition"] for r in lookup.definition_of(far, at).collect()] == ["Console"]
+    assert rows(traverse.has_path(far.of_kind("Reference"), spark.createDataFrame([("log", "Console"), ("Console", "log"), ("zz", "zz")], "src string, dst string"))) == [("Console", "log", False), ("log", "Console", True), ("zz", "zz", True)]
+
+
+def test_holders_of_long_symbols(spark):
+    rows_of = [("file", 0, 100_000), ("one", 70, 70), ("two", 60, 130)]
+    symbols = spark.createDataFrame([(i, "Class", i, "f", a, 0, b, 9, None, None) for i, a, b in rows_of], SYMBOLS)
+    points = spark.createDataFrame([("f", n) for n in (0, 64, 70, 128, 131, 100_000, 100_001)], "file_path string, line int")
+    held = rows(navigate.held(symbols, points).select("line", "id"))
+    assert held == sorted((n, i) for n in (0, 64, 70, 128, 131, 100_000) for i, a, b in rows_of if a <= n <= b)
+
+
 def test_build_drops_unknown_ends_and_repeated_ids(spark, logger):
     more = spark.createDataFrame([("log", "nowhere", "Reference"), ("gone", "log", "Import")], EDGES)
     g = Graph.build(logger.symbols.unionByName(logger.symbols.withColumn("start_line", F.lit(900))), logger.edges.unionByName(more))

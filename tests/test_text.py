@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.functions import names, source
+from lodestar.functions import mapping, names, source, textrefs
 from lodestar.operators import search
 from lodestar.schema import EDGES, SYMBOLS, Graph
 from lodestar.sources import formats
-from lodestar.streaming import incremental
+from lodestar.streaming import incremental, lifecycle
 from tests.test_graph import build, one, rows
 
 CODE = {
@@ -47,21 +47,72 @@ def test_languages_and_scans(spark, files):
 
 
 def test_references(spark):
-    df = spark.createDataFrame([("a.rs", "fn run() { run(); }\n// run\nlet s = \"run\"; running(); run")], "path string, content string")
-    assert rows(source.find_references(df, "run")) == [("a.rs", 0, 3, True), ("a.rs", 0, 11, False), ("a.rs", 2, 26, False)]
+    df = spark.createDataFrame([("a.rs", "fn run() { run(); }\n// run\nlet s = \"run\"; running(); run"), ("b.rs", "run /* run\n run */ run r\"a \\\" run\n\"run\nrun"), ("c.py", "# run\ndef run(): 'run' + \"\"\"run\nrun\"\"\" + run"), ("d.go", "func (s *T) run() { `run\nrun` }"), ("e.txt", "// run")], "path string, content string")
+    want = [("a.rs", 0, 3, True), ("a.rs", 0, 11, False), ("a.rs", 2, 26, False), ("b.rs", 0, 0, False), ("b.rs", 1, 8, False), ("b.rs", 1, 19, False), ("b.rs", 3, 0, False), ("c.py", 1, 4, True), ("c.py", 2, 9, False), ("d.go", 0, 12, True), ("e.txt", 0, 3, False)]
+    found = rows(textrefs.find_references(df, "run"))
+    assert found == want
+    assert [tuple(r) for r in textrefs.sorted_references(textrefs.find_references(df.unionByName(df), "run")).collect()] == want
+
+
+def test_patterns_of_declarations(spark):
+    lines = {"a.rs": ["impl <T> Set {", "impl<T> No {", "pub fn größe() {", "impl Plain {"], "b.ts": ["const f = async (x) => x;", "const g = [1];", "const h = x => x;", "export const k = ("], "c.go": ["  func (s *S) Inner() {", "\ttype T struct {", "  type I interface {"]}
+    df = spark.createDataFrame([(p, "\n".join(x)) for p, x in lines.items()], "path string, content string")
+    found = rows(source.extract(df).select("file_path", "start_line", "kind", "name"))
+    assert found == [("a.rs", 0, "Class", "impl Set"), ("a.rs", 2, "Function", "größe"), ("a.rs", 3, "Class", "impl Plain"), ("b.ts", 0, "Function", "f"), ("b.ts", 1, "Function", "g"), ("b.ts", 2, "Variable", "h"), ("b.ts", 3, "Function", "k"), ("c.go", 0, "Function", "Inner"), ("c.go", 1, "Struct", "T"), ("c.go", 2, "Interface", "I")]
+    source.add_catalogued("rust", "Macro", r"^macro_rules!\s+(\w+)")
+    assert rows(source.catalogued(spark.createDataFrame([("m.rs", "macro_rules! vecs {\n")], "path string, content string"), "Macro")) == [("m.rs", 0, "vecs")]
 
 
 def test_fuzzy(spark):
-    s = named(spark, "getUserById", "getUserByName", "setUserName", "HTTPServerConfig", "calculateUserScore", "ID_CONSTANT", "ユーザー取得")
+    s = named(spark, "openDoorLock", "openWindow", "XMLTreeReader", "sumOfSquares", "MAX_DEPTH", "größteZahl")
     kind = lambda q: {r["name"]: r["match_type"] for r in search.core_search(s, q).collect()}
-    assert kind("getuserbyid")["getUserById"] == "Exact" and kind("get")["getUserByName"] == "Prefix" and kind("UBI")["getUserById"] == "CamelCase"
-    assert kind("server")["HTTPServerConfig"] == "Substring" and kind("getUserByld")["getUserById"] in ("Typo", "Fuzzy") and kind("") == {} and kind("ユーザー")["ユーザー取得"] == "Substring"
-    t = named(spark, "RelationshipPattern", "QueryEngine", "TypeRelations", "JsonRpcRequest")
-    assert [(r["name"], r["score"]) for r in search.cli_search(t, "rp").collect()][0] == ("JsonRpcRequest", 0.7)
+    assert kind("OPENDOORLOCK")["openDoorLock"] == "Exact" and kind("open")["openWindow"] == "Prefix" and kind("DL")["openDoorLock"] == "CamelCase"
+    assert kind("reader")["XMLTreeReader"] == "Substring" and kind("openWimdow")["openWindow"] in ("Typo", "Fuzzy") and kind("") == {} and kind("ßte")["größteZahl"] == "Substring"
+    found = [(r["name"], r["match_type"], r["score"]) for r in search.cli_search(s, "xtr").collect()]
+    assert found[0] == ("XMLTreeReader", "subsequence", 0.5) if found[0][1] == "subsequence" else found[0][1] == "abbreviation"
     assert search.needs_fuzzy("ab", 9) and search.needs_fuzzy("LONG", 9) and not search.needs_fuzzy("long", 3)
-    words = s.select("name", names.camel_words(F.col("name")).alias("w"), names.plain_camel_words(F.col("name")).alias("p"), names.grams(F.lit("ab"), 2).alias("g")).collect()
+    assert {r["name"] for r in search.search_by_kind(s, "open", "func", 1).collect()} == {"openWindow"} and search.search_by_kind(s, "open", "class").count() == 0
+    words = s.select("name", names.camel_words(F.col("name")).alias("w"), names.plain_camel_words(F.col("name")).alias("p"), names.grams(F.lit("ab"), 2).alias("g"), names.plain_grams(F.lit("abcd"), 3).alias("l")).collect()
     by = {r["name"]: r for r in words}
-    assert by["HTTPServerConfig"]["w"] == ["HTTP", "Server", "Config"] and by["getUserById"]["p"] == ["get", "User", "By", "Id", "getUserById"] and sorted(by["ID_CONSTANT"]["g"]) == [" a", "ab", "b "]
+    assert by["XMLTreeReader"]["w"] == ["XML", "Tree", "Reader"] and by["openDoorLock"]["p"] == ["open", "Door", "Lock", "openDoorLock"] and sorted(by["MAX_DEPTH"]["g"]) == [" a", "ab", "b "] and by["MAX_DEPTH"]["l"] == ["abc", "bcd"]
+
+
+def test_index_life_cycle(spark, tmp_path):
+    store = lifecycle.Store(spark, str(tmp_path / "store"))
+    files = lambda **x: spark.createDataFrame([(f"{k}.rs", v) for k, v in x.items()], "path string, content string")
+    assert store.load()[0].symbols.count() == 0 and store.tables() == []
+    first = store.index(files(a="fn one() {}\nfn two() {}", b="fn three() {}", c="fn four() {}", d=None))
+    assert first.full and first.summary().first().asDict() == {"files_added": 4, "files_modified": 0, "files_deleted": 0, "symbols_added": 4, "symbols_removed": 0, "symbols_updated": 0, "full": True}
+    g, known = store.load()
+    linked = Graph(g.symbols, spark.createDataFrame([("a.rs#0:one", "b.rs#0:three", "Reference"), ("b.rs#0:three", "c.rs#0:four", "Reference")], EDGES))
+    store.save(linked, known)
+    second = store.index(files(a="fn one() {}\nfn other() {}", b="fn three() {}", c="fn four() {}", d=None))
+    assert not second.full and rows(second.diff) == [("a.rs", "a.rs#0:one", "updated"), ("a.rs", "a.rs#1:other", "added"), ("a.rs", "a.rs#1:two", "removed")]
+    assert rows(second.graph.edges) == [("b.rs#0:three", "c.rs#0:four", "Reference")]  # edges at updated symbols go
+    third = store.index(files(a="fn one() {}\nfn other() {}", b="fn three() {}", c="fn four() {}", d=None))
+    assert third.changes.count() == 0 and [r["version"] for r in store.metadata().orderBy("version").collect()] == [1, 2, 3]
+    assert rows(store.ready(files(b="fn three() {}", d="")).symbols.select("id")) == [("b.rs#0:three",)]
+    folder = str(tmp_path / "json")
+    lifecycle.export_json(g.symbols, folder)
+    assert spark.read.text(f"{folder}/symbols").count() == 4 and spark.read.text(f"{folder}/total").first()["value"] == '{"total":4}'
+
+
+def test_user_functions(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "x.txt").write_text("a\nb")
+    (tmp_path / "y.txt").write_text("bad")
+
+    def lines_of(path, content):
+        if content == "bad":
+            raise ValueError(path)
+        return content.split("\n")
+
+    found = mapping.process_files(mapping.read_files(spark, str(tmp_path)), lines_of, "array<string>")
+    assert sorted((r["path"], r["result"], r["error"]) for r in found.collect()) == [("deep/x.txt", ["a", "b"], None), ("y.txt", None, "ValueError: y.txt")]
+    df = spark.createDataFrame([(i, None if i == 3 else str(i)) for i in range(5)], "k long, v string")
+    assert rows(mapping.filter_map(df, lambda r: r["v"], "string").select("k", "result")) == [(0, "0"), (1, "1"), (2, "2"), (4, "4")]
+    with pytest.raises(Exception, match="1 results for 2 rows"):
+        mapping.process_chunked(df.coalesce(1), lambda rows: [0], "long", 2).collect()
 
 
 def test_formats(spark, tmp_path):
@@ -124,10 +175,19 @@ def test_languages_rules(spark):
     low, high = (g.symbols.where(f"id in ({x})") for x in ("'a', 'b'", "'a'"))
     assert rows(L.first_successful([(1, low), (9, high.withColumn("name", F.lit("n")))]).select("id", "name")) == [("a", "n"), ("b", "Serve")]
     tree = '{"name":"A","kind":5,"range":{"start":{"line":0,"character":0},"end":{"line":9,"character":0}},"children":[{"name":"m","kind":6,"range":{"start":{"line":1,"character":2},"end":{"line":2,"character":0}},"children":[]}]}'
-    symbols, edges = L.flattened(spark.createDataFrame([("p.rs", tree)], "path string, root string"), 3)
+    symbols, edges = L.flattened(spark.createDataFrame([("p.rs", tree)], "path string, root string"))
     assert rows(symbols.select("id", "kind")) == [("p.rs#0:A", "Class"), ("p.rs#1:m", "Method")] and rows(edges) == [("p.rs#0:A", "p.rs#1:m", "Contains")]
+    deep = '{"name":"n12","kind":12,"range":{"start":{"line":12,"character":0},"end":{"line":12,"character":1}}}'
+    for n in range(11, -1, -1):
+        deep = f'{{"name":"n{n}","kind":12,"range":{{"start":{{"line":{n},"character":0}},"end":{{"line":{n},"character":1}}}},"children":[{deep}]}}'
+    symbols, edges = L.flattened(spark.createDataFrame([("q.rs", deep)], "path string, root string"))
+    assert symbols.count() == 13 and edges.count() == 12
     uses = spark.createDataFrame([("f", "d1", 1, True), ("f", "d2", 5, True), ("f", "u", 7, False), ("g", "v", 8, False)], "name string, id string, place int, is_definition boolean")
     assert rows(L.definitions_and_references(uses)) == [("u", "d2", "Reference")]
     assert "Found 1 matches" in formats.matches_text(spark.createDataFrame([("a", "b")], "x string, y string"), g.symbols)
+    many = spark.createDataFrame([("a", "b")] * 1200, "x string, y string")
+    assert "Found 1200 matches" in formats.matches_text(many, g.symbols) and "Found 1200 matches" in (short := formats.matches_text(many, g.symbols, 3)) and "Match 4" not in short
+    assert formats.tree_text([("b", "a"), ("c", "b"), ("b", "c"), ("d", "a")], "a") == "a\n├── b\n│   └── c\n│       └── b\n└── d"
+    assert formats.listed(g.symbols.where("id in ('a', 'b')"), "json").first()["value"].count("{") == 2
     rel = spark.createDataFrame([("r", "users", i) for i in "abcd"], "root_id string, bucket string, symbol_id string")
     assert rows(formats.relations_report(rel, g.symbols, 2)) == [("r", "users", 4, "K, Serve")]
