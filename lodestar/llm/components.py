@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.tables import written
+from lodestar.llm.tables import dropped, written
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node goes to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return written(both.where("v > u").join(written(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    out = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    dropped(least)
+    return out
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Each smaller neighbour of a node, and the node, go to the smallest of them."""
     least = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
     moved = edges.join(least.where("n > 1"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return written(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
+    out = written(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
+    dropped(least)
+    return out
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,7 +35,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     loops = links.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("component"))
     edges = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while True:
-        edges = small_star(large_star(edges))
+        large = large_star(edges)
+        small = small_star(large)
+        dropped(edges, large)  # a step is a table of its own, so what it was made from can go
+        edges = small
         state = edges.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("u").alias("nodes")).first()
         if state["rows"] == state["nodes"] and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break

@@ -1,6 +1,7 @@
 """Jaccard join of word n-gram sets by count vectors (operator 8).
 
-A text's n-grams are hashed into GROUPS groups; the counts are its point. For two sets the sum of the coordinates'
+A text's n-grams are hashed into groups, GROUPS for up to 4 * GROUPS n-grams and four times as many for each four times as
+many n-grams; the counts are its point (the finer of two points is folded to meet the other). For two sets the sum of the coordinates'
 smaller values is at least the size of what they share, and the sum of a point's coordinates and a box's maxima, the
 smaller of each, bounds it for all points in the box: that is the R-tree's test.
 
@@ -9,8 +10,8 @@ smaller of each, bounds it for all points in the box: that is the R-tree's test.
    texts keep to. The order is by estimated frequency (a count sketch over all texts, sized by the input's partitions),
    rarest first, so the lists of classes by such an n-gram are short. Of n-grams with the same list (as the n-grams of a
    passage have) one counts. Each list is one tree's points.
-3. Each class is first held against one that leads its lists; pairs whose points, and then whose finer points (about four
-   n-grams a group), allow the similarity are verified on the whole sets, and the links' components found.
+3. Each class is first held against one that leads its lists; pairs whose points allow the similarity are
+   verified on the whole sets, and the links' components found.
 4. Lists in which two or more components remain get a tree: every class outside the list's largest component searches
    it for classes of other components; what passes is verified, and the components are found anew. So a group of near
    copies costs about its size, not its square, and no link between different components is left out.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.components import components
 from lodestar.llm.hashing import mixed
 from lodestar.llm.memory import parts, released, tidy
-from lodestar.llm.tables import partitions, written
+from lodestar.llm.tables import dropped, partitions, written
 from lodestar.llm.words import Words
 
 U = np.uint64
@@ -95,20 +96,14 @@ def sketch(source: DataFrame, k: int) -> np.ndarray:
     return whole
 
 
-POINTS = "doc_id long, t long, carried string, n long, k1 long, k2 long, point binary, fine binary, first array<long>"
+POINTS = "doc_id long, t long, carried string, n long, k1 long, k2 long, point binary, first array<long>"
 
 
-def fine_point(grams: np.ndarray) -> bytes:
-    """Counts in groups by the upper bits of the hashes: a power of two of groups, GROUPS at least, 4 n-grams in each."""
-    bits = max(GROUPS.bit_length() - 1, int(np.ceil(np.log2(max(1, len(grams) / 4)))))
-    return np.bincount((grams >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16 if len(grams) < 1 << 16 else np.uint32).tobytes()
-
-
-def fine_overlap(a: bytes, n: int, b: bytes, m: int) -> int:
-    """What two sets of n and m n-grams can share at most by their fine points; the finer one is folded."""
-    x, y = (np.frombuffer(v, np.uint16 if size < 1 << 16 else np.uint32).astype(np.int64) for v, size in ((a, n), (b, m)))
-    few = min(len(x), len(y))
-    return int(np.minimum(x.reshape(few, -1).sum(axis=1), y.reshape(few, -1).sum(axis=1)).sum())
+def point_bits(n: int) -> int:
+    bits = GROUPS.bit_length() - 1
+    while n > 4 << bits:
+        bits += 2
+    return bits
 
 
 def points(source: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -128,9 +123,9 @@ def points(source: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 # A sum of mixed values is the same for equal sets in any order.
                 k1 = [int(mixed(x).sum(dtype=U).view(np.int64)) for x in found]
                 k2 = [int(mixed(x ^ U(0xD1B54A32D192ED03)).sum(dtype=U).view(np.int64)) for x in found]
-                vec = [np.bincount((x >> U(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes() for x in found]
-                columns = [pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vec, pa.binary()), pa.array([fine_point(x) for x in found], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], names=["doc_id", "t", "carried", "n", "k1", "k2", "point", "fine", "first"])
+                vec = [np.bincount((x >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes() for x, bits in ((x, point_bits(len(x))) for x in found)]
+                columns = [pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vec, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], names=["doc_id", "t", "carried", "n", "k1", "k2", "point", "first"])
 
     return source.select("doc_id", "text", "t", "carried").mapInArrow(make, POINTS)
 
@@ -170,8 +165,18 @@ class CountTree:
         return self.order[at]
 
 
-def vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+def by_width(points: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each number of groups the places of the points that have it, and their matrix."""
+    width = np.array([len(p) // 2 for p in points], np.int64)
+    out = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        out[w] = at, np.frombuffer(b"".join([points[i] for i in at.tolist()]), np.uint16).reshape(-1, w).astype(np.int64)
+    return out
+
+
+def folded(vec: np.ndarray, width: int) -> np.ndarray:
+    return vec if vec.shape[1] == width else vec.reshape(len(vec), width, -1).sum(axis=2)
 
 
 def texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
@@ -210,54 +215,50 @@ def bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
-                fits = np.minimum(vectors(batch.column("p")), vectors(batch.column("q"))).sum(axis=1) >= needed(n, m, num, den)
-                yield batch.select(["a", "b"]).filter(pa.array(fits))
+                p, q = (batch.column(c).to_pylist() for c in ("p", "q"))
+                both = np.zeros(len(n), np.int64)
+                for w, (at, x) in by_width(p).items():
+                    for v, (own, y) in by_width([q[i] for i in at.tolist()]).items():
+                        both[at[own]] = np.minimum(folded(x[own], min(v, w)), folded(y, min(v, w))).sum(axis=1)
+                yield batch.select(["a", "b"]).filter(pa.array(both >= needed(n, m, num, den)))
 
     return pairs.where(f"n * {den} >= m * {num} and m * {den} >= n * {num}").select("a", "b", "n", "m", "p", "q").mapInArrow(tidy(check), "a long, b long")
 
 
-def finely_bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of nodes (node, n, fine) those that the fine points allow."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in parts(whole, 4):
-                n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
-                least = needed(n, m, num, den).tolist()
-                fits = [fine_overlap(x, i, y, j) >= k for x, i, y, j, k in zip(batch.column("p").to_pylist(), n.tolist(), batch.column("q").to_pylist(), m.tolist(), least, strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
-
-    left = pairs.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fine").alias("q")), "b")
-    return left.join(nodes.select(F.col("node").alias("a"), "n", F.col("fine").alias("p")), "a").select("a", "b", "n", "m", "p", "q").mapInArrow(tidy(check), "a long, b long")
-
-
 def tree_pairs(lists: DataFrame, num: int, den: int, tasks: int, every: bool = False) -> DataFrame:
-    """Pairs of nodes of different components, or with `every` of any two, found by the lists' trees. lists: token, node,
-    n, point, comp, total, major."""
+    """Pairs of nodes of different components, or with `every` of any two, found by the lists' trees; a pair that
+    shares several lists comes from the one of smallest token. lists: token, node, n, point, comp, total, major, tokens (of all
+    the node's lists)."""
     tiles = F.ceil(F.col("total") / TILE).cast("int")
     dealt = lists.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     asking = dealt if every else dealt.where("comp <> major")
-    asks = asking.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).selectExpr("token", "tile as x", "other as y", "node", "n", "point", "comp", "true as asks")
-    told = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).selectExpr("token", "other as x", "tile as y", "node", "n", "point", "comp", "false as asks")
+    asks = asking.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).selectExpr("token", "tile as x", "other as y", "node", "n", "point", "comp", "tokens", "true as asks")
+    told = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).selectExpr("token", "other as x", "tile as y", "node", "n", "point", "comp", "tokens", "false as asks")
     # Short lists share a task's group; each pair of tiles of a long one has its own.
     rows = asks.unionByName(told).withColumn("bin", F.pmod(F.xxhash64("token", "x", "y"), F.lit(16 * tasks)))
 
     def search(t: pa.Table) -> pa.Table:
         t = t.sort_by([("token", "ascending"), ("x", "ascending"), ("y", "ascending")])
         token, x, y, node, n, comp = (t.column(c).to_numpy() for c in ("token", "x", "y", "node", "n", "comp"))
-        ask, vec = t.column("asks").to_numpy(), vectors(t.column("point"))
+        ask, points = t.column("asks").to_numpy(), t.column("point").to_pylist()
+        own_tokens = [frozenset(v) for v in t.column("tokens").to_pylist()]
         edge = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(token)]])
         found: set[tuple[int, int]] = set()
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             asking = lo + np.flatnonzero(ask[lo:hi])
             told = lo + np.flatnonzero(~ask[lo:hi])
-            if len(asking) and len(told):
-                tree = CountTree(n[told], vec[told])
-                for q in asking.tolist():
-                    hit = told[tree.search(int(n[q]), vec[q], num, den)]
-                    hit = hit[(node[hit] != node[q]) if every else (comp[hit] != comp[q])]
-                    d = int(node[q])
-                    found.update((min(d, o), max(d, o)) for o in node[hit].tolist())
+            if not len(asking) or not len(told):
+                continue
+            asked = by_width([points[i] for i in asking.tolist()])
+            for w, (own, vec) in by_width([points[i] for i in told.tolist()]).items():
+                here = told[own]
+                for v, (some, asking_vec) in asked.items():
+                    tree = CountTree(n[here], folded(vec, min(v, w)))
+                    for q, point in zip(asking[some].tolist(), folded(asking_vec, min(v, w)), strict=True):
+                        hit = here[tree.search(int(n[q]), point, num, den)]
+                        hit = hit[(node[hit] != node[q]) if every else (comp[hit] != comp[q])]
+                        d, here_token, tokens = int(node[q]), int(token[lo]), own_tokens[q]
+                        found.update((min(d, int(node[o])), max(d, int(node[o]))) for o in hit.tolist() if min(tokens & own_tokens[o]) == here_token)
         out = pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
         if len(node) > 10_000:
             released(False)
@@ -278,7 +279,7 @@ class Classes:
         source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
         self.source = source.withColumn("t", F.xxhash64("text"))
         self.every = written(points(self.source, k, num, den))
-        one = self.every.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("doc_id", "t", "n", "point", "fine", "first")).alias("x"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"))
+        one = self.every.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("doc_id", "t", "n", "point", "first")).alias("x"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"))
         self.nodes = written(one.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "x.*", "members", "least"))
         entries = self.nodes.select("node", "least", F.explode("first").alias("token"))
         # The class with the smallest id leads a list: copies mostly come after what they are made from.
@@ -287,13 +288,20 @@ class Classes:
         lists = entries.groupBy("token").agg(leader.alias("leader"), F.count(F.lit(1)).alias("total"), *signature).where("total > 1")
         distinct = written(lists.groupBy("s0", "s1", "total").agg(F.min("token").alias("token"), F.first("leader").alias("leader"), F.count(F.lit(1)).alias("grams")).select("token", "leader", "total", "grams"))
         self.shared = written(entries.drop("least").join(distinct, "token"))
+        dropped(distinct)
 
     def slim(self, node: str, n: str, point: str) -> DataFrame:
         return self.nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("point").alias(point))
 
+    def tokens(self) -> DataFrame:
+        """node, tokens of its lists: no more than a set has first n-grams."""
+        return self.shared.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        likely = written(finely_bounded(pairs, self.nodes, self.num, self.den))
-        return verified(likely, self.nodes.select("node", "doc_id", "t", "members"), self.source, self.k, self.num, self.den)
+        """The table of those of a table of pairs that are similar enough; the pairs' own table goes."""
+        out = written(verified(pairs, self.nodes.select("node", "doc_id", "t", "members"), self.source, self.k, self.num, self.den))
+        dropped(pairs)
+        return out
 
     def components(self) -> DataFrame:
         """node, component (a node) of every node that has a link."""
@@ -301,18 +309,20 @@ class Classes:
         tried = self.shared.where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.sum("grams").alias("grams"))
         starts = tried.groupBy("b").agg(F.max_by("a", F.struct("grams", "a")).alias("a")).select("a", "b")
         full = starts.join(self.slim("a", "n", "p"), "a").join(self.slim("b", "m", "q"), "b")
-        links = written(self.verified(written(bounded(full, self.num, self.den))))
+        links = self.verified(written(bounded(full, self.num, self.den)))
         found = written(components(links))
         # Lists of which two or more components are left.
         placed = written(self.shared.select("token", "node", "total").join(found, "node", "left").select("token", "node", "total", F.coalesce("component", "node").alias("comp")))
-        open_lists = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "major")
-        rows = placed.join(written(open_lists), "token").join(self.slim("node", "n", "point"), "node")
+        open_lists = written(placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "major"))
+        rows = placed.join(open_lists, "token").join(self.slim("node", "n", "point"), "node").join(self.tokens(), "node")
         more = self.verified(written(tree_pairs(rows, self.num, self.den, self.tasks)))
-        return written(components(links.unionByName(more)))
+        out = written(components(links.unionByName(more)))
+        dropped(self.shared, links, found, placed, open_lists, more)
+        return out
 
     def links(self) -> DataFrame:
         """a, b (a < b): every two nodes that are similar enough."""
-        rows = self.shared.select("token", "node", "total", F.col("node").alias("comp"), F.lit(-1).cast("long").alias("major")).join(self.slim("node", "n", "point"), "node")
+        rows = self.shared.select("token", "node", "total", F.col("node").alias("comp"), F.lit(-1).cast("long").alias("major")).join(self.slim("node", "n", "point"), "node").join(self.tokens(), "node")
         return self.verified(written(tree_pairs(rows, self.num, self.den, self.tasks, True)))
 
     def of_one_id(self) -> DataFrame:
@@ -361,7 +371,7 @@ def links(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "
     rows that repeat, as in join().
     """
     c = Classes(df, k, num, den, id_col, text_col)
-    pairs = written(c.links())
+    pairs = c.links()
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
     far = ends.join(c.nodes.select(F.col("node").alias("other"), F.col("members").alias("m")), "other").groupBy("node").agg(F.sum("m").alias("far"))
     counted = c.nodes.select("node", "k1", "k2", "members").join(far, "node", "left").select("k1", "k2", "node", (F.col("members") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))

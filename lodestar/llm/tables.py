@@ -29,7 +29,19 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made; nothing may read them any more. Other frames stay as they are."""
+    for df in tables:
+        path = getattr(df, "_written_to", None) if "_written_to" in vars(df) else None
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
