@@ -145,4 +145,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLE: dict[str, str] = {"op3_warc": WARC_SQL, "op6_url_filter": URL_SQL, "op7_substrings": SUBSTRING_SQL, "op8_ngram_join": JOIN_SQL, "op9_quality": QUALITY_SQL}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)}, {str(k >= len(licenses.TEMPLATES)).lower()})" for k, (name, text) in enumerate([*licenses.TEMPLATES, *licenses.HEADERS]))
+#: Lines, runs of lines and licence files' whole texts against notices and headers, and inheritance; the tables' texts hold no
+#: licence's full text and no SPDX tag, which the tests cover.
+LICENSE_SQL = rf"""
+WITH templates(k, name, text, header) AS (VALUES {_TEMPLATES}),
+counted AS (SELECT k, term, count(*) AS n FROM (SELECT k, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
+files AS (SELECT doc_id, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) AS dir, CASE WHEN doc_id % 50 = 0 THEN 'LICENSE.' || doc_id ELSE 'doc_' || doc_id || '.txt' END AS file, lower(coalesce(text, '')) AS text, doc_id % 50 = 0 AS whole FROM documents),
+vocabulary AS (SELECT DISTINCT term FROM counted),
+seen AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))) AS term FROM files) JOIN vocabulary USING (term) GROUP BY 1),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + coalesce(df, 0))) + 1 AS idf FROM vocabulary LEFT JOIN seen USING (term)),
+lengths AS (SELECT k, sqrt(sum((n * idf) ** 2)) AS len FROM counted JOIN idf USING (term) GROUP BY 1),
+weights AS (SELECT k, term, n * idf / len AS w FROM counted JOIN idf USING (term) JOIN lengths USING (k)),
+lines AS (SELECT doc_id, whole, text, string_split(text, chr(10)) AS ls FROM files WHERE text <> ''),
+units AS (SELECT DISTINCT doc_id, unit, header FROM (SELECT doc_id, unnest(ls) AS unit, false AS header FROM lines UNION ALL SELECT doc_id, text, false FROM lines WHERE whole
+  UNION ALL SELECT doc_id, array_to_string(ls[i : i + n - 1], chr(10)), true FROM lines, (SELECT unnest(range(2, {licenses.HEADER_LINES + 1})) AS n), unnest(range(1, len(ls) - n + 2)) AS t(i))),
+numbered AS (SELECT row_number() OVER () AS u, * FROM units WHERE regexp_matches(unit, '[a-z0-9]')),
+tf AS (SELECT u, term, count(*) AS tf FROM (SELECT u, unnest(regexp_extract_all(unit, '[a-z0-9]+')) AS term FROM numbered) GROUP BY ALL),
+weighed AS (SELECT u, term, tf * coalesce(idf, 1.0) AS w FROM tf LEFT JOIN idf USING (term)),
+norms AS (SELECT u, sqrt(sum(w * w)) AS len FROM weighed GROUP BY 1),
+scores AS (SELECT u, k, sum(a.w * b.w) AS dot FROM weighed a JOIN weights b USING (term) GROUP BY ALL),
+best AS (SELECT doc_id, arg_max(name, (score, -k)) AS own_license, max(score) AS own_score FROM (SELECT doc_id, s.k, t.name, round(dot / len, 9) AS score FROM scores s JOIN norms USING (u) JOIN numbered x USING (u) JOIN templates t ON t.k = s.k WHERE t.header OR NOT x.header) WHERE score >= 0.8 GROUP BY 1),
+given AS (SELECT dir AS above, arg_min(own_license, dir || '/' || file) AS name, min(dir || '/' || file) AS from_path FROM files JOIN best USING (doc_id) WHERE whole GROUP BY 1),
+reached AS (SELECT dir, arg_max(name, length(above)) AS name, arg_max(from_path, length(above)) AS from_path FROM (SELECT DISTINCT dir FROM files) JOIN given ON dir = above OR starts_with(dir, above || '/') GROUP BY 1)
+SELECT doc_id, dir || '/' || file AS path, own_license, own_score, coalesce(own_license, name) AS license, CASE WHEN own_license IS NULL THEN from_path END AS inherited_from
+FROM files LEFT JOIN best USING (doc_id) LEFT JOIN reached USING (dir)
+"""
+
+ORACLE: dict[str, str] = {"op3_warc": WARC_SQL, "op4_licenses": LICENSE_SQL, "op6_url_filter": URL_SQL, "op7_substrings": SUBSTRING_SQL, "op8_ngram_join": JOIN_SQL, "op9_quality": QUALITY_SQL}
