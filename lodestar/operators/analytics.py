@@ -20,13 +20,9 @@ def calls(g: Graph, roots: DataFrame, direction: str = "outgoing", most: int = 5
     way = DIRECTIONS[direction]
     if way == "full":
         return full_calls(g, roots, most).drop("direction")
-    e = g.of_kind("Reference")
     turn = "forward" if way == "outgoing" else "backward"
-    found = traverse.reach(e, roots, most, turn)
-    known = found.unionByName(roots.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct())
-    steps = traverse.turned(e, turn)
-    above = known.select("start", F.col("node").alias("a"), (F.col("depth") + 1).alias("depth"))
-    return found.join(steps, found["node"] == steps["b"]).join(above, ["start", "a", "depth"]).groupBy(F.col("start").alias("root"), "node", "depth").agg(F.min("a").alias("parent")).select("root", "node", "parent", "depth")
+    found = traverse.reach(g.of_kind("Reference"), roots, most, turn, with_parent=True)
+    return found.select(F.col("start").alias("root"), "node", "parent", "depth")
 
 
 def full_calls(g: Graph, roots: DataFrame, most: int = 5) -> DataFrame:

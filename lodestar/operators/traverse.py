@@ -21,37 +21,28 @@ def turned(edges: DataFrame, direction: str) -> DataFrame:
     return one_way(edges, direction).distinct()
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int = UNBOUNDED, direction: str = "forward", with_start: bool = False) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, most: int = UNBOUNDED, direction: str = "forward", with_start: bool = False, with_parent: bool = False) -> DataFrame:
     """start, node, depth: each node reached from each start (column id) by at least one edge, at its least depth.
 
-    A start counts as reached by a cycle, unless with_start, which gives it at depth 0 instead.
+    A start counts as reached by a cycle, unless with_start, which gives it at depth 0 instead. with_parent adds parent: the
+    smallest node one edge before, of those at the depth before (null for a start at depth 0).
     """
     steps = materialized(turned(edges, direction))
     first = starts.select(F.col("id").alias("start")).distinct()
-    zero = first.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    frontier = materialized(zero)
-    seen = frontier if with_start else frontier.limit(0)
-    levels = [seen]
+    more = [F.when(F.lit(False), F.col("start")).alias("parent")] if with_parent else []
+    frontier = materialized(first.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), *more))
+    levels = [frontier if with_start else frontier.limit(0)]
     depth = 0
     while depth < most:
         depth += 1
-        found = frontier.select("start", F.col("node").alias("a")).join(steps, "a").select("start", F.col("b").alias("node")).distinct()
-        visited = levels[0].select("start", "node")
-        for x in levels[1:]:
-            visited = visited.unionByName(x.select("start", "node"))
-        frontier = materialized(found.join(visited, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        grown = frontier.select("start", F.col("node").alias("a")).join(steps, "a").withColumnRenamed("b", "node")
+        found = grown.groupBy("start", "node").agg(F.min("a").alias("parent")) if with_parent else grown.select("start", "node").distinct()
+        visited = united([x.select("start", "node") for x in levels])
+        frontier = materialized(found.join(visited, ["start", "node"], "left_anti").select("start", "node", F.lit(depth).alias("depth"), *(["parent"] if with_parent else [])))
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-        if len(levels) > 12:  # merge, so that the plan stays small
-            merged = levels[0]
-            for x in levels[1:]:
-                merged = merged.unionByName(x)
-            levels = [materialized(merged)]
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+        levels = shortened([*levels, frontier])
+    return united(levels)
 
 
 #: Steps that one round of closure() takes at most; each round is a table and a look at whether it is empty.
