@@ -498,7 +498,7 @@ def language_detect(spark, sf):
     return files(spark, sf).select("path", source.language_of(F.col("path")).alias("language"), source.scanned(F.col("path")).alias("scanned"))
 
 
-@query("SELECT path, line::INTEGER AS line, (strpos(text, n) - 1)::INTEGER AS char, l <> 3 AS is_definition FROM rows WHERE n = 'small_ring'", cte=SOURCES)
+@query("SELECT path, line::INTEGER AS line, (strpos(text, n) - 1)::INTEGER AS char, true AS is_definition FROM rows WHERE n = 'small_ring'", cte=SOURCES)
 def textual_references(spark, sf):
     return textrefs.find_references(files(spark, sf), "small_ring")
 

@@ -191,3 +191,23 @@ def test_languages_rules(spark):
     assert formats.listed(g.symbols.where("id in ('a', 'b')"), "json").first()["value"].count("{") == 2
     rel = spark.createDataFrame([("r", "users", i) for i in "abcd"], "root_id string, bucket string, symbol_id string")
     assert rows(formats.relations_report(rel, g.symbols, 2)) == [("r", "users", 4, "K, Serve")]
+
+
+def test_command_line(spark, tmp_path):
+    from lodestar.__main__ import run
+
+    code, store = tmp_path / "code", str(tmp_path / "store")
+    (code / "target").mkdir(parents=True)
+    (code / "a.rs").write_text("fn alpha() {}\npub struct Beta {\n")
+    (code / "c.py").write_text("class Gamma:\n    def delta(self):\n")
+    (code / "target" / "x.rs").write_text("fn hidden() {}\n")
+    assert "symbols_added: 4" in run(spark, ["index", store, str(code)])
+    assert run(spark, ["search", store, "alpha"]) == ["a.rs#0:alpha\talpha"]
+    assert run(spark, ["search", store, "gam", "--fuzzy"])[0].startswith("c.py#0:Gamma\tGamma\tprefix")
+    assert run(spark, ["symbols", store, "c.py", "--format", "grep"]) == ["c.py:1:Gamma", "c.py:2:delta"]
+    assert run(spark, ["definition", store, "a.rs:1:3"]) == ["a.rs\t1\t3\ta.rs#0:alpha\ta.rs#0:alpha"]
+    assert run(spark, ["references", store, "a.rs:1:3"]) == [] == run(spark, ["calls", store, "a.rs#0:alpha", "--direction", "callers"])
+    (code / "a.rs").write_text("fn alpha() {}\nfn main() {}\n")
+    assert "a.rs#1:main\tmain" in run(spark, ["search", store, "main", "--project", str(code)])
+    assert len(run(spark, ["unused", store])) == 3 and "Function\t2" in run(spark, ["stats", store])
+    assert run(spark, ["export", store, str(tmp_path / "out")]) == [f"exported to {tmp_path / 'out'}"] and spark.read.text(str(tmp_path / "out" / "symbols")).count() == 4
