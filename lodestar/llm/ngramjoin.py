@@ -42,6 +42,8 @@ GROUPS, SLICES, LEAF, TILE = 64, 64, 16, 1000
 #: A task's counters take about a 27th of the bytes it reads; so many bits at least and at most.
 SKETCH_BITS = (16, 23)
 BATCH = 1_500_000
+#: Nodes of some 50 bytes each that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def sets_of(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -180,8 +182,14 @@ def folded(vec: np.ndarray, width: int) -> np.ndarray:
 
 
 def texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
-    """node, text of nodes (node, doc_id, t, members); where rows of a class may repeat each other, one of them counts."""
-    found = source.withColumnRenamed("doc_id", "i").join(nodes.withColumnRenamed("t", "u"), F.col("i").eqNullSafe(F.col("doc_id")) & F.col("t").eqNullSafe(F.col("u"))).select("node", "text", "members")
+    """node, text of nodes (node, doc_id, t, members); where rows of a class may repeat each other, one of them counts.
+
+    Up to BROADCAST_ROWS nodes go to the texts; of more the texts are dealt out.
+    """
+    wanted = nodes.withColumnRenamed("t", "u").select("node", "doc_id", "u", "members")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    found = source.withColumnRenamed("doc_id", "i").join(wanted, F.col("i").eqNullSafe(F.col("doc_id")) & F.col("t").eqNullSafe(F.col("u"))).select("node", "text", "members")
     single = found.where("members = 1").select("node", "text")
     return single.unionByName(found.where("members > 1").select("node", "text").dropDuplicates(["node"]))
 
@@ -203,7 +211,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, k: int, num:
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, y in zip(a, keep, strict=True) if y], pa.int64()), pa.array([v for v, y in zip(b, keep, strict=True) if y], pa.int64())], names=["a", "b"])
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = texts_of(nodes.join(wanted, "node", "left_semi"), source)
+    texts = texts_of(written(nodes.join(wanted, "node", "left_semi")), source)
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     return left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(tidy(check), "a long, b long")
 
