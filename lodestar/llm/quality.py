@@ -17,8 +17,9 @@ from lodestar.llm.tables import written
 
 COMMON = 40
 #: So many languages' references are broadcast at most, a few KB each; of more Spark chooses the join.
-BROADCAST_LANGUAGES = 2000
+BROADCAST_LANGUAGES = 200
 CLASSES = ("upper", "digit", "symbol", "mark", "space", "rest")
+SPLIT = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
 
@@ -35,26 +36,38 @@ def pairs_of(values: Column, by: int) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(text, SPLIT), lambda w: w != "")
 
 
 def common_words(source: DataFrame, most: int = COMMON) -> DataFrame:
     """lang, own: each language's most frequent words that are made of letters, ties to the smaller word."""
-    words = source.select("lang", F.explode(words_of(F.lower("text"))).alias("word"))
+    words = source.select("lang", F.explode(F.split(F.lower("text"), SPLIT)).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("word").rlike(r"^\p{L}+$"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     return counts.withColumn("r", rank).where(F.col("r") <= most).groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("own"))
 
 
+def chosen(every: list[str]) -> Column:
+    """The words of `words` in lower case that are in `own`, a language's common words; `every`: all languages' ones, if known."""
+    words = F.transform("words", F.lower)
+    if every:
+        words = F.filter(words, lambda w: w.isin(*every))
+    return F.filter(words, lambda w: F.array_contains("own", w))
+
+
 def measures(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
     """id, lang, the base counts, the character classes' counts and those of the language's common words that there are."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     raw = df.select(F.col(id_col).alias("id"), F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    source = raw.join(small(written(common_words(raw))), "lang", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    learned = written(common_words(raw))
+    few = learned.count() <= BROADCAST_LANGUAGES
+    # Of few languages, any one's common words are picked out by a set first; a text's own ones are told from these.
+    every = sorted({w for r in learned.select("own").collect() for w in r["own"]}) if few else []  # at most COMMON words of each
+    source = raw.join(F.broadcast(learned) if few else learned, "lang", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     # Java's \s class is exactly these six characters.
     a = source.select("id", "lang", "own", F.char_length("text").alias("n_chars"), (F.char_length("text") - F.char_length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).alias("n_symbols"), lines.alias("lines"), words_of(F.col("text")).alias("words"))
-    b = a.select("id", "lang", "n_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.array_join("words", "").alias("joined"), F.transform("words", lambda w: F.xxhash64(w)).alias("h1"), F.filter(F.transform("words", F.lower), lambda w: F.array_contains("own", w)).alias("common"))
+    b = a.select("id", "lang", "n_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.array_join("words", "").alias("joined"), F.transform("words", lambda w: F.xxhash64(w)).alias("h1"), chosen(every).alias("common"))
     count = lambda pattern: (F.char_length("joined") - F.char_length(F.regexp_replace("joined", pattern, ""))).cast("long")
     c = b.select("id", "lang", "n_words", "n_dup_lines", F.col("n_symbols").cast("long").alias("n_symbols"), F.char_length("joined").cast("long").alias("word_chars"), (F.col("n_chars") - F.char_length("joined")).cast("long").alias("space"), count(r"\p{Lu}+").alias("upper"), count(r"\p{Nd}+").alias("digit"), count(r"[\p{P}\p{S}]+").alias("mark"), "common", F.array_distinct("common").alias("kinds"), pairs_of(F.col("h1"), 1).alias("h2"))
     d = c.select("*", pairs_of(F.col("h2"), 2).alias("h4")).drop("h2")
