@@ -36,7 +36,8 @@ def pairs_of(values: Column, by: int) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPLIT), lambda w: w != "")
+    trimmed = F.btrim(text, F.lit(SPACES))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
 
 
 def common_words(source: DataFrame, most: int = COMMON) -> DataFrame:
@@ -49,10 +50,8 @@ def common_words(source: DataFrame, most: int = COMMON) -> DataFrame:
 
 def chosen(every: list[str]) -> Column:
     """The words of `words` in lower case that are in `own`, a language's common words; `every`: all languages' ones, if known."""
-    words = F.transform("words", F.lower)
-    if every:
-        words = F.filter(words, lambda w: w.isin(*every))
-    return F.filter(words, lambda w: F.array_contains("own", w))
+    likely = F.filter("words", lambda w: F.lower(w).isin(*every)) if every else F.col("words")
+    return F.filter(F.transform(likely, F.lower), lambda w: F.array_contains("own", w))
 
 
 def measures(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
@@ -71,7 +70,8 @@ def measures(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) ->
     count = lambda pattern: (F.char_length("joined") - F.char_length(F.regexp_replace("joined", pattern, ""))).cast("long")
     c = b.select("id", "lang", "n_words", "n_dup_lines", F.col("n_symbols").cast("long").alias("n_symbols"), F.char_length("joined").cast("long").alias("word_chars"), (F.col("n_chars") - F.char_length("joined")).cast("long").alias("space"), count(r"\p{Lu}+").alias("upper"), count(r"\p{Nd}+").alias("digit"), count(r"[\p{P}\p{S}]+").alias("mark"), "common", F.array_distinct("common").alias("kinds"), pairs_of(F.col("h1"), 1).alias("h2"))
     d = c.select("*", pairs_of(F.col("h2"), 2).alias("h4")).drop("h2")
-    e = d.select("*", pairs_of(F.col("h4"), 4).alias("h8")).drop("h4")
+    # Equal windows of 8 words begin with equal ones of 4.
+    e = d.select("*", F.when(F.size(F.array_distinct("h4")) < F.size("h4"), pairs_of(F.col("h4"), 4)).alias("h8")).drop("h4")
     # Only texts with an equal pair of windows are sorted.
     ranked = F.when(F.size(F.array_distinct("h8")) < F.size("h8"), F.sort_array(F.transform("h8", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     f = e.select("*", ranked.alias("s")).drop("h8")
