@@ -42,6 +42,8 @@ GROUPS, SLICES, LEAF, TILE = 64, 64, 16, 1000
 #: A task's counters take about a 27th of the bytes it reads; so many bits at least and at most.
 SKETCH_BITS = (16, 23)
 BATCH = 1_500_000
+#: Groups of the points that go with each of a node's lists, and lists of a node that go with them, at most.
+COARSE, TOKENS = 256, 64
 #: Nodes of some 50 bytes each that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -98,7 +100,7 @@ def sketch(source: DataFrame, k: int) -> np.ndarray:
     return whole
 
 
-POINTS = "doc_id long, t long, carried string, n long, k1 long, k2 long, point binary, first array<long>"
+POINTS = "doc_id long, t long, carried string, n long, k1 long, k2 long, point binary, coarse binary, first array<long>"
 
 
 def point_bits(n: int) -> int:
@@ -126,8 +128,9 @@ def points(source: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 k1 = [int(mixed(x).sum(dtype=U).view(np.int64)) for x in found]
                 k2 = [int(mixed(x ^ U(0xD1B54A32D192ED03)).sum(dtype=U).view(np.int64)) for x in found]
                 vec = [np.bincount((x >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes() for x, bits in ((x, point_bits(len(x))) for x in found)]
-                columns = [pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vec, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], names=["doc_id", "t", "carried", "n", "k1", "k2", "point", "first"])
+                coarse = [v if len(v) <= 2 * COARSE else folded(np.frombuffer(v, np.uint16).reshape(1, -1).astype(np.int64), COARSE).astype(np.uint16).tobytes() for v in vec]
+                columns = [pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vec, pa.binary()), pa.array(coarse, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], names=["doc_id", "t", "carried", "n", "k1", "k2", "point", "coarse", "first"])
 
     return source.select("doc_id", "text", "t", "carried").mapInArrow(make, POINTS)
 
@@ -249,7 +252,7 @@ def tree_pairs(lists: DataFrame, num: int, den: int, tasks: int, every: bool = F
         t = t.sort_by([("token", "ascending"), ("x", "ascending"), ("y", "ascending")])
         token, x, y, node, n, comp = (t.column(c).to_numpy() for c in ("token", "x", "y", "node", "n", "comp"))
         ask, points = t.column("asks").to_numpy(), t.column("point").to_pylist()
-        own_tokens = [frozenset(v) for v in t.column("tokens").to_pylist()]
+        own_tokens = [None if v is None else frozenset(v) for v in t.column("tokens").to_pylist()]
         edge = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(token)]])
         found: set[tuple[int, int]] = set()
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -266,7 +269,7 @@ def tree_pairs(lists: DataFrame, num: int, den: int, tasks: int, every: bool = F
                         hit = here[tree.search(int(n[q]), point, num, den)]
                         hit = hit[(node[hit] != node[q]) if every else (comp[hit] != comp[q])]
                         d, here_token, tokens = int(node[q]), int(token[lo]), own_tokens[q]
-                        found.update((min(d, int(node[o])), max(d, int(node[o]))) for o in hit.tolist() if min(tokens & own_tokens[o]) == here_token)
+                        found.update((min(d, int(node[o])), max(d, int(node[o]))) for o in hit.tolist() if tokens is None or own_tokens[o] is None or min(tokens & own_tokens[o]) == here_token)
         out = pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
         if len(node) > 10_000:
             released(False)
@@ -287,7 +290,7 @@ class Classes:
         source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
         self.source = source.withColumn("t", F.xxhash64("text"))
         self.every = written(points(self.source, k, num, den))
-        one = self.every.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("doc_id", "t", "n", "point", "first")).alias("x"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"))
+        one = self.every.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("doc_id", "t", "n", "point", "coarse", "first")).alias("x"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"))
         self.nodes = written(one.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "x.*", "members", "least"))
         entries = self.nodes.select("node", "least", F.explode("first").alias("token"))
         # The class with the smallest id leads a list: copies mostly come after what they are made from.
@@ -302,8 +305,17 @@ class Classes:
         return self.nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("point").alias(point))
 
     def tokens(self) -> DataFrame:
-        """node, tokens of its lists: no more than a set has first n-grams."""
-        return self.shared.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+        """node, tokens of its lists; null for a node of more than TOKENS, whose pairs may come from several lists."""
+        few = F.count(F.lit(1)) <= TOKENS
+        return self.shared.groupBy("node").agg(F.when(few, F.collect_list("token")).alias("tokens"))
+
+    def coarse(self) -> DataFrame:
+        return self.nodes.select("node", "n", F.col("coarse").alias("point"))
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """The table of those of some pairs (a, b) that their points allow."""
+        full = pairs.join(self.slim("a", "n", "p"), "a").join(self.slim("b", "m", "q"), "b")
+        return written(bounded(full, self.num, self.den))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The table of those of a table of pairs that are similar enough; the pairs' own table goes."""
@@ -316,22 +328,22 @@ class Classes:
         # Of the classes that lead a class's lists the one of most n-grams is tried first; what that leaves apart is found below.
         tried = self.shared.where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.sum("grams").alias("grams"))
         starts = tried.groupBy("b").agg(F.max_by("a", F.struct("grams", "a")).alias("a")).select("a", "b")
-        full = starts.join(self.slim("a", "n", "p"), "a").join(self.slim("b", "m", "q"), "b")
-        links = self.verified(written(bounded(full, self.num, self.den)))
+        links = self.verified(self.bounded(starts))
         found = written(components(links))
         # Lists of which two or more components are left.
         placed = written(self.shared.select("token", "node", "total").join(found, "node", "left").select("token", "node", "total", F.coalesce("component", "node").alias("comp")))
         open_lists = written(placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "major"))
-        rows = placed.join(open_lists, "token").join(self.slim("node", "n", "point"), "node").join(self.tokens(), "node")
-        more = self.verified(written(tree_pairs(rows, self.num, self.den, self.tasks)))
+        rows = placed.join(open_lists, "token").join(self.coarse(), "node").join(self.tokens(), "node")
+        pairs = written(tree_pairs(rows, self.num, self.den, self.tasks))
+        more = self.verified(self.bounded(pairs))
         out = written(components(links.unionByName(more)))
-        dropped(self.shared, links, found, placed, open_lists, more)
+        dropped(self.shared, links, found, placed, open_lists, pairs, more)
         return out
 
     def links(self) -> DataFrame:
         """a, b (a < b): every two nodes that are similar enough."""
-        rows = self.shared.select("token", "node", "total", F.col("node").alias("comp"), F.lit(-1).cast("long").alias("major")).join(self.slim("node", "n", "point"), "node").join(self.tokens(), "node")
-        return self.verified(written(tree_pairs(rows, self.num, self.den, self.tasks, True)))
+        rows = self.shared.select("token", "node", "total", F.col("node").alias("comp"), F.lit(-1).cast("long").alias("major")).join(self.coarse(), "node").join(self.tokens(), "node")
+        return self.verified(self.bounded(written(tree_pairs(rows, self.num, self.den, self.tasks, True))))
 
     def of_one_id(self) -> DataFrame:
         """a, b: nodes that rows of one id have."""
