@@ -22,6 +22,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_SCORE = 0.3
 
 
+#: Row keys, of some 80 bytes each, that are broadcast at most, so that the texts stay where they are.
+BROADCAST_KEYS = 1_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A table of keys, to be broadcast if there are at most BROADCAST_KEYS."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language that can be told go: those without a letter (null and empty ones too), and those whose
     score is below LEAST_SCORE. If no language could be learned, all texts with letters stay."""
@@ -36,7 +45,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go. Rows of one language and text have one verdict, whatever their ids."""
     keyed = docs.withColumn("__row", row_key("lang", "text"))
     failed = quality.judge(keyed.select("__row", "lang", "text"), id_col="__row").where("not kept").select("__row")
-    return keyed.join(failed.distinct(), "__row", "left_anti").select(docs.columns)
+    return keyed.join(few(written(failed.distinct())), "__row", "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = written(ngramjoin.groups(keyed.select("doc_id", "text", "__row"), "__row", k=5, num=4, den=5).where("group is not null"))
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("x"))
     gone = written(found.join(first, "group").where("key <> x.key").select(F.col("key").alias("__row")).distinct())
-    kept = keyed.join(gone, "__row", "left_anti")
+    kept = keyed.join(few(gone), "__row", "left_anti")
     repeated = written(found.groupBy(F.col("key").alias("__row")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__row"))
     if not repeated.isEmpty():
         kept = kept.join(repeated, "__row", "left_anti").unionByName(kept.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
