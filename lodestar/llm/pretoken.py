@@ -28,7 +28,7 @@ WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0)
 SINGLE, DOUBLE = "stmd", (("r", "e"), ("v", "e"), ("l", "l"))
 #: Letter, space, letter: no pre-token, normal form or special token goes across the space.
 BREAKS = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
-LONG = 1_000_000
+LONG = 500_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +123,7 @@ def byte_letters() -> dict[int, str]:
 class Vocabulary:
     """A tokenizers file with a cache of the ids of whole pre-tokens, bounded in bytes and emptied when a task ends."""
 
-    MOST = 40_000_000  # bytes of cached pre-tokens in a worker, about; beyond it the cache starts anew
+    MOST = 25_000_000  # bytes of cached pre-tokens in a worker, about; beyond it the cache starts anew
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer

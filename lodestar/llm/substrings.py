@@ -43,7 +43,7 @@ def bounds(rows: DataFrame, segment_bytes: int | None) -> tuple[list[Key], int]:
     """The first keys of all segments but the first, in order, and the bytes of text. rows: doc_id, h, m, b (bytes)."""
     total = rows.agg(F.sum("b").alias("b")).first()["b"] or 0
     # Segments and buckets both grow with the root of the input, so that what a segment sends to a bucket stays large.
-    size = segment_bytes or min(64_000_000, max(4_000_000, int(6.4 * math.sqrt(total))))
+    size = segment_bytes or min(64_000_000, max(2_000_000, int(6.4 * math.sqrt(total))))
     size = max(1, min(size, total // (2 * partitions(rows.sparkSession))))
 
     def cut(batches):
@@ -187,7 +187,7 @@ def dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str
     count as ordered by a hash of their text, and each row keeps its own result; of rows that repeat one the first is any
     of them. Other columns are left out, whatever their names. An empty table gives no rows. segment_bytes is about what
     one task holds of the texts (and at least one whole text), bucket_words about the hashes of a bucket; by default both
-    grow with the root of the input, from 4 MB and a million to 64 MB and 32 millions.
+    grow with the root of the input, from 2 MB and a million to 64 MB and 32 millions.
     """
     kept = [F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)]
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept).withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))).withColumn("m", F.monotonically_increasing_id())
