@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, langid, licenses, ngramjoin, packing, quality, substrings, urlfilter, warc
+from lodestar.llm import ann, bpe, drift, langid, licenses, merkle, ngramjoin, packing, quality, substrings, urlfilter, warc
 from lodestar.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,7 +73,23 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.select("doc_id", "text", path.alias("path")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_bpe, op3_warc, op4_licenses, op5_packing, op6_url_filter, op7_substrings, op8_ngram_join, op9_quality, op10_neighbours,)}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is given to be verified is a third of the texts in lower case."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in docs.columns]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    given = F.when(tampered, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    return merkle.manifest(docs, fields, [*fields[:-1], given])
+
+
+def op13_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.evolve(table(spark, sf_dir, "clients"), wider={"nation_id": pa.int64()}, defaults={"nation_id": -1, "segment": "none"})
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_bpe, op3_warc, op4_licenses, op5_packing, op6_url_filter, op7_substrings, op8_ngram_join, op9_quality, op10_neighbours, op12_merkle, op13_drift)}
 URL_SQL = """
 WITH cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -178,4 +195,31 @@ SELECT doc_id, dir || '/' || file AS path, own_license, own_score, coalesce(own_
 FROM files LEFT JOIN best USING (doc_id) LEFT JOIN reached USING (dir)
 """
 
-ORACLE: dict[str, str] = {"op3_warc": WARC_SQL, "op4_licenses": LICENSE_SQL, "op6_url_filter": URL_SQL, "op7_substrings": SUBSTRING_SQL, "op8_ngram_join": JOIN_SQL, "op9_quality": QUALITY_SQL}
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {step}), 4294967295)"
+
+
+def _merkle_sql(heights: tuple[int, int] = (6, 3)) -> str:
+    """The trees level by level, up to 8^6 leaves a language and 8^3 languages."""
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    given = f"CASE WHEN {_crc32('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END"
+    out = [f"leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, {leaf('text')} AS d, {leaf('given')} AS t FROM (SELECT *, {given} AS given FROM documents))", "a0 AS (SELECT g, i, d FROM leaves)"]
+    for name, height in zip("ab", heights, strict=True):
+        for k in range(height):
+            n = f"{name}{k}"
+            out.append(f"{n}c AS (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {n})")
+            out.append(f"{n}s AS (SELECT x.g, x.i, x.c, coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS l, coalesce(string_agg(y.d, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS r FROM {n}c x JOIN {n}c y ON x.g = y.g AND x.i // 8 = y.i // 8 GROUP BY ALL)")
+            out.append(f"{name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN max(c) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {n}c GROUP BY g, i // 8)")
+        if name == "a":
+            out.append(f"b0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, d, g AS name FROM a{height})")
+    out.append("f0 AS (SELECT doc_id, x.g, x.i AS ai, n.i AS bi, x.d AS leaf, n.d AS subroot, t AS d, '' AS p FROM leaves x JOIN b0 n ON n.name = x.g)")
+    steps = [("a", "f.g", "ai", k) for k in range(heights[0])] + [("b", "''", "bi", k) for k in range(heights[1])]
+    for n, (name, g, i, k) in enumerate(steps):
+        out.append(f"f{n + 1} AS (SELECT f.* EXCLUDE (d, p), CASE WHEN s.c = 1 THEN f.d ELSE sha256(s.l || f.d || s.r) END AS d, f.p || s.l || s.r AS p FROM f{n} f JOIN {name}{k}s s ON s.g = {g} AND s.i = f.{i} // {8**k})")
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, subroot, root, sha256(p) AS proof_sha256, f.d AS folded_root, f.d = root AS verified FROM f{len(steps)} f, (SELECT d AS root FROM b{heights[1]})"
+
+
+ORACLE: dict[str, str] = {"op12_merkle": _merkle_sql(), "op3_warc": WARC_SQL, "op4_licenses": LICENSE_SQL, "op6_url_filter": URL_SQL, "op7_substrings": SUBSTRING_SQL, "op8_ngram_join": JOIN_SQL, "op9_quality": QUALITY_SQL}
