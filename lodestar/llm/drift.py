@@ -70,7 +70,7 @@ def micros(c: Column, kind: object) -> Column:
     if isinstance(kind, TimestampType):
         return F.unix_micros(c)
     days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * 86_400_000_000 + F.hour(c) * 3_600_000_000 + F.minute(c) * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    return days * 86_400_000_000 + F.hour(c).cast("long") * 3_600_000_000 + F.minute(c).cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
 def keyed(df: DataFrame, id_col: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, drift, langid, licenses, merkle, ngramjoin, packing, quality, substrings, urlfilter, warc
+from lodestar.llm import ann, bpe, drift, langid, licenses, merkle, ngramjoin, packing, pii, quality, substrings, urlfilter, warc
 from lodestar.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is given to be verified is a third of the texts in lower case."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -89,7 +93,7 @@ def op13_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.evolve(table(spark, sf_dir, "clients"), wider={"nation_id": pa.int64()}, defaults={"nation_id": -1, "segment": "none"})
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_bpe, op3_warc, op4_licenses, op5_packing, op6_url_filter, op7_substrings, op8_ngram_join, op9_quality, op10_neighbours, op12_merkle, op13_drift)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_bpe, op3_warc, op4_licenses, op5_packing, op6_url_filter, op7_substrings, op8_ngram_join, op9_quality, op10_neighbours, op11_pii, op12_merkle, op13_drift)}
 URL_SQL = """
 WITH cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
