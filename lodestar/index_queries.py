@@ -120,7 +120,10 @@ def call_paths_between(spark, sf):
     return analytics.call_paths(g, far.unionByName(far.select("src", F.col("src").alias("dst"))), 2).withColumn("path", F.array_join("path", ">"))
 
 
-@query("SELECT a.id AS src, b.id AS dst, a.id = b.id OR EXISTS (SELECT 1 FROM reached WHERE s = a.id AND n = b.id) AS found FROM (SELECT id FROM symbols WHERE kind = 'Namespace' UNION ALL SELECT 'nobody') a, (SELECT id FROM symbols WHERE kind = 'Namespace' UNION ALL SELECT 'nobody') b", recursive=REACH)
+PATH_EXISTS = "SELECT a.id AS src, b.id AS dst, a.id = b.id OR EXISTS (SELECT 1 FROM reached WHERE s = a.id AND n = b.id) AS found FROM (SELECT id FROM symbols WHERE kind = 'Namespace' UNION ALL SELECT 'nobody') a, (SELECT id FROM symbols WHERE kind = 'Namespace' UNION ALL SELECT 'nobody') b"
+
+
+@query(PATH_EXISTS, recursive=REACH)
 def definition_path_exists(spark, sf):
     g = graph(spark, sf, "Import")
     n = ids(g, "Namespace").unionByName(values(spark, [("nobody",)], "id string"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators import traverse
+from lodestar.operators import layers, traverse
 from lodestar.operators.filters import ENTRY_NAMES, TYPE_KINDS, is_entry
+from lodestar.plans.tables import materialized
 from lodestar.schema import Graph
 
 DIRECTIONS = {"incoming": "incoming", "callers": "incoming", "outgoing": "outgoing", "callees": "outgoing", "full": "full", "both": "full"}
@@ -31,13 +32,31 @@ def full_calls(g: Graph, roots: DataFrame, most: int = 5) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-def call_paths(g: Graph, pairs: DataFrame, most: int = 5) -> DataFrame:
+def call_paths(g: Graph, pairs: DataFrame, most: int = 5, grown: list[int] | None = None) -> DataFrame:
     """src, dst, path: the simple paths of Reference edges, at most `most` long, that end where they first meet dst; a
-    pair of one id has the path of it alone. pairs: src, dst."""
+    pair of one id has the path of it alone. pairs: src, dst.
+
+    What is at most `most` edges before each dst is found first, with its distance. Paths from src then grow by edges only
+    after which the distance still fits, so every row of a round can end at its dst but for nodes met twice. `grown`
+    takes the number of rows of each round.
+    """
     same = pairs.where("src = dst").select("src", "dst", F.array("src").alias("path")).distinct()
-    far = pairs.where("src <> dst").distinct()
-    found = traverse.paths(g.of_kind("Reference").distinct(), far.select(F.col("src").alias("id")).distinct(), most)
-    return found.select(F.col("start").alias("src"), F.col("node").alias("dst"), "path").join(far, ["src", "dst"]).unionByName(same)
+    far = materialized(pairs.where("src <> dst").select("src", "dst").distinct())
+    e = g.of_kind("Reference").distinct()
+    steps = materialized(e.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")))
+    ways = materialized(traverse.reach(e, far.select(F.col("dst").alias("id")).distinct(), most, "backward", with_start=True).select(F.col("start").alias("dst"), F.col("node").alias("b"), "depth"))
+    open_ = far.join(ways.where("depth > 0").select("dst", F.col("b").alias("src")), ["dst", "src"], "left_semi").select("src", "dst", F.col("src").alias("a"), F.array("src").alias("path"))
+    done = [open_.select("src", "dst", "path").limit(0)]
+    for n in range(1, most + 1):
+        on = open_.join(steps, "a").where(~F.expr("array_contains(path, b)")).join(ways.where(F.col("depth") <= most - n).select("dst", "b"), ["dst", "b"], "left_semi")
+        on = materialized(on.select("src", "dst", F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path")))
+        if grown is not None:
+            grown.append(on.count())
+        done = traverse.shortened([*done, on.where("a = dst").select("src", "dst", "path")])
+        open_ = on.where("a <> dst")
+        if open_.isEmpty():
+            break
+    return traverse.united(done).unionByName(same)
 
 
 def dead(g: Graph, entries: DataFrame | None = None) -> DataFrame:
@@ -70,23 +89,43 @@ def cyclomatic(g: Graph, roots: DataFrame) -> DataFrame:
 
 
 def nesting(g: Graph, roots: DataFrame) -> DataFrame:
-    """id, depth: the longest simple path by Contains."""
-    found = traverse.paths(g.of_kind("Contains"), roots).groupBy(F.col("start").alias("id")).agg(F.max(F.size("path") - 1).cast("long").alias("depth"))
-    return roots.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    """id, depth: the longest simple path by Contains. By layers; only from roots that reach a cycle are paths listed."""
+    e = g.of_kind("Contains")
+    steps = layers.below(e, roots)
+    asked = roots.select("id").distinct()
+    found = materialized(layers.layers(steps, layers.ends(steps, asked)).join(asked, "id", "left_semi").select("id", F.col("layer").alias("depth")))
+    rest = materialized(asked.join(found, "id", "left_anti"))
+    if rest.isEmpty():
+        return found
+    listed = traverse.paths(e, rest).groupBy(F.col("start").alias("id")).agg(F.max(F.size("path") - 1).cast("long").alias("depth"))
+    return found.unionByName(rest.join(listed, "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth")))
 
 
 def cognitive(g: Graph, roots: DataFrame) -> DataFrame:
     """id, cognitive: in the order of a walk down Contains by id, a node with b > 1 outgoing Reference or Definition
-    edges adds (b - 1) * (1 + the functions and methods met before it)."""
-    walk = traverse.paths(g.of_kind("Contains").distinct(), roots).unionByName(roots.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")).distinct())
-    branches = g.of_kind("Reference", "Definition").groupBy(F.col("src_id").alias("node")).agg(F.count(F.lit(1)).alias("b"))
-    kinds = g.symbols.select(F.col("id").alias("node"), F.col("kind").isin("Function", "Method").cast("int").alias("f"))
-    rows = walk.join(branches, "node", "left").join(kinds, "node")
+    edges adds (b - 1) * (1 + the functions and methods met before it); the largest long at most.
+
+    A node that is contained twice is met twice. Walks are not listed but counted by layers; only those from roots that
+    reach a cycle are listed, each node once on its way. Roots that are no symbols have 0.
+    """
+    e = g.of_kind("Contains").distinct()
+    asked = roots.select("id").distinct()
+    steps = layers.below(e, asked)
+    branches = g.of_kind("Reference", "Definition").groupBy(F.col("src_id").alias("id")).agg(F.count(F.lit(1)).alias("b"))
+    nodes = g.symbols.select("id", F.col("kind").isin("Function", "Method").cast("int").alias("f")).join(branches, "id", "left").select("id", "f", F.greatest(F.coalesce("b", F.lit(0)) - 1, F.lit(0)).alias("w"))
+    layered = layers.layers(steps, layers.ends(steps, asked))
+    found = materialized(layers.walks(steps, layered, nodes).join(asked, "id", "left_semi").select("id", F.col("cost").cast("long").alias("cognitive")))
+    rest = materialized(asked.join(found, "id", "left_anti"))
+    return found if rest.isEmpty() else found.unionByName(_listed_cognitive(e, nodes, rest))
+
+
+def _listed_cognitive(e: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    before = F.sum("f").over(Window.partitionBy("start").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    weighed = rows.withColumn("w", F.when(F.col("b") > 1, (F.col("b") - 1) * (F.coalesce(before, F.lit(0)) + 1)).otherwise(0))
-    return weighed.groupBy(F.col("start").alias("id")).agg(F.sum("w").cast("long").alias("cognitive"))
+    walk = traverse.paths(e, roots).unionByName(roots.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")))
+    rows = walk.join(nodes.withColumnRenamed("id", "node"), "node")
+    before = F.coalesce(F.sum("f").over(Window.partitionBy("start").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("c", F.col("w") * (before + 1)).groupBy(F.col("start").alias("id")).agg(F.sum("c").cast("long").alias("cognitive"))
 
 
 def metrics(g: Graph) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.alignment import aligned
 from lodestar.functions.names import bytes_of, camel_words, capitals, edit_score, grams, has_subsequence, plain_camel_words, query_grams
 from lodestar.operators.filters import kind_named
 
@@ -24,43 +25,65 @@ def best(df: DataFrame, most: int | None) -> DataFrame:
 
 def core_search(symbols: DataFrame, query: str, most: int | None = 50) -> DataFrame:
     """Exact, prefix, capitals, substring, shared n-grams, few edits; in any case."""
-    q, size = query.lower(), len(query.lower().encode())
+    q = query.lower()
     if not q:
         return best(cascade(symbols.limit(0), [("Exact", F.lit(False), F.lit(0.0))]), most)
-    low = F.lower("name")
-    n, least = (3, 0.25) if size >= 3 else (2, 0.3)
+    n = gram_size(q)
     own = query_grams(q, n)
-    ratio = F.size(F.array_intersect(F.array(*[F.lit(x) for x in own]), grams(low, n))) / len(own) if own else F.lit(0.0)
+    ratio = F.size(F.array_intersect(F.array(*[F.lit(x) for x in own]), grams(F.lower("name"), n))) / len(own) if own else F.lit(0.0)
+    return best(cascade(symbols, core_cascade(query, ratio)), most)
+
+
+def gram_size(q: str) -> int:
+    return 3 if len(q.encode()) >= 3 else 2
+
+
+def core_cascade(query: str, ratio: Column, may_be_typo: Column | None = None) -> list[tuple[str, Column, Column]]:
+    """The steps of core_search(). ratio: the share of the query's n-grams that a name has; edits are counted only where
+    may_be_typo holds (everywhere if it is None)."""
+    q, size = query.lower(), len(query.lower().encode())
+    low = F.lower("name")
+    least = 0.25 if size >= 3 else 0.3
     longest = F.greatest(bytes_of(low), F.lit(size))
     edits = F.levenshtein(low, F.lit(q))
+    close = edits <= F.floor(longest * 0.3)
+    if may_be_typo is not None:
+        close = F.when(may_be_typo, close).otherwise(False)
     position = F.octet_length(F.substring_index(low, q, 1))
-    return best(
-        cascade(
-            symbols,
-            [
-                ("Exact", low == q, F.lit(100.0)),
-                ("Prefix", low.startswith(q) & F.lit(size <= 5), 90 - 0.5 * (bytes_of(low) - size)),
-                ("CamelCase", (capitals(F.col("name")) != "") & capitals(F.col("name")).contains(query.upper()), F.lit(85.0)),
-                ("Substring", low.contains(q), 70 - 0.5 * position),
-                ("Fuzzy", (ratio >= least) & F.lit(size >= 2), ratio * 60),
-                ("Typo", F.lit(size >= 3) & (edits <= F.floor(longest * 0.3)), 50 * (1 - edits / longest)),
-            ],
-        ),
-        most,
-    )
-
-
-def engine_search(symbols: DataFrame, query: str, most: int | None = 50) -> DataFrame:
-    """Exact, prefix of at most 5 bytes, all camel words. The third-party fuzzy scorer of last resort is left out."""
+    return [
+        ("Exact", low == q, F.lit(100.0)),
+        ("Prefix", low.startswith(q) & F.lit(size <= 5), 90 - 0.5 * (bytes_of(low) - size)),
+        ("CamelCase", (capitals(F.col("name")) != "") & capitals(F.col("name")).contains(query.upper()), F.lit(85.0)),
+        ("Substring", low.contains(q), 70 - 0.5 * position),
+        ("Fuzzy", (ratio >= least) & F.lit(size >= 2), ratio * 60),
+        ("Typo", F.lit(size >= 3) & close, 50 * (1 - edits / longest)),
+    ]
+
+
+#: A lower alignment doesn't count.
+LEAST_ALIGNMENT = 30
+
+
+def engine_search(symbols: DataFrame, query: str, most: int | None = 50, last_resort: bool = False) -> DataFrame:
+    """Exact, prefix of at most 5 bytes, all camel words. With last_resort, where these are fewer than `most` (50 for None),
+    other names of an alignment above LEAST_ALIGNMENT follow with that as their score (functions.alignment), type Fuzzy."""
+    if last_resort:
+        sure = engine_search(symbols, query, None)
+        room = 50 if most is None else most
+        if sure.limit(room).count() >= room:
+            return sure if most is None else sure.limit(most)
+        found = aligned(symbols, query).where(F.col("alignment") > LEAST_ALIGNMENT).join(sure.select("id"), "id", "left_anti")
+        both = sure.unionByName(found.select("id", "name", F.lit("Fuzzy").alias("match_type"), F.col("alignment").cast("double").alias("score")))
+        return best(both, most)
     q = query.lower()
     words = F.transform(plain_camel_words(F.col("name")), F.lower)
     wanted = [w.lower() for w in _plain_words(query)]
     return best(cascade(symbols, [("Exact", F.lower("name") == q, F.lit(100.0)), ("Prefix", F.lower("name").startswith(q) & F.lit(len(q.encode()) <= 5), F.lit(80.0)), ("CamelCase", F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), words)) == 0, F.lit(70.0))]), most)
 
 
-def search_by_kind(symbols: DataFrame, query: str, kind: str, most: int | None = 50) -> DataFrame:
+def search_by_kind(symbols: DataFrame, query: str, kind: str, most: int | None = 50, last_resort: bool = False) -> DataFrame:
     """engine_search() without a limit, of the symbols of a kind (an alias of filters.ALIASES), the best `most`."""
-    return engine_search(symbols.where(kind_named(kind)), query, most)
+    return engine_search(symbols.where(kind_named(kind)), query, most, last_resort)
 
 
 def _plain_words(text: str) -> list[str]:

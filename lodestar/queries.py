@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import languages, names, source, textrefs
 from lodestar.operators import analytics, filters, match, navigate, search, traverse
+from lodestar.operators import crawl as crawls
 from lodestar.schema import EDGE_KINDS, Graph
 from lodestar.sources import formats
 from lodestar.sources.graphview import GRAPH_SQL, LATTICE_SQL, SYMBOLS_SQL, Tables, graph, lattice
@@ -471,6 +472,24 @@ def crawl(spark, sf):
     return analytics.crawl(e, spark.range(1).select(F.lit("nation:0").alias("id")))
 
 
+FILE_WEIGHTS = "far AS (SELECT a.file_path AS s, b.file_path AS t, count(*) AS p FROM edges e JOIN symbols a ON a.id = src_id JOIN symbols b ON b.id = dst_id WHERE e.kind IN ('Reference', 'Implementation') AND a.file_path <> b.file_path GROUP BY ALL), near AS (SELECT s, t, min(p) AS p FROM (SELECT * FROM far UNION ALL SELECT t, s, p FROM far) GROUP BY ALL), kids AS (SELECT s, list({'p': p, 't': t}) AS ks FROM near GROUP BY s)"
+#: A queue kept as a list: each row takes the best of it and adds what that leads to.
+QUEUE = f"""{FILE_WEIGHTS}, walk(n, queue, seen, best) AS (
+  SELECT 0, [{{'p': 100::BIGINT, 'd': 0, 'f': 'oms/cust_1'}}, {{'p': 99::BIGINT, 'd': 0, 'f': 'oms/cust_2'}}], []::VARCHAR[], {{'p': 0::BIGINT, 'd': 0, 'f': ''}}
+  UNION ALL SELECT n + 1, list_concat(queue, CASE WHEN best.d > -3 THEN list_transform(coalesce(ks, []), lambda k: {{'p': k.p, 'd': best.d - 1, 'f': k.t}}) ELSE [] END), list_append(seen, best.f), best
+  FROM (SELECT n, seen, list_filter(queue, lambda x: NOT list_contains(seen, x.f)) AS queue, list_sort(list_filter(queue, lambda x: NOT list_contains(seen, x.f)))[1] AS best FROM walk WHERE n < 60) LEFT JOIN kids ON s = best.f WHERE best IS NOT NULL)"""
+
+
+@query("SELECT best.f AS file, (-best.d)::INTEGER AS depth, best.p AS priority, n::BIGINT AS place FROM walk WHERE n > 0", recursive=QUEUE)
+def crawl_by_priority(spark, sf):
+    """Files by how often they refer to each other, the most loosely joined ones first."""
+    g = graph(spark, sf, "Reference", "Implementation")
+    far = reduce(DataFrame.unionByName, [navigate.file_edges(g, k) for k in ("Reference", "Implementation")]).groupBy("src_file", "dst_file").agg(F.sum("n").alias("priority"))
+    both = far.unionByName(far.select(F.col("dst_file").alias("src_file"), F.col("src_file").alias("dst_file"), "priority"))
+    starts = g.symbols.where("file_path in ('oms/cust_1', 'oms/cust_2')").select(F.col("file_path").alias("file"), F.when(F.col("file_path") == "oms/cust_1", 100).otherwise(99).alias("priority")).distinct()
+    return crawls.crawl_by_priority(both, starts, 3, 60)
+
+
 # Text.
 
 SOURCES = """code AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) || '_' || split_part(p_name, ' ', 2) AS n, 'b' || regexp_replace(p_brand, '[^0-9]', '', 'g') || CASE p_partkey % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.ts' WHEN 2 THEN '.py' ELSE '.go' END AS path, p_partkey % 4 AS l, p_type FROM part),
