@@ -8,8 +8,8 @@ without which the rest of the template is too short a vector), and a run of line
 terms as its heaviest ones need, so only such units are split into terms.
 
 A licence file's whole text is compared with the licences' full texts as well, with document frequencies of these texts;
-a tag SPDX-License-Identifier with one known identifier names its licence outright. Both go before notices, as a full
-text may quote one ("All rights reserved.").
+a tag SPDX-License-Identifier with a known identifier, or an expression of such, names its licence outright. Tags go before
+full texts and these before notices, as a full text may quote one ("All rights reserved.").
 
 A file without a notice of its own has the licence of the nearest directory above it that has a licence file: distinct
 directories are expanded into their ancestors and joined by path.
@@ -52,7 +52,8 @@ HEADERS = [
     ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("LicenseRef-BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
@@ -64,9 +65,14 @@ HEADER_LINES = 5
 TEXTS = Path(__file__).parent / "license_texts"
 #: Identifiers that SPDX has replaced.
 FORMER = {"gpl-2.0": "GPL-2.0-only", "gpl-3.0": "GPL-3.0-only", "lgpl-3.0": "LGPL-3.0-only"}
-TAG = r"spdx-license-identifier:[ \t]*([a-z0-9.+-]+)[ \t]*(?:\*/|-->)?[ \t\r]*(?:\n|$)"
-#: Names, without extension and in lower case, of files whose whole text is a licence.
-LICENSE_FILES = ("licence", "license", "copying", "notice", "unlicense")
+#: Identifiers that tags may have besides those of the templates.
+TAGGED = ("0BSD", "AGPL-3.0-only", "Artistic-2.0", "BSD-2-Clause", "BSL-1.0", "CC0-1.0", "EPL-2.0", "ISC", "LGPL-2.1-only", "MIT-0", "Unlicense", "Zlib")
+TAG = r"spdx-license-identifier:[ \t]*([a-z0-9.+() -]*[a-z0-9.+)])[ \t]*(?:\*/|-->)?[ \t\r]*(?:\n|$)"
+#: File names, in lower case, of files whose whole text is a licence.
+LICENSE_FILES = r"^((un)?licen[cs]e|copying|notice)([-_.].*)?$|^[^/]*[-_.](un)?licen[cs]e(\.[a-z]+)?$"
+#: A text that names itself so at its beginning isn't the one that it is nearest to.
+TITLES = {"GPL-3.0-only": ("affero general public license", "AGPL-3.0-only")}
+TITLE_CHARS = 400
 TERM = "[a-z0-9]+"
 
 
@@ -102,24 +108,30 @@ def of_texts(source: DataFrame, least: float, allowed: list[str]) -> DataFrame:
     if not set(names) & set(allowed):
         return source.limit(0).select("id", "path", "whole", ranked(1, F.lit(0.0), 0, F.lit("")).alias("best"))
     table = source.sparkSession.range(1).select(F.inline(F.from_json(F.lit(weights), "array<struct<term string, idf double, ws array<double>>>")))
-    units = source.where("whole").select("id", "path", "whole", F.xxhash64("text").alias("u"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    single = units.groupBy("id", "path", "whole", "u", "term").agg(F.count(F.lit(1)).alias("tf"))
+    titles = [F.lower(F.substring("text", 1, TITLE_CHARS)).contains(words).alias(f"t{k}") for k, (words, _) in enumerate(TITLES.values())]
+    titled = [f"t{k}" for k in range(len(titles))]
+    units = source.where("whole").select("id", "path", "whole", F.xxhash64("text").alias("u"), *titles, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    single = units.groupBy("id", "path", "whole", "u", *titled, "term").agg(F.count(F.lit(1)).alias("tf"))
     scored = single.join(F.broadcast(table), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
     dots = [F.sum(F.col("w") * F.coalesce(F.col("ws")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(names))]
     # Repeated rows multiply every term alike, so their cosines stay.
-    cosines = scored.groupBy("id", "path", "whole", "u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), *dots)
-    rows = F.array(*[ranked(1, F.round(F.col(f"d{i}") / F.col("length"), 9), i, F.lit(name)) for i, name in enumerate(names) if name in allowed])
+    cosines = scored.groupBy("id", "path", "whole", "u", *titled).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), *dots)
+    named = lambda name: F.when(F.col(f"t{list(TITLES).index(name)}"), TITLES[name][1]).otherwise(name) if name in TITLES else F.lit(name)
+    rows = F.array(*[ranked(1, F.round(F.col(f"d{i}") / F.col("length"), 9), i, named(name)) for i, name in enumerate(names) if name in allowed])
     return cosines.select("id", "path", "whole", F.array_max(rows).alias("best")).where(F.col("best.score") >= least)
 
 
 def of_tags(source: DataFrame, names: list[str]) -> DataFrame:
-    """id, path, whole, best: files with an SPDX tag of one of the names."""
-    known = {name.lower(): name for name in names} | {k: v for k, v in FORMER.items() if v in names}
+    """id, path, whole, best: files with an SPDX tag of one of the names, or of an expression of these (in SPDX's spelling,
+    without brackets). Of several tags the first name in the alphabet counts."""
+    known = {name.lower(): name for name in (*names, *TAGGED)} | {k: v for k, v in FORMER.items() if v in names} | {x: x.upper() for x in ("or", "and")}
     tags = F.regexp_extract_all(F.lower("text"), F.lit(TAG), F.lit(1))
     found = source.where(F.lower("text").contains("spdx-license-identifier:")).select("id", "path", "whole", F.explode(tags).alias("tag"))
-    named = found.select("id", "path", "whole", F.create_map(*[F.lit(x) for k, v in sorted(known.items()) for x in (k, v)])[F.col("tag")].alias("name")).where("name is not null")
-    order = F.array_position(F.array(*[F.lit(x) for x in sorted(set(known.values()))]), F.col("name"))
-    return named.select("id", "path", "whole", ranked(1, F.lit(1.0), order, F.col("name")).alias("best"))
+    spelled = F.create_map(*[F.lit(x) for k, v in sorted(known.items()) for x in (k, v)])
+    words = F.transform(F.split(F.trim(F.regexp_replace("tag", "[() ]+", " ")), " "), lambda w: spelled[w])
+    named = found.select("id", "path", "whole", words.alias("words")).where(~F.exists("words", lambda w: w.isNull())).select("id", "path", "whole", F.array_join("words", " ").alias("name"))
+    first = named.groupBy("id", "path", "whole").agg(F.min("name").alias("name"))
+    return first.select("id", "path", "whole", ranked(2, F.lit(1.0), 0, F.col("name")).alias("best"))
 
 
 def ranked(rank: int, score: Column, order: int | Column, name: Column) -> Column:
@@ -127,6 +139,12 @@ def ranked(rank: int, score: Column, order: int | Column, name: Column) -> Colum
     return F.struct(F.lit(rank).alias("rank"), score.alias("score"), (-(F.lit(order) if isinstance(order, int) else order)).cast("int").alias("order"), name.alias("name"))
 
 
+def runs_of(lines: Column, n: int) -> Column:
+    """Each n lines in a row, joined; none of fewer lines."""
+    run = lambda i: F.array_join(F.slice(lines, i, F.lit(n)), "\n")
+    return F.when(F.size(lines) >= n, F.transform(F.sequence(F.lit(1), F.size(lines) - n + 1), run)).otherwise(F.array().cast("array<string>"))
+
+
 def directory(path: Column) -> Column:
     """Up to the last slash, without it; empty at the root, null for a null path."""
     return F.when(path.isNull(), F.lit(None).cast("string")).when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
@@ -160,9 +178,9 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, path_col:
     pattern = lambda own: rf"(^|[^a-z0-9])({'|'.join(sorted({t for v in own for t in heaviest(v, least)})) or '(?!)'})($|[^a-z0-9])"
     any_heavy, header_heavy = pattern(vectors), pattern(vectors[len(templates) :])
 
-    base = F.regexp_replace(F.lower(F.element_at(F.split("path", "/"), -1)), r"\..*$", "")
+    base = F.lower(F.element_at(F.split("path", "/"), -1))
     # A file that holds no heavy term has no unit that could match.
-    files = source.withColumn("whole", F.coalesce(base.isin(*LICENSE_FILES), F.lit(False)))
+    files = source.withColumn("whole", F.coalesce(base.rlike(LICENSE_FILES), F.lit(False)))
     held = files.where(F.lower("text").rlike(any_heavy))
     lines = F.transform(F.split("text", "\n"), F.lower)
     pieces = F.filter(lines, lambda x: x.rlike(any_heavy))
@@ -170,7 +188,7 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, path_col:
     terms = F.regexp_extract_all("unit", F.lit(TERM), F.lit(0))
     units = explode(F.when(F.col("whole"), F.concat(F.array(F.lower("text")), pieces)).otherwise(pieces)).withColumn("first", F.lit(0)).withColumn("terms", terms)
     if headers:
-        runs = [F.transform(F.sequence(F.lit(0), F.greatest(F.size("ls") - n, F.lit(-1))), lambda i, n=n: F.array_join(F.slice("ls", F.greatest(i, F.lit(0)) + 1, n), "\n")) for n in range(2, HEADER_LINES + 1)]
+        runs = [runs_of(F.col("ls"), n) for n in range(2, HEADER_LINES + 1)]
         run = held.where(F.lower("text").rlike(header_heavy)).select("id", "path", "whole", lines.alias("ls")).where("size(ls) > 1").select("id", "path", "whole", F.explode(F.array_distinct(F.filter(F.flatten(F.array(*runs)), lambda x: x.rlike(header_heavy)))).alias("unit")).withColumn("terms", terms)
         # The fewest of a header's terms, heaviest first, that are as long as a similar unit's share of it must be.
         enough = F.lit(False)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.components import components
 from lodestar.llm.hashing import mixed
 from lodestar.llm.memory import parts, released, tidy
+from lodestar.llm.places import from_files, marked, picked, placed
 from lodestar.llm.tables import dropped, partitions, written
 from lodestar.llm.words import Words
 
@@ -44,8 +45,6 @@ SKETCH_BITS = (16, 23)
 BATCH = 1_500_000
 #: Groups of the points that go with each of a node's lists, and lists of a node that go with them, at most.
 COARSE, TOKENS = 256, 64
-#: Nodes of some 50 bytes each that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
 
 
 def sets_of(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -100,7 +99,7 @@ def sketch(source: DataFrame, k: int) -> np.ndarray:
     return whole
 
 
-POINTS = "doc_id long, t long, carried string, n long, k1 long, k2 long, point binary, coarse binary, first array<long>"
+POINTS = "doc_id long, t long, f long, i long, n long, k1 long, k2 long, point binary, coarse binary, first array<long>"
 
 
 def point_bits(n: int) -> int:
@@ -128,11 +127,11 @@ def points(source: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 k1 = [int(mixed(x).sum(dtype=U).view(np.int64)) for x in found]
                 k2 = [int(mixed(x ^ U(0xD1B54A32D192ED03)).sum(dtype=U).view(np.int64)) for x in found]
                 vec = [np.bincount((x >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes() for x, bits in ((x, point_bits(len(x))) for x in found)]
-                coarse = [v if len(v) <= 2 * COARSE else folded(np.frombuffer(v, np.uint16).reshape(1, -1).astype(np.int64), COARSE).astype(np.uint16).tobytes() for v in vec]
+                coarse = [v if len(v) <= 2 * COARSE else coarser(np.frombuffer(v, np.uint16)).tobytes() for v in vec]
                 columns = [pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vec, pa.binary()), pa.array(coarse, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], names=["doc_id", "t", "carried", "n", "k1", "k2", "point", "coarse", "first"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), *columns], names=["doc_id", "t", "f", "i", "n", "k1", "k2", "point", "coarse", "first"])
 
-    return source.select("doc_id", "text", "t", "carried").mapInArrow(make, POINTS)
+    return source.select("doc_id", "text", "t", "f", "i").mapInArrow(make, POINTS)
 
 
 def needed(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -184,17 +183,18 @@ def folded(vec: np.ndarray, width: int) -> np.ndarray:
     return vec if vec.shape[1] == width else vec.reshape(len(vec), width, -1).sum(axis=2)
 
 
-def texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
-    """node, text of nodes (node, doc_id, t, members); where rows of a class may repeat each other, one of them counts.
+def coarser(point: np.ndarray) -> np.ndarray:
+    """The point folded to COARSE groups, or to the fewest more in which every count still has 16 bits."""
+    width, vec = COARSE, point.reshape(1, -1).astype(np.int64)
+    while width < len(point) and folded(vec, width).max() > 65535:
+        width *= 2
+    return folded(vec, width)[0].astype(np.uint16)
 
-    Up to BROADCAST_ROWS nodes go to the texts; of more the texts are dealt out.
-    """
-    wanted = nodes.withColumnRenamed("t", "u").select("node", "doc_id", "u", "members")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    found = source.withColumnRenamed("doc_id", "i").join(wanted, F.col("i").eqNullSafe(F.col("doc_id")) & F.col("t").eqNullSafe(F.col("u"))).select("node", "text", "members")
-    single = found.where("members = 1").select("node", "text")
-    return single.unionByName(found.where("members > 1").select("node", "text").dropDuplicates(["node"]))
+
+def texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """node, text of nodes (node, f, i): only the texts at their places move."""
+    folder = marked(nodes)
+    return picked(source.select("text", "f", "i"), folder).join(nodes.select("node", "f", "i"), ["f", "i"]).select("node", "text")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -281,16 +281,15 @@ def tree_pairs(lists: DataFrame, num: int, den: int, tasks: int, every: bool = F
 class Classes:
     """Rows and classes of a table, as tables in the shared folder.
 
-    every: doc_id, t (a hash of the text), carried, n, k1, k2 and more, a row for each row; nodes: node, k1, k2, doc_id and
-    t of one of its rows, members, least (its smallest id), n, point; shared: token, node, leader, total and grams of the lists."""
+    every: doc_id, t (a hash of the text), f and i (its place), n, k1, k2 and more, a row for each row; nodes: node, k1, k2,
+    the place of one of its rows, members, least (its smallest id), n, point; shared: token, node, leader, total and grams of the lists."""
 
-    def __init__(self, df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, carry: str | None = None) -> None:
+    def __init__(self, df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> None:
         self.k, self.num, self.den, self.tasks = k, num, den, partitions(df.sparkSession)
-        carried = F.col(carry).cast("string") if carry else F.lit(None).cast("string")
-        source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
-        self.source = source.withColumn("t", F.xxhash64("text"))
+        source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        self.source = placed(from_files(source.withColumn("t", F.xxhash64("text"))))
         self.every = written(points(self.source, k, num, den))
-        one = self.every.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("doc_id", "t", "n", "point", "coarse", "first")).alias("x"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"))
+        one = self.every.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("f", "i", "n", "point", "coarse", "first")).alias("x"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"))
         self.nodes = written(one.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "x.*", "members", "least"))
         entries = self.nodes.select("node", "least", F.explode("first").alias("token"))
         # The class with the smallest id leads a list: copies mostly come after what they are made from.
@@ -319,7 +318,7 @@ class Classes:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The table of those of a table of pairs that are similar enough; the pairs' own table goes."""
-        out = written(verified(pairs, self.nodes.select("node", "doc_id", "t", "members"), self.source, self.k, self.num, self.den))
+        out = written(verified(pairs, self.nodes.select("node", "f", "i"), self.source, self.k, self.num, self.den))
         dropped(pairs)
         return out
 
@@ -331,13 +330,13 @@ class Classes:
         links = self.verified(self.bounded(starts))
         found = written(components(links))
         # Lists of which two or more components are left.
-        placed = written(self.shared.select("token", "node", "total").join(found, "node", "left").select("token", "node", "total", F.coalesce("component", "node").alias("comp")))
-        open_lists = written(placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "major"))
-        rows = placed.join(open_lists, "token").join(self.coarse(), "node").join(self.tokens(), "node")
+        parts_of = written(self.shared.select("token", "node", "total").join(found, "node", "left").select("token", "node", "total", F.coalesce("component", "node").alias("comp")))
+        open_lists = written(parts_of.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "major"))
+        rows = parts_of.join(open_lists, "token").join(self.coarse(), "node").join(self.tokens(), "node")
         pairs = written(tree_pairs(rows, self.num, self.den, self.tasks))
         more = self.verified(self.bounded(pairs))
         out = written(components(links.unionByName(more)))
-        dropped(self.shared, links, found, placed, open_lists, pairs, more)
+        dropped(self.shared, links, found, parts_of, open_lists, pairs, more)
         return out
 
     def links(self) -> DataFrame:
@@ -367,20 +366,21 @@ def join(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "d
     found, same = c.components(), written(c.of_one_id())
     if not same.isEmpty():
         found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same)))
-    placed = c.nodes.select("node", "k1", "k2", "least").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    small = written(placed.groupBy("comp").agg(F.min("least").alias("component_id")))
-    labels = placed.join(small, "comp").select("k1", "k2", "component_id")
+    labelled = c.nodes.select("node", "k1", "k2", "least").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    small = written(labelled.groupBy("comp").agg(F.min("least").alias("component_id")))
+    labels = labelled.join(small, "comp").select("k1", "k2", "component_id")
     rows = c.every.select("doc_id", "n", "k1", "k2").join(written(labels), ["k1", "k2"], "left")  # sets without members have k1 = k2 = 0
     return rows.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def groups(df: DataFrame, key_col: str, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id_col, key (key_col as a string), group: a long that rows share if links join their texts, null
-    for texts without words. Ids say nothing here: rows of one id are told apart. Other columns are left out."""
-    c = Classes(df, k, num, den, id_col, text_col, key_col)
-    placed = c.nodes.select("node", "k1", "k2").join(c.components(), "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("group"))
-    rows = c.every.select("doc_id", "carried", "n", "k1", "k2").join(written(placed), ["k1", "k2"], "left")
-    return rows.select(F.col("doc_id").alias(id_col), F.col("carried").alias("key"), F.when(F.col("n") > 0, F.col("group")).alias("group"))
+def groups(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: id_col, t (a hash of the text), f and i (the row's place, if df's rows come from files), group: a
+    long that rows share if links join their texts, null for texts without words. Ids say nothing here: rows of one id
+    are told apart. Other columns are left out."""
+    c = Classes(df, k, num, den, id_col, text_col)
+    grouped = c.nodes.select("node", "k1", "k2").join(c.components(), "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("group"))
+    rows = c.every.select("doc_id", "t", "f", "i", "n", "k1", "k2").join(written(grouped), ["k1", "k2"], "left")
+    return rows.select(F.col("doc_id").alias(id_col), "t", "f", "i", F.when(F.col("n") > 0, F.col("group")).alias("group"))
 
 
 def links(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

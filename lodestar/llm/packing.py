@@ -92,18 +92,13 @@ def solve(histogram: dict[int, int], capacity: int) -> tuple[dict[Filling, float
     return out, bound + whole
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """Fillings and how many sequences have each; every piece of the histogram is in one."""
-    left = Counter({n: k for n, k in histogram.items() if k > 0})
-    groups: list[tuple[Counter, int]] = []
-    if left[capacity]:
-        groups.append((Counter({capacity: 1}), left.pop(capacity)))
-    for filling, amount in sorted(solve(histogram, capacity)[0].items(), key=lambda x: -x[1]):
-        times = min([int(amount), *(left[n] // k for n, k in filling)])
-        if times > 0:
-            groups.append((Counter(dict(filling)), times))
-            for n, k in filling:
-                left[n] -= k * times
+def sequences(groups: list[tuple[Counter, int]]) -> int:
+    return sum(times for _, times in groups)
+
+
+def best_fit(left: Counter, groups: list[tuple[Counter, int]], capacity: int) -> list[tuple[Counter, int]]:
+    """The groups with all that is left placed, longest first, where the least room is; new ones where there is none."""
+    left = Counter(left)
     room: dict[int, list[tuple[Counter, int]]] = {}
     for g, times in groups:
         room.setdefault(capacity - sum(n * k for n, k in g.items()), []).append((g, times))
@@ -111,8 +106,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
         while left[n] > 0:
             free = min((f for f, x in room.items() if f >= n and x), default=None)
             if free is None:
-                each = capacity // n
-                g, times = Counter({n: min(each, left[n])}), max(1, left[n] // each)
+                each = min(capacity // n, left[n])
+                old, g, times = Counter(), Counter({n: each}), max(1, left[n] // each)
             else:
                 old, many = room[free].pop()
                 each = min(free // n, left[n])
@@ -120,9 +115,31 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
                 if many > times:
                     room[free].append((old, many - times))
                 g = old + Counter({n: each})
-            left[n] -= (g[n] - (old[n] if free is not None else 0)) * times
+            left[n] -= (g[n] - old[n]) * times
             room.setdefault(capacity - sum(a * b for a, b in g.items()), []).append((g, times))
-    return [(tuple(sorted(g.items(), reverse=True)), times) for x in room.values() for g, times in x]
+    return [x for own in room.values() for x in own]
+
+
+def rounded(left: Counter, capacity: int) -> tuple[list[tuple[Counter, int]], Counter]:
+    """Fillings of the linear program, taken as often as their amounts rounded down, and what is left."""
+    groups, left = [], Counter(left)
+    for filling, amount in sorted(solve(dict(left), capacity)[0].items(), key=lambda x: (-x[1], x[0])):
+        times = min([int(amount), *(left[n] // k for n, k in filling)])
+        if times > 0:
+            groups.append((Counter(dict(filling)), times))
+            for n, k in filling:
+                left[n] -= k * times
+    return groups, left
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """Fillings and how many sequences have each; every piece of the histogram is in one. The better of the rounded linear
+    program, with what is left placed by best fit, and of best fit alone."""
+    left = Counter({n: k for n, k in histogram.items() if k > 0})
+    whole = [(Counter({capacity: 1}), left.pop(capacity))] if left[capacity] else []
+    groups, rest = rounded(left, capacity)
+    made = min(best_fit(rest, groups, capacity), best_fit(left, [], capacity), key=sequences)
+    return [(tuple(sorted(g.items(), reverse=True)), times) for g, times in whole + made]
 
 
 def slots(fillings: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:

@@ -137,7 +137,7 @@ def license_brute(files, least=0.8):
     norm = lambda v: np.sqrt(sum((n * idf[t]) ** 2 for t, n in v.items()))
     own = {}
     for i, path, text in files:
-        is_file = path is not None and path.split("/")[-1].split(".")[0].lower() in licenses.LICENSE_FILES
+        is_file = path is not None and bool(re.search(licenses.LICENSE_FILES, path.split("/")[-1].lower()))
         best, lines = None, (text or "").split("\n")
         units = [(x, 0) for x in [*lines, *([text or ""] if is_file else [])]]
         units += [("\n".join(lines[k : k + n]), len(licenses.TEMPLATES)) for n in range(2, licenses.HEADER_LINES + 1) for k in range(len(lines) - n + 1)]
@@ -177,7 +177,7 @@ def test_licenses(spark):
 def test_licenses_by_full_text_and_tag(spark):
     text = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
     mit = "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + text["MIT"]
-    tags = {"// SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0-only", "/* SPDX-License-Identifier: MIT */\nx": "MIT", "# SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only", "# SPDX-License-Identifier: ISC": None, "# SPDX-License-Identifier: MIT OR Apache-2.0": None}
+    tags = {"// SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0-only", "/* SPDX-License-Identifier: MIT */\nx": "MIT", "# SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only", "# SPDX-License-Identifier: ISC": "ISC", "# SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0"}
     files = [(0, "m/LICENSE", mit), (1, "m/src/a/b.py", "code"), (2, "m/src/a/c.py", "Use of this source code is governed by a BSD-style license.")]
     files += [(10 + i, f"t{i}/LICENSE", x) for i, x in enumerate(text.values())] + [(50 + i, f"s{i}/x.c", x) for i, x in enumerate(tags)]
     found = by_id(licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")))
