@@ -1,7 +1,7 @@
 """A corpus pipeline over `documents`: STAGES are applied one after another, each to all that the last one kept.
 
-Every stage decides row by row: rows are told apart by a key of all their columns, so rows that share an id, or have none,
-each get a decision of their own. Rows that are equal in all columns get one decision (and of copies one stays). Null and
+Every stage decides row by row, so rows that share an id, or have none, each get a decision of their own (and of copies
+one stays). Null and
 empty texts go in the first stage, as they have no letters. An empty table gives no rows. All but the last stage return
 the columns of their input, whatever their names, with the values that they had (passages changes text and n_chars).
 """
@@ -13,24 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import langid, ngramjoin, packing, quality, substrings
+from lodestar.llm import langid, ngramjoin, packing, places, quality, substrings
 from lodestar.llm.queries import vocabulary_file
-from lodestar.llm.tables import is_letterless, row_key, table, written
+from lodestar.llm.tables import is_letterless, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A document of a lower score fits no learned language: neither its family nor its language is told apart (each by 1/2 is 1/4).
 LEAST_SCORE = 0.3
 
 
-#: Row keys, of some 80 bytes each, that are broadcast at most, so that the texts stay where they are.
-BROADCAST_KEYS = 1_000_000
-
-
-def few(keys: DataFrame) -> DataFrame:
-    """A table of keys, to be broadcast if there are at most BROADCAST_KEYS."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language that can be told go: those without a letter (null and empty ones too), and those whose
     score is below LEAST_SCORE. If no language could be learned, all texts with letters stay."""
@@ -42,24 +33,19 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go. Rows of one language and text have one verdict, whatever their ids."""
-    keyed = docs.withColumn("__row", row_key("lang", "text"))
-    failed = quality.judge(keyed.select("__row", "lang", "text"), id_col="__row").where("not kept").select("__row")
-    return keyed.join(few(written(failed.distinct())), "__row", "left_anti").select(docs.columns)
+    """Documents that fail the quality rules go. Each row is carried through its own measures, so no text is dealt out."""
+    found = quality.judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "lang", "text"), id_col="__row")
+    return found.where("kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word n-grams at a Jaccard similarity of 0.8 the document of smallest id stays (rows
-    without one come last; of rows of one id the one of the smallest key). Texts without words link with nothing."""
-    keyed = docs.withColumn("__row", row_key(*docs.columns))
-    found = written(ngramjoin.groups(keyed.select("doc_id", "text", "__row"), "__row", k=5, num=4, den=5).where("group is not null"))
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("x"))
-    gone = written(found.join(first, "group").where("key <> x.key").select(F.col("key").alias("__row")).distinct())
-    kept = keyed.join(few(gone), "__row", "left_anti")
-    repeated = written(found.groupBy(F.col("key").alias("__row")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__row"))
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, "__row", "left_anti").unionByName(kept.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
-    return kept.select(docs.columns)
+    without one come last; of rows of one id the one of the smallest hash of the text, of copies one). Texts without
+    words link with nothing. Rows that go are marked by their places in their files, so texts stay where they are."""
+    docs = places.from_files(docs)
+    found = written(ngramjoin.groups(docs, k=5, num=4, den=5).where("group is not null"))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t", "f", "i")).alias("x"))
+    return places.without(docs, places.marked(found.join(first, "group").where("f <> x.f or i <> x.i").select("f", "i")))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
