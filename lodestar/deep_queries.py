@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from lodestar.index_queries import PATH_EXISTS, values
 from lodestar.operators import liveness, nameindex, reachability, search
 from lodestar.plans.tables import materialized, new_folder
-from lodestar.queries import CORE, FUZZY, LIVE, REACH, per_word, query
+from lodestar.queries import CHANGES, CORE, FUZZY, LIVE, REACH, listings, per_word, query
+from lodestar.schema import SYMBOL_COLUMNS, Graph
+from lodestar.sources import formats, lsif
 from lodestar.sources.graphview import LATTICE_SQL, SYMBOLS_SQL, Tables, graph, lattice, under
+from lodestar.streaming import kept, trees
 
 #: Every way of finding the letters of the query in a name in their order, with its score.
 ALIGNED = """q AS (SELECT 'smRg' AS q), names AS (SELECT DISTINCT name FROM symbols WHERE kind = 'Function'),
@@ -66,3 +69,48 @@ def containment_by_labels(spark, sf):
     part = under("part:", "l_partkey").alias("src")
     asked = line.select(part, F.concat(F.lit("region:"), F.col("l_orderkey") % 5).alias("dst")).unionByName(line.select(part, F.concat(F.lit("nation:"), F.col("l_suppkey") % 25).alias("dst")))
     return reachability.answer(asked, *reachability.label(g.of_kind("Contains")))
+
+
+TOUCHED = "gone AS (SELECT DISTINCT file_path AS f FROM symbols WHERE starts_with(file_path, 'crm/nation_') AND split_part(file_path, '_', 2)::INTEGER % 5 = 0), new AS (SELECT DISTINCT file_path AS f FROM symbols WHERE starts_with(file_path, 'oms/cust_') AND split_part(file_path, '_', 2)::INTEGER % 10 = 0)"
+
+
+@query("SELECT 'symbol' AS part, kind, count(*) AS n FROM symbols WHERE kind IN ('Class', 'Variable') AND file_path NOT IN (SELECT f FROM gone) GROUP BY 2 UNION ALL SELECT 'renewed', kind, count(*) FROM symbols WHERE file_path IN (SELECT f FROM new) GROUP BY 2 UNION ALL SELECT 'edge', e.kind, count(*) FROM edges e JOIN symbols a ON a.id = src_id JOIN symbols b ON b.id = dst_id WHERE e.kind IN ('Reference', 'Definition') AND a.kind = 'Variable' AND b.kind IN ('Class', 'Variable') AND NOT EXISTS (SELECT 1 FROM (SELECT f FROM gone UNION ALL SELECT f FROM new) t WHERE t.f = a.file_path OR t.f = b.file_path) GROUP BY 2", recursive=TOUCHED)
+def kept_generations(spark, sf):
+    """A kept graph after a batch in which some files went and others came anew, counted by kind."""
+    g = graph(spark, sf, "Reference", "Definition")
+    own = g.symbols.where("kind in ('Class', 'Variable')")
+    folder = new_folder(spark)
+    kept.create(Graph(own, g.edges), folder)
+    number = F.regexp_extract("file_path", r"^(?:crm/nation|oms/cust)_(\d+)$", 1).cast("int")
+    touched = own.withColumn("n", number).where((F.col("kind") == "Class") & (F.col("n") % 5 == 0) | (F.col("kind") == "Variable") & (F.col("n") % 10 == 0))
+    again = F.struct(*[F.concat("id", F.lit(":new")).alias("id") if c == "id" else F.col(c) for c in SYMBOL_COLUMNS])
+    batch = touched.groupBy(F.col("file_path").alias("path")).agg(F.first("kind").alias("k"), F.collect_list(again).alias("symbols"))
+    rows = batch.select(F.lit(1).cast("long").alias("seq"), F.when(F.col("k") == "Class", "removed").otherwise("modified").alias("op"), "path", "symbols")
+    kept.apply(spark, folder, rows, 1)
+    now = kept.load(spark, folder)
+    count = lambda df, part: df.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "kind", "n")
+    return count(now.symbols, "symbol").unionByName(count(now.symbols.where(F.col("id").endswith(":new")), "renewed")).unionByName(count(now.edges, "edge"))
+
+
+@query("SELECT replace(path, 'docs/', 'docs/' || (split_part(path, '/', 2)::BIGINT % 40) || '/') AS path, status FROM ch", cte=CHANGES)
+def tree_changes(spark, sf):
+    """The changed documents, found through directories that differ."""
+    spread = lambda df: df.select(F.concat(F.lit("docs/"), F.substring_index("path", "/", -1).cast("long") % 40, F.lit("/"), F.substring_index("path", "/", -1)).alias("path"), "hash")
+    folders = [new_folder(spark), new_folder(spark)]
+    for df, folder in zip(listings(spark, sf), folders, strict=True):
+        trees.store(spread(df), folder)
+    return trees.changes(spark, *folders).select("path", "status")
+
+
+@query("SELECT CASE kind WHEN 'Class' THEN 'customers' ELSE 'nations' END AS part, count(*) AS ranges, count(DISTINCT file_path) AS files FROM symbols WHERE kind IN ('Class', 'Namespace') GROUP BY 1", cte=SYMBOLS_SQL)
+def lsif_source(spark, sf):
+    """Symbols written by the data source and read back by ranges of bytes, counted by their ids."""
+    g = graph(spark, sf, "Import")
+    folder = new_folder(spark)
+    lsif.write_lines(formats.numbered(formats.lsif(Graph(g.symbols.where("kind in ('Class', 'Namespace')"), g.edges))), folder)
+    lines = lsif.read_lines(spark, folder, 50_000).select("value")
+    of = lambda p: F.get_json_object("value", f"$.{p}")
+    held = lines.where(F.col("value").contains('"contains"')).select(of("outV").alias("doc"), of("inV").alias("vid")).where("vid like 'r:%'")
+    ranges = lines.where(F.col("value").contains('"label":"range"')).select(of("vid").alias("vid"))
+    part = F.when(F.col("vid").startswith("r:customer:"), "customers").otherwise("nations")
+    return ranges.join(held, "vid").groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("ranges"), F.count_distinct("doc").alias("files"))

@@ -5,6 +5,8 @@ Each language is a row of expressions in LANGUAGES; register() adds one.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -175,6 +177,26 @@ def parse_query(language: str, text: str) -> ParsedQuery:
     return out
 
 
+def query_columns(language: str, text: Column) -> Column:
+    """parse_query() of a column: a struct of name, kind, modifiers and scope; name, kind and scope are null where there is none."""
+    own = LANGUAGES[language]
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    modifiers, keywords = texts(own.modifiers), texts(own.keywords)
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    kinds = F.create_map(*[F.lit(x) for kv in own.keywords.items() for x in kv])
+    said = F.filter(words, lambda w: F.array_contains(keywords, w) & ~F.array_contains(modifiers, w))
+    rest = F.filter(words, lambda w: ~F.array_contains(keywords, w) & ~F.array_contains(modifiers, w))
+    marked = F.filter(rest, lambda w: w.contains(own.mark))
+    mark = re.escape(own.mark)
+    last = lambda xs: F.try_element_at(xs, F.lit(-1))
+    return F.struct(
+        F.substring_index(last(rest), own.mark, -1).alias("name"),
+        kinds[last(said)].alias("kind"),
+        F.filter(words, lambda w: F.array_contains(modifiers, w)).alias("modifiers"),
+        F.regexp_replace(last(marked), f"{mark}(?!.*{mark}).*$", "").alias("scope"),
+    )
+
+
 def first_successful(results: list[tuple[int, DataFrame]], key: str = "file_path") -> DataFrame:
     """For each key the rows of the strategy of highest priority that has any. results: (priority, symbols)."""
     out = None

@@ -97,13 +97,15 @@ def language_of(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[extension(path)]
 
 
-def project_language(files: DataFrame) -> DataFrame:
-    """One row, language: of the first marker file that there is, else of the first extension that there is."""
+def project_language(files: DataFrame, *by: str) -> DataFrame:
+    """One row, language: of the first marker file that there is, else of the first extension that there is. With `by`
+    (columns of files) a row for each of their values that has any."""
     order = list(dict.fromkeys([*MARKERS.values(), *EXTENSIONS.values()]))
     name = F.element_at(F.split("path", "/"), -1)
     marker, found = F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv])[name], language_of(F.col("path"))
     rank = lambda c, base: F.when(c.isNotNull(), base + F.array_position(F.array(*[F.lit(x) for x in order]), c))
-    return files.select(F.struct(F.coalesce(rank(marker, 0), rank(found, 100)).alias("r"), F.coalesce(marker, found).alias("l")).alias("x")).where("x.r is not null").agg(F.min("x").alias("x")).select(F.col("x.l").alias("language"))
+    ranked = files.select(*by, F.struct(F.coalesce(rank(marker, 0), rank(found, 100)).alias("r"), F.coalesce(marker, found).alias("l")).alias("x"))
+    return ranked.where("x.r is not null").groupBy(*by).agg(F.min("x").alias("x")).select(*by, F.col("x.l").alias("language"))
 
 
 def scanned(path: Column, extensions: tuple[str, ...] = ("rs", "ts", "tsx", "js", "jsx"), excluded: tuple[str, ...] = EXCLUDED) -> Column:

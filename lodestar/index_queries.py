@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import languages, mapping, names, source, textrefs
 from lodestar.operators import analytics, filters, lookup, match, navigate, search, traverse
-from lodestar.queries import EVENTS, REACH, SNAPSHOTS, SOURCES, VARIED, files, ids, query, rows_as, snapshots, varied
+from lodestar.queries import EVENTS, GRAMS, REACH, SNAPSHOTS, SOURCES, VARIED, files, ids, query, rows_as, snapshots, varied
 from lodestar.schema import EDGES, Graph
 from lodestar.sources import formats
 from lodestar.sources.graphview import SYMBOLS_SQL, Tables, edge, graph, under
@@ -81,9 +81,13 @@ def location_references(spark, sf):
     return lookup.references_of(as_references, places_of_orders(g)).groupBy("path", "line", "char", "id").agg(rows_as("n"))
 
 
-@query("SELECT * FROM (VALUES ('a/b.rs', 12, 5), ('a/b.rs', 12, 1), ('a/b.rs', 1, 1), ('', 1, 1), ('x', 1, 7)) AS t(file, line, char)", cte=None)
+@query("SELECT id, file_path AS file, CASE WHEN start_line % 4 IN (1, 2) THEN start_line + 1 ELSE 1 END::INTEGER AS line, CASE start_line % 4 WHEN 2 THEN 5 WHEN 3 THEN 7 ELSE 1 END::INTEGER AS char FROM symbols WHERE kind IN ('Class', 'Function')", cte=SYMBOLS_SQL)
 def location_strings(spark, sf):
-    return values(spark, [navigate.parse_location(x) for x in ("a/b.rs:12:5", "a/b.rs:12", "a/b.rs", "", "x:y:7")], "file string, line int, char int")
+    """Places of symbols written out, with and without a line and a column, and with a line that is no number."""
+    s = graph(spark, sf, "Import").symbols.where("kind in ('Class', 'Function')")
+    k, line = F.col("start_line") % 4, (F.col("start_line") + 1).cast("string")
+    text = F.when(k == 0, F.col("file_path")).when(k == 1, F.concat_ws(":", "file_path", line)).when(k == 2, F.concat_ws(":", "file_path", line, F.lit("5"))).otherwise(F.concat_ws(":", "file_path", F.lit("y"), F.lit("7")))
+    return s.select("id", navigate.location(text).alias("x")).select("id", "x.*")
 
 
 @query("SELECT dst_id AS id, src_id AS other FROM edges WHERE kind = 'Override'")
@@ -178,15 +182,20 @@ def plain_ngrams(spark, sf):
     return s.select("name", F.array_join(names.plain_grams(F.col("name"), 3), "|").alias("grams"))
 
 
-@query("SELECT round(count(*) / count(DISTINCT lower(name)), 4) AS names, (SELECT round(count(*) / count(DISTINCT p), 4) FROM (SELECT unnest(list_transform(range(1, least(length(name), 5) + 1), lambda i: substr(lower(name), 1, i))) AS p FROM symbols WHERE kind = 'Function')) AS prefixes FROM symbols WHERE kind = 'Function'", cte=SYMBOLS_SQL)
+def _mean(parts: str) -> str:
+    return f"(SELECT round(count(*) / count(DISTINCT p), 4) FROM (SELECT unnest({parts}) AS p FROM symbols WHERE kind = 'Function'))"
+
+
+@query(f"SELECT {_mean('[lower(name)]')} AS names, {_mean(GRAMS.format(c='lower(name)', n=2))} AS bigrams, {_mean(GRAMS.format(c='lower(name)', n=3))} AS trigrams, {_mean('list_transform(range(1, least(length(name), 5) + 1), lambda i: substr(lower(name), 1, i))')} AS prefixes, {_mean('list_distinct(list_transform(regexp_extract_all(name, chr(91) || $$A-Z]?[a-z]+|[A-Z]+|[0-9]+$$), lambda w: lower(w)))')} AS words", cte=SYMBOLS_SQL)
 def index_averages(spark, sf):
-    return search.index_averages(graph(spark, sf, "Import").symbols.where("kind = 'Function'")).select("names", "prefixes")
+    return search.index_averages(graph(spark, sf, "Import").symbols.where("kind = 'Function'"))
 
 
-@query("SELECT * FROM (VALUES ('a', 5, true), ('abcd', 2, true), ('abcd', 3, false), ('ABCD', 9, true), ('abcdef', 3, false)) AS t(q, exact, needed)", cte=None)
+@query("SELECT name, exact, exact < 3 OR strlen(name) <= 3 OR (name = upper(name) AND name <> lower(name)) AS needed FROM (SELECT name, count(*) AS exact FROM symbols GROUP BY 1)", cte=SYMBOLS_SQL)
 def fuzzy_needed(spark, sf):
-    rows = [("a", 5), ("abcd", 2), ("abcd", 3), ("ABCD", 9), ("abcdef", 3)]
-    return values(spark, [(q, n, search.needs_fuzzy(q, n)) for q, n in rows], "q string, exact int, needed boolean")
+    """Whether a search for each name, of which so many symbols have it, needs more than equality."""
+    counted = graph(spark, sf, "Import").symbols.groupBy("name").agg(rows_as("exact"))
+    return counted.select("name", "exact", search.fuzzy_needed(F.col("name"), F.col("exact")).alias("needed"))
 
 
 # Languages.
@@ -209,22 +218,30 @@ def language_scores(spark, sf):
     return s.select("id", (rust + F.when(F.col("name") == "Zed", 2.0).otherwise(0.0)).alias("rust"), languages.relevance("typescript", "Zed").alias("typescript"))
 
 
-URLS = "('site-packages/numpy/core.py', 'https://pypi.org/project/numpy/', NULL, NULL), ('a/node_modules/@types/node/fs.d.ts', NULL, 'https://www.npmjs.com/package/@types/@types/node', NULL), ('node_modules/react/index.js', NULL, 'https://www.npmjs.com/package/react', NULL), ('x/src/github.com/a/b/c.go', NULL, NULL, 'https://pkg.go.dev/github.com/a/b'), ('plain.py', NULL, NULL, NULL)"
+PATHS = "paths AS (SELECT p_partkey AS k, p_partkey % 5 AS x, lower(replace(p_brand, '#', '')) AS b FROM part)"
 
 
-@query(f"SELECT * FROM (VALUES {URLS}) AS t(file_path, python, typescript, go)", cte=None)
+@query("SELECT k, CASE WHEN x = 0 THEN 'https://pypi.org/project/' || b || '/' END AS python, CASE x WHEN 1 THEN 'https://www.npmjs.com/package/@types/@types/' || b WHEN 2 THEN 'https://www.npmjs.com/package/' || b END AS typescript, CASE WHEN x = 3 THEN 'https://pkg.go.dev/github.com/a/' || b END AS go FROM paths", cte=PATHS)
 def documentation_urls(spark, sf):
-    paths = values(spark, [(p,) for p in ("site-packages/numpy/core.py", "a/node_modules/@types/node/fs.d.ts", "node_modules/react/index.js", "x/src/github.com/a/b/c.go", "plain.py")], "file_path string")
-    return paths.select("file_path", *[languages.doc_url(x).alias(x) for x in ("python", "typescript", "go")])
+    """Of brands as packages, in the places where each language keeps them."""
+    b, x = F.lower(F.translate("p_brand", "#", "")), F.col("p_partkey") % 5
+    path = F.when(x == 0, F.concat(F.lit("site-packages/"), b, F.lit("/core.py"))).when(x == 1, F.concat(F.lit("a/node_modules/@types/"), b, F.lit("/fs.d.ts"))).when(x == 2, F.concat(F.lit("node_modules/"), b, F.lit("/index.js"))).when(x == 3, F.concat(F.lit("x/src/github.com/a/"), b, F.lit("/c.go"))).otherwise(F.concat(F.lit("plain_"), b, F.lit(".py")))
+    paths = Tables(spark, sf)["part"].select(F.col("p_partkey").alias("k"), path.alias("file_path"))
+    return paths.select("k", *[languages.doc_url(n).alias(n) for n in ("python", "typescript", "go")])
 
 
-@query("SELECT * FROM (VALUES ('rust', 'f', 'Function', 'pub', 'a::b'), ('python', 'g', 'Class', 'async', NULL), ('go', 'T', 'TypeAlias', 'const', 'p'), ('typescript', 'x', 'Interface', 'export', 'N')) AS t(language, name, kind, modifiers, scope)", cte=None)
+@query("SELECT k, n AS name, CASE l WHEN 0 THEN 'Function' WHEN 1 THEN 'Class' WHEN 2 THEN 'TypeAlias' ELSE 'Interface' END AS kind, CASE l WHEN 0 THEN 'pub' WHEN 1 THEN 'async' WHEN 2 THEN 'const' ELSE 'export' END AS modifiers, CASE l WHEN 0 THEN 'a::b' || k WHEN 2 THEN 'p' WHEN 3 THEN 'N' END AS scope FROM code", cte=SOURCES)
 def query_words(spark, sf):
-    rows = []
-    for language, text in (("rust", "pub fn a::b::f"), ("python", "async class g"), ("go", "const type p.T"), ("typescript", "export interface N.x")):
-        q = languages.parse_query(language, text)
-        rows.append((language, q.name, q.kind, ",".join(q.modifiers), q.scope))
-    return values(spark, rows, "language string, name string, kind string, modifiers string, scope string")
+    """Searches for the parts' names in the words of four languages."""
+    n = F.concat(F.substring_index("p_name", " ", 1), F.lit("_"), F.substring_index("p_name", " ", -1))
+    k = F.col("p_partkey")
+    rows = Tables(spark, sf)["part"].select(k.alias("k"), (k % 4).alias("l"), n.alias("n"))
+    asked = [("rust", F.concat(F.lit("pub fn a::b"), "k", F.lit("::"), "n")), ("python", F.concat(F.lit("async  class "), "n")), ("go", F.concat(F.lit("const type p."), "n")), ("typescript", F.concat(F.lit("export interface N."), "n"))]
+    out = None
+    for i, (language, text) in enumerate(asked):
+        x = rows.where(F.col("l") == i).select("k", languages.query_columns(language, text).alias("q")).select("k", "q.name", "q.kind", F.array_join("q.modifiers", ",").alias("modifiers"), "q.scope")
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 @query("SELECT n_nationkey AS number, CASE WHEN n_nationkey BETWEEN 1 AND 26 THEN list_extract(['File', 'Module', 'Namespace', 'Package', 'Class', 'Method', 'Property', 'Field', 'Constructor', 'Enum', 'Interface', 'Function', 'Variable', 'Constant', 'String', 'Number', 'Boolean', 'Array', 'Object', 'Key', 'Null', 'EnumMember', 'Struct', 'Event', 'Operator', 'TypeParameter'], n_nationkey) ELSE 'Variable' END AS kind FROM nation", cte=None)
@@ -270,9 +287,16 @@ def pattern_catalogue(spark, sf):
     return source.catalogued(files(spark, sf), "Function")
 
 
-@query("SELECT 'python' AS language", cte=None)
+#: Projects by size of part and brand; a file for each part, and marker files in some.
+PROJECTS = "projects AS (SELECT p_size AS size, p_brand AS brand, CASE p_partkey % 11 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'pom.xml' WHEN 2 THEN 'read.me' ELSE 'f' || p_partkey || CASE p_partkey % 5 WHEN 0 THEN '.java' WHEN 1 THEN '.go' WHEN 2 THEN '.py' WHEN 3 THEN '.txt' ELSE '.tsx' END END AS path FROM part)"
+
+
+@query("SELECT size, brand, arg_min(l, r) AS language FROM (SELECT size, brand, CASE WHEN path = 'go.mod' THEN 4 WHEN path = 'pom.xml' THEN 5 WHEN path LIKE '%.tsx' THEN 102 WHEN path LIKE '%.py' THEN 103 WHEN path LIKE '%.go' THEN 104 WHEN path LIKE '%.java' THEN 105 END AS r, CASE r WHEN 4 THEN 'go' WHEN 5 THEN 'java' WHEN 102 THEN 'typescript' WHEN 103 THEN 'python' WHEN 104 THEN 'go' WHEN 105 THEN 'java' END AS l FROM projects) WHERE r IS NOT NULL GROUP BY ALL", cte=PROJECTS)
 def project_language(spark, sf):
-    return source.project_language(files(spark, sf).where("path like '%.py' or path like '%.go'"))
+    k = F.col("p_partkey")
+    ends = F.when(k % 5 == 0, ".java").when(k % 5 == 1, ".go").when(k % 5 == 2, ".py").when(k % 5 == 3, ".txt").otherwise(".tsx")
+    path = F.when(k % 11 == 0, "go.mod").when(k % 11 == 1, "pom.xml").when(k % 11 == 2, "read.me").otherwise(F.concat(F.lit("f"), k, ends))
+    return source.project_language(Tables(spark, sf)["part"].select(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), path.alias("path")), "size", "brand")
 
 
 TEMPLATE = ("let a = N;", "    fn N() {", "/* N", "N */ N::new(\"N\", r\"N\") // N", "let s = \"open N", "N + N + xN", "r#\"N \" N\"# N 'a' N", "")

@@ -62,7 +62,7 @@ def call_paths(g: Graph, pairs: DataFrame, most: int = 5, grown: list[int] | Non
 def dead(g: Graph, entries: DataFrame | None = None) -> DataFrame:
     """id: symbols that no entry point reaches by Reference or Definition."""
     start = g.symbols.where(is_entry()).select("id") if entries is None else entries
-    return g.symbols.select("id").join(traverse.closure(g.of_kind("Reference", "Definition"), start), "id", "left_anti")
+    return g.symbols.select("id").join(traverse.closure_of_chains(g.of_kind("Reference", "Definition"), start), "id", "left_anti")
 
 
 def fan(g: Graph) -> DataFrame:

@@ -107,6 +107,13 @@ def parse_location(text: str) -> tuple[str, int, int]:
     return parts[0], number(1), number(2)
 
 
+def location(text: Column) -> Column:
+    """parse_location() of a column: a struct of file, line and char. A number that is none, or too large for one, is 1."""
+    parts = F.split(text, ":")
+    number = lambda i: F.coalesce(F.when(F.get(parts, F.lit(i)).rlike("^[0-9]+$"), F.get(parts, F.lit(i)).try_cast("int")), F.lit(1))
+    return F.struct(F.get(parts, F.lit(0)).alias("file"), number(1).alias("line"), number(2).alias("char"))
+
+
 def enclosing(symbols: DataFrame, places: DataFrame) -> DataFrame:
     """places (file_path, line and more columns) with inner: the first symbol of the file whose lines hold the line."""
     own = symbols.select(F.col("id").alias("__id"), "file_path", "start_line", "start_char", "end_line")

@@ -122,6 +122,11 @@ def needs_fuzzy(query: str, exact: int) -> bool:
     return exact < 3 or len(query.encode()) <= 3 or query.isupper()
 
 
+def fuzzy_needed(query: Column, exact: Column) -> Column:
+    """needs_fuzzy() of columns."""
+    return (exact < 3) | (F.octet_length(query) <= 3) | ((query == F.upper(query)) & (query != F.lower(query)))
+
+
 def index_stats(symbols: DataFrame) -> DataFrame:
     """Sizes of the indices that a name search could use: distinct names, n-grams, prefixes and words."""
     low = symbols.select(F.lower("name").alias("n"), "name").distinct()

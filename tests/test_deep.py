@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import alignment
-from lodestar.operators import analytics, crawl, layers, liveness, nameindex, reachability, search
+from lodestar.operators import analytics, crawl, layers, liveness, nameindex, reachability, search, traverse
 from lodestar.schema import EDGES
 from tests.test_graph import build, one, rows
 
@@ -214,6 +214,17 @@ def closure_brute(edges, entries, gone=()):
     return live
 
 
+def test_closure_of_chains(spark):
+    rnd = random.Random(3)
+    names = [f"v{i:02}" for i in range(40)]
+    line = [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)] + [("c150", "v00"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("c070", "leaf")]
+    edges = [(rnd.choice(names), rnd.choice(names)) for _ in range(45)] + line
+    frame = spark.createDataFrame(edges, "src_id string, dst_id string")
+    for starts in (["c010"], ["v01", "r1"], ["leaf", "nobody"], []):
+        ids = spark.createDataFrame([(x,) for x in starts], "id string")
+        assert {r["id"] for r in traverse.closure_of_chains(frame, ids).collect()} == closure_brute(edges, starts)
+
+
 def test_live_nodes_through_updates(spark):
     rnd = random.Random(12)
     names = [f"v{i:02}" for i in range(40)]
