@@ -8,8 +8,9 @@ ones again exactly, and the tables' results merge into the answer. A query that
 
 Settings are fitted on a bounded sample: QUERIES of the queries are held against all rows, and ROWS rows tell what share of
 the table a query visits. The number of projections is tried from the logarithm of the number of rows downward, each with
-the least number of probes that finds RECALL of the sample's neighbours; the setting that visits least counts. All rows
-are indexed and all queries asked. As rows grow, cells get smaller and the share visited falls.
+the least number of probes that finds RECALL of the sample's neighbours; the setting that visits least counts. Where no
+setting finds so many with MOST_PROBES, all queries are held against all rows, in blocks. All rows are indexed and all
+queries asked. As rows grow, cells get smaller and the share visited falls. The settings with their recall are logged.
 
 Index rows and probes meet by cell. A cell with many vectors is dealt out by vector id and its probes go to each part; a
 query's vector goes to a task once, with the list of the cells that it visits there.
@@ -17,6 +18,7 @@ query's vector goes to a task once, with the list of the cells that it visits th
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, product
@@ -30,7 +32,10 @@ from lodestar.llm.hashing import mixed
 from lodestar.llm.memory import released, tidy
 from lodestar.llm.tables import partitions, written
 
+log = logging.getLogger(__name__)
 TABLES, SEED, PART = 8, 20, 4000
+#: So many numbers of projections are tried at least, and fewer and fewer projections until RECALL is met.
+TRIED = 4
 QUERIES, ROWS, RECALL, MOST_PROBES = 100, 2000, 0.95, 1500
 U = np.uint64
 CELLS = "cell long, id long, size int"
@@ -252,7 +257,9 @@ def fitted(rows: DataFrame, queries: DataFrame, k: int, kind: str) -> tuple[Sett
     width = 1.4 * float(np.median(apart)) or 1.0
     best = None
     most = int(min(16, max(3, round(np.log2(n)) - 6)))
-    for hashes in range(most, max(2, most - 4), -1):
+    for hashes in range(most, 0, -1):
+        if best is not None and best.recall >= RECALL and hashes <= most - TRIED:
+            break
         s, steps = Settings(hashes, width, MOST_PROBES), perturbed(hashes)
         rank = np.full(len(of), len(steps) + MOST_PROBES)
         cells = []
@@ -270,9 +277,23 @@ def fitted(rows: DataFrame, queries: DataFrame, k: int, kind: str) -> tuple[Sett
         s = Settings(hashes, width, probes, float((rank <= probes).mean()), float(met.mean()))
         if best is None or (s.recall >= RECALL, -s.share if s.recall >= RECALL else s.recall) > (best.recall >= RECALL, -best.share if best.recall >= RECALL else best.recall):
             best = s
+    log.info("fitted on %d of %d rows: %s", len(some), n, best)
     return best, n
 
 
+def against_all(vectors: DataFrame, asking: DataFrame, n: int, k: int, kind: str) -> DataFrame:
+    """query_id, vec_id, score: the k best of all rows in each block, for each query."""
+    blocks = max(1, n // PART)
+    dealt = vectors.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).select("slot", "id", "size", "vec")
+    everywhere = asking.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("slot"), "id", "size")
+    return meeting(dealt, everywhere, asking, k, blocks, kind)
+
+
+def ranked_best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest rows found, by cosine, ties to the smaller id.
 
@@ -286,7 +307,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     take = lambda t: t.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("v"))
     vectors, asking = written(usable(take(df), kind)), written(usable(take(queries), kind))
     s, n = fitted(vectors, asking, k, kind)
+    exact = settings is None and s.recall < RECALL
     s = settings or s
+    if exact:
+        return ranked_best(against_all(vectors, asking, n, k, kind), k)
     index = written(hashed(take(df), s, kind, False))
     parts = F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")
     large = written(index.groupBy("cell").agg(parts).where("parts > 1"))
@@ -298,10 +322,6 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     found = written(meeting(rows, probes, asking, k, bins, kind).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     few = written(asking.join(counts.withColumnRenamed("query_id", "id"), "id", "left").where(F.coalesce("n", F.lit(0)) < k).select("id", "size", "vec"))
-    if n > 1 and not few.isEmpty():  # these few against all rows, in blocks
-        blocks = max(1, n // PART)
-        dealt = vectors.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).select("slot", "id", "size", "vec")
-        everywhere = few.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("slot"), "id", "size")
-        found = found.unionByName(meeting(dealt, everywhere, few, k, blocks, kind)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if n > 1 and not few.isEmpty():
+        found = found.unionByName(against_all(vectors, few, n, k, kind))
+    return ranked_best(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import licenses, ngramjoin, packing, places
+from lodestar.llm import ann, licenses, ngramjoin, packing, places
 
 
 def test_marked_rows_go_or_stay(spark, tmp_path, monkeypatch):
@@ -103,3 +103,29 @@ def test_points_of_giant_texts():
     n = int(fine.astype(np.int64).sum())
     tree = ngramjoin.CountTree(np.array([n, n]), np.vstack([point, point]).astype(np.int64))
     assert sorted(tree.search(n, point.astype(np.int64), 90, 100).tolist()) == [0, 1]
+
+
+def test_neighbours_where_no_setting_finds_enough(spark, monkeypatch):
+    monkeypatch.setattr(ann, "RECALL", 1.1)
+    monkeypatch.setattr(ann, "PART", 50)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.search(df, df.where("vec_id % 50 = 0"), k=5).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(0, 300, 50):
+        score = u @ u[q]
+        score[q] = -2
+        want = np.argsort(-score)[:5].tolist()
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [v for _, v, _ in own] == want and np.allclose([s for _, _, s in own], score[want])
+
+
+def test_settings_fall_until_enough_is_found(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MOST_PROBES", 4)
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 24)))], "vec_id long, embedding array<double>").repartition(4)
+    kind = "<f8"
+    rows = ann.usable(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), kind)
+    s, n = ann.fitted(rows, rows.where("id % 20 = 0"), 5, kind)
+    assert n == 1500 and (s.recall >= ann.RECALL or s.hashes >= 1) and s.hashes < 3
