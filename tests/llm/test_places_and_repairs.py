@@ -122,10 +122,10 @@ def test_neighbours_where_no_setting_finds_enough(spark, monkeypatch):
 
 
 def test_settings_fall_until_enough_is_found(spark, monkeypatch):
-    monkeypatch.setattr(ann, "MOST_PROBES", 4)
+    monkeypatch.setattr(ann, "MOST_PROBES", 1)
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 24)))], "vec_id long, embedding array<double>").repartition(4)
     kind = "<f8"
     rows = ann.usable(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), kind)
     s, n = ann.fitted(rows, rows.where("id % 20 = 0"), 5, kind)
-    assert n == 1500 and (s.recall >= ann.RECALL or s.hashes >= 1) and s.hashes < 3
+    assert n == 1500 and s.recall >= ann.RECALL and s.hashes <= 2
