@@ -54,10 +54,3 @@ def partitions(spark: SparkSession) -> int:
 
 def is_letterless(c: Column) -> Column:
     return ~F.coalesce(c, F.lit("")).rlike(r"\p{L}")
-
-
-def row_key(*columns: str) -> Column:
-    """32 hex digits of all the columns' values: two hashes of different seeds, which also tell nulls apart."""
-    own = [F.col(f"`{c}`") for c in columns]
-    nulls = F.concat(*[c.isNull().cast("string") for c in own])
-    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), nulls, *own)), 16, "0") for seed in ("a", "b")])

@@ -218,11 +218,11 @@ def test_pipeline_of_rows_that_share_ids(spark):
     passage, a, b, c = some(60), some(90), some(90), some(90)
     x, y = some(50) + " " + passage, some(50) + "\n" + passage + " " + some(40)
     rows = [(1, a, "en"), (1, b, "en"), (1, "too short", "en"), (2, edited(b, 1, rnd), "en"), (3, x, "en"), (4, y, "en"), (4, c, "en"), (None, a, "en"), (None, "junk", None), (5, c, None), (6, b, "en"), (6, b, "en"), (7, None, "en"), (7, "", "en")] + [(100 + i, some(80), "en") for i in range(30)]
-    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "kept", "mine", "l", 7) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, left_text string, seg int")
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "kept", "mine", "l", 7, "r", 3, 4) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, left_text string, seg int, __row string, f int, i int")
     columns, seen = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.written(stage(spark, docs, "unused"))
-        assert docs.columns == columns and {tuple(r) for r in docs.select("score", "lang_pred", "left_text", "seg").distinct().collect()} == {("kept", "mine", "l", 7)}
+        assert docs.columns == columns and {tuple(r) for r in docs.select("score", "lang_pred", "left_text", "seg", "__row", "f", "i").distinct().collect()} == {("kept", "mine", "l", 7, "r", 3, 4)}
         seen[name] = Counter((r["doc_id"], r["text"]) for r in docs.collect() if (r["doc_id"] or 0) < 100)
     assert seen["language"] == Counter((i, t) for i, t, _ in rows if t and (i or 0) < 100)
     assert seen["quality"] == Counter({k: n for k, n in seen["language"].items() if k[1] not in ("too short", "junk")})
