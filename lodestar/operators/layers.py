@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.traverse import closure, shortened, united
-from lodestar.plans.tables import materialized
+from lodestar.plans.tables import materialized, near
 
 #: Numbers of walks can exceed a long: they end at the largest one, and products of two of these have 38 digits.
 WIDE, LARGEST = "decimal(38,0)", 2**63 - 1
@@ -28,23 +28,26 @@ TRIM = 8
 
 
 def layers(steps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, layer of the nodes (column id, all ends of steps among them) that reach no cycle. steps: a, b, distinct.
+    """id, layer of the nodes (column id, all ends of steps among them) that reach no cycle. steps: a table of a, b, distinct.
 
     Each round is one table: the nodes that aren't finished, with how many steps to unfinished nodes they have left.
     """
-    left = materialized(steps)
+    left = steps
     count = left.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     open_ = materialized(nodes.select("id").distinct().join(count, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")))
     out, layer = [], 0
-    ready = open_.where("n = 0").select("id")
+    ready = materialized(open_.where("n = 0").select("id"))
     while not ready.isEmpty():
         out.append(ready.select("id", F.lit(layer).cast("long").alias("layer")))
+        open_ = open_.where("n > 0")
+        if open_.isEmpty():
+            break
         if len(out) > TRIM:
             left = materialized(left.join(united(out).select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"))
             out = [materialized(united(out))]
-        freed = left.join(ready.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("k"))
-        open_ = materialized(open_.where("n > 0").join(freed, "id", "left").select("id", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
-        ready, layer = open_.where("n = 0").select("id"), layer + 1
+        freed = left.join(near(ready).withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+        open_ = materialized(open_.join(freed, "id", "left").select("id", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
+        ready, layer = materialized(open_.where("n = 0").select("id")), layer + 1
     return united(out) if out else nodes.select("id", F.lit(0).cast("long").alias("layer")).limit(0)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.plans.pattern import UNBOUNDED
-from lodestar.plans.tables import materialized
+from lodestar.plans.tables import materialized, near
 
 
 def one_way(edges: DataFrame, direction: str) -> DataFrame:
@@ -205,8 +205,10 @@ def trimmed(steps: DataFrame) -> DataFrame:
     """Steps (a, b) between nodes that have steps in and out, round by round; no other can be on a cycle."""
     left = materialized(steps)
     while True:
-        kept = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        kept = materialized(kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        ends = left.select(F.col("a").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(left.select(F.col("b").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        inner = near(materialized(ends.groupBy("id").agg(F.max("o").alias("o"), F.max("i").alias("i")).where("o = 1 and i = 1").select("id")))
+        kept = left.join(inner.withColumnRenamed("id", "a"), "a", "left_semi").join(inner.withColumnRenamed("id", "b"), "b", "left_semi")
+        kept = materialized(kept.select("a", "b"))
         if kept.count() == left.count():
             return kept
         left = kept
@@ -219,7 +221,12 @@ def cycles(edges: DataFrame) -> DataFrame:
     within the colour is that node's component. Components found are taken out and the rest goes round again. Rounds
     carry one row a node, so no pairs of nodes are made.
     """
-    left = trimmed(turned(edges, "forward").where("a <> b"))
+    return cycles_of(turned(edges, "forward"))
+
+
+def cycles_of(steps: DataFrame) -> DataFrame:
+    """What cycles() gives, of distinct steps (a, b)."""
+    left = trimmed(steps.where("a <> b"))
     out = None
     while not left.isEmpty():
         colours = materialized(left.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")))
