@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import layers, traverse
 from lodestar.operators.filters import ENTRY_NAMES, TYPE_KINDS, is_entry
-from lodestar.plans.tables import materialized
+from lodestar.plans.tables import materialized, near
 from lodestar.schema import Graph
 
 DIRECTIONS = {"incoming": "incoming", "callers": "incoming", "outgoing": "outgoing", "callees": "outgoing", "full": "full", "both": "full"}
@@ -82,10 +82,20 @@ def coupling(g: Graph) -> DataFrame:
 
 def cyclomatic(g: Graph, roots: DataFrame) -> DataFrame:
     """id, cyclomatic: max(0, E - N) + 2 over what each root contains."""
-    e = g.of_kind("Contains")
-    nodes = traverse.reach(e, roots, with_start=True).select("start", "node")
-    out = nodes.join(e.groupBy(F.col("src_id").alias("node")).agg(F.count(F.lit(1)).alias("k")), "node", "left")
-    return out.groupBy(F.col("start").alias("id")).agg((F.greatest(F.lit(0), F.sum(F.coalesce("k", F.lit(0))) - F.count(F.lit(1))) + 2).alias("cyclomatic"))
+    # What inner nodes (those that something contains) reach is found once; a root that nothing contains is joined to it.
+    e = materialized(g.of_kind("Contains").repartition("src_id").groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("k")))
+    outs = e.groupBy(F.col("src_id").alias("node")).agg(F.sum("k").alias("k"))
+    asked = roots.select("id").distinct()
+    own = materialized(asked.join(outs.withColumnRenamed("node", "id"), "id"))
+    inner = e.select(F.col("dst_id").alias("id")).distinct()
+    lower = near(materialized(inner.join(outs.withColumnRenamed("node", "id"), "id").select("id")))
+    steps = e.join(lower.withColumnRenamed("id", "src_id"), "src_id", "left_semi")
+    reached = traverse.reach(steps, inner, with_start=True).select("start", "node").join(outs, "node", "left").select(F.col("start").alias("dst_id"), "node", F.coalesce("k", F.lit(0)).alias("k"))
+    reached = near(materialized(reached))
+    nodes = e.join(own.select(F.col("id").alias("src_id")), "src_id", "left_semi").join(reached.withColumnRenamed("k", "n_k"), "dst_id").where("node <> src_id")
+    sums = nodes.groupBy("src_id", "node").agg(F.max("n_k").alias("k")).groupBy(F.col("src_id").alias("id")).agg(F.sum(F.col("k") - 1).alias("below"))
+    more = own.join(sums, "id").select("id", (F.col("k") - 1 + F.col("below")).alias("more"))
+    return asked.join(more, "id", "left").select("id", (F.greatest(F.lit(0).cast("long"), F.coalesce("more", F.lit(0).cast("long"))) + 2).alias("cyclomatic"))
 
 
 def nesting(g: Graph, roots: DataFrame) -> DataFrame:
