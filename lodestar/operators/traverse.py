@@ -67,34 +67,49 @@ def closure(edges: DataFrame, starts: DataFrame, direction: str = "forward") ->
         levels = [materialized(seen), frontier] if len(levels) > 12 else [*levels, frontier]
 
 
-def closure_of_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """What closure() gives forward, for graphs with long chains.
+def chained(steps: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """What lies 1, 2, 4, ... links on (a, b each), and the steps out of nodes with several ones (None: there are none).
 
-    Nodes without steps out are left for one last step. Of the rest, a node with one step out is a link of a chain; what
-    lies 1, 2, 4, ... links on is found by doubling, so a chain is passed in as many joins as its length has bits, whatever
-    hangs on its links. Rounds are only taken over nodes with several steps.
+    steps: a table of a, b, that may repeat. Those to nodes without steps out don't count. Of the rest, a node with one step
+    out is a link of a chain.
     """
-    steps = materialized(turned(edges, "forward"))
     inner = materialized(steps.join(steps.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-    degree = inner.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
-    jump = materialized(degree.where("n = 1").select("a", "b"))
-    forks = materialized(inner.join(degree.where("n > 1").select("a"), "a", "left_semi"))
+    degree = materialized(inner.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("most")))
+    forks = degree.where("b <> most").select("a")
+    return doubled(degree.where("b = most").select("a", "b")), None if forks.isEmpty() else materialized(inner.join(forks, "a", "left_semi"))
+
+
+def doubled(jump: DataFrame) -> list[DataFrame]:
+    """The links (a, b; a table), then what lies 2, 4, ... links on."""
     jumps, links = [], jump.count()
     while not jump.isEmpty() and 1 << len(jumps) <= links:  # beyond that many links only cycles go on
         jumps.append(jump)
         jump = materialized(jump.withColumnRenamed("b", "m").join(jump.select(F.col("a").alias("m"), "b"), "m").select("a", "b"))
+    return jumps
+
 
-    def along(nodes: DataFrame) -> DataFrame:
-        for n, x in enumerate(jumps):
-            nodes = nodes.unionByName(nodes.join(x.withColumnRenamed("a", "id"), "id").select(F.col("b").alias("id"))).distinct()
-            nodes = materialized(nodes) if n % 3 == 2 else nodes
-        return nodes
+def along(nodes: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """id: the nodes and all that lies on from them by links, of which `jumps` holds what doubled() gives."""
+    for n, x in enumerate(jumps):
+        nodes = nodes.unionByName(nodes.join(x.withColumnRenamed("a", "id"), "id").select(F.col("b").alias("id"))).distinct()
+        nodes = materialized(nodes) if n % 3 == 2 else nodes
+    return nodes
 
-    seen = materialized(along(starts.select("id").distinct()))
+
+def closure_of_chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """What closure() gives forward, for graphs with long chains.
+
+    Nodes without steps out are left for one last step. What lies 1, 2, 4, ... links of a chain on is found by doubling, so a
+    chain is passed in as many joins as its length has bits, whatever hangs on its links. Rounds are only taken over nodes
+    with several steps.
+    """
+    steps = materialized(one_way(edges, "forward"))
+    jumps, forks = chained(steps)
+    seen = materialized(along(starts.select("id").distinct(), jumps))
     fresh = seen
-    while not forks.isEmpty():
+    while forks is not None:
         on = fresh.withColumnRenamed("id", "a").join(forks, "a").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
-        fresh = materialized(along(materialized(on)).join(seen, "id", "left_anti"))
+        fresh = materialized(along(materialized(on), jumps).join(seen, "id", "left_anti"))
         if fresh.isEmpty():
             break
         seen = materialized(seen.unionByName(fresh))
