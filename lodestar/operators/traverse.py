@@ -21,13 +21,15 @@ def turned(edges: DataFrame, direction: str) -> DataFrame:
     return one_way(edges, direction).distinct()
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int = UNBOUNDED, direction: str = "forward", with_start: bool = False, with_parent: bool = False) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, most: int = UNBOUNDED, direction: str = "forward", with_start: bool = False, with_parent: bool = False, kept: bool = False) -> DataFrame:
     """start, node, depth: each node reached from each start (column id) by at least one edge, at its least depth.
 
     A start counts as reached by a cycle, unless with_start, which gives it at depth 0 instead. with_parent adds parent: the
-    smallest node one edge before, of those at the depth before (null for a start at depth 0).
+    smallest node one edge before, of those at the depth before (null for a start at depth 0). kept: the edges are a table already.
     """
-    steps = materialized(turned(edges, direction))
+    # Rounds drop repeated rows anyway, so steps may repeat.
+    steps = one_way(edges, direction)
+    steps = steps if kept or most <= 0 else materialized(steps)
     first = starts.select(F.col("id").alias("start")).distinct()
     more = [F.when(F.lit(False), F.col("start")).alias("parent")] if with_parent else []
     frontier = materialized(first.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), *more))
@@ -51,7 +53,11 @@ HOPS = 4
 
 def closure(edges: DataFrame, starts: DataFrame, direction: str = "forward") -> DataFrame:
     """id: every node reached from any of the starts, these included. Rounds take 1, 2, 3, then HOPS steps."""
-    steps = materialized(turned(edges, direction))
+    return closure_of(materialized(turned(edges, direction)), starts)
+
+
+def closure_of(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """What closure() gives, by steps (a, b; a table)."""
     levels = [materialized(starts.select("id").distinct())]
     frontier, hops = levels[0], 1
     while True:

@@ -185,6 +185,9 @@ def matches_text(matches: DataFrame, symbols: DataFrame, most: int | None = None
 
 def relations_report(relations: DataFrame, symbols: DataFrame, most: int = 5) -> DataFrame:
     """root_id, bucket, n, first: each bucket's size and its first names. relations: root_id, bucket, symbol_id."""
+    from lodestar.plans.tables import materialized
+
+    relations = materialized(relations)
     named = relations.join(symbols.select(F.col("id").alias("symbol_id"), "name"), "symbol_id")
     rank = F.row_number().over(Window.partitionBy("root_id", "bucket").orderBy("name", "symbol_id"))
     sizes = relations.groupBy("root_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
