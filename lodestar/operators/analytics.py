@@ -28,7 +28,9 @@ def calls(g: Graph, roots: DataFrame, direction: str = "outgoing", most: int = 5
 
 def full_calls(g: Graph, roots: DataFrame, most: int = 5) -> DataFrame:
     """root, node, parent, depth, direction (incoming or outgoing): callers and callees of each root."""
-    rows = [calls(g, roots, x, most).withColumn("direction", F.lit(x)) for x in ("incoming", "outgoing")]
+    e = materialized(g.of_kind("Reference"))
+    found = lambda turn: traverse.reach(e, roots, most, turn, with_parent=True, kept=True)
+    rows = [found(turn).select(F.col("start").alias("root"), "node", "parent", "depth", F.lit(x).alias("direction")) for x, turn in (("incoming", "backward"), ("outgoing", "forward"))]
     return rows[0].unionByName(rows[1])
 
 
