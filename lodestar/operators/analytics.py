@@ -44,14 +44,14 @@ def call_paths(g: Graph, pairs: DataFrame, most: int = 5, grown: list[int] | Non
     """
     same = pairs.where("src = dst").select("src", "dst", F.array("src").alias("path")).distinct()
     far = materialized(pairs.where("src <> dst").select("src", "dst").distinct())
-    e = g.of_kind("Reference").distinct()
-    steps = materialized(e.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")))
-    ways = materialized(traverse.reach(e, far.select(F.col("dst").alias("id")).distinct(), most, "backward", with_start=True).select(F.col("start").alias("dst"), F.col("node").alias("b"), "depth"))
+    e = materialized(g.of_kind("Reference"))
+    steps = e.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))  # may repeat; what grows by them may not
+    ways = materialized(traverse.reach(e, far.select(F.col("dst").alias("id")).distinct(), most, "backward", with_start=True, kept=True).select(F.col("start").alias("dst"), F.col("node").alias("b"), "depth"))
     open_ = far.join(ways.where("depth > 0").select("dst", F.col("b").alias("src")), ["dst", "src"], "left_semi").select("src", "dst", F.col("src").alias("a"), F.array("src").alias("path"))
     done = [open_.select("src", "dst", "path").limit(0)]
     for n in range(1, most + 1):
         on = open_.join(steps, "a").where(~F.expr("array_contains(path, b)")).join(ways.where(F.col("depth") <= most - n).select("dst", "b"), ["dst", "b"], "left_semi")
-        on = materialized(on.select("src", "dst", F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path")))
+        on = materialized(on.select("src", "dst", F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path")).distinct())
         if grown is not None:
             grown.append(on.count())
         done = traverse.shortened([*done, on.where("a = dst").select("src", "dst", "path")])
@@ -158,9 +158,10 @@ def type_hierarchy(g: Graph, roots: DataFrame) -> DataFrame:
     """root_id, bucket (parent, child, sibling), symbol_id: by Definition among symbols of a type kind."""
     types = g.symbols.where(F.col("kind").isin(*TYPE_KINDS)).select("id")
     e = g.of_kind("Definition").join(types.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(types.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
-    starts = roots.join(types, "id", "left_semi")
-    up, down = traverse.reach(e, starts, direction="forward"), traverse.reach(e, starts, direction="backward")
-    below = traverse.reach(e, up.select(F.col("node").alias("id")).distinct(), direction="backward").select(F.col("start").alias("p"), F.col("node").alias("s"))
+    e = materialized(e.select("src_id", "dst_id").distinct())
+    starts = materialized(roots.join(types, "id", "left_semi"))
+    up, down = (traverse.reach(e, starts, direction=x, kept=True) for x in ("forward", "backward"))
+    below = traverse.reach(e, up.select(F.col("node").alias("id")).distinct(), direction="backward", kept=True).select(F.col("start").alias("p"), F.col("node").alias("s"))
     siblings = up.select("start", F.col("node").alias("p")).join(below, "p").where("s <> start").select("start", F.col("s").alias("node")).distinct()
     rows = [(up, "parent"), (down, "child"), (siblings, "sibling")]
     out = None
