@@ -177,10 +177,11 @@ def chains(edges: DataFrame, starts: DataFrame) -> DataFrame:
     steps = jumps[0] if jumps else jump
     endless = materialized(first.distinct().join(jump.select(F.col("a").alias("start")), "start", "left_semi"))
     links = materialized(first.distinct().join(endless, "start", "left_anti").select("start", F.lit(0).cast("long").alias("i"), F.col("start").alias("node")))
+    found = [links]  # each link is written once
     for k in reversed(range(len(jumps))):
-        on = links.join(jumps[k].withColumnRenamed("a", "node"), "node").select("start", (F.col("i") + (1 << k)).alias("i"), F.col("b").alias("node"))
-        links = materialized(links.unionByName(on))
-    straight = links.groupBy("start").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "node"))), lambda x: x.node).alias("chain")).select("start", "chain", F.lit(False).alias("has_cycle"))
+        on = united(found).join(jumps[k].withColumnRenamed("a", "node"), "node").select("start", (F.col("i") + (1 << k)).alias("i"), F.col("b").alias("node"))
+        found.append(materialized(on))
+    straight = united(found).groupBy("start").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "node"))), lambda x: x.node).alias("chain")).select("start", "chain", F.lit(False).alias("has_cycle"))
     found = straight.unionByName(walked(steps, endless)).withColumnRenamed("start", "s")
     return first.join(found, F.col("start").eqNullSafe(F.col("s"))).select("start", "chain", "has_cycle")
 
