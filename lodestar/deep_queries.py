@@ -108,7 +108,7 @@ def lsif_source(spark, sf):
     g = graph(spark, sf, "Import")
     folder = new_folder(spark)
     lsif.write_lines(formats.numbered(formats.lsif(Graph(g.symbols.where("kind in ('Class', 'Namespace')"), g.edges))), folder)
-    lines = lsif.read_lines(spark, folder, 50_000).select("value")
+    lines = materialized(lsif.read_lines(spark, folder, 50_000).select("value"))
     of = lambda p: F.get_json_object("value", f"$.{p}")
     held = lines.where(F.col("value").contains('"contains"')).select(of("outV").alias("doc"), of("inV").alias("vid")).where("vid like 'r:%'")
     ranges = lines.where(F.col("value").contains('"label":"range"')).select(of("vid").alias("vid"))

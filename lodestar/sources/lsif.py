@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SPLIT_BYTES = 16_000_000
-READ_BYTES = 1 << 20
+READ_BYTES, LINE_BYTES = 1 << 20, 1 << 12
 
 
 @dataclass
@@ -61,7 +61,8 @@ def lines_of(path: str, start: int, end: int) -> Iterator[tuple[int, str]]:
         f.seek(place)
         held, skip = b"", start > 0
         while True:
-            data = f.read(READ_BYTES)
+            # Beyond the end only the rest of a line is needed; a long one is read in parts that grow.
+            data = f.read(min(READ_BYTES, max(end - place - len(held), LINE_BYTES, len(held))))
             held += data
             lines = held.split(b"\n")
             held = lines.pop() if data else b""
