@@ -59,7 +59,8 @@ def create(g: Graph, folder: str) -> None:
     s = materialized(g.symbols.select(*SYMBOL_COLUMNS))
     _put(s.select(F.col("file_path").alias("path"), F.lit("added").alias("op")).distinct(), folder, "files", 0)
     _put(_symbols(s), folder, "symbols", 0)
-    add_edges(s.sparkSession, folder, g.edges, 0)
+    own = s.where("file_path is not null").select("id", "file_path", F.lit(0).cast("long").alias("seq"))  # nothing to look up yet
+    add_edges(s.sparkSession, folder, g.edges, 0, own)
 
 
 def add_edges(spark: SparkSession, folder: str, edges: DataFrame, seq: int, symbols: DataFrame | None = None) -> None:
