@@ -103,9 +103,11 @@ def cyclomatic(g: Graph, roots: DataFrame) -> DataFrame:
 def nesting(g: Graph, roots: DataFrame) -> DataFrame:
     """id, depth: the longest simple path by Contains. By layers; only from roots that reach a cycle are paths listed."""
     e = g.of_kind("Contains")
-    steps = layers.below(e, roots)
-    asked = roots.select("id").distinct()
-    found = materialized(layers.layers(steps, layers.ends(steps, asked)).join(asked, "id", "left_semi").select("id", F.col("layer").alias("depth")))
+    return _nesting(e, roots.select("id").distinct(), *layers.layered_below(e, roots))
+
+
+def _nesting(e: DataFrame, asked: DataFrame, steps: DataFrame, layered: DataFrame) -> DataFrame:
+    found = materialized(layered.join(asked, "id", "left_semi").select("id", F.col("layer").alias("depth")))
     rest = materialized(asked.join(found, "id", "left_anti"))
     if rest.isEmpty():
         return found
@@ -120,15 +122,16 @@ def cognitive(g: Graph, roots: DataFrame) -> DataFrame:
     A node that is contained twice is met twice. Walks are not listed but counted by layers; only those from roots that
     reach a cycle are listed, each node once on its way. Roots that are no symbols have 0.
     """
-    e = g.of_kind("Contains").distinct()
-    asked = roots.select("id").distinct()
-    steps = layers.below(e, asked)
+    e = g.of_kind("Contains")
+    return _cognitive(g, roots.select("id").distinct(), *layers.layered_below(e, roots))
+
+
+def _cognitive(g: Graph, asked: DataFrame, steps: DataFrame, layered: DataFrame) -> DataFrame:
     branches = g.of_kind("Reference", "Definition").groupBy(F.col("src_id").alias("id")).agg(F.count(F.lit(1)).alias("b"))
     nodes = g.symbols.select("id", F.col("kind").isin("Function", "Method").cast("int").alias("f")).join(branches, "id", "left").select("id", "f", F.greatest(F.coalesce("b", F.lit(0)) - 1, F.lit(0)).alias("w"))
-    layered = layers.layers(steps, layers.ends(steps, asked))
     found = materialized(layers.walks(steps, layered, nodes).join(asked, "id", "left_semi").select("id", F.col("cost").cast("long").alias("cognitive")))
     rest = materialized(asked.join(found, "id", "left_anti"))
-    return found if rest.isEmpty() else found.unionByName(_listed_cognitive(e, nodes, rest))
+    return found if rest.isEmpty() else found.unionByName(_listed_cognitive(g.of_kind("Contains").distinct(), nodes, rest))
 
 
 def _listed_cognitive(e: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -143,8 +146,10 @@ def _listed_cognitive(e: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataF
 def metrics(g: Graph) -> DataFrame:
     """id, cyclomatic, cognitive, depth, fan_in, fan_out, coupling of every function and method."""
     roots = g.symbols.where(F.col("kind").isin("Function", "Method")).select("id")
-    out = roots
-    for m in (cyclomatic(g, roots), cognitive(g, roots), nesting(g, roots), fan(g), coupling(g)):
+    g = Graph(g.symbols, materialized(g.edges))
+    e, asked, out = g.of_kind("Contains"), roots.distinct(), roots
+    below = layers.layered_below(e, roots)
+    for m in (cyclomatic(g, roots), _cognitive(g, asked, *below), _nesting(e, asked, *below), fan(g), coupling(g)):
         out = out.join(m, "id", "left")
     return out.select("id", F.coalesce("cyclomatic", F.lit(1)).alias("cyclomatic"), F.coalesce("cognitive", F.lit(0)).alias("cognitive"), "depth", "fan_in", "fan_out", "coupling")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.traverse import closure, shortened, united
+from lodestar.operators.traverse import closure_of, shortened, united
 from lodestar.plans.tables import materialized, near
 
 #: Numbers of walks can exceed a long: they end at the largest one, and products of two of these have 38 digits.
@@ -18,9 +18,20 @@ WIDE, LARGEST = "decimal(38,0)", 2**63 - 1
 
 def below(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """a, b: the distinct edges (src_id, dst_id) that the starts (column id) reach."""
-    steps = materialized(edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).distinct())
-    reached = closure(edges, starts).select(F.col("id").alias("a"))
-    return materialized(steps.join(reached, "a", "left_semi"))
+    steps = materialized(edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).repartition("a").distinct())
+    first = materialized(steps.join(starts.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("a", "b"))
+    # What is reached after the first step has a step in, and of such nodes there are mostly few.
+    entered = near(materialized(steps.select(F.col("b").alias("a")).distinct()))
+    lower = materialized(steps.join(entered, "a", "left_semi").select("a", "b"))
+    reached = closure_of(lower, first.select(F.col("b").alias("id"))).select(F.col("id").alias("a"))
+    more = lower.join(reached, "a", "left_semi").join(starts.select(F.col("id").alias("a")), "a", "left_anti")
+    return materialized(first.unionByName(more.select("a", "b")))
+
+
+def layered_below(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """below() and the layers of its ends and of the starts."""
+    steps = below(edges, starts)
+    return steps, materialized(layers(steps, ends(steps, starts)))
 
 
 #: After so many rounds steps to finished nodes are left out of the table that rounds read.
@@ -37,6 +48,7 @@ def layers(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     open_ = materialized(nodes.select("id").distinct().join(count, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")))
     out, layer = [], 0
     ready = materialized(open_.where("n = 0").select("id"))
+    entered = near(materialized(left.select(F.col("b").alias("id")).distinct()))  # others free nothing, however many they are
     while not ready.isEmpty():
         out.append(ready.select("id", F.lit(layer).cast("long").alias("layer")))
         open_ = open_.where("n > 0")
@@ -45,7 +57,7 @@ def layers(steps: DataFrame, nodes: DataFrame) -> DataFrame:
         if len(out) > TRIM:
             left = materialized(left.join(united(out).select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"))
             out = [materialized(united(out))]
-        freed = left.join(near(ready).withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+        freed = left.join(near(materialized(ready.join(entered, "id", "left_semi"))).withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("k"))
         open_ = materialized(open_.join(freed, "id", "left").select("id", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
         ready, layer = materialized(open_.where("n = 0").select("id")), layer + 1
     return united(out) if out else nodes.select("id", F.lit(0).cast("long").alias("layer")).limit(0)
@@ -67,14 +79,17 @@ def walks(steps: DataFrame, layered: DataFrame, nodes: DataFrame) -> DataFrame:
     own = materialized(own)
     known = [materialized(own.where("layer = 0").select("id", F.col("f").alias("count"), F.col("w").alias("weight"), F.col("w").alias("cost")))]
     last = own.agg(F.max("layer")).first()[0] or 0
+    entered = near(materialized(steps.select(F.col("b").alias("id")).distinct()))  # only these are joined to
+    met = [materialized(known[0].join(entered, "id", "left_semi"))]
     before = Window.partitionBy("id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     capped = lambda c: F.least(c.cast(WIDE), F.lit(LARGEST).cast(WIDE))
     for n in range(1, last + 1):
         now = own.where(F.col("layer") == n).select("id", "f", "w")
-        rows = now.join(steps.select(F.col("a").alias("id"), "b"), "id").join(united(known).withColumnRenamed("id", "b"), "b")
+        rows = now.join(steps.select(F.col("a").alias("id"), "b").join(near(materialized(united(met))).withColumnRenamed("id", "b"), "b"), "id")
         rows = rows.withColumn("earlier", capped(F.col("f") + F.coalesce(F.sum("count").over(before), F.lit(0))))
         rows = rows.withColumn("late", capped(F.col("cost") + F.col("weight") * F.col("earlier")))
         sums = rows.groupBy("id").agg(F.max("f").alias("f"), F.max("w").alias("w"), *[F.sum(c).alias(f"s_{c}") for c in ("count", "weight", "late")])
         found = sums.select("id", capped(F.col("f") + F.col("s_count")).alias("count"), capped(F.col("w") + F.col("s_weight")).alias("weight"), capped(F.col("w") + F.col("s_late")).alias("cost"))
-        known = shortened([*known, materialized(found)])
+        now = materialized(found)
+        known, met = shortened([*known, now]), shortened([*met, materialized(now.join(entered, "id", "left_semi"))])
     return united(known)
