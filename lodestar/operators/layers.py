@@ -54,9 +54,9 @@ def layers(steps: DataFrame, nodes: DataFrame) -> DataFrame:
         open_ = open_.where("n > 0")
         if open_.isEmpty():
             break
-        if len(out) > TRIM:
-            left = materialized(left.join(united(out).select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"))
-            out = [materialized(united(out))]
+        if len(out) > TRIM:  # steps to what has just been finished are still to be counted
+            left = materialized(left.join(united(out[:-1]).select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"))
+            out = [materialized(united(out[:-1])), out[-1]]
         freed = left.join(near(materialized(ready.join(entered, "id", "left_semi"))).withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("k"))
         open_ = materialized(open_.join(freed, "id", "left").select("id", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
         ready, layer = materialized(open_.where("n = 0").select("id")), layer + 1
