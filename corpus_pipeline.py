@@ -34,10 +34,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go. Rows are judged one by one and marked by their places in their files, so
-    texts stay where they are."""
+    texts stay where they are. DataFrame functions only."""
     docs = places.from_files(docs)
     judged = quality.judge(places.placed(docs.select("lang", "text")).select(F.struct("f", "i").alias("row"), "lang", "text"), id_col="row")
-    return places.without(docs, places.marked(judged.where("not kept").select("row.f", "row.i")))
+    return places.apart(docs, judged.where("not kept").select("row.f", "row.i"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

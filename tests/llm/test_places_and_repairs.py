@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestar.llm import ann, licenses, ngramjoin, packing, places
 
 
@@ -129,3 +130,24 @@ def test_settings_fall_until_enough_is_found(spark, monkeypatch):
     rows = ann.usable(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), kind)
     s, n = ann.fitted(rows, rows.where("id % 20 = 0"), 5, kind)
     assert n == 1500 and s.recall >= ann.RECALL and s.hashes <= 2
+
+
+def test_rows_go_by_bitmaps_without_python(spark, tmp_path, monkeypatch):
+    df = spark.range(70_000).select((F.col("id") % 7).alias("f"), F.col("id").alias("i"), F.concat(F.lit("t"), F.col("id")).alias("a.b"), F.array("id").alias("xs"))
+    df.repartition(2).write.parquet(str(tmp_path / "t"))
+    rows = places.from_files(spark.read.parquet(str(tmp_path / "t")))
+    gone = places.placed(rows, "file", "row").where("i % 3 = 0 or i < 9").select(F.col("file").alias("f"), F.col("row").alias("i"))
+    left = places.apart(rows, gone)
+    assert left.columns == rows.columns and sorted(r["i"] for r in left.select("i").collect()) == [i for i in range(70_000) if i % 3 and i > 8]
+    assert left.where("i = 10").first().asDict() == {"f": 3, "i": 10, "a.b": "t10", "xs": [10]}
+    assert places.apart(rows, gone.limit(0)).count() == 70_000
+
+
+def test_quality_stage_runs_no_python(spark, tmp_path):
+    rnd = random.Random(5)
+    text = " ".join("".join(rnd.choice("etaoinsrhl") for _ in range(rnd.randint(3, 7))) for _ in range(60))
+    spark.createDataFrame([(1, text, "en"), (2, "too short", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "t"))
+    out = corpus_pipeline.rules(spark, spark.read.parquet(str(tmp_path / "t")), "unused")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not any(x in plan for x in ("Python", "InArrow", "InPandas"))
+    assert [r["doc_id"] for r in out.collect()] == [1]
