@@ -135,7 +135,7 @@ class Vocabulary:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.lower = spec["normalizer"] is not None
         self.spaced = not self.lower
-        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        self.letters = np.array([ord(c) for _, c in sorted(byte_letters().items())], np.uint16)
         self.names = {i: t for t, i in self.tokenizer.get_vocab().items()} if self.lower else {}
         self.clear()
 
@@ -153,22 +153,29 @@ class Vocabulary:
         return text.isascii() or all((CLASS[np.minimum(codes(text[at : at + LONG]), 0xFFFE)] != 255).all() for at in range(0, len(text), LONG))
 
     def word(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-
-    def add(self, word: str) -> int:
-        ids = self.word(word)
-        n = len(self.shown)
-        if n == len(self.begin):
+        return [t.id for t in self.model.tokenize(self.lettered(word))]
+
+    def lettered(self, text: str) -> str:
+        return self.letters[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+
+    def add(self, words: list[str]) -> None:
+        """Encodes distinct pre-tokens that the cache doesn't hold."""
+        if not words:
+            return
+        tokenize = self.model.tokenize
+        # No pre-token holds the separator, so all are turned into letters at once.
+        found = [[t.id for t in tokenize(x)] for x in self.lettered(SEPARATOR.join(words)).split(self.lettered(SEPARATOR))]
+        n, ids, size = len(self.shown), np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+        while n + len(words) > len(self.begin):
             self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.begin[n], self.count[n] = self.used, len(ids)
+        self.begin[n : n + len(words)], self.count[n : n + len(words)] = self.used + np.cumsum(size) - size, size
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.shown.append(" ".join(map(self.names.__getitem__, ids)).encode() if self.lower else b"")
-        self.bytes += 250 + 4 * len(word) + 4 * len(ids)
-        self.index[word] = n
-        return n
+        self.shown += [" ".join(map(self.names.__getitem__, x)).encode() for x in found] if self.lower else [b""] * len(words)
+        self.bytes += 250 * len(words) + 4 * sum(map(len, words)) + 4 * len(ids)
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
     def lookup(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Cache places of the pre-tokens; unseen ones are encoded. Hashes group equal pre-tokens; that they are equal is
@@ -180,12 +187,9 @@ class Vocabulary:
         text = str(cps.tobytes(), "utf-32-le", "surrogatepass")
         if not same_slices(data, 4 * starts, 4 * ends, first[inverse]).all():
             first, inverse = np.arange(len(starts)), np.arange(len(starts))
-        at = np.empty(len(first), np.int64)
-        get, add = self.index.get, self.add
-        for i, (s, e) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
-            place = get(word := text[s:e])
-            at[i] = add(word) if place is None else place
-        return at[inverse]
+        words = [text[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self.add([w for w in dict.fromkeys(words) if w not in self.index])
+        return np.array([self.index[w] for w in words], np.int64)[inverse]
 
     def expand(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the cached pre-tokens one after another, and where each one's ids begin (one more at the end)."""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import ann, licenses, ngramjoin, packing, places
+from lodestar.llm import ann, licenses, ngramjoin, packing, places, pretoken, queries
 
 
 def test_marked_rows_go_or_stay(spark, tmp_path, monkeypatch):
@@ -151,3 +151,19 @@ def test_quality_stage_runs_no_python(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and not any(x in plan for x in ("Python", "InArrow", "InPandas"))
     assert [r["doc_id"] for r in out.collect()] == [1]
+
+
+def test_packing_encodes_a_rare_word_once():
+    path = queries.vocabulary_file("byte_bpe_50k.json")
+    pretoken._MADE.clear()
+    v, asked = packing.vocabulary(path), Counter()
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghié") for _ in range(8)) for _ in range(130_000)]
+    texts = [" ".join(words[at : at + 10_000]) for at in range(0, len(words), 10_000)]
+    first = v.encode(texts)
+    known = len(v.index)
+    for t, ids in zip(texts, v.encode(texts), strict=True):
+        assert ids.tolist() == v.tokenizer.encode(t, add_special_tokens=False).ids
+        asked[len(ids)] += 1
+    assert asked == Counter(map(len, first)) and len(v.index) == known > 120_000 and v.bytes <= v.MOST
+    pretoken._MADE.clear()
