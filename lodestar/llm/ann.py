@@ -8,9 +8,9 @@ ones again exactly, and the tables' results merge into the answer. A query that
 
 Settings are fitted on a bounded sample: QUERIES of the queries are held against all rows, and ROWS rows tell what share of
 the table a query visits. The number of projections is tried from the logarithm of the number of rows downward, each with
-the least number of probes that finds RECALL of the sample's neighbours; the setting that visits least counts. Where no
-setting finds so many with MOST_PROBES, all queries are held against all rows, in blocks. All rows are indexed and all
-queries asked. As rows grow, cells get smaller and the share visited falls. The settings with their recall are logged.
+the least number of probes, MOST_PROBES at most, that finds RECALL of the sample's neighbours; the setting that visits least
+counts. Where no setting finds so many, all queries are held against all rows, in blocks. All rows are indexed and all
+queries asked. The settings with their recall are logged.
 
 Index rows and probes meet by cell. A cell with many vectors is dealt out by vector id and its probes go to each part; a
 query's vector goes to a task once, with the list of the cells that it visits there.
@@ -36,7 +36,8 @@ log = logging.getLogger(__name__)
 TABLES, SEED, PART = 8, 20, 4000
 #: So many numbers of projections are tried at least, and fewer and fewer projections until RECALL is met.
 TRIED = 4
-QUERIES, ROWS, RECALL, MOST_PROBES = 100, 2000, 0.95, 1500
+#: MOST_PROBES: cells of a table that a query visits at most. It doesn't grow with the rows, so probes grow with the queries only.
+QUERIES, ROWS, RECALL, MOST_PROBES = 100, 2000, 0.95, 40
 U = np.uint64
 CELLS = "cell long, id long, size int"
 

@@ -5,6 +5,8 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,21 @@ def test_packing_encodes_a_rare_word_once():
         asked[len(ids)] += 1
     assert asked == Counter(map(len, first)) and len(v.index) == known > 120_000 and v.bytes <= v.MOST
     pretoken._MADE.clear()
+
+
+def test_probes_grow_with_the_queries_only(spark, tmp_path, monkeypatch):
+    n, file = 51_282, str(tmp_path / "v.parquet")
+    pq.write_table(pa.table({"id": np.arange(n), "v": list(np.random.default_rng(n).normal(size=(n, 64)))}), file)
+    rows = ann.written(ann.usable(spark.read.parquet(file), "<f8"))
+    asked = rows.where("id % 50 = 0")
+    s, _ = ann.fitted(rows, asked, 5, "<f8")
+    assert s.recall >= ann.RECALL and s.probes <= ann.MOST_PROBES <= 40
+    assert ann.hashed(spark.read.parquet(file).where("id % 50 = 0"), s, "<f8", True).count() <= 40 * ann.TABLES * n // 50
+    monkeypatch.setattr(ann, "MOST_PROBES", 1500)
+    assert ann.fitted(rows, asked, 5, "<f8")[0].probes > 40
+
+
+def test_classes_without_a_partner_of_like_size_leave_their_lists(spark):
+    rows = [(1, 10, 50, 10), (1, 11, 51, 11), (1, 12, 60, 12), (2, 13, 20, 13), (2, 14, 30, 14), (3, 15, 40, 15), (3, 16, 41, 15), (3, 17, 42, 17)]
+    df = spark.createDataFrame(rows, "token long, node long, size int, comp long")
+    assert sorted(r["node"] for r in ngramjoin.partnered(df).collect()) == [10, 11, 16, 17]
