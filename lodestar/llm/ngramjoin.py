@@ -12,7 +12,7 @@ smaller of each, bounds it for all points in the box: that is the R-tree's test.
    passage have) one counts. Each list is one tree's points.
 3. Each class is first held against one that leads its lists; pairs whose points allow the similarity are
    verified on the whole sets, and the links' components found.
-4. Lists in which two or more components remain get a tree: every class outside the list's largest component searches
+4. Classes that no class of another component in a list is near in size leave the list. Lists that remain get a tree: every class outside the list's largest component searches
    it for classes of other components; what passes is verified, and the components are found anew. So a group of near
    copies costs about its size, not its square, and no link between different components is left out.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
@@ -278,11 +278,21 @@ def tree_pairs(lists: DataFrame, num: int, den: int, tasks: int, every: bool = F
     return rows.groupBy("bin").applyInArrow(search, "a long, b long").distinct()
 
 
+def partnered(rows: DataFrame) -> DataFrame:
+    """Of rows (token, node, size, comp, ...) of lists those in whose list another component has a class of a like size: the
+    same step of size or one beside it, so no pair whose sizes allow the similarity loses a row in any of its lists."""
+    by = rows.groupBy("token", "size").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    beside = Window.partitionBy("token").orderBy("size").rangeBetween(-1, 1)  # a row for each step of size
+    near = by.select("token", "size", F.min("x").over(beside).alias("x"), F.max("y").over(beside).alias("y")).where("x <> y")
+    return rows.join(near.select("token", "size"), ["token", "size"], "left_semi")
+
+
 class Classes:
     """Rows and classes of a table, as tables in the shared folder.
 
     every: doc_id, t (a hash of the text), f and i (its place), n, k1, k2 and more, a row for each row; nodes: node, k1, k2,
-    the place of one of its rows, members, least (its smallest id), n, point; shared: token, node, leader, total and grams of the lists."""
+    the place of one of its rows, members, least (its smallest id), n, point; shared: token, node, size (n in steps, so that similar sets are at most one apart), leader,
+    total and grams of the lists."""
 
     def __init__(self, df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> None:
         self.k, self.num, self.den, self.tasks = k, num, den, partitions(df.sparkSession)
@@ -291,7 +301,8 @@ class Classes:
         self.every = written(points(self.source, k, num, den))
         one = self.every.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("f", "i", "n", "point", "coarse", "first")).alias("x"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"))
         self.nodes = written(one.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "x.*", "members", "least"))
-        entries = self.nodes.select("node", "least", F.explode("first").alias("token"))
+        step = np.log(den / num) * (1 + 1e-6) + 1e-6
+        entries = self.nodes.select("node", "least", F.floor(F.log("n") / F.lit(float(step))).cast("int").alias("size"), F.explode("first").alias("token"))
         # The class with the smallest id leads a list: copies mostly come after what they are made from.
         leader = F.min(F.struct(F.col("least").isNull(), "least", "node")).node
         signature = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in range(2)]
@@ -303,10 +314,11 @@ class Classes:
     def slim(self, node: str, n: str, point: str) -> DataFrame:
         return self.nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("point").alias(point))
 
-    def tokens(self) -> DataFrame:
-        """node, tokens of its lists; null for a node of more than TOKENS, whose pairs may come from several lists."""
+    @staticmethod
+    def tokens(rows: DataFrame) -> DataFrame:
+        """node, tokens of its lists among some rows; null for a node of more than TOKENS, whose pairs may come from several lists."""
         few = F.count(F.lit(1)) <= TOKENS
-        return self.shared.groupBy("node").agg(F.when(few, F.collect_list("token")).alias("tokens"))
+        return rows.groupBy("node").agg(F.when(few, F.collect_list("token")).alias("tokens"))
 
     def coarse(self) -> DataFrame:
         return self.nodes.select("node", "n", F.col("coarse").alias("point"))
@@ -329,19 +341,21 @@ class Classes:
         starts = tried.groupBy("b").agg(F.max_by("a", F.struct("grams", "a")).alias("a")).select("a", "b")
         links = self.verified(self.bounded(starts))
         found = written(components(links))
-        # Lists of which two or more components are left.
-        parts_of = written(self.shared.select("token", "node", "total").join(found, "node", "left").select("token", "node", "total", F.coalesce("component", "node").alias("comp")))
-        open_lists = written(parts_of.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "major"))
-        rows = parts_of.join(open_lists, "token").join(self.coarse(), "node").join(self.tokens(), "node")
+        # Lists of which two or more components are left, without the classes that nothing there can be similar to.
+        every = written(self.shared.select("token", "node", "size").join(found, "node", "left").select("token", "node", "size", F.coalesce("component", "node").alias("comp")))
+        parts_of = written(partnered(every).select("token", "node", "comp"))
+        open_lists = written(parts_of.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("total")))
+        rows = parts_of.join(open_lists, "token").join(self.coarse(), "node").join(self.tokens(parts_of), "node")
         pairs = written(tree_pairs(rows, self.num, self.den, self.tasks))
         more = self.verified(self.bounded(pairs))
         out = written(components(links.unionByName(more)))
-        dropped(self.shared, links, found, parts_of, open_lists, pairs, more)
+        dropped(self.shared, links, found, every, parts_of, open_lists, pairs, more)
         return out
 
     def links(self) -> DataFrame:
         """a, b (a < b): every two nodes that are similar enough."""
-        rows = self.shared.select("token", "node", "total", F.col("node").alias("comp"), F.lit(-1).cast("long").alias("major")).join(self.coarse(), "node").join(self.tokens(), "node")
+        left = written(partnered(self.shared.select("token", "node", "size", "total", F.col("node").alias("comp"))))
+        rows = left.select("token", "node", "total", "comp", F.lit(-1).cast("long").alias("major")).join(self.coarse(), "node").join(self.tokens(left), "node")
         return self.verified(self.bounded(written(tree_pairs(rows, self.num, self.den, self.tasks, True))))
 
     def of_one_id(self) -> DataFrame:
