@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import layers, traverse
 from lodestar.operators.filters import ENTRY_NAMES, TYPE_KINDS, is_entry
-from lodestar.plans.tables import materialized, near
+from lodestar.plans.tables import NEAR_ROWS, materialized, near
 from lodestar.schema import Graph
 
 DIRECTIONS = {"incoming": "incoming", "callers": "incoming", "outgoing": "outgoing", "callees": "outgoing", "full": "full", "both": "full"}
@@ -161,12 +161,18 @@ def rank_by_complexity(g: Graph, most: int) -> DataFrame:
 
 def type_hierarchy(g: Graph, roots: DataFrame) -> DataFrame:
     """root_id, bucket (parent, child, sibling), symbol_id: by Definition among symbols of a type kind."""
-    types = g.symbols.where(F.col("kind").isin(*TYPE_KINDS)).select("id")
-    e = g.of_kind("Definition").join(types.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(types.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
-    e = materialized(e.select("src_id", "dst_id").distinct())
-    starts = materialized(roots.join(types, "id", "left_semi"))
-    up, down = (traverse.reach(e, starts, direction=x, kept=True) for x in ("forward", "backward"))
-    below = traverse.reach(e, up.select(F.col("node").alias("id")).distinct(), direction="backward", kept=True).select(F.col("start").alias("p"), F.col("node").alias("s"))
+    # Only symbols at these edges count, so all the others of a type kind are dropped where they are read, once.
+    e = materialized(g.of_kind("Definition").distinct())
+    ends = e.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
+    ends = F.broadcast(ends) if e.count() <= NEAR_ROWS // 2 else ends
+    types = near(materialized(g.symbols.where(F.col("kind").isin(*TYPE_KINDS)).select("id").join(ends, "id", "left_semi")))
+    e = materialized(e.join(types.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(types.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select("src_id", "dst_id"))
+    starts = materialized(roots.select("id").join(types, "id", "left_semi").distinct())
+    up = traverse.reach(e, starts, kept=True)
+    # What is below roots and below their parents is found together: parents are often roots too.
+    below = traverse.reach(e, starts.unionByName(up.select(F.col("node").alias("id"))), direction="backward", kept=True)
+    down = below.join(starts.withColumnRenamed("id", "start"), "start", "left_semi")
+    below = below.select(F.col("start").alias("p"), F.col("node").alias("s"))
     siblings = up.select("start", F.col("node").alias("p")).join(below, "p").where("s <> start").select("start", F.col("s").alias("node")).distinct()
     rows = [(up, "parent"), (down, "child"), (siblings, "sibling")]
     out = None
