@@ -109,10 +109,15 @@ def match_texts(spark, sf):
 # Recursion.
 
 
-@query("SELECT id AS root, p1 AS node, id AS parent, 1 AS depth, 'outgoing' AS direction FROM ev WHERE p1 IS NOT NULL UNION ALL SELECT p1, id, p1, 1, 'incoming' FROM ev WHERE p1 IS NOT NULL", cte=EVENTS)
+#: Each event with its place among its user's.
+PLACED = "placed AS (SELECT 'event:' || event_id AS id, user_id, row_number() OVER w AS r, 'event:' || lag(event_id) OVER w AS before, 'event:' || lead(event_id) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), lone AS (SELECT DISTINCT src_id, dst_id FROM edges WHERE kind = 'Reference' AND starts_with(src_id, 'order:'))"
+
+
+@query("SELECT a.id AS root, b.id AS node, CASE WHEN b.r < a.r THEN b.after ELSE b.before END AS parent, abs(a.r - b.r)::INTEGER AS depth, CASE WHEN b.r < a.r THEN 'outgoing' ELSE 'incoming' END AS direction FROM placed a JOIN placed b ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.r <> b.r UNION ALL SELECT src_id, dst_id, src_id, 1, 'outgoing' FROM lone UNION ALL SELECT dst_id, src_id, dst_id, 1, 'incoming' FROM lone", recursive=PLACED)
 def full_calls(spark, sf):
+    """Of every symbol, with callers and callees at any depth."""
     g = graph(spark, sf, "Reference")
-    return analytics.full_calls(g, ids(g, "Method"), 1)
+    return analytics.full_calls(g, g.symbols.select("id"), traverse.UNBOUNDED)
 
 
 @query("SELECT id AS src, p2 AS dst, id || '>' || p1 || '>' || p2 AS path FROM ev WHERE p2 IS NOT NULL UNION ALL SELECT id, id, id FROM ev WHERE p2 IS NOT NULL", cte=EVENTS)

@@ -27,7 +27,12 @@ def calls(g: Graph, roots: DataFrame, direction: str = "outgoing", most: int = 5
 
 
 def full_calls(g: Graph, roots: DataFrame, most: int = 5) -> DataFrame:
-    """root, node, parent, depth, direction (incoming or outgoing): callers and callees of each root."""
+    """root, node, parent, depth, direction (incoming or outgoing): callers and callees of each root, at most `most` calls away
+    (traverse.UNBOUNDED: all)."""
+    if most >= traverse.UNBOUNDED:
+        e = materialized(g.of_kind("Reference").where("src_id is not null and dst_id is not null").distinct())
+        found = traverse.reach_both(e, roots)
+        return found.select(F.col("start").alias("root"), "node", "parent", "depth", F.when(F.col("forward"), "outgoing").otherwise("incoming").alias("direction"))
     e = materialized(g.of_kind("Reference"))
     found = lambda turn: traverse.reach(e, roots, most, turn, with_parent=True, kept=True)
     rows = [found(turn).select(F.col("start").alias("root"), "node", "parent", "depth", F.lit(x).alias("direction")) for x, turn in (("incoming", "backward"), ("outgoing", "forward"))]

@@ -47,6 +47,78 @@ def reach(edges: DataFrame, starts: DataFrame, most: int = UNBOUNDED, direction:
     return united(levels)
 
 
+def reach_both(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node, parent, depth, forward: what reach() gives both ways (forward: whether by steps as they point) without a
+    bound, with parents. edges: a table of distinct src_id, dst_id; starts: column id.
+
+    Nodes at depth 1 are the edges. Those further on in a line (see lines()) come from places, so each pair is made once, by
+    one join, whatever the line's length. Rounds are taken only from starts with a step to another node that has steps on.
+    """
+    numbered = lambda df, c, *n: df.select(F.col(c).alias("id"), *[F.lit(x).alias(k) for k, x in zip(("outs", "ins", "asked"), n, strict=True)])
+    ends = united([numbered(edges, "src_id", 1, 0, 0), numbered(edges, "dst_id", 0, 1, 0), numbered(starts, "id", 0, 0, 1)])
+    nodes = ends.groupBy("id").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"), F.max("asked").alias("asked"))
+    nodes = materialized(nodes.where("outs + ins > 0 and (outs <= 1 and ins <= 1 or outs > 0 and ins > 0 or asked = 0)"))
+    line = lines(edges, nodes.where("outs <= 1 and ins <= 1"))
+    through = materialized(nodes.where("outs > 0 and ins > 0").select("id").join(line, "id", "left_anti"))
+    asked = None if nodes.where("asked = 0").isEmpty() else materialized(starts.select(F.col("id").alias("a")).distinct())
+    deeper = not through.isEmpty()
+    found = [along_lines(line)]
+    for way in ("forward", "backward"):
+        steps = one_way(edges, way)
+        first = steps if asked is None else steps.join(asked, "a", "left_semi")
+        first = first.select(F.col("a").alias("start"), F.col("b").alias("node"), F.col("a").alias("parent"), F.lit(1).alias("depth"))
+        if deeper:
+            deep = materialized(first.join(through.withColumnRenamed("id", "node"), "node", "left_semi").select(F.col("start").alias("id")).distinct())
+            near_by = steps.join(through.unionByName(deep).withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("a").alias("src_id"), F.col("b").alias("dst_id"))
+            rounds = reach(near_by, deep, with_parent=True).select("start", "node", "parent", "depth")
+            first = first.join(deep.withColumnRenamed("id", "start"), "start", "left_anti").unionByName(rounds)
+        found.append(first.withColumn("forward", F.lit(way == "forward")))
+    return united(found)
+
+
+def lines(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """line, n, at, id, before, after, asked: the nodes of each line of n nodes, with their places, from 0 at the end without a step on.
+
+    A line is a whole component of three nodes or more that have one step in and one step out at most, without a cycle; line
+    is the id at its end. nodes: a table of all nodes with so few steps, with their numbers (outs, ins) and whether they are
+    asked for. By pointer doubling: as many rounds as the longest line's length has bits.
+    """
+    ids = nodes.select("id").hint("shuffle_hash")  # so that edges aren't sorted
+    links = edges.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
+    links = materialized(links.select(F.col("src_id").alias("id"), F.col("dst_id").alias("after")))
+    at = nodes.join(links, "id", "left")
+    at = materialized(at.select("id", F.coalesce("after", "id").alias("to"), F.col("after").isNotNull().cast("int").alias("at"), F.col("after").isNotNull().alias("open")))
+    n, span = at.count(), 1
+    while span <= 2 * n and not at.where("open").isEmpty():  # a round after all have come to their ends only cycles are left
+        further = at.select(F.col("id").alias("to"), F.col("to").alias("then"), F.col("at").alias("more"))
+        at = materialized(at.join(further, "to").select("id", F.col("then").alias("to"), (F.col("at") + F.col("more")).alias("at"), (F.col("more") > 0).alias("open")))
+        span *= 2
+    placed = materialized(at.where("not open").select("id", F.col("to").alias("line"), "at").join(nodes, "id"))
+    # Of a line's n nodes all but one have a step in and all but one a step out; one more is a step from or to a node with several.
+    whole = placed.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.sum("ins").alias("i"), F.sum("outs").alias("o")).where("n > 2 and i = n - 1 and o = n - 1")
+    line = placed.join(whole.select("line", "n"), "line").join(links, "id", "left").join(links.select(F.col("after").alias("id"), F.col("id").alias("before")), "id", "left")
+    return materialized(line.select("line", "n", "at", "id", "before", "after", "asked"))
+
+
+#: Places of a line that one task pairs with all others of it.
+TILE = 256
+
+
+def along_lines(line: DataFrame) -> DataFrame:
+    """start, node, parent, depth, forward: the nodes two steps or more from each node that is asked for, on its line. line: what lines() gives.
+
+    Starts of a long line are dealt in tiles to several tasks. Rows here are few and short against those that they make, so
+    the number of partitions is the session's and isn't lowered by their size.
+    """
+    parts = int(line.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = line.where("asked = 1").select("line", (F.col("at") / TILE).cast("int").alias("tile"), F.col("id").alias("start"), F.col("at").alias("x"))
+    tiles = F.sequence(F.lit(0), ((F.col("n") - 1) / TILE).cast("int"))
+    other = line.select("line", F.explode(tiles).alias("tile"), F.col("id").alias("node"), "before", "after", F.col("at").alias("y"))
+    pairs = own.repartition(parts, "line", "tile").join(other.repartition(parts, "line", "tile"), ["line", "tile"]).where("abs(x - y) > 1")
+    forward = F.col("y") < F.col("x")
+    return pairs.select("start", "node", F.when(forward, F.col("before")).otherwise(F.col("after")).alias("parent"), F.abs(F.col("x") - F.col("y")).alias("depth"), forward.alias("forward"))
+
+
 #: Steps that one round of closure() takes at most; each round is a table and a look at whether it is empty.
 HOPS = 4
 
